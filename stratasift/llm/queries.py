@@ -2,15 +2,19 @@
 
 from __future__ import annotations
 
-from . import bpe_counts, packing, quality, url_rules
+from . import bpe_counts, chat, packing, quality, simhash, url_rules, warc
 
 QUERIES = {
     "op2_packing": packing.query,
+    "op3_simhash": simhash.query,
     "op4_token_counts": bpe_counts.query,
+    "op5_warc": warc.query,
+    "op7_chat_formatting": chat.query,
     "op8_url_filters": url_rules.query,
     "op10_quality_rules": quality.query,
 }
 
 SQL = {
+    "op7_chat_formatting": chat.ORACLE_SQL,
     "op8_url_filters": url_rules.ORACLE_SQL,
 }
