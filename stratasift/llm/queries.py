@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe_counts, chat, packing, quality, simhash, url_rules, warc
+from . import bpe_counts, chat, decontamination, packing, quality, simhash, url_rules, warc
 
 QUERIES = {
     "op2_packing": packing.query,
@@ -11,10 +11,12 @@ QUERIES = {
     "op5_warc": warc.query,
     "op7_chat_formatting": chat.query,
     "op8_url_filters": url_rules.query,
+    "op9_decontamination": decontamination.query,
     "op10_quality_rules": quality.query,
 }
 
 SQL = {
     "op7_chat_formatting": chat.ORACLE_SQL,
     "op8_url_filters": url_rules.ORACLE_SQL,
+    "op9_decontamination": decontamination.ORACLE_SQL,
 }
