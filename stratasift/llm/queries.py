@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from . import bpe_counts, chat, decontamination, packing, quality, simhash, url_rules, warc
+from . import bpe_counts, chat, decontamination, packing, ppm, quality, simhash, url_rules, warc
 
 QUERIES = {
+    "op1_ppm": ppm.query,
     "op2_packing": packing.query,
     "op3_simhash": simhash.query,
     "op4_token_counts": bpe_counts.query,
