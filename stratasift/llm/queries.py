@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe_counts, chat, decontamination, packing, ppm, quality, simhash, url_rules, warc
+from . import bpe_counts, chat, decontamination, packing, ppm, quality, simhash, substrings, url_rules, warc
 
 QUERIES = {
     "op1_ppm": ppm.query,
@@ -10,6 +10,7 @@ QUERIES = {
     "op3_simhash": simhash.query,
     "op4_token_counts": bpe_counts.query,
     "op5_warc": warc.query,
+    "op6_substring_dedup": substrings.query,
     "op7_chat_formatting": chat.query,
     "op8_url_filters": url_rules.query,
     "op9_decontamination": decontamination.query,
@@ -17,6 +18,7 @@ QUERIES = {
 }
 
 SQL = {
+    "op6_substring_dedup": substrings.ORACLE_SQL,
     "op7_chat_formatting": chat.ORACLE_SQL,
     "op8_url_filters": url_rules.ORACLE_SQL,
     "op9_decontamination": decontamination.ORACLE_SQL,
