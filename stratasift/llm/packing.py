@@ -10,6 +10,7 @@ pieces by their rank within their length.
 from __future__ import annotations
 
 import heapq
+import os
 import zlib
 from collections import Counter
 
@@ -25,43 +26,107 @@ from .common import binary_list, plain_list, read_table, require, stage
 CAPACITY = 2048
 END_ID = 1
 
-#: Chunks whose ids one Python worker keeps; a full cache starts anew.
-CACHE_CHUNKS = 400_000
+#: Chunks, and canonical words, whose ids one Python worker keeps; a full cache starts anew
+#: or, for words, keeps those of the last generation at hand.
+CACHE_CHUNKS, CACHE_WORDS = 300_000, 350_000
 
 #: Into so many parts the pieces of one length are dealt for ranking.
 RANK_PARTS = 512
 
 
+#: Separates chunks that are encoded together; a chunk with it is encoded by itself.
+_MARK = "\x01"
+
+
+class _Seen(dict):
+    """Ids of chunks; notes the chunks that it was asked for and doesn't have, and gives None for them."""
+
+    def __init__(self):
+        self.asked: list[bytes] = []
+
+    def __missing__(self, chunk: bytes) -> None:
+        self.asked.append(chunk)
+
+
 class ChunkEncoder:
     """Ids of texts, by chunks between ASCII white space, which the tokenizer drops."""
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
+        # One thread per task is what the cluster's scheduler counts on.
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
         self.tokenizer = Tokenizer.from_file(path)
-        self.cache: dict[bytes, bytes] = {}
+        self.cache = _Seen()
+        self.words: dict[bytes, bytes] = {}
+        self.old_words: dict[bytes, bytes] = {}
+        (self.mark,) = self._ids(_MARK)
+
+    def _ids(self, text: str) -> list[int]:
+        return self.tokenizer.encode(text, add_special_tokens=False).ids
+
+    def encoded(self, chunks: list[bytes]) -> list[bytes]:
+        """Little-endian unsigned 32-bit ids of each chunk, from one call for all."""
+        texts = [c.decode() for c in chunks]
+        joined = f" {_MARK} ".join("" if _MARK in t else t for t in texts)
+        ids = np.array(self._ids(joined), dtype="<u4")
+        parts = np.split(ids, np.flatnonzero(ids == self.mark))
+        found = [parts[0].tobytes()] + [p[1:].tobytes() for p in parts[1:]]
+        for i, t in enumerate(texts):
+            if _MARK in t:
+                found[i] = np.array(self._ids(t), dtype="<u4").tobytes()
+        return found
+
+    def chunk_ids(self, chunks: list[bytes]) -> list[bytes]:
+        """Of each chunk, by its lower-cased word and its final punctuation, which are encoded apart."""
+        forms = []
+        for c in chunks:
+            if b"<|" in c:  # special tokens are found before letters are lower-cased
+                forms.append((c, b""))
+                continue
+            low = c.lower()
+            body = low.rstrip(b".,;:!?")
+            # Only after a letter does punctuation begin a token of its own.
+            if len(body) == len(low) or not body or not (body[-1:].isalpha() or body.decode()[-1].lower().isalpha()):
+                forms.append((low, b""))
+            else:
+                forms.append((body, low[len(body) :]))
+        words, old = self.words, self.old_words
+        wanted = dict.fromkeys(x for form in forms for x in form)
+        wanted.pop(b"", None)
+        missing = []
+        for w in wanted:
+            if w not in words:
+                if (ids := old.get(w)) is None:
+                    missing.append(w)
+                else:
+                    words[w] = ids
+        for i in range(0, len(missing), 2048):
+            some = missing[i : i + 2048]
+            words.update(zip(some, self.encoded(some), strict=True))
+        found = [words[a] + words[b] if b else words[a] for a, b in forms]
+        if len(words) > CACHE_WORDS:
+            self.words, self.old_words = {}, words
+        return found
 
     def encode(self, texts: list[bytes]) -> list[bytes]:
         """Little-endian unsigned 32-bit ids of each text."""
-        cache, split = self.cache, [t.split() for t in texts]
-        out: list[bytes] = []
-        done = 0
-        while done < len(split):
-            # Few texts at a time, so that what is new at once stays small.
-            part = split[done : done + 64]
-            done += len(part)
-            new = list({c for words in part for c in words if c not in cache})
-            if len(cache) + len(new) > CACHE_CHUNKS:
-                cache.clear()
-                new = list({c for words in part for c in words})
-            for i in range(0, len(new), 4096):
-                some = new[i : i + 4096]
-                found = self.tokenizer.encode_batch_fast([c.decode() for c in some], add_special_tokens=False)
-                for c, e in zip(some, found, strict=True):
-                    cache[c] = np.array(e.ids, dtype="<u4").tobytes()
-            get = cache.__getitem__
-            out += [b"".join(map(get, words)) for words in part]
-        return out
+        cache = self.cache
+        looked_up = [list(map(cache.__getitem__, t.split())) for t in texts]
+        if not cache.asked:
+            return [b"".join(ids) for ids in looked_up]
+        asked, cache.asked = cache.asked, []
+        new = list(dict.fromkeys(asked))
+        if len(cache) > CACHE_CHUNKS:
+            cache.clear()
+        cache.update(zip(new, self.chunk_ids(new), strict=True))
+        missed = iter(asked)
+        for ids in looked_up:
+            at = -1
+            for _ in range(ids.count(None)):
+                at = ids.index(None, at + 1)
+                ids[at] = cache[next(missed)]
+        return [b"".join(ids) for ids in looked_up]
 
 
 _ENCODERS: dict[str, ChunkEncoder] = {}
@@ -99,10 +164,10 @@ def tokenized_pieces(
         encoder, row = encoder_for(tokenizer_path), 0
         for batch in batches:
             keys = plain_list(batch, id_col)
-            for lo in range(0, len(keys), 256):
+            for lo in range(0, len(keys), 128):
                 cols: list[list] = [[] for _ in schema.fields]
-                part = encoder.encode(binary_list(batch.slice(lo, 256), "__text"))
-                for key, ids in zip(keys[lo : lo + 256], part, strict=True):
+                part = encoder.encode(binary_list(batch.slice(lo, 128), "__text"))
+                for key, ids in zip(keys[lo : lo + 128], part, strict=True):
                     ids += end
                     total, row = len(ids) // 4, row + 1
                     for start in range(0, total, capacity):
