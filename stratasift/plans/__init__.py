@@ -5,7 +5,7 @@ from __future__ import annotations
 import importlib
 
 #: Modules that register queries.
-MODULES = ("corpus",)
+MODULES = ("corpus", "retrieval_eval", "gates_ops")
 
 
 def _load():
