@@ -1,7 +1,6 @@
 """Text normalisation, tokens, windows and set similarity as column expressions."""
 
-from __future__ import annotations
-
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -24,8 +23,6 @@ def normalize_passage(c: Column) -> Column:
 
 def nfkc_passage(c: Column) -> Column:
     """:func:`normalize_passage` after Unicode NFKC, in Arrow batches."""
-    import pandas as pd
-
     @F.pandas_udf("string")
     def nfkc(s: pd.Series) -> pd.Series:
         return s.str.normalize("NFKC")
@@ -130,8 +127,6 @@ def visible_html(c: Column) -> Column:
 
 def longest_common_substring(a: Column, b: Column) -> Column:
     """Length of the longest run of characters that two texts share, in Arrow batches."""
-    import pandas as pd
-
     @F.pandas_udf("int")
     def longest(x: pd.Series, y: pd.Series) -> pd.Series:
         return pd.Series([_longest_run(p or "", q or "") for p, q in zip(x, y, strict=True)], dtype="int32")

@@ -1,0 +1,453 @@
+"""Queries over contracts, reviews, feedback and hygiene."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+from pyspark.sql.window import Window
+
+from stratasift.functions import redaction, text
+from stratasift.operators import contracts, corpus
+
+from .catalog import register
+from .fixtures import MASKED_SQL, table, with_masks
+
+# Rows of a golden set, made from the benchmark with faults in fixed places.
+GOLDEN_SQL = """gs AS (SELECT CASE WHEN item_id % 13 = 0 THEN NULL ELSE 's' || item_id END AS sample_id, CASE WHEN item_id % 17 = 0 THEN '' ELSE text END AS question,
+  CASE item_id % 4 WHEN 0 THEN 'regulation' WHEN 1 THEN 'ingredient' WHEN 2 THEN 'general' ELSE 'other' END AS business_type,
+  CASE WHEN length(text) < 250 THEN 'easy' ELSE 'hard' END AS difficulty, CASE WHEN item_id % 5 = 0 THEN NULL ELSE false END AS visual_required,
+  CASE WHEN item_id % 7 = 0 THEN 'REVIEWED' ELSE CASE WHEN item_id % 3 = 0 THEN 'DRAFT_UNVERIFIED' ELSE 'REVIEWED' END END AS review_status, item_id FROM benchmark)"""
+
+
+def _golden(spark, sf):
+    i = F.col("item_id")
+    doc = F.when(i % 11 == 0, F.lit("")).otherwise(F.concat(F.lit("d"), i.cast("string")))
+    note = F.struct(
+        doc.alias("doc_id"), F.lit("c0").alias("chunk_id"), F.col("text"), F.when(i % 9 == 0, 5).otherwise(1).alias("relevance")
+    )
+    status = F.when((i % 3 == 0) & (i % 7 != 0), "DRAFT_UNVERIFIED").otherwise("REVIEWED")
+    provenance = F.struct(
+        F.lit("a1").alias("annotator"),
+        F.lit("manual").alias("method"),
+        F.lit("2024-01-01").alias("annotated_at"),
+        F.lit("human").alias("source"),
+        status.alias("review_status"),
+        F.lit("r1").alias("reviewed_by"),
+    )
+    return table(spark, sf, "benchmark").select(
+        "item_id",
+        F.when(i % 13 == 0, None).otherwise(F.concat(F.lit("s"), i.cast("string"))).alias("sample_id"),
+        F.when(i % 17 == 0, "").otherwise(F.col("text")).alias("question"),
+        F.element_at(F.array(*map(F.lit, ("regulation", "ingredient", "general", "other"))), (i % 4 + 1).cast("int")).alias("business_type"),
+        F.when(F.length("text") < 250, "easy").otherwise("hard").alias("difficulty"),
+        F.when(i % 5 == 0, None).otherwise(F.lit(False)).alias("visual_required"),
+        F.lit("simple").alias("complexity_label"),
+        F.lit("v1").alias("corpus_version"),
+        F.array(note).alias("annotations"),
+        provenance.alias("annotation"),
+        status.alias("review_status"),
+    )
+
+
+_REASONS_SQL = f"""{GOLDEN_SQL}, rs AS (SELECT item_id, list_filter([CASE WHEN sample_id IS NULL THEN 'missing_sample_id' END, CASE WHEN question = '' THEN 'missing_question' END,
+  CASE WHEN business_type = 'other' THEN 'invalid_business_type' END, CASE WHEN visual_required IS NULL THEN 'missing_visual_required_label' END,
+  CASE WHEN item_id % 11 = 0 THEN 'annotation_0_missing_doc_id' END, CASE WHEN review_status <> 'REVIEWED' THEN 'annotation_not_reviewed' END,
+  CASE WHEN item_id % 9 = 0 THEN 'annotation_0_invalid_relevance_grade' END], lambda x: x IS NOT NULL) AS reasons FROM gs)"""
+
+
+@register("row_contract_reasons", f"WITH {_REASONS_SQL} SELECT item_id, array_to_string(reasons, ',') AS reasons, len(reasons) = 0 AS valid FROM rs")
+def row_contract_reasons(spark, sf):
+    r = _golden(spark, sf).select("item_id", contracts.golden_row_reasons().alias("r"))
+    return r.select("item_id", F.array_join("r", ",").alias("reasons"), (F.size("r") == 0).alias("valid"))
+
+
+@register("reason_histogram", f"WITH {_REASONS_SQL} SELECT reason, count(*) AS n FROM (SELECT unnest(reasons) AS reason FROM rs) GROUP BY reason")
+def reason_histogram(spark, sf):
+    return contracts.reason_histogram(_golden(spark, sf).select(contracts.golden_row_reasons().alias("reasons")))
+
+
+@register(
+    "field_coverage",
+    f"""WITH {GOLDEN_SQL} SELECT 'sample_id' AS field, count_if(sample_id IS NOT NULL) AS n_present, round(count_if(sample_id IS NOT NULL) / count(*), 6) AS share FROM gs
+    UNION ALL SELECT 'question', count_if(trim(question) <> ''), round(count_if(trim(question) <> '') / count(*), 6) FROM gs
+    UNION ALL SELECT 'visual_required', count(visual_required), round(count(visual_required) / count(*), 6) FROM gs""",
+)
+def field_coverage(spark, sf):
+    return contracts.field_coverage(_golden(spark, sf), ["sample_id", "question", "visual_required"])
+
+
+@register(
+    "annotation_audit",
+    f"""WITH {_REASONS_SQL} SELECT count(*) AS total, count_if(len(reasons) = 0) AS scorable, count_if(list_contains(reasons, 'annotation_not_reviewed')) AS draft,
+      count_if(len(list_filter(reasons, lambda x: x <> 'annotation_not_reviewed')) > 0) AS invalid FROM rs""",
+)
+def annotation_audit(spark, sf):
+    r = _golden(spark, sf).select(contracts.golden_row_reasons().alias("r"))
+    return r.agg(
+        F.count(F.lit(1)).alias("total"),
+        F.count_if(F.size("r") == 0).alias("scorable"),
+        F.count_if(F.array_contains("r", "annotation_not_reviewed")).alias("draft"),
+        F.count_if(F.size(F.filter("r", lambda x: x != "annotation_not_reviewed")) > 0).alias("invalid"),
+    )
+
+
+@register(
+    "integrity_dups",
+    """SELECT content, doc_id, first_seen FROM (SELECT md5(text) AS content, doc_id, row_number() OVER w AS nth, first_value(doc_id) OVER w AS first_seen FROM documents WINDOW w AS (PARTITION BY text ORDER BY doc_id)) WHERE nth > 1""",
+)
+def integrity_dups(spark, sf):
+    return contracts.duplicates(table(spark, sf, "documents").select(F.md5("text").alias("content"), "doc_id"), "content", "doc_id")
+
+
+@register(
+    "workpackage_quota",
+    "SELECT lang, doc_id FROM (SELECT lang, doc_id, row_number() OVER (PARTITION BY lang ORDER BY doc_id) AS k FROM documents) WHERE k <= 15",
+)
+def workpackage_quota(spark, sf):
+    return contracts.quota(table(spark, sf, "documents").select("lang", "doc_id"), "lang", "doc_id", 15)
+
+
+@register(
+    "stratified_sample",
+    """WITH s AS (SELECT event_type, count(*) AS size, sum(count(*)) OVER () AS total FROM events GROUP BY event_type),
+    r AS (SELECT event_id, event_type, row_number() OVER (PARTITION BY event_type ORDER BY md5('7:' || event_id), event_id) AS k FROM events)
+    SELECT r.event_type, r.event_id FROM r JOIN s USING (event_type) WHERE k <= greatest(1, floor(500 * size / total))""",
+)
+def stratified_sample(spark, sf):
+    return contracts.stratified_sample(table(spark, sf, "events").select("event_type", "event_id"), "event_type", "event_id", 500, 7)
+
+
+@register(
+    "publication_blockers",
+    f"""WITH {_REASONS_SQL} SELECT array_to_string(list_filter([CASE WHEN count_if(len(reasons) = 0) < 30 THEN 'too_few_scorable' END,
+      CASE WHEN count_if(list_contains(reasons, 'annotation_not_reviewed')) > 0 THEN 'unreviewed_rows' END, CASE WHEN count_if(list_contains(reasons, 'missing_sample_id')) > 0 THEN 'unidentified_rows' END], lambda x: x IS NOT NULL), ',') AS blockers FROM rs""",
+)
+def publication_blockers(spark, sf):
+    r = _golden(spark, sf).select(contracts.golden_row_reasons().alias("r"))
+    one = r.agg(
+        F.count_if(F.size("r") == 0).alias("ok"),
+        F.count_if(F.array_contains("r", "annotation_not_reviewed")).alias("draft"),
+        F.count_if(F.array_contains("r", "missing_sample_id")).alias("nameless"),
+    )
+    codes = contracts.reasons(
+        (F.col("ok") < 30, "too_few_scorable"), (F.col("draft") > 0, "unreviewed_rows"), (F.col("nameless") > 0, "unidentified_rows")
+    )
+    return one.select(F.array_join(codes, ",").alias("blockers"))
+
+
+# --- reviews and answers -----------------------------------------------------
+
+
+@register(
+    "answer_eval_rates",
+    """WITH a AS (SELECT d.lang AS category, l.quality, l.toxic, d.doc_id % 4 = 0 AS must_refuse FROM labels l JOIN documents d USING (doc_id))
+    SELECT category, count(*) AS n, round(count_if(quality = 1) / nullif(count(*), 0), 6) AS support, round(count_if(toxic = 1) / nullif(count(*), 0), 6) AS unsupported,
+      round(count_if(must_refuse AND toxic = 1) / nullif(count_if(must_refuse), 0), 6) AS refusal_recall, round(count_if(NOT must_refuse AND toxic = 1) / nullif(count_if(NOT must_refuse), 0), 6) AS false_refusal
+    FROM a GROUP BY GROUPING SETS ((category), ())""",
+)
+def answer_eval_rates(spark, sf):
+    docs = table(spark, sf, "documents").select("doc_id", F.col("lang").alias("category"))
+    a = table(spark, sf, "labels").join(docs, "doc_id")
+    refuse, good, bad = F.col("doc_id") % 4 == 0, F.col("quality") == 1, F.col("toxic") == 1
+
+    def rate(hit, among):
+        return F.round(F.try_divide(F.count_if(hit), F.count_if(among)), 6)
+
+    return a.rollup("category").agg(
+        F.count(F.lit(1)).alias("n"),
+        rate(good, F.lit(True)).alias("support"),
+        rate(bad, F.lit(True)).alias("unsupported"),
+        rate(refuse & bad, refuse).alias("refusal_recall"),
+        rate(~refuse & bad, ~refuse).alias("false_refusal"),
+    )
+
+
+@register(
+    "judge_category_means",
+    """WITH u AS (SELECT d.lang AS category, metric, v FROM (SELECT doc_id, 'quality' AS metric, quality AS v FROM labels UNION ALL SELECT doc_id, 'toxic', toxic FROM labels) JOIN documents d USING (doc_id))
+    SELECT category, metric, round(avg(v), 6) AS mean, count(v) AS n FROM u GROUP BY GROUPING SETS ((category, metric), (metric))""",
+)
+def judge_category_means(spark, sf):
+    docs = table(spark, sf, "documents").select("doc_id", F.col("lang").alias("category"))
+    long = table(spark, sf, "labels").unpivot(["doc_id"], ["quality", "toxic"], "metric", "v").join(docs, "doc_id")
+    c, m = F.col("category"), F.col("metric")
+    return long.groupingSets([[c, m], [m]], c, m).agg(F.round(F.avg("v"), 6).alias("mean"), F.count("v").alias("n"))
+
+
+_REPORT = """SELECT lang AS category, 'quality' AS metric, avg(quality) AS v FROM labels JOIN documents USING (doc_id) WHERE {} GROUP BY lang"""
+
+
+@register(
+    "report_delta",
+    f"""WITH a AS ({_REPORT.format("doc_id % 2 = 0")}), b AS ({_REPORT.format("doc_id % 2 = 1")})
+    SELECT category, metric, round(b.v - a.v, 4) AS delta, CASE WHEN round(b.v - a.v, 4) > 0.01 THEN 'improved' WHEN round(b.v - a.v, 4) < -0.01 THEN 'regressed' ELSE 'stable' END AS verdict
+    FROM a FULL JOIN b USING (category, metric) WHERE a.v IS NOT NULL AND b.v IS NOT NULL""",
+)
+def report_delta(spark, sf):
+    joined = table(spark, sf, "labels").join(table(spark, sf, "documents").select("doc_id", F.col("lang").alias("category")), "doc_id")
+    # Both reports come from one pass; a metric that one of them lacks is left out.
+    both = joined.groupBy("category").agg(
+        F.avg(F.when(F.col("doc_id") % 2 == 0, F.col("quality"))).alias("a"),
+        F.avg(F.when(F.col("doc_id") % 2 == 1, F.col("quality"))).alias("b"),
+    )
+    delta = F.round(F.col("b") - F.col("a"), 4)
+    return both.where("a is not null and b is not null").select(
+        "category",
+        F.lit("quality").alias("metric"),
+        delta.alias("delta"),
+        F.when(delta > 0.01, "improved").when(delta < -0.01, "regressed").otherwise("stable").alias("verdict"),
+    )
+
+
+@register(
+    "review_decision_apply",
+    """WITH c AS (SELECT 's' || doc_id % 50 AS sample_id, doc_id AS key, quality AS grade, 'a' || doc_id % 3 AS annotator, 'h' || doc_id % 10 AS hash FROM labels WHERE doc_id % 2 = 0 OR doc_id % 3 = 0),
+    d AS (SELECT 's' || doc_id % 50 AS sample_id, doc_id AS key, CASE WHEN doc_id % 7 = 0 THEN NULL ELSE 2 END AS grade, CASE WHEN doc_id % 11 = 0 THEN '' ELSE 'a' || doc_id % 4 END AS reviewer, CASE WHEN doc_id % 13 = 0 THEN 'x' ELSE 'h' || doc_id % 10 END AS hash FROM labels WHERE doc_id % 5 <> 0),
+    j AS (SELECT coalesce(c.sample_id, d.sample_id) AS sample_id, coalesce(c.key, d.key) AS key, c.grade, d.grade AS ng, reviewer, annotator, c.hash, d.hash AS signed FROM c FULL JOIN d ON c.sample_id = d.sample_id AND c.key = d.key),
+    r AS (SELECT *, CASE WHEN signed IS NULL THEN NULL WHEN trim(reviewer) = '' THEN 'unnamed_reviewer' WHEN reviewer = annotator THEN 'self_review' WHEN hash IS NOT NULL AND hash <> signed THEN 'stale_candidate' END AS refused FROM j)
+    SELECT sample_id, key, CASE WHEN signed IS NULL OR refused IS NOT NULL THEN grade ELSE coalesce(ng, 0) END AS grade, refused FROM r""",
+)
+def review_decision_apply(spark, sf):
+    base = table(spark, sf, "labels")
+    d = F.col("doc_id")
+
+    def tag(letter, m):
+        return F.concat(F.lit(letter), (d % m).cast("string"))
+
+    candidates = base.where((d % 2 == 0) | (d % 3 == 0)).select(
+        tag("s", 50).alias("sample_id"), d.alias("key"), F.col("quality").alias("grade"), tag("a", 3).alias("annotator"), tag("h", 10).alias("hash")
+    )
+    decisions = base.where(d % 5 != 0).select(
+        tag("s", 50).alias("sample_id"),
+        d.alias("key"),
+        F.when(d % 7 == 0, None).otherwise(2).alias("grade"),
+        F.when(d % 11 == 0, "").otherwise(tag("a", 4)).alias("reviewer"),
+        F.when(d % 13 == 0, "x").otherwise(tag("h", 10)).alias("hash"),
+    )
+    return contracts.apply_decisions(candidates, decisions)
+
+
+# --- feedback ----------------------------------------------------------------
+
+_FB_SQL = """fb AS (SELECT sha256('q' || user_id || ':' || event_id) AS feedback_id, event_id, user_id, CASE WHEN event_type = 'signup' THEN NULL ELSE CAST(floor(value) AS BIGINT) % 3 - 1 END AS rating,
+  event_type = 'error' AS corrected, ts FROM events)"""
+
+
+def _feedback(spark, sf):
+    name = F.concat(F.lit("q"), F.col("user_id").cast("string"), F.lit(":"), F.col("event_id").cast("string"))
+    return table(spark, sf, "events").select(
+        F.sha2(name, 256).alias("feedback_id"),
+        "event_id",
+        "user_id",
+        F.when(F.col("event_type") == "signup", None).otherwise(F.floor("value") % 3 - 1).alias("rating"),
+        (F.col("event_type") == "error").alias("corrected"),
+        "ts",
+    )
+
+
+@register(
+    "feedback_datasets",
+    f"""WITH {_FB_SQL} SELECT 'hard_negative' AS dataset, count_if(rating <= 0) AS n, min(feedback_id) FILTER (rating <= 0) AS first_id FROM fb UNION ALL SELECT 'correction', count_if(corrected), min(feedback_id) FILTER (corrected) FROM fb
+    UNION ALL SELECT 'evaluation', count_if(rating > 0), min(feedback_id) FILTER (rating > 0) FROM fb UNION ALL SELECT 'preference', count_if(corrected AND rating <= 0), min(feedback_id) FILTER (corrected AND rating <= 0) FROM fb""",
+)
+def feedback_datasets(spark, sf):
+    bad = F.coalesce(F.col("rating") <= 0, F.lit(False))
+    good = F.coalesce(F.col("rating") > 0, F.lit(False))
+    kinds = {"hard_negative": bad, "correction": F.col("corrected"), "evaluation": good, "preference": bad & F.col("corrected")}
+    member = F.array_compact(F.array(*[F.when(c, F.lit(k)) for k, c in kinds.items()]))
+    return (
+        _feedback(spark, sf)
+        .select(F.explode(member).alias("dataset"), "feedback_id")
+        .groupBy("dataset")
+        .agg(F.count(F.lit(1)).alias("n"), F.min("feedback_id").alias("first_id"))
+    )
+
+
+@register(
+    "review_queue",
+    f"WITH {_FB_SQL} SELECT feedback_id, user_id, rating FROM fb WHERE rating IS NOT NULL AND rating <= 0 AND NOT corrected AND event_id % 4 <> 0",
+)
+def review_queue(spark, sf):
+    """Negative feedback that nobody has decided on yet."""
+    f = _feedback(spark, sf)
+    decided = f.where("event_id % 4 = 0").select("feedback_id")
+    return f.where("rating is not null and rating <= 0 and not corrected").join(decided, "feedback_id", "left_anti").select("feedback_id", "user_id", "rating")
+
+
+@register(
+    "regression_candidates",
+    f"""WITH {_FB_SQL} SELECT sha256('case:' || user_id || ':' || rating) AS case_id, count(*) AS n_reports, min(ts) AS first_ts FROM fb WHERE rating <= 0 AND user_id % 5 <> 0 GROUP BY user_id, rating""",
+)
+def regression_candidates(spark, sf):
+    """Reports of one case collapse to it, and known cases are not inserted again."""
+    f = _feedback(spark, sf).where("rating <= 0")
+    case = F.sha2(F.concat_ws(":", F.lit("case"), F.col("user_id").cast("string"), F.col("rating").cast("string")), 256)
+    new = f.groupBy(case.alias("case_id")).agg(F.count(F.lit(1)).alias("n_reports"), F.min("ts").alias("first_ts"))
+    known = f.where("user_id % 5 = 0").select(case.alias("case_id")).distinct()
+    return new.join(known, "case_id", "left_anti")
+
+
+_ANN_SQL = """an AS (SELECT event_id, event_type AS predicted, CASE WHEN event_id % 10 < 7 THEN event_type WHEN event_id % 10 = 7 THEN 'view' ELSE 'click' END AS actual, user_id % 2 = 0 AS p2, event_id % 3 = 0 AS a2 FROM events)"""
+
+
+def _annotated(spark, sf):
+    m = F.col("event_id") % 10
+    actual = F.when(m < 7, F.col("event_type")).when(m == 7, "view").otherwise("click")
+    return table(spark, sf, "events").select(
+        F.col("event_type").alias("predicted"), actual.alias("actual"), (F.col("user_id") % 2 == 0).alias("p2"), (F.col("event_id") % 3 == 0).alias("a2")
+    )
+
+
+@register(
+    "rewrite_accuracy",
+    f"WITH {_ANN_SQL} SELECT round(avg(CAST(predicted = actual AS INT)), 6) AS intent_accuracy, round(avg(CAST(p2 = a2 AS INT)), 6) AS type_accuracy, round((avg(CAST(predicted = actual AS INT)) + avg(CAST(p2 = a2 AS INT))) / 2, 6) AS mean FROM an",
+)
+def rewrite_accuracy(spark, sf):
+    a = F.avg((F.col("predicted") == F.col("actual")).cast("double"))
+    b = F.avg((F.col("p2") == F.col("a2")).cast("double"))
+    return _annotated(spark, sf).agg(F.round(a, 6).alias("intent_accuracy"), F.round(b, 6).alias("type_accuracy"), F.round((a + b) / 2, 6).alias("mean"))
+
+
+@register(
+    "confusion_top5",
+    f"WITH {_ANN_SQL} SELECT predicted || '→' || actual AS pattern, count(*) AS n FROM an WHERE predicted <> actual GROUP BY 1 ORDER BY n DESC, pattern LIMIT 5",
+)
+def confusion_top5(spark, sf):
+    wrong = _annotated(spark, sf).where("predicted <> actual")
+    return wrong.groupBy(F.concat_ws("→", "predicted", "actual").alias("pattern")).agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "pattern").limit(5)
+
+
+@register(
+    "decision_revisions",
+    """SELECT user_id, count(*) AS revision, max_by(event_type, ts) AS decision FROM events GROUP BY user_id""",
+)
+def decision_revisions(spark, sf):
+    d = table(spark, sf, "events").select("user_id", "ts", F.col("event_type").alias("decision"))
+    return corpus.latest_decision(d, "user_id", "ts").select("user_id", F.col("revision").cast("long").alias("revision"), "decision")
+
+
+# --- hygiene -----------------------------------------------------------------
+
+
+@register(
+    "secret_scan",
+    "WITH l AS (SELECT doc_id, CAST(i AS BIGINT) AS line, string_split(text, chr(10))[i] AS x FROM documents, unnest(range(1, len(string_split(text, chr(10))) + 1)) u(i)), p(label, re) AS (VALUES "
+    + ", ".join(f"('{label}', '{shape}')" for label, shape in redaction.SECRET_SHAPES)
+    + ") SELECT doc_id, line, label FROM l, p WHERE regexp_matches(x, re)",
+)
+def secret_scan(spark, sf):
+    return contracts.line_matches(table(spark, sf, "documents"), "doc_id", "text", redaction.SECRET_SHAPES)
+
+
+_PATTERNS = [("e-mail", r"[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}"), ("license", r"(?i)licensed? under"), ("number", r"\d{13,19}")]
+
+
+@register(
+    "pattern_scan",
+    "WITH l AS (SELECT doc_id, CAST(i AS BIGINT) AS line, string_split(text, chr(10))[i] AS x FROM documents, unnest(range(1, len(string_split(text, chr(10))) + 1)) u(i)), p(label, re) AS (VALUES "
+    + ", ".join(f"('{label}', '{shape}')" for label, shape in _PATTERNS)
+    + ") SELECT doc_id, line, label FROM l, p WHERE regexp_matches(x, re)",
+)
+def pattern_scan(spark, sf):
+    return contracts.line_matches(table(spark, sf, "documents"), "doc_id", "text", _PATTERNS)
+
+
+@register(
+    "manifest_drift",
+    """SELECT doc_id, 'missing' AS problem FROM documents WHERE doc_id % 9 <> 0 AND doc_id % 4 = 0 AND NOT EXISTS (SELECT 1 FROM labels l WHERE l.doc_id = documents.doc_id)
+    UNION ALL SELECT doc_id, 'undeclared' FROM labels WHERE NOT (doc_id % 9 <> 0 AND doc_id % 4 = 0)""",
+)
+def manifest_drift(spark, sf):
+    declared = table(spark, sf, "documents").where("doc_id % 9 <> 0 and doc_id % 4 = 0").select("doc_id")
+    return contracts.drift(declared, table(spark, sf, "labels").select("doc_id"), "doc_id")
+
+
+_WORDS_SQL = """qw AS (SELECT DISTINCT item_id, unnest(list_transform(regexp_extract_all(text, '[A-Za-z0-9]+'), lambda x: lower(x))) AS t FROM benchmark),
+dw AS (SELECT DISTINCT doc_id, unnest(list_transform(regexp_extract_all(text, '[A-Za-z0-9]+'), lambda x: lower(x))) AS t FROM documents)"""
+
+
+def _shared_words(spark, sf):
+    """(item_id, doc_id, overlap): distinct words that a passage and a document share; only the passages' words leave the scan."""
+    q = table(spark, sf, "benchmark").select("item_id", F.explode(text.cjk_and_word_tokens(F.col("text"))).alias("t"))
+    d = table(spark, sf, "documents").select("doc_id", F.explode(text.cjk_and_word_tokens(F.col("text"))).alias("t"))
+    near = d.join(F.broadcast(q.select("t").distinct()), "t", "left_semi")
+    return q, near.join(q, "t").groupBy("item_id", "doc_id").agg(F.count(F.lit(1)).alias("overlap"))
+
+
+@register(
+    "related_passages",
+    f"""WITH {_WORDS_SQL}, gold AS (SELECT b.item_id, d.doc_id FROM benchmark b JOIN documents d ON contains(d.text, b.text)),
+    o AS (SELECT item_id, doc_id, count(*) AS overlap FROM qw JOIN dw USING (t) GROUP BY ALL HAVING count(*) >= 2),
+    r AS (SELECT o.*, row_number() OVER (PARTITION BY item_id ORDER BY overlap DESC, doc_id) AS k FROM o WHERE NOT EXISTS (SELECT 1 FROM gold g WHERE g.item_id = o.item_id AND g.doc_id = o.doc_id))
+    SELECT item_id, doc_id, overlap FROM r WHERE k <= 3""",
+)
+def related_passages(spark, sf):
+    from .fixtures import gold_pairs
+
+    _, shared = _shared_words(spark, sf)
+    leads = shared.where("overlap >= 2").join(gold_pairs(spark, sf), ["item_id", "doc_id"], "left_anti")
+    w = Window.partitionBy("item_id").orderBy(F.desc("overlap"), "doc_id")
+    return leads.withColumn("k", F.row_number().over(w)).where("k <= 3").drop("k")
+
+
+@register(
+    "token_coverage_risk",
+    f"""WITH {_WORDS_SQL}, n AS (SELECT item_id, count(*) AS n FROM qw GROUP BY item_id), o AS (SELECT item_id, doc_id, count(*) AS k FROM qw JOIN dw USING (t) GROUP BY ALL),
+    m AS (SELECT n.item_id, round(coalesce(max(k), 0) / n, 6) AS coverage FROM n LEFT JOIN o USING (item_id) GROUP BY n.item_id, n)
+    SELECT item_id, coverage, CASE WHEN coverage >= 0.9 THEN 'HIGH' WHEN coverage >= 0.75 THEN 'MEDIUM' ELSE 'LOW' END AS level FROM m""",
+)
+def token_coverage_risk(spark, sf):
+    q, shared = _shared_words(spark, sf)
+    n = q.groupBy("item_id").agg(F.count(F.lit(1)).alias("n"))
+    best = shared.groupBy("item_id").agg(F.max("overlap").alias("k"))
+    c = F.round(F.coalesce("k", F.lit(0)) / F.col("n"), 6)
+    return n.join(best, "item_id", "left").select(
+        "item_id", c.alias("coverage"), F.when(c >= 0.9, "HIGH").when(c >= 0.75, "MEDIUM").otherwise("LOW").alias("level")
+    )
+
+
+@register("lcs_risk")
+def lcs_risk(spark, sf):
+    """Longest run that a passage shares with the documents that have it; an Arrow function on candidate pairs only."""
+    from .fixtures import gold_pairs
+
+    pairs = gold_pairs(spark, sf).select("item_id", "doc_id")
+    docs = table(spark, sf, "documents").select("doc_id", F.substring("text", 1, 4000).alias("body"))
+    items = table(spark, sf, "benchmark").select("item_id", F.col("text").alias("passage"))
+    joined = pairs.join(docs, "doc_id").join(items, "item_id")
+    run = text.longest_common_substring(F.col("passage"), F.col("body"))
+    share = joined.select("item_id", "doc_id", F.round(run / F.length("passage"), 3).alias("ratio"))
+    return share.withColumn("level", F.when(F.col("ratio") >= 0.5, "HIGH").when(F.col("ratio") >= 0.3, "MEDIUM").otherwise("LOW"))
+
+
+@register(
+    "proxy_client_ip",
+    """SELECT event_id, CASE WHEN user_id % 3 = 0 THEN '10.0.0.' || user_id % 200 WHEN event_id % 2 = 0 THEN '203.0.113.' || user_id % 200 ELSE '198.51.100.' || event_id % 200 END AS client FROM events""",
+)
+def proxy_client_ip(spark, sf):
+    """Hops are read from the right; those in trusted networks are passed over."""
+    u, e = F.col("user_id"), F.col("event_id")
+
+    def addr(prefix, n):
+        return F.concat(F.lit(prefix), (n % 200).cast("string"))
+
+    peer = F.when(u % 3 == 0, addr("10.0.0.", u)).otherwise(F.lit("172.16.5.4"))
+    hop = F.when(e % 2 == 0, addr("203.0.113.", u)).otherwise(addr("198.51.100.", e))
+    forwarded = F.when(u % 3 != 0, F.concat(F.lit("192.0.2.9, "), hop, F.lit(", 172.16.0.7")))
+    return table(spark, sf, "events").select("event_id", redaction.client_ip(forwarded, peer, [("172.16.0.0", 12)]).alias("client"))
+
+
+@register(
+    "url_userinfo",
+    """SELECT page_id, 'https://' || regexp_replace(url, '^[a-z]+://', '') AS clean FROM pages""",
+)
+def url_userinfo(spark, sf):
+    with_user = F.concat(F.lit("https://user:secret@"), F.regexp_replace("url", "^[a-z]+://", ""))
+    return table(spark, sf, "pages").select("page_id", redaction.strip_userinfo(with_user).alias("clean"))
+
+
+@register(
+    "active_by_identity",
+    f"WITH {MASKED_SQL} SELECT role_mask, dept_mask, count(*) AS n FROM masked WHERE status = 'active' GROUP BY ALL",
+)
+def active_by_identity(spark, sf):
+    return with_masks(table(spark, sf, "documents")).where("status = 'active'").groupBy("role_mask", "dept_mask").agg(F.count(F.lit(1)).alias("n"))
