@@ -7,12 +7,18 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-#: A golden row as the contract has it.
-GOLDEN_ROW = T.StructType.fromDDL(
-    "sample_id string, question string, business_type string, difficulty string, visual_required boolean, "
-    "complexity_label string, corpus_version string, corpus_sha256 string, "
-    "annotations array<struct<doc_id:string,chunk_id:string,text:string,relevance:int>>, "
-    "annotation struct<annotator:string,method:string,annotated_at:string,source:string,review_status:string,reviewed_by:string>"
+# A golden row as the contract has it.
+_NOTE = T.StructType(
+    [T.StructField(n, T.StringType()) for n in ("doc_id", "chunk_id", "text")] + [T.StructField("relevance", T.IntegerType())]
+)
+_PROVENANCE = T.StructType(
+    [T.StructField(n, T.StringType()) for n in ("annotator", "method", "annotated_at", "source", "review_status", "reviewed_by")]
+)
+GOLDEN_ROW = T.StructType(
+    [T.StructField(n, T.StringType()) for n in ("sample_id", "question", "business_type", "difficulty")]
+    + [T.StructField("visual_required", T.BooleanType())]
+    + [T.StructField(n, T.StringType()) for n in ("complexity_label", "corpus_version", "corpus_sha256")]
+    + [T.StructField("annotations", T.ArrayType(_NOTE)), T.StructField("annotation", _PROVENANCE)]
 )
 
 BUSINESS_TYPES = ("regulation", "ingredient", "formula", "image", "general", "product")

@@ -79,13 +79,13 @@ def floor_percentiles(df: DataFrame, by: list[str], value: str, points=(0.5, 0.9
     known = df.where(F.col(value).isNotNull())
     w = Window.partitionBy(*by)
     ranked = known.select(
-        *by, value, F.row_number().over(w.orderBy(value)).alias("k"), F.count(F.lit(1)).over(w).alias("n")
+        *by, value, F.row_number().over(w.orderBy(value)).alias("__k"), F.count(F.lit(1)).over(w).alias("__n")
     )
     def at(p):
-        index = F.least(F.floor(F.col("n") * p), F.col("n") - 1) + 1
-        return F.round(F.max(F.when(F.col("k") == index, F.col(value))), 2).alias(f"p{round(p * 100)}")
+        index = F.least(F.floor(F.col("__n") * p), F.col("__n") - 1) + 1
+        return F.round(F.max(F.when(F.col("__k") == index, F.col(value))), 2).alias(f"p{round(p * 100)}")
 
-    return ranked.groupBy(*by).agg(F.max("n").alias("n"), F.round(F.max(value), 2).alias("max"), *[at(p) for p in points])
+    return ranked.groupBy(*by).agg(F.max("__n").alias("n"), F.round(F.max(value), 2).alias("max"), *[at(p) for p in points])
 
 
 def normal_cdf(x: Column) -> Column:
