@@ -112,3 +112,42 @@ def running_pressure(df: DataFrame, order: list, cost: Column, budget: float, ro
     """Share of the budget that the last ``rows`` requests of a node hold together."""
     w = Window.partitionBy("node").orderBy(*order).rowsBetween(-(rows - 1), 0)
     return df.withColumn("pressure", F.round(F.sum(cost).over(w) / budget, 6))
+
+
+def admission_fold(df: DataFrame, by: list[str], ts: str, budget: float, hold: int) -> DataFrame:
+    """Adds ``reason``: an ordered fold per node, in which admitted requests hold budget for ``hold`` seconds.
+
+    Rows need ``cost``, ``priority`` and ``event_id``.
+    """
+    from stratasift.functions.rules import PRESSURE as P
+
+    def decide(pressure: float, priority: str, fits: bool) -> tuple[bool, str]:
+        if pressure > P["critical"] and priority != "P0":
+            return False, "critical_p1_queued" if priority == "P1" else "critical_p2_rejected"
+        if P["soft_stop"] < pressure <= P["critical"] and priority not in ("P0", "P1"):
+            return False, "soft_stop"
+        if not fits:
+            return False, "critical_p0_budget" if pressure > P["critical"] else "budget_exceeded"
+        if pressure > P["critical"]:
+            return True, "critical"
+        if pressure > P["soft_stop"]:
+            return True, "downgrade" if priority == "P1" else "admitted"
+        if pressure > P["truncate"]:
+            return True, "admitted_with_truncation"
+        return True, "admitted_with_tighten" if pressure > P["tighten"] else "admitted"
+
+    def fold(rows: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.sort_values([ts, "event_id"])
+        held: list[tuple] = []
+        out = []
+        for t, cost, priority in zip(rows[ts], rows["cost"], rows["priority"], strict=True):
+            held = [h for h in held if (t - h[0]).total_seconds() < hold]
+            used = sum(h[1] for h in held)
+            ok, reason = decide(used / budget, priority, used + cost <= budget)
+            if ok:
+                held.append((t, cost))
+            out.append(reason)
+        return rows.assign(reason=out)
+
+    schema = df.withColumn("reason", F.lit("")).schema
+    return df.groupBy(*by).applyInPandas(fold, schema)

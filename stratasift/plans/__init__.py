@@ -5,7 +5,7 @@ from __future__ import annotations
 import importlib
 
 #: Modules that register queries.
-MODULES = ("corpus", "retrieval_eval", "gates_ops", "governance", "relational", "streams")
+MODULES = ("corpus", "retrieval_eval", "gates_ops", "governance", "relational", "streams", "composed")
 
 
 def _load():
