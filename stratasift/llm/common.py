@@ -3,6 +3,9 @@
 from __future__ import annotations
 
 import atexit
+import ctypes
+import functools
+import gc
 import tempfile
 import uuid
 
@@ -92,3 +95,36 @@ def task_count(df: DataFrame) -> int:
 def block_of(id_col: str, blocks: int):
     """Block number of a row; equal ids share a block."""
     return F.pmod(F.xxhash64(F.col(id_col)), F.lit(blocks)).cast("int")
+
+
+def release_memory() -> None:
+    """Gives freed memory back to the system: Python workers live on while other stages need it."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):
+        pass  # another C library
+
+
+def frees_memory(run):
+    """For functions of ``mapInArrow``: releases memory when a task ends."""
+
+    @functools.wraps(run)
+    def wrapped(batches):
+        yield from run(batches)
+        release_memory()
+
+    return wrapped
+
+
+def frees_group_memory(run):
+    """For functions of ``applyInArrow``: releases memory after each group."""
+
+    @functools.wraps(run)
+    def wrapped(left, right):
+        out = run(left, right)
+        release_memory()
+        return out
+
+    return wrapped

@@ -19,7 +19,16 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import binary_list, block_of, read_table, require, stage, task_count
+from .common import (
+    binary_list,
+    block_of,
+    frees_group_memory,
+    frees_memory,
+    read_table,
+    require,
+    stage,
+    task_count,
+)
 from .simhash import groups_of
 
 WINDOW_WORDS = 20
@@ -29,11 +38,11 @@ ANCHOR = 8
 MAX_SHARD = 1000
 
 #: Regions that a task compares among themselves before they are sent on.
-LOCAL_REGIONS = 400_000
+LOCAL_REGIONS = 250_000
 
 _BASE = 0x9E3779B97F4A7C15
 _M64 = (1 << 64) - 1
-_WORD_CACHE = 400_000
+_WORD_CACHE = 250_000
 _NULL_ID = -(1 << 63)
 
 
@@ -147,7 +156,7 @@ def document_regions(source: DataFrame, window: int) -> DataFrame:
         if parts:
             yield settled(parts)
 
-    return source.mapInArrow(run, REGION)
+    return source.mapInArrow(frees_memory(run), REGION)
 
 
 def judged_regions(regions: DataFrame) -> DataFrame:
@@ -230,7 +239,7 @@ def _with_texts(source: DataFrame, keyed: DataFrame, run, schema: str) -> DataFr
     blocks = task_count(source) * 4
     left = source.withColumn("__block", block_of("__id", blocks))
     right = keyed.withColumn("__k", block_of("id", blocks))
-    return left.groupBy("__block").cogroup(right.groupBy("__k")).applyInArrow(run, schema)
+    return left.groupBy("__block").cogroup(right.groupBy("__k")).applyInArrow(frees_group_memory(run), schema)
 
 
 def shard_contents(source: DataFrame, shards: DataFrame, window: int) -> DataFrame:
@@ -290,7 +299,7 @@ def automaton_marks(contents: DataFrame, window: int) -> DataFrame:
             yield _marks(rows)
 
     ordered = contents.where("not hot").select("anchor", "id", "start", "words").repartition("anchor")
-    return ordered.sortWithinPartitions("anchor", "id", "start").mapInArrow(run, MARK)
+    return ordered.sortWithinPartitions("anchor", "id", "start").mapInArrow(frees_memory(run), MARK)
 
 
 def digest_marks(contents: DataFrame, window: int) -> DataFrame:
