@@ -157,7 +157,7 @@ def tokenized_pieces(
     for name in ("start", "length", "ids_crc32", "doc_tokens", "source_row"):
         schema = schema.add(name, "long")
     if with_ids:
-        schema = schema.add("ids", "array<int>")
+        schema = schema.add("ids", T.ArrayType(T.IntegerType()))
     end = np.array([end_id], dtype="<u4").tobytes()
 
     def run(batches):
