@@ -152,3 +152,28 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return apply_quality_rules(docs, with_text=False).select(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept"
     )
+
+
+_ENDS = "".join(c for c in LINE_ENDS)
+
+ORACLE_SQL = rf"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+win AS (SELECT doc_id, s, array_to_string(w[s:s + 7], ' ') AS x FROM d, unnest(range(1, len(w) - 6)) u(s)),
+twice AS (SELECT doc_id, s FROM (SELECT *, count(*) OVER (PARTITION BY doc_id, x) AS k FROM win) WHERE k > 1),
+rep AS (SELECT doc_id, count(DISTINCT p) AS n FROM twice, unnest(range(s, s + 8)) u(p) GROUP BY doc_id),
+l AS (SELECT doc_id, i, string_split(t, chr(10))[i] AS x FROM d, unnest(range(1, len(string_split(t, chr(10))) + 1)) u(i)),
+lw AS (SELECT *, regexp_extract_all(x, '[^\x20\x09-\x0D]+') AS lws, row_number() OVER (PARTITION BY doc_id, x ORDER BY i) AS nth FROM l),
+lx AS (SELECT *, len(lws) AS k, length(x) - length(replace(x, '|', '')) AS bars, length(regexp_replace(x, '[^#*$%&<>]', '', 'g')) AS noise,
+  (length(x) - length(replace(x, '!!', ''))) / 2 AS bangs, right(rtrim(x, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)), 1) AS fin FROM lw WHERE len(lws) > 0),
+lf AS (SELECT *, (bars >= 2 AND bars * 5 >= k) OR (noise >= 3 AND noise * 10 >= k * 3) OR (ends_with(x, '!!') AND bangs * 2 >= k)
+    OR (k >= 3 AND regexp_matches(x, '\p{{Lu}}') AND NOT regexp_matches(x, '\p{{Ll}}')) OR NOT contains('{_ENDS.replace("'", "''")}', fin)
+    OR (k >= 8 AND len(list_filter(range(1, k), lambda j: lws[j] = lws[j + 1])) * 2 >= k)
+    OR regexp_matches(x, '(?i){BOILERPLATE.pattern}') AS fails FROM lx),
+per AS (SELECT doc_id, count_if(nth > 1) AS dups, coalesce(sum(CASE WHEN fails THEN k ELSE 0 END), 0) AS lost FROM lf GROUP BY doc_id),
+r AS (SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(list_sum(list_transform(w, lambda x: length(x))), 0) AS BIGINT) AS word_chars,
+  length(regexp_replace(t, '[^#*$%&|<>]', '', 'g')) AS n_symbols, coalesce(dups, 0) AS n_dup_lines, coalesce(rep.n, 0) AS n_repeat_words, coalesce(lost, 0) AS lost
+  FROM d LEFT JOIN per USING (doc_id) LEFT JOIN rep USING (doc_id))
+SELECT doc_id, n_words, word_chars, CAST(n_symbols AS BIGINT) AS n_symbols, n_dup_lines, n_repeat_words,
+  n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed,
+  NOT (n_words < 20 OR 100 * n_repeat_words > 30 * n_words) AND lost <= {MAX_LOST} * n_words AS kept FROM r
+"""

@@ -18,8 +18,10 @@ QUERIES = {
 }
 
 SQL = {
+    "op5_warc": warc.ORACLE_SQL,
     "op6_substring_dedup": substrings.ORACLE_SQL,
     "op7_chat_formatting": chat.ORACLE_SQL,
     "op8_url_filters": url_rules.ORACLE_SQL,
     "op9_decontamination": decontamination.ORACLE_SQL,
+    "op10_quality_rules": quality.ORACLE_SQL,
 }

@@ -286,3 +286,22 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return capture_index(spark, folder).select(
         "page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "url_key", "warc_date"
     )
+
+
+# Base32 in SQL: each hex digit as four bits, then five bits for each letter.
+_BITS = "".join(format(i, "04b") for i in range(16))
+_SHA1_BITS = f"array_to_string(list_transform(string_split(sha1(coalesce(html, '')), ''), lambda c: substr('{_BITS}', CAST(('0x' || c)::INT * 4 + 1 AS BIGINT), 4)), '')"
+
+ORACLE_SQL = f"""
+WITH b AS (SELECT page_id, coalesce(url, '') AS url, coalesce(html, '') AS html, {_SHA1_BITS} AS bits FROM pages),
+m AS (SELECT *, min(page_id) OVER (PARTITION BY html) AS first_page,
+  split_part(CASE WHEN contains(url, '://') THEN substr(url, strpos(url, '://') + 3) ELSE url END, '#', 1) AS rest FROM b),
+h AS (SELECT *, regexp_extract(rest, '^[^/?]*') AS host FROM m)
+SELECT page_id, octet_length(encode(html)) AS payload_bytes,
+  array_to_string(list_transform(range(0, 32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', CAST(
+    substr(bits, i * 5 + 1, 1)::INT * 16 + substr(bits, i * 5 + 2, 1)::INT * 8 + substr(bits, i * 5 + 3, 1)::INT * 4 + substr(bits, i * 5 + 4, 1)::INT * 2
+    + substr(bits, i * 5 + 5, 1)::INT + 1 AS BIGINT), 1)), '') AS payload_digest,
+  CASE WHEN page_id = first_page THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN page_id <> first_page THEN first_page END AS refers_to,
+  lower(array_to_string(list_reverse(string_split(host, '.')), ',')) || ')' || lower(substr(rest, length(host) + 1)) AS url_key,
+  '{DEFAULT_DATE}' AS warc_date FROM h
+"""
