@@ -1,6 +1,11 @@
+import sys
+from pathlib import Path
+
 import pytest
 from pyspark.sql import SparkSession
 
+sys.path.insert(0, str(Path(__file__).resolve().parents[2]))
+
 
 @pytest.fixture(scope="session")
 def spark():
