@@ -2,10 +2,11 @@
 
 An item occurs in a document where one of its windows does.  The words of all
 windows are ordered by how rare they are in the documents; of each window only
-the rarest word, the necessary prefix of a join for full containment, meets
-the documents' words.  That gives the place where the item would have to
-begin.  Windows that would not fit into the document are ruled out, and the
-rest are compared word by word.  DataFrame functions only.
+the two rarest words, a necessary prefix of a join for full containment, meet
+the documents' words.  Each gives the place where the item would have to
+begin, and both must give the same.  Windows that would not fit into the
+document are ruled out, and the rest are compared word by word.  DataFrame
+functions only.
 """
 
 from __future__ import annotations
@@ -13,13 +14,19 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import read_table, require
+from .common import read_table, require, stage
 
 WINDOW_WORDS = 13
 
 #: A document is contaminated if at least this share of its words is hit.
 MIN_SHARE = 0.05
 
+#: Words of each window that must be found at their places before it is compared.
+PREFIX = 2
+
+#: Follows the words of each text in the scan; no word has its character.
+_END = "\x00"
+
 #: Up to so many rows, benchmark tables are broadcast; beyond, they are shuffled.
 BROADCAST_ROWS = 100_000
 
@@ -57,7 +64,7 @@ def item_table(benchmark: DataFrame, item_col: str, text_col: str, window: int)
 
 
 def necessary_prefixes(items: DataFrame, frequency: DataFrame) -> DataFrame:
-    """(word, row_key, at, span, length): for each window its rarest word and the place of it in the item.
+    """(word, row_key, at, span, length): for each window its ``PREFIX`` rarest words and their places in the item.
 
     A window with a word that no document has cannot occur and has no row.
     """
@@ -71,10 +78,11 @@ def necessary_prefixes(items: DataFrame, frequency: DataFrame) -> DataFrame:
     rarest = (
         rated.withColumn("window", F.explode(F.sequence(first, last)))
         .groupBy("row_key", "span", "length", "window")
-        .agg(F.min(F.struct(F.coalesce("seen", F.lit(0)).alias("seen"), "word", "at")).alias("best"))
+        .agg(F.array_sort(F.collect_list(F.struct(F.coalesce("seen", F.lit(0)).alias("seen"), "word", "at"))).alias("by_rarity"))
+        .where(F.col("by_rarity")[0]["seen"] > 0)
     )
     return (
-        rarest.where("best.seen > 0")
+        rarest.select("row_key", "span", "length", F.explode(F.slice("by_rarity", 1, PREFIX)).alias("best"))
         .select(F.col("best.word").alias("word"), "row_key", F.col("best.at").alias("at"), "span", "length")
         .distinct()
     )
@@ -106,33 +114,46 @@ def contamination(
     require(docs, id_col, text_col)
     require(benchmark, item_col, item_text_col)
     items = item_table(benchmark, item_col, item_text_col, window)
+    spark = docs.sparkSession
     small = benchmark.count() * 64 <= BROADCAST_ROWS
     near = F.broadcast if small else (lambda df: df)
     source = docs.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").alias("text"))
-    spread = source.select(
-        "id", F.posexplode(words_of(F.col("text"))).alias("place", "raw")
-    ).select("id", "place", _join_key(F.col("raw")).alias("word"))
+    # Rows with one id are told apart by their texts.
+    named = source.withColumn("tag", F.xxhash64("text"))
+    spread = named.select(
+        "id", "tag", F.posexplode(F.concat(words_of(F.col("text")), F.array(F.lit(_END)))).alias("place", "raw")
+    ).select("id", "tag", "place", _join_key(F.col("raw")).alias("word"))
 
     vocabulary = items.select(F.explode("words").alias("w")).select(_join_key(F.col("w")).alias("word")).distinct()
     frequency = spread.select("word").join(near(vocabulary), "word", "left_semi").groupBy("word").agg(
         F.count(F.lit(1)).alias("seen")
     )
     prefixes = necessary_prefixes(items, frequency)
+    # The end of each text comes along, so that its number of words need not be counted again.
+    ends = spark.range(1).select(
+        F.lit(_END).alias("word"), *[F.lit(None).cast(prefixes.schema[c].dataType).alias(c) for c in prefixes.columns[1:]]
+    )
+    met = stage(spread.join(near(prefixes.unionByName(ends)), "word"), "met")
+    whole = met.where("row_key is null").select("id", "tag", F.col("place").cast("long").alias("n_words"))
     candidates = (
-        spread.join(near(prefixes), "word")
+        met.where("row_key is not null")
         # The part of the item from its last window's end on may lie before the document, not all of it.
         .where(F.col("place") - F.col("at") + F.col("length") >= F.col("span"))
-        .select("id", "row_key", (F.col("place") - F.col("at")).alias("begin"))
-        .distinct()
+        .groupBy("id", "tag", "row_key", "span", (F.col("place") - F.col("at")).alias("begin"))
+        .agg(F.countDistinct("at").alias("places"))
+        .where(F.col("places") >= F.least(F.lit(PREFIX), F.col("span")))
+        .drop("span", "places")
         .join(near(items), "row_key")
-        .groupBy("id")
+        .groupBy("id", "tag")
         .agg(F.collect_list(F.struct("item", "begin", "span", F.col("words").alias("item_words"))).alias("found"))
-        .withColumnRenamed("id", "c_id")
+        .select(F.col("id").alias("c_id"), F.col("tag").alias("c_tag"), "found")
     )
-    joined = source.join(candidates, F.col("id").eqNullSafe(F.col("c_id")), "left").select(
-        "id",
-        words_of(F.when(F.col("found").isNull(), F.col("text")).otherwise(lowered(F.col("text")))).alias("words"),
-        "found",
+    same_row = F.col("id").eqNullSafe(F.col("c_id")) & (F.col("tag") == F.col("c_tag"))
+    joined = (
+        named.join(candidates, same_row)
+        .select("id", "tag", words_of(lowered(F.col("text"))).alias("words"), "found")
+        # Also keeps the words a column: the comparisons below must not cut the text anew.
+        .dropDuplicates(["id", "tag"])
     )
     n = F.size("words")
 
@@ -153,12 +174,11 @@ def contamination(
             lambda j: F.struct(c["item"].alias("item"), (c["begin"] + j).alias("start"), c["span"].alias("span")),
         )
 
+    found = joined.select(
+        F.col("id").alias("c_id"), F.col("tag").alias("c_tag"), F.flatten(F.transform("found", occurrences)).alias("hits")
+    ).where(F.size("hits") > 0)
     none = F.array().cast("array<struct<item:string,start:int,span:int>>")
-    hits = joined.select(
-        "id",
-        n.cast("long").alias("n_words"),
-        F.when(F.col("found").isNull(), none).otherwise(F.flatten(F.transform("found", occurrences))).alias("hits"),
-    )
+    hits = whole.join(found, same_row, "left").select("id", "n_words", F.coalesce("hits", none).alias("hits"))
     covered = F.array_distinct(
         F.flatten(F.transform("hits", lambda h: F.sequence(h["start"], h["start"] + h["span"] - 1)))
     )
