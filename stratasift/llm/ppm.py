@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from .common import binary_list, read_table, require, stage
+from .common import binary_list, frees_group_memory, frees_memory, read_table, require, stage
 
 ORDER = 4
 SPACE, END = 0x20, 0x0A
@@ -68,6 +68,17 @@ def sorted_counts(codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return ordered[first], np.diff(np.r_[first, len(ordered)])
 
 
+def packed_docs(keys: list, texts: list[bytes]) -> bytes:
+    """Ids and texts as one compressed Arrow table, which is what travels to where they are scored."""
+    table = pa.table(
+        {"key": pa.array([None if k is None else str(k) for k in keys], pa.string()), "text": pa.array(texts, pa.binary())}
+    )
+    sink = pa.BufferOutputStream()
+    with pa.ipc.new_stream(sink, table.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as writer:
+        writer.write_table(table)
+    return sink.getvalue().to_pybytes()
+
+
 BLOCK_ROWS = T.StructType(
     [
         T.StructField("block", T.LongType()),
@@ -75,7 +86,7 @@ BLOCK_ROWS = T.StructType(
         T.StructField("code", T.LongType()),
         T.StructField("word", T.BinaryType()),
         T.StructField("seen", T.LongType()),
-        T.StructField("doc", T.StructType([T.StructField("key", T.StringType()), T.StructField("text", T.BinaryType())])),
+        T.StructField("docs", T.BinaryType()),
     ]
 )
 
@@ -120,14 +131,7 @@ def _block_rows(block: int, keys: list, texts: list[bytes]) -> list[pa.RecordBat
             )
         )
     for at in range(0, len(keys), 500):
-        docs = pa.StructArray.from_arrays(
-            [
-                pa.array([None if k is None else str(k) for k in keys[at : at + 500]], pa.string()),
-                pa.array(texts[at : at + 500], pa.binary()),
-            ],
-            names=["key", "text"],
-        )
-        out.append(rows(len(docs), doc=docs))
+        out.append(rows(1, docs=pa.array([packed_docs(keys[at : at + 500], texts[at : at + 500])], pa.binary())))
     return out
 
 
@@ -138,7 +142,7 @@ BATCH_SCHEMA = pa.schema(
         ("code", pa.int64()),
         ("word", pa.binary()),
         ("seen", pa.int64()),
-        ("doc", pa.struct([("key", pa.string()), ("text", pa.binary())])),
+        ("docs", pa.binary()),
     ]
 )
 
@@ -162,7 +166,7 @@ def gathered_blocks(docs: DataFrame) -> DataFrame:
         if keys:
             yield from _block_rows((partition << 32) | number, keys, texts)
 
-    return docs.mapInArrow(run, BLOCK_ROWS)
+    return docs.mapInArrow(frees_memory(run), BLOCK_ROWS)
 
 
 def log_probabilities(codes: np.ndarray, counts: np.ndarray, low: np.ndarray) -> np.ndarray:
@@ -264,9 +268,9 @@ def score_blocks(docs: DataFrame, answers: DataFrame) -> DataFrame:
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
         import pyarrow.compute as pc
 
-        doc = left.column("doc").combine_chunks()
-        keys = pc.struct_field(doc, "key")
-        tokens = [t.lower().split() for t in pc.struct_field(doc, "text").to_pylist()]
+        docs = pa.concat_tables([pa.ipc.open_stream(x).read_all() for x in left.column("docs").to_pylist()])
+        keys = docs.column("key")
+        tokens = [t.lower().split() for t in docs.column("text").to_pylist()]
         window = right.filter(pc.is_valid(right.column("code")))
         code = window.column("code").combine_chunks()
         logp = window.column("value").to_numpy()
@@ -297,7 +301,7 @@ def score_blocks(docs: DataFrame, answers: DataFrame) -> DataFrame:
             }
         )
 
-    return docs.groupBy("home").cogroup(answers.groupBy("block")).applyInArrow(run, f"key string, {SCORES}")
+    return docs.groupBy("home").cogroup(answers.groupBy("block")).applyInArrow(frees_group_memory(run), f"key string, {SCORES}")
 
 
 def score_documents(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -318,21 +322,28 @@ def score_documents(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     blocks = stage(gathered_blocks(source), "blocks")
     windows = blocks.where("code is not null").select("block", "code", "seen")
     words = blocks.where("word is not null").select("block", "place", "word", "seen")
-    counted = words.groupBy("word").agg(F.sum("seen").alias("seen"))
-    size = counted.agg(
-        F.coalesce(F.sum("seen"), F.lit(0)).alias("n"), F.count_if(F.col("seen") > 0).alias("v")
+    # Totals of words for every block that has them, and for one row of each word the mark that counts it.
+    same = Window.partitionBy("word")
+    totals = stage(
+        words.select(
+            "block",
+            "place",
+            F.sum("seen").over(same).alias("total"),
+            (F.row_number().over(same.orderBy("block")) == 1).alias("first"),
+        ),
+        "words",
+    )
+    size = totals.where("first and total > 0").agg(
+        F.coalesce(F.sum("total"), F.lit(0)).alias("n"), F.count(F.lit(1)).alias("v")
     ).first()
     model = model_table(windows)
     window_answers = windows.select("block", "code").join(model, "code").select(
         "block", "code", F.lit(None).cast("int").alias("place"), F.col("logp").alias("value")
     )
-    word_answers = words.select(
-        "block",
-        F.lit(None).cast("long").alias("code"),
-        "place",
-        F.sum("seen").over(Window.partitionBy("word")).cast("double").alias("value"),
+    word_answers = totals.select(
+        "block", F.lit(None).cast("long").alias("code"), "place", F.col("total").cast("double").alias("value")
     )
-    docs = blocks.where("doc is not null").select(F.col("block").alias("home"), "doc")
+    docs = blocks.where("docs is not null").select(F.col("block").alias("home"), "docs")
     scored = score_blocks(docs, window_answers.union(word_answers))
     base = float(np.log10(size["n"] + size["v"] + 1))
     remainder = F.pmod(F.crc32(F.coalesce("key", F.lit("None")).cast("binary")), F.lit(FOLDS))
