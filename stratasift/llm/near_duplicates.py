@@ -7,6 +7,11 @@ agree if the samples do.  The whole fingerprint gets the Golay keys of the
 fingerprint operator; each view has the indices of the codewords nearest to its
 three segments as one key.  Texts that meet are verified by the exact Jaccard
 similarity of their shingle sets.
+
+A large bucket is compared by a star and a chain first.  The pairs of its
+members that these leave unconnected are found by an exact join on the rarest
+shingles: of two texts with the similarity, the first few shingles in the order
+of their frequency share one.
 """
 
 from __future__ import annotations
@@ -30,6 +35,12 @@ VIEWS, SAMPLE = 16, 4
 #: All members of a bucket up to this size are compared at once.
 PAIRWISE_BUCKET = 24
 
+#: Shingles are counted in so many slots, whatever the corpus; any order keeps the join exact, a good one keeps it small.
+SLOTS = 1 << 18
+
+#: Pairs that are looked at in one step within a task.
+BLOCK_PAIRS = 1 << 20
+
 _ODD = (np.arange(1, VIEWS + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)) | np.uint64(1)
 
 
@@ -95,7 +106,10 @@ def candidate_keys(texts: DataFrame, shingle: int) -> DataFrame:
 
 
 def bucket_pairs(keyed: DataFrame) -> DataFrame:
-    """Pairs (u < v) to verify: all of a small bucket, a star and a chain of a large one."""
+    """Pairs (u < v) to verify: all of a small bucket, a star and a chain of a large one.
+
+    Each member of a large bucket also has a row whose v is null: its other pairs are still to be tried.
+    """
 
     def run(batches):
         for key, content in groups_of(batches):
@@ -115,6 +129,8 @@ def bucket_pairs(keyed: DataFrame) -> DataFrame:
                     vs += members[1:]
                     us += members[1:-1]
                     vs += members[2:]
+                    us += members
+                    vs += [None] * len(members)
             yield pa.RecordBatch.from_arrays([pa.array(us, pa.binary()), pa.array(vs, pa.binary())], names=["u", "v"])
 
     ordered = keyed.repartition("key").sortWithinPartitions("key", "content")
@@ -145,6 +161,126 @@ def verified(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
     return both.mapInArrow(frees_memory(run), "u binary, v binary")
 
 
+def slot_counts(hot: DataFrame) -> np.ndarray:
+    """How often the shingles of each slot occur in ``hot``."""
+
+    def run(batches):
+        counts = np.zeros(SLOTS, np.int64)
+        for batch in batches:
+            for x in batch.column(0).to_pylist():
+                np.add.at(counts, np.frombuffer(x, np.uint32) % SLOTS, 1)
+        slots = np.flatnonzero(counts)
+        yield pa.RecordBatch.from_arrays([pa.array(slots), pa.array(counts[slots])], names=["slot", "n"])
+
+    found = hot.select("shingles").mapInArrow(frees_memory(run), "slot long, n long").groupBy("slot").agg(F.sum("n").alias("n"))
+    table = found.toArrow()
+    counts = np.zeros(SLOTS, np.int64)
+    counts[table.column("slot").to_numpy()] = table.column("n").to_numpy()
+    return counts
+
+
+def rare_shingles(hot: DataFrame, similarity: float) -> DataFrame:
+    """The rarest shingles of each text, as many as a pair with the similarity needs to share one.
+
+    The larger text of a pair needs ``place`` up to what the similarity leaves
+    of it; of the smaller one, which has ``indexed`` rows, fewer are enough.
+    """
+    shared = hot.sparkSession.sparkContext.broadcast(slot_counts(hot))
+
+    def run(batches):
+        counts = shared.value
+        for batch in batches:
+            tokens, sizes, places, indexed, owners = [], [], [], [], []
+            for i, x in enumerate(batch.column(1).to_pylist()):
+                own = np.frombuffer(x, np.uint32)
+                n = len(own)
+                probe = n - int(np.ceil(similarity * n - 1e-6)) + 1
+                index = n - int(np.ceil(2 * similarity / (1 + similarity) * n - 1e-6)) + 1
+                chosen = own[np.lexsort((own, counts[own % SLOTS]))[:probe]]
+                tokens.append(chosen.astype(np.int64))
+                sizes.append(np.full(len(chosen), n, np.int32))
+                places.append(np.arange(len(chosen), dtype=np.int32))
+                indexed.append(np.arange(len(chosen)) < index)
+                owners.append(np.full(len(chosen), i))
+            if not tokens:
+                continue
+            at = pa.array(np.concatenate(owners))
+            rows = pa.RecordBatch.from_arrays(
+                [
+                    *(pa.array(np.concatenate(x)) for x in (tokens, sizes, places, indexed)),
+                    batch.column(0).take(at),
+                    batch.column(2).take(at),
+                ],
+                names=["token", "size", "place", "indexed", "content", "component"],
+            )
+            for lo in range(0, rows.num_rows, 100_000):
+                yield rows.slice(lo, 100_000)
+
+    return hot.select("content", "shingles", "component").mapInArrow(
+        frees_memory(run), "token long, size int, place int, indexed boolean, content binary, component binary"
+    )
+
+
+def rare_pairs(rows: DataFrame, similarity: float, first: bool) -> DataFrame:
+    """Pairs (u < v) of different components that share a rare shingle and can have the similarity.
+
+    With ``first``, one pair for each text and shingle, which is enough to connect most copies.
+    """
+
+    def run(batches):
+        for token, size, place, indexed, content, component in groups_of(batches):
+            starts = np.flatnonzero(np.r_[True, token[1:] != token[:-1]])
+            ends = np.r_[starts[1:], len(token)]
+            several = ends - starts > 1
+            us, vs = [], []
+            for a, b in zip(starts[several].tolist(), ends[several].tolist(), strict=True):
+                cuts = np.flatnonzero(component[a + 1 : b] != component[a : b - 1]) + a + 1
+                if not len(cuts):
+                    continue
+                for s, e in zip([a, *cuts.tolist()], [*cuts.tolist(), b], strict=True):
+                    mine = s + np.flatnonzero(indexed[s:e])
+                    other = np.r_[a:s, e:b]
+                    step = max(1, BLOCK_PAIRS // len(other))
+                    for lo in range(0, len(mine), step):
+                        x = mine[lo : lo + step, None]
+                        n, m = size[x], size[other][None, :]
+                        # What both can share if this is the first shingle that they share.
+                        most = np.minimum(n - place[x], m - place[other][None, :])
+                        fits = (m >= n) & (n >= similarity * m - 1e-6)
+                        fits &= most >= similarity / (1 + similarity) * (n + m) - 1e-6
+                        if first:
+                            i = np.flatnonzero(fits.any(axis=1))
+                            j = fits[i].argmax(axis=1)
+                        else:
+                            i, j = np.nonzero(fits)
+                        for p, q in zip(content[x[i, 0]].tolist(), content[other[j]].tolist(), strict=True):
+                            us.append(min(p, q))
+                            vs.append(max(p, q))
+                        if len(us) >= 100_000:
+                            yield pa.RecordBatch.from_arrays([pa.array(us, pa.binary()), pa.array(vs, pa.binary())], names=["u", "v"])
+                            us, vs = [], []
+            yield pa.RecordBatch.from_arrays([pa.array(us, pa.binary()), pa.array(vs, pa.binary())], names=["u", "v"])
+
+    ordered = rows.repartition("token").sortWithinPartitions("token", "component", "content")
+    return ordered.mapInArrow(frees_memory(run), "u binary, v binary").distinct()
+
+
+def linked_components(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """(``node``, ``component``) of all true links among the members of a bucket."""
+    labels = connected_components(verified(pairs.where("v is not null"), sets, similarity))
+    members = pairs.where("v is null").select(F.col("u").alias("content")).distinct()
+    if members.isEmpty():
+        return labels
+    members = stage(members.join(sets, "content"), "members")
+    for first in (True, False):
+        named = members.join(labels, F.col("content") == F.col("node"), "left").select(
+            "content", "shingles", F.coalesce("component", "content").alias("component")
+        )
+        more = verified(stage(rare_pairs(rare_shingles(named, similarity), similarity, first), "pairs"), sets, similarity)
+        labels = connected_components(labels.toDF("u", "v").union(more))
+    return labels
+
+
 def content_key(text_col: str):
     return F.unhex(F.md5(F.coalesce(F.col(f"`{text_col}`"), F.lit("")).cast("binary")))
 
@@ -173,7 +309,7 @@ def one_per_group(
     rest = [c for c in df.columns if c != id_col]
     row = F.struct(F.col(f"`{id_col}`").alias("f0"), *[F.col(f"`{c}`").alias(f"f{i + 1}") for i, c in enumerate(rest)])
     unique = keyed.groupBy("__content").agg(F.min(row).alias("row"))
-    wanted = pairs.select(F.col("u").alias("c")).union(pairs.select("v")).distinct()
+    wanted = pairs.select(F.col("u").alias("c")).union(pairs.select("v")).where("c is not null").distinct()
     text_at = f"row.f{rest.index(text_col) + 1}"
 
     def to_sets(batches):
@@ -190,7 +326,7 @@ def one_per_group(
         .mapInArrow(frees_memory(to_sets), "content binary, shingles binary"),
         "shingles",
     )
-    labels = connected_components(verified(pairs, sets, similarity))
+    labels = linked_components(pairs, sets, similarity)
     # The first of a group by id stays; the others are what an anti-join removes.
     heads = unique.select("__content", F.col("row.f0").alias("id"))
     member = labels.join(heads, F.col("node") == F.col("__content")).select("node", "component", "id")

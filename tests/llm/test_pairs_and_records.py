@@ -122,6 +122,30 @@ def test_one_document_of_each_group_stays(spark):
     assert near_duplicates.one_per_group(df.limit(0)).count() == 0
 
 
+def test_copies_in_a_large_bucket_of_similar_texts_are_found(spark, monkeypatch):
+    def one_bucket(texts, shingle):
+        return texts.where("text <> ''").select(F.lit(1).cast("long").alias("key"), "content")
+
+    monkeypatch.setattr(near_duplicates, "candidate_keys", one_bucket)
+    rng = random.Random(6)
+    core = [f"c{i}" for i in range(170)]
+    texts = [core + [f"u{k}_{i}" for i in range(rng.randint(45, 90))] for k in range(300)]
+    # Copies of some, copies of copies, and a family whose members are all alike.
+    for k in range(0, 60, 3):
+        for head in (0, 1):
+            v = list(texts[k] if head == 0 else texts[-1])
+            v[rng.randrange(175, len(v))] = f"x{k}_{head}"
+            texts.append(v)
+    texts += [core + [f"f{i}" for i in range(40)] + [f"y{k}_{i}" for i in range(5)] for k in range(60)]
+    docs = [(k, " ".join(t)) for k, t in enumerate(texts)]
+    sets = {k: set(near_duplicates.shingle_set(t.encode(), 5).tolist()) for k, t in docs}
+    links = [(a, b) for a in sets for b in sets if a < b and len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b])]
+    want = {k for k, c in closed(sets, links).items() if k == c}
+    assert 250 < len(want) < 302
+    rows = near_duplicates.one_per_group(spark.createDataFrame(docs, DOCS)).collect()
+    assert {r["doc_id"] for r in rows} == want and len(rows) == len(want)
+
+
 def test_archives_give_back_what_was_written(spark, tmp_path):
     rng = random.Random(4)
     bodies = ["", None, "same", "é\r\n\r\nWARC/1.1\r\nContent-Length: 5\r\n\r\n", "x" * 100_000] + [f"p{i}" for i in range(10)]
