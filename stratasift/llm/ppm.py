@@ -201,6 +201,9 @@ def log_probabilities(codes: np.ndarray, counts: np.ndarray, low: np.ndarray) ->
         # How often the symbols that the longer context had stand after this one.
         if seen_above is None:
             shut_total = np.zeros(n, np.int64)
+        elif not order:
+            # The windows at hand need not have all symbols that followed the byte; the table has.
+            shut_total = ((low > 0) @ low.sum(axis=0))[before]
         else:
             # One window for each (longer context, symbol seen there).
             pairs = np.unique(np.stack([above_context, above_symbol, own])[:, seen_above], axis=1) if seen_above.any() else None

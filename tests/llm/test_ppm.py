@@ -2,6 +2,7 @@ import math
 import random
 from collections import Counter, defaultdict
 
+import numpy as np
 import pytest
 
 from stratasift.llm import ppm
@@ -79,3 +80,36 @@ def test_repeated_rows_null_ids_and_extra_columns(spark):
     )
     rows = ppm.score_documents(df).collect()
     assert sorted(str(r["doc_id"]) for r in rows) == ["1", "1", "None"]
+
+
+def test_scores_do_not_depend_on_the_shards():
+    rng = np.random.default_rng(7)
+    texts = [[bytes(rng.choice(list(b"abcdef"), 5)) for _ in range(40)] for _ in range(5)] + [[b"fz", b"zq"], [b"qa", b"dzb"]]
+    codes, starts = ppm.window_codes(texts)
+    known, counts = ppm.sorted_counts(codes[: starts[6]])
+    asked = np.setdiff1d(codes, known)
+    code, count = np.r_[known, asked], np.r_[counts, np.zeros(len(asked), np.int64)]
+    order = np.argsort(code)
+    code, count = code[order], count[order]
+    low = np.zeros((256, 256), np.int64)
+    np.add.at(low, ((code >> 8) & 0xFF, code & 0xFF), count)
+    whole = ppm.log_probabilities(code, count, low)
+    shard = (code >> 8) & 0xFFFF
+    for x in np.unique(shard):
+        mine = shard == x
+        assert ppm.log_probabilities(code[mine], count[mine], low) == pytest.approx(whole[mine], abs=1e-12)
+
+
+@pytest.mark.parametrize("partitions", [1, 64])
+def test_scores_agree_for_any_number_of_partitions(spark, partitions):
+    rng = random.Random(8)
+    docs = [(i, " ".join("".join(rng.choices("abcdefgh", k=4)) for _ in range(20))) for i in range(60)]
+    docs += [(100 + i, " ".join(rng.sample("az bz qa dzb fzx hq".split(), 4))) for i in range(30)]
+    kept = {k: spark.conf.get(k) for k in ("spark.sql.shuffle.partitions", "spark.sql.adaptive.coalescePartitions.enabled")}
+    try:
+        spark.conf.set("spark.sql.shuffle.partitions", partitions)
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+        check(spark, docs)
+    finally:
+        for k, v in kept.items():
+            spark.conf.set(k, v)
