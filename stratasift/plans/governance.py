@@ -411,7 +411,7 @@ def lcs_risk(spark, sf):
     from .fixtures import gold_pairs
 
     pairs = gold_pairs(spark, sf).select("item_id", "doc_id")
-    docs = table(spark, sf, "documents").select("doc_id", F.substring("text", 1, 4000).alias("body"))
+    docs = table(spark, sf, "documents").select("doc_id", F.col("text").alias("body"))
     items = table(spark, sf, "benchmark").select("item_id", F.col("text").alias("passage"))
     joined = pairs.join(docs, "doc_id").join(items, "item_id")
     run = text.longest_common_substring(F.col("passage"), F.col("body"))

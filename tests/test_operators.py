@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from stratasift.operators import contracts, corpus, evaluation, fusion, ops
+from stratasift.plans import governance
 from stratasift.sources import readers, sinks
 
 
@@ -127,3 +128,14 @@ def test_docx_and_xlsx_blocks(tmp_path, spark):
         z.writestr("xl/worksheets/sheet1.xml", f"<worksheet {s}><sheetData>{rows}</sheetData></worksheet>")
     got = [r["block_id"] for r in readers.read_blocks(spark, f"file://{tmp_path}", "xlsx").orderBy("block_order").collect()]
     assert got == ["sheet:0:rows:1-50", "sheet:0:rows:51-60"]
+
+
+def test_passage_at_the_end_of_a_long_document_is_a_high_risk(spark, tmp_path):
+    passage = " ".join(f"p{i}" for i in range(60))
+    filler = " ".join(f"f{i}" for i in range(20_000))
+    spark.createDataFrame([(1, filler + " " + passage, len(filler) + len(passage) + 1)], "doc_id long, text string, n_chars long").write.parquet(
+        f"{tmp_path}/documents.parquet"
+    )
+    spark.createDataFrame([(7, passage)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    (row,) = governance.lcs_risk(spark, str(tmp_path)).collect()
+    assert (row["item_id"], row["doc_id"], row["ratio"], row["level"]) == (7, 1, 1.0, "HIGH")
