@@ -77,6 +77,19 @@ def require(df: DataFrame, *columns: str) -> None:
         raise ValueError(f"missing columns: {missing}")
 
 
+def quoted(name: str) -> str:
+    """A column name as an expression, whatever characters it has."""
+    return "`" + name.replace("`", "``") + "`"
+
+
+def numbered(df: DataFrame, passed: list[str], **own) -> DataFrame:
+    """The columns ``passed`` as c0, c1, ... and an operator's own columns under their names.
+
+    So no name of the caller's table can clash with an operator's, and dots in names do no harm.
+    """
+    return df.select(*[F.col(quoted(c)).alias(f"c{i}") for i, c in enumerate(passed)], *[v.alias(k) for k, v in own.items()])
+
+
 def binary_list(batch: pa.RecordBatch, name: str) -> list[bytes]:
     """A string column as UTF-8 bytes; null becomes empty."""
     column = batch.column(batch.schema.get_field_index(name))

@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import read_table, require
+from .common import numbered, quoted, read_table, require
 
 #: Hex digits of SHA-256 on which expressions and rules are joined first.
 HASH_PREFIX = 8
@@ -23,8 +23,8 @@ BROADCAST_RULES = 200_000
 RULES = [
     ("block", "com", "/en/"),
     ("allow", "example.com", "/en/7"),
-    ("block", "net", "/de/"),
-    ("allow", "example.net", "/de/8"),
+    ("allow", "net", "/de/"),
+    ("block", "example.net", "/de/8"),
     ("block", "org", "/es/"),
 ]
 
@@ -70,7 +70,8 @@ def apply_url_rules(
     with a host fits them, so they get ``default``.  Rules with a null host or
     action are ignored, a null path is empty, repeated rules count once.  Rows
     are kept one to one, repeated ones included; other columns pass through,
-    but columns named like the four results are replaced.
+    but columns named like the four results are replaced.  URLs of any length
+    are judged whole; an empty table gives an empty result.
     """
     require(df, url_col)
     spark = df.sparkSession
@@ -91,7 +92,7 @@ def apply_url_rules(
     ).first()
     lengths = stats["lengths"] or []
     small = stats["n"] <= BROADCAST_RULES
-    key = F.coalesce(F.col(url_col), F.lit(""))
+    key = F.coalesce(F.col(quoted(url_col)), F.lit(""))
     urls = df.select(key.alias("u")).distinct().select(
         "u", url_host(F.col("u")).alias("h"), url_path(F.col("u")).alias("p")
     )
@@ -109,9 +110,16 @@ def apply_url_rules(
         .select("u", F.sha2(F.concat_ws("\n", "e_host", "e_path"), 256).alias("e_digest"))
         .withColumn("short", F.substring("e_digest", 1, HASH_PREFIX))
     )
+    if small:
+        met = expressions.join(F.broadcast(rules), "short").where(F.col("e_digest") == F.col("digest"))
+    else:
+        # An expression such as a top-level domain stands in very many URLs: it meets the rules once,
+        # and only expressions that are rules go back to their URLs, by a join that skew handling can split.
+        known = expressions.select("short", "e_digest").distinct()
+        hit = known.join(rules, "short").where(F.col("e_digest") == F.col("digest")).drop("short", "e_digest")
+        met = expressions.join(hit, F.col("e_digest") == F.col("digest"))
     matched = (
-        expressions.join(F.broadcast(rules) if small else rules, "short")
-        .where(F.col("e_digest") == F.col("digest"))
+        met
         .select(
             "u",
             F.struct(
@@ -127,15 +135,14 @@ def apply_url_rules(
     )
     kept = [c for c in df.columns if c not in ("host", "path", "rule", "verdict")]
     # Only URLs that some rule hit have a row in `matched`.
-    source = df.select(*[F.col(f"`{c}`") for c in kept], key.alias("__u"))
-    out = source.join(matched.withColumnRenamed("u", "__u"), "__u", "left")
+    out = numbered(df, kept, u=key).join(matched, "u", "left")
     return out.select(
-        *[F.col(f"`{c}`") for c in kept],
-        url_host(F.col("__u")).alias("host"),
-        url_path(F.col("__u")).alias("path"),
-        F.col("hit.rule").alias("rule"),
-        F.coalesce("hit.action", F.lit(default)).alias("verdict"),
-    )
+        *[f"c{i}" for i in range(len(kept))],
+        url_host(F.col("u")),
+        url_path(F.col("u")),
+        F.col("hit.rule"),
+        F.coalesce("hit.action", F.lit(default)),
+    ).toDF(*kept, "host", "path", "rule", "verdict")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -143,10 +150,10 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return apply_url_rules(pages, rules_frame(spark)).select("page_id", "host", "path", "rule", "verdict")
 
 
-_VALUES = ", ".join(f"('{a}', '{h}', '{p}')" for a, h, p in RULES)
-
-ORACLE_SQL = f"""
-WITH rules(action, rh, rp) AS (VALUES {_VALUES}),
+# The rules are written out here, so that the SQL doesn't follow a mistake in RULES.
+ORACLE_SQL = """
+WITH rules(action, rh, rp) AS (VALUES
+  ('block', 'com', '/en/'), ('allow', 'example.com', '/en/7'), ('allow', 'net', '/de/'), ('block', 'example.net', '/de/8'), ('block', 'org', '/es/')),
 parsed AS (
   SELECT page_id, url,
     translate(regexp_extract(coalesce(url, ''), '(?s)^.*?://([^/?#]*)', 1),
