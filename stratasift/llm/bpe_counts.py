@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import plain_list, read_table, require
+from .common import numbered, plain_list, quoted, read_table, require
 
 #: Tokens above which a document is over the limit.
 LIMIT = 512
@@ -33,7 +33,7 @@ _WS = "\t-\r \x85\xa0  -     　"
 _CHUNK = re.compile(f" ?[^{_WS}]+|[{_WS}]+(?![^{_WS}])|[{_WS}]")
 
 
-def _byte_symbols() -> list[str]:
+def byte_symbols() -> list[str]:
     """The printable character that stands for each byte in the vocabulary file."""
     shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
     table, extra = {b: chr(b) for b in shown}, 256
@@ -55,7 +55,7 @@ class MergeCounter:
         self.ranks = {p: i for i, p in enumerate(pairs)}
         self.special = [t["content"] for t in spec["added_tokens"]]
         self.special_re = re.compile("|".join(map(re.escape, self.special))) if self.special else None
-        self.symbols = _byte_symbols()
+        self.symbols = byte_symbols()
         self.pattern = regex.compile(
             rf"'s|'t|'re|'ve|'m|'ll|'d| ?\p{{L}}+| ?\p{{N}}+| ?[^{_WS}\p{{L}}\p{{N}}]+|[{_WS}]+(?![^{_WS}])|[{_WS}]+"
         )
@@ -130,30 +130,31 @@ def counter_for(path: str) -> MergeCounter:
 def count_tokens(df: DataFrame, tokenizer_path: str, text_col: str = "text", limit: int = LIMIT) -> DataFrame:
     """Adds ``n_bytes``, ``n_tokens`` and ``over_limit`` to every row of ``df``, without a shuffle.
 
-    A null text counts as empty and has no tokens.  Repeated rows stay.
-    Texts of any length are counted whole.  Columns of ``df`` named like a
-    result are replaced by it; the text itself is left out.
+    A null text counts as empty and has no tokens.  Repeated rows stay.  Texts
+    of any length are counted whole.  An empty table gives an empty result.
+    Other columns pass through, whatever their names and values, but those
+    named like a result are replaced by it; the text itself is left out.
     """
     require(df, text_col)
     added = ("n_bytes", "n_tokens", "over_limit")
     passed = [c for c in df.columns if c not in added and c != text_col]
-    source = df.select(*[F.col(f"`{c}`") for c in passed], F.col(f"`{text_col}`").alias("__text"))
-    schema = source.drop("__text").schema.add("n_bytes", "long").add("n_tokens", "long").add("over_limit", "boolean")
+    source = numbered(df, passed, text=F.col(quoted(text_col)))
+    schema = source.drop("text").schema.add("n_bytes", "long").add("n_tokens", "long").add("over_limit", "boolean")
 
     def run(batches):
         counter = counter_for(tokenizer_path)
         for batch in batches:
-            texts = [t or "" for t in plain_list(batch, "__text")]
+            texts = [t or "" for t in plain_list(batch, "text")]
             counts = [counter.count(t) for t in texts]
-            columns = [batch.column(batch.schema.get_field_index(c)) for c in passed]
-            columns += [
+            columns = [
+                *batch.columns[: len(passed)],
                 pa.array([len(t.encode()) for t in texts], pa.int64()),
                 pa.array(counts, pa.int64()),
                 pa.array([c > limit for c in counts], pa.bool_()),
             ]
-            yield pa.RecordBatch.from_arrays(columns, names=[*passed, *added])
+            yield pa.RecordBatch.from_arrays(columns, names=schema.names)
 
-    return source.mapInArrow(run, schema)
+    return source.mapInArrow(run, schema).toDF(*passed, *added)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import plain_list, read_table, require
+from .common import numbered, plain_list, quoted, read_table, require
 
 SYMBOLS = "#*$%&|<>"
 SPACES = " \t\n\x0b\x0c\r"
@@ -123,28 +123,29 @@ def apply_quality_rules(
 
     A null text counts as empty; an empty text has no words and so fails the
     base rule.  Rows stay one to one, repeated ones included, whatever their
-    length.  Columns of ``df`` named like a result are replaced by it.
-    ``with_text=False`` leaves ``clean_text`` out.
+    length; ids may be null.  An empty table gives an empty result.  Columns of
+    ``df`` named like a result are replaced by it, all others pass through.
+    ``with_text=False`` leaves ``clean_text`` and the text out.
     """
     require(df, text_col)
     added = [c.split(" ")[0] for c in OUTPUT.split(", ")]
     fields = [c for c in OUTPUT.split(", ") if with_text or not c.startswith("clean_text")]
     passed = [c for c in df.columns if c not in added and (with_text or c != text_col)]
-    source = df.select(*[F.col(f"`{c}`") for c in passed], F.col(f"`{text_col}`").alias("__text"))
-    schema = source.drop("__text").schema
+    source = numbered(df, passed, text=F.col(quoted(text_col)))
+    schema = source.drop("text").schema
     for f in fields:
         schema = schema.add(*f.split(" "))
     kinds = {"long": pa.int64(), "boolean": pa.bool_(), "string": pa.string()}
 
     def run(batches):
         for batch in batches:
-            results = [judge(t or "", max_lost) for t in plain_list(batch, "__text")]
-            columns = [batch.column(batch.schema.get_field_index(c)) for c in passed]
+            results = [judge(t or "", max_lost) for t in plain_list(batch, "text")]
+            columns = batch.columns[: len(passed)]
             for i, f in enumerate(fields):
                 columns.append(pa.array([r[i] for r in results], kinds[f.split(" ")[1]]))
-            yield pa.RecordBatch.from_arrays(columns, names=passed + [f.split(" ")[0] for f in fields])
+            yield pa.RecordBatch.from_arrays(columns, names=schema.names)
 
-    return source.mapInArrow(run, schema)
+    return source.mapInArrow(run, schema).toDF(*passed, *[f.split(" ")[0] for f in fields])
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
