@@ -193,13 +193,19 @@ def test_prefixes_of_conversations_collapse(spark):
         (3, 0, "user", "hi"),
         (4, 0, "user", "hi"), (4, 1, "assistant", "no"),
         (5, 0, "user", "hi"), (5, 1, "assistant", "no"),
-        (6, 0, None, None), (7, None, "user", "x"), (None, 0, "user", "y"),
+        (6, 0, None, None), (7, None, "user", "x"), (None, 0, "user", "y"), (None, 1, "user", "y"), (None, 0, "user", "z"),
+        (None, 5, "user", "x"), (None, 0, "user", "hi"), (9, 0, "user", "long " * 50_000),
         (8, 0, "user", "hi"), (8, 0, "user", "hi"),
     ]
     df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").withColumn("place", F.lit("clash"))
-    got = {r["conv_id"]: (r["n_turns"], r["n_copies"]) for r in chat.collapse_and_render(df).collect()}
-    assert got == {2: (3, 1), 4: (2, 2), 6: (1, 1), 7: (1, 1), None: (1, 1), 8: (2, 1)}
-    text = {r["conv_id"]: r["rendered"] for r in chat.collapse_and_render(df).collect()}
+    found = chat.collapse_and_render(df).collect()
+    got = {r["conv_id"]: (r["n_turns"], r["n_copies"]) for r in found if r["conv_id"] is not None}
+    assert got == {2: (3, 1), 4: (2, 2), 6: (1, 1), 7: (1, 2), 8: (2, 1), 9: (1, 1)}
+    # Rows without an id are conversations of one turn.
+    lone = sorted((r["rendered"], r["n_turns"], r["n_copies"]) for r in found if r["conv_id"] is None)
+    assert lone == [("<|im_start|>user\ny<|im_end|>\n", 1, 2), ("<|im_start|>user\nz<|im_end|>\n", 1, 1)]
+    text = {r["conv_id"]: r["rendered"] for r in found}
+    assert len(text[9]) == 5 * 50_000 + len("<|im_start|>user\n<|im_end|>\n")
     assert text[4] == "<|im_start|>user\nhi<|im_end|>\n<|im_start|>assistant\nno<|im_end|>\n"
     assert chat.collapse_and_render(df.limit(0)).count() == 0
 
@@ -217,16 +223,30 @@ def verdict_by_brute_force(url, rules):
     return host, path, best and best[1] + best[2], best[0] if best else "allow"
 
 
-def test_url_rules_equal_brute_force(spark):
+#: The registered query's rules, written out once more.
+CONTRACT_RULES = [
+    ("block", "com", "/en/"), ("allow", "example.com", "/en/7"), ("allow", "net", "/de/"), ("block", "example.net", "/de/8"), ("block", "org", "/es/"),
+]
+
+
+@pytest.mark.parametrize("broadcast", [200_000, 0])
+def test_url_rules_equal_brute_force(spark, monkeypatch, broadcast):
+    monkeypatch.setattr(url_rules, "BROADCAST_RULES", broadcast)
+    assert url_rules.RULES == CONTRACT_RULES
     urls = [None, "", "no scheme", "http://", "http://com/en/x", "http://A.Example.COM/en/7?x", "https://example.com/en/6#f", "x://com/e",
             "http://xcom/en/", "http://q.example.net/de/81", "http://net/de/8", "ftp://a.org/es/", "http://a.org?es/", "a://b://com/en/", "http://ex.com:80/en/",
             "http://" + "a." * 300 + "com/en/" + "p" * 5000]
     rows = [(i, u) for i, u in enumerate(urls)] + [(4, urls[4])]
-    df = spark.createDataFrame(rows, "page_id long, url string").withColumn("host", F.lit("clash"))
+    df = spark.createDataFrame(rows, "page_id long, url string")
+    for c in ("host", "u", "hit", "c0", "n.m", "__u"):
+        df = df.withColumn(c, F.lit("clash"))
     out = url_rules.apply_url_rules(df, url_rules.rules_frame(spark)).collect()
     assert len(out) == len(rows)
     for r in out:
-        assert (r["host"], r["path"], r["rule"], r["verdict"]) == verdict_by_brute_force(r["url"], url_rules.RULES)
+        assert (r["host"], r["path"], r["rule"], r["verdict"]) == verdict_by_brute_force(r["url"], CONTRACT_RULES)
+        assert (r["u"], r["n.m"], r["c0"]) == ("clash",) * 3
+    dotted = df.select("page_id", F.col("url").alias("the.url"))
+    assert url_rules.apply_url_rules(dotted, url_rules.rules_frame(spark), "the.url").count() == len(rows)
     none = url_rules.rules_frame(spark).limit(0)
     assert {r["verdict"] for r in url_rules.apply_url_rules(df, none).collect()} == {"allow"}
     assert url_rules.apply_url_rules(df.limit(0), url_rules.rules_frame(spark)).count() == 0
