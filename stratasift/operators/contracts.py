@@ -117,7 +117,8 @@ def select_samples(df: DataFrame, key: str, wanted: list, limit: int | None = No
     missing = [r[0] for r in ids.join(df, key, "left_anti").limit(10).collect()]
     if missing:
         raise ValueError(f"no such samples: {missing}")
-    found = df.join(F.broadcast(ids), key, "left_semi").orderBy(key)
+    # The wanted keys are a list of the caller's; Spark broadcasts it if it is small.
+    found = df.join(ids, key, "left_semi").orderBy(key)
     return found.limit(limit) if limit else found
 
 
@@ -148,8 +149,20 @@ def drift(declared: DataFrame, tracked: DataFrame, key: str) -> DataFrame:
     )
 
 
-def line_matches(df: DataFrame, key: str, text_col: str, shapes: list[tuple[str, str]]) -> DataFrame:
-    """(key, line, label) of every line that a pattern finds; the patterns are one array of columns, not a join."""
-    lines = df.select(key, F.posexplode(F.split(text_col, "\n")).alias("i", "x"))
-    labels = F.array_compact(F.array(*[F.when(F.col("x").rlike(p), F.lit(label)) for label, p in shapes]))
+def line_matches(
+    df: DataFrame, key: str, text_col: str, shapes: list[tuple[str, str]], exempt: Column | None = None, allowed: str | None = None
+) -> DataFrame:
+    """(key, line, label) of every line that a pattern finds; the patterns are one array of columns, not a join.
+
+    In exempt rows a match that is nothing but an allowed value doesn't count.
+    """
+    lines = df.select(key, (F.lit(False) if exempt is None else exempt).alias("exempt"), F.posexplode(F.split(text_col, "\n")).alias("i", "x"))
+
+    def found(pattern):
+        hit = F.col("x").rlike(pattern)
+        if allowed is None:
+            return hit
+        return hit & ~(F.col("exempt") & F.trim(F.regexp_extract("x", pattern, 0)).rlike(allowed))
+
+    labels = F.array_compact(F.array(*[F.when(found(p), F.lit(label)) for label, p in shapes]))
     return lines.select(key, (F.col("i") + 1).cast("long").alias("line"), F.explode(labels).alias("label"))
