@@ -51,23 +51,46 @@ def missing_and_unexpected(expected: DataFrame, present: DataFrame, key: str) ->
     )
 
 
-def ordered_digest(df: DataFrame, row: Column) -> DataFrame:
-    """Digest of rows whatever their order.
+#: Hex digits of a digest by which it is folded with others, level by level.
+DIGEST_LEVELS = (6, 4, 2, 0)
 
-    Rows are digested where they are; digests are folded in order within the
-    first byte's groups, and the groups' digests in order at the end, so the
-    last task sees 256 rows at most.
+
+def ordered_digest(df: DataFrame, row: Column, by: list[str] | None = None) -> DataFrame:
+    """(``by``, ``digest``, ``n_rows``): digest of rows whatever their order, one for each value of ``by``.
+
+    Rows are digested where they are.  Digests are folded in order within the
+    groups of their first six hex digits, the groups' digests in order within
+    the first four, and so on, so that a group has 256 members at most but for
+    the first level, which has a 16-millionth of the rows.
     """
-    rows = df.select(F.sha2(row, 256).alias("h"))
-    groups = rows.groupBy(F.substring("h", 1, 2).alias("g")).agg(
-        F.sha2(F.array_join(F.sort_array(F.collect_list("h")), ""), 256).alias("d"), F.count(F.lit(1)).alias("n")
-    )
-    return groups.agg(
-        F.sha2(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("g", "d"))), lambda x: x["d"]), ""), 256).alias(
-            "digest"
-        ),
-        F.coalesce(F.sum("n"), F.lit(0)).alias("n_rows"),
-    )
+    by = by or []
+    folded = df.select(*by, F.sha2(row, 256).alias("h")).select(*by, F.col("h").alias("prefix"), "h", F.lit(1).cast("long").alias("n"))
+    for digits in DIGEST_LEVELS:
+        parts = F.transform(F.sort_array(F.collect_list(F.struct("prefix", "h"))), lambda x: x["h"])
+        group = F.substring("prefix", 1, digits) if digits else F.lit("")
+        folded = folded.groupBy(*by, group.alias("group")).agg(F.sha2(F.array_join(parts, ""), 256).alias("h"), F.sum("n").alias("n"))
+        folded = folded.withColumnRenamed("group", "prefix")
+    found = folded.select(*by, F.col("h").alias("digest"), F.col("n").alias("n_rows"))
+    if by:
+        return found
+    # A table without rows has the digest of nothing.
+    nothing = F.sha2(F.lit(""), 256)
+    return found.agg(F.coalesce(F.max("digest"), nothing).alias("digest"), F.coalesce(F.max("n_rows"), F.lit(0)).alias("n_rows"))
+
+
+def ordered_digest_sql(name: str, rows: str, by: str = "") -> str:
+    """The same as SQL: CTEs that end in ``name`` (by, d, n) over a relation ``rows`` (by, h)."""
+    b, part = (f"{by}, ", f"{by}, ") if by else ("", "")
+    out, last, value = [], rows, "h"
+    for digits in DIGEST_LEVELS:
+        this = f"{name}{digits}" if digits else name
+        key = "h" if value == "h" else "g"
+        count = "count(*)" if value == "h" else "sum(n)"
+        out.append(
+            f"{this} AS (SELECT {b}substr({key}, 1, {digits}) AS g, sha256(string_agg({value}, '' ORDER BY {key})) AS d, CAST({count} AS BIGINT) AS n FROM {last} GROUP BY {part}substr({key}, 1, {digits}))"
+        )
+        last, value = this, "d"
+    return ", ".join(out)
 
 
 def latest_decision(decisions: DataFrame, key: str, order: str) -> DataFrame:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -13,27 +15,27 @@ from .lexical import top_k
 BROADCAST_QUERIES = 20_000
 
 
-def similarity_top_k(corpus: DataFrame, queries: DataFrame, k: int, score=vectors.cosine) -> DataFrame:
+def similarity_top_k(corpus: DataFrame, queries: DataFrame, k: int, score=vectors.cosine, owner: str | None = None) -> DataFrame:
     """(query, doc, score, rank) with ``corpus(doc, vector)`` and ``queries(query, vector)``.
 
-    A stated set of queries meets every row of the corpus.  Each task scores
-    its rows against all queries of a block and the window keeps ``k`` per
-    query before anything is shuffled.
+    A stated set of queries meets every row of the corpus, in blocks that are
+    small enough to broadcast.  Each task scores its rows against all queries
+    of a block, and ``k`` per query are kept before anything is shuffled.  With
+    ``owner``, a column of the corpus, the best vector of each owner counts and
+    owners are ranked.
     """
     n = queries.count()
     blocks = max(1, -(-n // BROADCAST_QUERIES))
     parts = []
     for b in range(blocks):
         some = queries if blocks == 1 else queries.where(F.pmod(F.xxhash64("query"), F.lit(blocks)) == b)
-        pairs = corpus.select("doc", F.col("vector").alias("v")).join(F.broadcast(some.select("query", F.col("vector").alias("q"))))
-        scored = pairs.where(F.col("query") != F.col("doc")).select(
-            "query", "doc", F.round(score(F.col("q"), F.col("v")), 6).alias("score")
-        )
+        rows = corpus.select("doc", F.col(owner or "doc").alias("owner"), F.col("vector").alias("v"))
+        pairs = rows.join(F.broadcast(some.select("query", F.col("vector").alias("q"))), F.col("query") != F.col("doc"))
+        scored = pairs.select("query", F.col("owner").alias("doc"), F.round(score(F.col("q"), F.col("v")), 6).alias("score"))
+        if owner:
+            scored = scored.groupBy("query", "doc").agg(F.max("score").alias("score"))
         parts.append(top_k(scored, k))
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
+    return reduce(DataFrame.unionByName, parts)
 
 
 def centroid(rows: DataFrame, vector: str, by: list[str] | None = None) -> DataFrame:

@@ -2,17 +2,26 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from stratasift.functions import text
+from stratasift.staging import stage
 
 K1, B = 1.2, 0.75
 
-#: Query terms up to this number are broadcast to the postings' scan.
+#: Query terms and passages are counted; up to this number they are broadcast to the documents' scan.
 BROADCAST_TERMS = 500_000
 
+#: Stands once among the terms of each document, for its length; no term is empty.
+_EVERY = ""
+
+#: Characters of the grams by which passages without an inner word are found.
+GRAM = 8
+
 
 def document_terms(docs: DataFrame, doc_col: str, text_col: str, analyzer=text.tokens) -> DataFrame:
     """(doc, terms, dl): the analysed documents."""
@@ -31,27 +40,39 @@ def idf(n: Column, df: Column) -> Column:
     return F.log(1 + (n - df + 0.5) / (df + 0.5))
 
 
+def postings(docs: DataFrame, vocabulary: DataFrame, doc_col: str, text_col: str, analyzer=text.tokens) -> DataFrame:
+    """(doc, dl, term, tf), staged: the documents' postings of the terms of a vocabulary.
+
+    Documents are analysed once, and only terms of the vocabulary leave the
+    scan; the empty term stands once in every document.
+    """
+    found = (
+        document_terms(docs, doc_col, text_col, analyzer)
+        .select("doc", "dl", F.explode(F.concat("terms", F.array(F.lit(_EVERY)))).alias("term"))
+        .join(vocabulary, "term", "left_semi")
+    )
+    return stage(found.groupBy("doc", "dl", "term").agg(F.count(F.lit(1)).alias("tf")), "postings")
+
+
 def bm25_scores(docs: DataFrame, queries: DataFrame, doc_col: str, query_col: str, text_col: str = "text", analyzer=text.tokens) -> DataFrame:
     """(query, doc, score) for every pair that shares a term.
 
-    Statistics are those of all documents, whatever is filtered later.  Only
-    postings of terms that some query has leave the scan.
+    Statistics are those of all documents, whatever is filtered later.  One
+    build serves any number of query sets, if they are one table.  Postings are
+    partitioned by document, so that scores are added up where they arise and
+    :func:`top_k` keeps ``k`` per query in each partition before anything moves.
     """
-    indexed = document_terms(docs, doc_col, text_col, analyzer)
-    stats = indexed.agg(F.count(F.lit(1)).alias("n"), F.avg("dl").alias("avgdl"))
     asked = query_terms(queries, query_col, text_col, analyzer)
-    vocabulary = asked.select("term").distinct()
-    small = queries.count() * 256 <= BROADCAST_TERMS
-    near = F.broadcast if small else (lambda df: df)
-    postings = (
-        indexed.select("doc", "dl", F.explode("terms").alias("term"))
-        .join(near(vocabulary), "term", "left_semi")
-        .groupBy("term", "doc", "dl")
-        .agg(F.count(F.lit(1)).alias("tf"))
-    )
-    rare = postings.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
+    near = F.broadcast if asked.count() <= BROADCAST_TERMS else (lambda df: df)
+    every = docs.sparkSession.range(1).select(F.lit(_EVERY).alias("term"))
+    vocabulary = asked.select("term").distinct().unionByName(every)
+    built = postings(docs, near(vocabulary), doc_col, text_col, analyzer)
+    stats = built.where(F.col("term") == _EVERY).agg(F.count(F.lit(1)).alias("n"), F.avg("dl").alias("avgdl"))
+    own = built.where(F.col("term") != _EVERY)
     weighted = (
-        rare.crossJoin(F.broadcast(stats))
+        own.groupBy("term")
+        .agg(F.count(F.lit(1)).alias("df"))
+        .crossJoin(F.broadcast(stats))
         .select("term", idf(F.col("n"), F.col("df")).alias("idf"), "avgdl")
         .join(asked, "term")
     )
@@ -59,20 +80,59 @@ def bm25_scores(docs: DataFrame, queries: DataFrame, doc_col: str, query_col: st
         F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("avgdl"))
     )
     return (
-        postings.join(near(weighted), "term")
+        own.repartition("doc")
+        .join(near(weighted), "term")
         .groupBy("query", "doc")
         .agg(F.round(F.sum(part), 6).alias("score"))
     )
 
 
-def top_k(scored: DataFrame, k: int, by: str = "query", item: str = "doc", score: str = "score") -> DataFrame:
+def top_k(scored: DataFrame, k: int, by: str | list[str] = "query", item: str = "doc", score: str = "score") -> DataFrame:
     """Adds ``rank``: score descending, ties by item; ``k`` per query."""
     if k < 1:
         raise ValueError("k must be positive")
-    w = Window.partitionBy(by).orderBy(F.desc(score), item)
+    w = Window.partitionBy(*([by] if isinstance(by, str) else by)).orderBy(F.desc(score), item)
     return scored.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 
 
+def _grams(c: Column, size: Column) -> Column:
+    places = F.sequence(F.lit(1), F.greatest(F.length(c) - size + 1, F.lit(1)))
+    return F.array_distinct(F.transform(places, lambda i: F.substring(c, i, size)))
+
+
+def containing(docs: DataFrame, passages: DataFrame, doc_col: str, text_col: str, passage_col: str) -> DataFrame:
+    """All columns of both for every document whose text contains a passage.
+
+    A passage's longest word with a space on either side is a word of every
+    text that contains it, so passages meet documents by an equi-join on that
+    word, and what meets is verified.  A passage without such a word goes by
+    its first characters.  Null texts and passages match nothing.
+    """
+    words = F.split(passage_col, " ")
+    inner = F.slice(words, F.lit(2), F.greatest(F.size(words) - 2, F.lit(0)))
+    longest = F.array_max(F.transform(F.filter(inner, lambda w: w != ""), lambda w: F.struct(F.length(w).alias("n"), w.alias("w"))))
+    keyed = passages.where(F.col(passage_col).isNotNull()).withColumns(
+        {"anchor": longest["w"], "gram": F.least(F.lit(GRAM), F.length(passage_col))}
+    )
+    sizes = {r["gram"]: r["n"] for r in keyed.groupBy(F.when(F.col("anchor").isNull(), F.col("gram")).alias("gram")).agg(F.count(F.lit(1)).alias("n")).collect()}
+    small = sum(sizes.values()) <= BROADCAST_TERMS
+    parts = []
+    for size in sorted(sizes, key=str) or [None]:
+        if size is None:
+            some = keyed.where("anchor is not null").drop("gram")
+            spread = F.array_distinct(F.split(text_col, " "))
+        else:
+            some = keyed.where(F.col("anchor").isNull() & (F.col("gram") == size)).withColumn("anchor", F.substring(passage_col, 1, size)).drop("gram")
+            spread = _grams(F.col(text_col), F.lit(size)) if size else F.array(F.lit(""))
+        if small:
+            parts.append(docs.withColumn("anchor", F.explode(spread)).join(F.broadcast(some), "anchor").where(F.contains(text_col, passage_col)))
+        else:
+            # Texts stay where they are until a word of theirs has met a passage.
+            met = docs.select(doc_col, F.explode(spread).alias("anchor")).join(some, "anchor").distinct()
+            parts.append(docs.join(met, doc_col).where(F.contains(text_col, passage_col)))
+    return reduce(DataFrame.unionByName, parts).drop("anchor")
+
+
 def bm25_sql(docs: str, queries: str, doc_col: str = "doc_id", query_col: str = "item_id", prefix: str = "") -> str:
     """The same as SQL: a CTE ``{prefix}scored(query, doc, score)`` over two relations with a ``text``."""
     p = prefix

@@ -126,7 +126,7 @@ def selector_resolution(spark, sf):
     """A selector must match exactly one document."""
     s = table(spark, sf, "benchmark").select("item_id", F.substring("text", 1, 30).alias("needle"))
     d = table(spark, sf, "documents").select("doc_id", "text")
-    hits = d.join(F.broadcast(s), F.contains("text", "needle")).groupBy("item_id").agg(F.count(F.lit(1)).alias("k"), F.min("doc_id").alias("one"))
+    hits = lexical.containing(d, s, "doc_id", "text", "needle").groupBy("item_id").agg(F.count(F.lit(1)).alias("k"), F.min("doc_id").alias("one"))
     n = F.coalesce("k", F.lit(0))
     return s.join(hits, "item_id", "left").select(
         "item_id",

@@ -73,9 +73,8 @@ def chunk_uuid5(spark, sf):
 
 @register(
     "corpus_fingerprint",
-    """WITH h AS (SELECT sha256(doc_id || chr(31) || text) AS h FROM documents),
-    g AS (SELECT h[1:2] AS g, sha256(string_agg(h, '' ORDER BY h)) AS d, count(*) AS n FROM h GROUP BY 1)
-    SELECT sha256(string_agg(d, '' ORDER BY g)) AS digest, CAST(sum(n) AS BIGINT) AS n_rows FROM g""",
+    f"""WITH h AS (SELECT sha256(doc_id || chr(31) || text) AS h FROM documents), {corpus.ordered_digest_sql('f', 'h')}
+    SELECT d AS digest, n AS n_rows FROM f""",
 )
 def corpus_fingerprint(spark, sf):
     return corpus.ordered_digest(
@@ -85,9 +84,8 @@ def corpus_fingerprint(spark, sf):
 
 @register(
     "index_identity_fingerprint",
-    f"""WITH {CHUNKS_SQL}, h AS (SELECT sha256(doc_id || chr(31) || chunk_index) AS h FROM chunks),
-    g AS (SELECT h[1:2] AS g, sha256(string_agg(h, '' ORDER BY h)) AS d, count(*) AS n FROM h GROUP BY 1)
-    SELECT sha256(string_agg(d, '' ORDER BY g)) AS digest, CAST(sum(n) AS BIGINT) AS n_rows FROM g""",
+    f"""WITH {CHUNKS_SQL}, h AS (SELECT sha256(doc_id || chr(31) || chunk_index) AS h FROM chunks), {corpus.ordered_digest_sql('f', 'h')}
+    SELECT d AS digest, n AS n_rows FROM f""",
 )
 def index_identity_fingerprint(spark, sf):
     n = text.window_count(F.length("text"))
@@ -295,9 +293,8 @@ def epoch_binding(spark, sf):
     return joined.withColumn("bound", F.col("n") > 0)
 
 
-_TRUST_SQL = """src AS (SELECT source AS source_id, sha256(string_agg(h, '' ORDER BY h)) AS content_hash,
-    CASE WHEN CAST(substr(source, 4) AS INT) < 10 THEN 'UNTRUSTED_EXTERNAL' ELSE 'MANAGED_INTERNAL' END AS trust
-  FROM (SELECT source, sha256(text) AS h FROM documents) GROUP BY source),
+_TRUST_SQL = f"""dh AS (SELECT source AS source_id, sha256(text) AS h FROM documents), {corpus.ordered_digest_sql('sd', 'dh', 'source_id')},
+src AS (SELECT source_id, d AS content_hash, CASE WHEN CAST(substr(source_id, 4) AS INT) < 10 THEN 'UNTRUSTED_EXTERNAL' ELSE 'MANAGED_INTERNAL' END AS trust FROM sd),
 ledger AS (SELECT source_id, CASE WHEN k % 4 = 1 THEN sha256(content_hash) ELSE content_hash END AS content_hash,
     CASE WHEN k % 2 = 0 THEN 'APPROVED' ELSE 'REJECTED' END AS decided FROM (SELECT *, CAST(substr(source_id, 4) AS INT) AS k FROM src) WHERE k < 10 AND k % 3 <> 2),
 resolved AS (SELECT s.source_id, s.trust, coalesce(l.decided, CASE WHEN s.trust = 'MANAGED_INTERNAL' THEN 'NOT_REQUIRED' ELSE 'PENDING_REVIEW' END) AS approval
@@ -308,11 +305,8 @@ classed AS (SELECT *, CASE WHEN trust = 'MANAGED_INTERNAL' AND approval = 'NOT_R
 
 
 def _sources(spark, sf):
-    # Documents' digests are folded in order, so the content of a source has one digest.
-    per_doc = _docs(spark, sf).select(F.col("source").alias("source_id"), F.sha2("text", 256).alias("h"))
-    src = per_doc.groupBy("source_id").agg(
-        F.sha2(F.array_join(F.sort_array(F.collect_list("h")), ""), 256).alias("content_hash")
-    )
+    docs = _docs(spark, sf).select(F.col("source").alias("source_id"), "text")
+    src = corpus.ordered_digest(docs, F.col("text"), ["source_id"]).select("source_id", F.col("digest").alias("content_hash"))
     k = F.substring("source_id", 4, 10).cast("int")
     return src.withColumn("trust", F.when(k < 10, "UNTRUSTED_EXTERNAL").otherwise("MANAGED_INTERNAL"))
 

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from stratasift.functions import text
+from stratasift.operators import lexical
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -72,14 +73,10 @@ stored_state AS (SELECT doc_id, CASE WHEN doc_id % 13 = 0 THEN sha256(sha256(tex
 
 
 def gold_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(item_id, doc_id, grade) of documents that contain the benchmark text; short ones are graded 2.
-
-    The passages are a review set, so they are broadcast; each document is
-    scanned once, with the passages of its text found by substring search.
-    """
+    """(item_id, doc_id, grade) of documents that contain the benchmark text; short ones are graded 2."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "n_chars")
     items = table(spark, sf_dir, "benchmark").select("item_id", F.col("text").alias("passage"))
-    return docs.join(F.broadcast(items), F.contains("text", "passage")).select(
+    return lexical.containing(docs, items, "doc_id", "text", "passage").select(
         "item_id", "doc_id", F.when(F.col("n_chars") < 4000, 2).otherwise(1).alias("grade")
     )
 

@@ -25,11 +25,21 @@ def _scored(spark, sf):
     return lexical.bm25_scores(table(spark, sf, "documents"), table(spark, sf, "benchmark"), "doc_id", "item_id")
 
 
-def _half(spark, sf):
-    half = table(spark, sf, "benchmark").select(
-        "item_id", F.substr("text", F.lit(1), F.floor(F.length("text") / 2).cast("int")).alias("text")
-    )
-    return lexical.bm25_scores(table(spark, sf, "documents"), half, "doc_id", "item_id")
+def _scored_paths(spark, sf):
+    """(path, query, doc, score): whole passages and their first halves, from one build."""
+    items = table(spark, sf, "benchmark")
+    half = F.substr("text", F.lit(1), F.floor(F.length("text") / 2).cast("int"))
+
+    def asked(path, words):
+        return items.select(F.struct(F.lit(path).alias("path"), "item_id").alias("asked"), words.alias("text"))
+
+    both = asked("bm25_es", F.col("text")).unionByName(asked("rewrite_variants", half))
+    scored = lexical.bm25_scores(table(spark, sf, "documents"), both, "doc_id", "asked")
+    return scored.select("query.path", F.col("query.item_id").alias("query"), "doc", "score")
+
+
+def _top_paths(scored, k):
+    return lexical.top_k(scored, k, ["path", "query"])
 
 
 @register("bm25_top10", f"WITH {BM25}, {ranked_sql('r', 'scored', 10)} SELECT query, doc, score, rank FROM r")
@@ -105,9 +115,7 @@ def term_pair_cooccurrence(spark, sf):
 
 
 def _paths(spark, sf, k=50):
-    return fusion.union_paths(
-        {"bm25_es": lexical.top_k(_scored(spark, sf), k), "rewrite_variants": lexical.top_k(_half(spark, sf), k)}
-    )
+    return _top_paths(_scored_paths(spark, sf), k).select("path", "query", "doc", "rank")
 
 
 PATHS_SQL = f"""{BM25}, {HALF_SQL}, {BM25_HALF}, {ranked_sql('r1', 'scored', 50)}, {ranked_sql('r2', 'hscored', 50)},
@@ -167,8 +175,9 @@ def union_dedup(spark, sf):
     SELECT query, doc, rank, 'fused' AS origin FROM few UNION ALL SELECT query, doc, rank, 'fallback' FROM extra""",
 )
 def fallback_recall(spark, sf):
-    few = lexical.top_k(_half(spark, sf), 5)
-    return fusion.with_fallback(few, lexical.top_k(_scored(spark, sf), 50))
+    top = _top_paths(_scored_paths(spark, sf), 50)
+    few = top.where("path = 'rewrite_variants' and rank <= 5")
+    return fusion.with_fallback(few, top.where("path = 'bm25_es'"))
 
 
 @register(
@@ -191,17 +200,18 @@ def path_contribution(spark, sf):
 
 # --- dense -----------------------------------------------------------------
 
-_DENSE_SQL = """q AS (SELECT vec_id AS query, embedding AS q, label AS ql FROM embeddings WHERE vec_id % 50 = 0),
+_DENSE_SQL = """q AS (SELECT vec_id AS query, embedding AS q, label AS ql FROM embeddings WHERE vec_id % 20 = 0),
 dscored AS (SELECT query, vec_id AS doc, label, ql, round(list_inner_product(list_transform(q, lambda x: CAST(x AS DOUBLE)), list_transform(embedding, lambda x: CAST(x AS DOUBLE))) /
   (sqrt(list_inner_product(list_transform(q, lambda x: CAST(x AS DOUBLE)), list_transform(q, lambda x: CAST(x AS DOUBLE)))) *
    sqrt(list_inner_product(list_transform(embedding, lambda x: CAST(x AS DOUBLE)), list_transform(embedding, lambda x: CAST(x AS DOUBLE))))), 6) AS score
   FROM embeddings, q WHERE vec_id <> query)"""
 
 
-def _dense(spark, sf, k, score=vectors.cosine):
+def _dense(spark, sf, k, score=vectors.cosine, owner=None):
+    """Every vector whose id is divisible by 20 asks all others."""
     e = table(spark, sf, "embeddings")
-    corpus = e.select(F.col("vec_id").alias("doc"), F.col("embedding").alias("vector"))
-    return dense.similarity_top_k(corpus, corpus.where("doc % 50 = 0").withColumnRenamed("doc", "query"), k, score)
+    corpus = e.select(F.col("vec_id").alias("doc"), F.col("embedding").alias("vector"), "label")
+    return dense.similarity_top_k(corpus, corpus.where("doc % 20 = 0").withColumnRenamed("doc", "query"), k, score, owner)
 
 
 @register("cosine_top10", f"WITH {_DENSE_SQL}, {ranked_sql('r', 'dscored', 10)} SELECT query, doc, score, rank FROM r")
@@ -224,14 +234,7 @@ def biencoder_top150(spark, sf):
 )
 def distinct_doc_topk(spark, sf):
     """The best vector of each document (here: label) first, then the top."""
-    e = table(spark, sf, "embeddings")
-    q = e.where("vec_id % 50 = 0").select(F.col("vec_id").alias("query"), F.col("embedding").alias("q"))
-    best = (
-        e.join(F.broadcast(q), F.col("vec_id") != F.col("query"))
-        .groupBy("query", F.col("label").alias("doc"))
-        .agg(F.max(F.round(vectors.cosine(F.col("q"), F.col("embedding")), 6)).alias("score"))
-    )
-    return lexical.top_k(best, 5)
+    return _dense(spark, sf, 5, owner="label")
 
 
 @register(
@@ -267,12 +270,7 @@ def vector_validation(spark, sf):
 )
 def platt_rerank_top10(spark, sf):
     """Calibration with the parameters -1 and 0 turns the order round; the engine's own default is +1."""
-    e = table(spark, sf, "embeddings")
-    q = e.where("vec_id % 50 = 0").select(F.col("vec_id").alias("query"), F.col("embedding").alias("q"))
-    raw = e.join(F.broadcast(q), F.col("vec_id") != F.col("query")).select(
-        "query", F.col("vec_id").alias("doc"), F.round(vectors.cosine(F.col("q"), F.col("embedding")), 6).alias("raw")
-    )
-    return lexical.top_k(raw.select("query", "doc", F.round(rules.platt(F.col("raw"), -1.0, 0.0), 6).alias("score")), 10)
+    return _dense(spark, sf, 10, lambda q, v: rules.platt(F.round(vectors.cosine(q, v), 6), -1.0, 0.0))
 
 
 # --- evaluation ------------------------------------------------------------
@@ -372,14 +370,15 @@ def corpus_correspondence(spark, sf):
 def config_comparison(spark, sf):
     """Runs are comparable only if their sample hashes are equal."""
     gold = gold_pairs(spark, sf).select(F.col("item_id").alias("query"), F.col("doc_id").alias("doc"))
+    top = _paths(spark, sf, 10)
 
-    def run(name, scored):
-        per = gold.join(lexical.top_k(scored, 10), ["query", "doc"], "left").groupBy("query").agg(
+    def run(name, path):
+        per = gold.join(top.where(F.col("path") == path), ["query", "doc"], "left").groupBy("query").agg(
             (F.count("rank") / F.count(F.lit(1))).alias("recall")
         )
         return per.select(F.lit(name).alias("config"), "query", "recall")
 
-    both = run("full", _scored(spark, sf)).unionByName(run("half", _half(spark, sf)))
+    both = run("full", "bm25_es").unionByName(run("half", "rewrite_variants"))
     ordered = F.transform(F.array_sort(F.collect_list("query")), lambda x: x.cast("string"))
     return both.groupBy("config").agg(
         F.count(F.lit(1)).alias("n_queries"),
@@ -397,8 +396,9 @@ def config_comparison(spark, sf):
 )
 def rerank_delta(spark, sf):
     gold = gold_pairs(spark, sf).select(F.col("item_id").alias("query"), F.col("doc_id").alias("doc"))
-    a = lexical.top_k(_scored(spark, sf), 1).select("query", "doc", F.lit(1.0).alias("a"))
-    b = lexical.top_k(_half(spark, sf), 1).select("query", "doc", F.lit(1.0).alias("b"))
+    top = _paths(spark, sf, 1)
+    a = top.where("path = 'bm25_es'").select("query", "doc", F.lit(1.0).alias("a"))
+    b = top.where("path = 'rewrite_variants'").select("query", "doc", F.lit(1.0).alias("b"))
     per = gold.join(a, ["query", "doc"], "left").join(b, ["query", "doc"], "left").groupBy("query").agg(
         F.coalesce(F.max("a"), F.lit(0.0)).alias("a"), F.coalesce(F.max("b"), F.lit(0.0)).alias("b")
     )
