@@ -3,20 +3,26 @@
 A window of words is repeated if the same words also start earlier.  Every
 window is assigned to an anchor inside it, its smallest hash of ``ANCHOR``
 consecutive words, so equal windows have equal anchors.  Neighbouring windows
-with one anchor form a region.  Regions meet by anchor: copies of a whole
-region are decided by its first one, and regions that share an anchor but
-differ are reference shards, each turned into a suffix automaton through which
-the later regions are streamed; where the matching statistics reach the length
-of a window, the words are repeated.
+with one anchor form a region.  Hashes only decide which texts meet: regions
+that share an anchor but differ are a reference shard, turned into a suffix
+automaton through which the later regions are streamed, and where the matching
+statistics reach the length of a window, the words are repeated.  Regions that
+look like copies of an earlier one go with their neighbours as one span, and
+both texts' words of the span are compared, which gives the statistics of
+equal texts without a walk.  A shard that would outgrow a task is cut by
+lengthening its anchor to the whole window.
 """
 
 from __future__ import annotations
 
+import hashlib
+
 import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from .common import (
@@ -24,6 +30,8 @@ from .common import (
     block_of,
     frees_group_memory,
     frees_memory,
+    numbered,
+    quoted,
     read_table,
     require,
     stage,
@@ -34,12 +42,15 @@ from .simhash import groups_of
 WINDOW_WORDS = 20
 ANCHOR = 8
 
-#: Anchors with more different regions than this go by the windows' digests instead of an automaton.
+#: Regions in one automaton at most; the anchor of larger shards is lengthened.
 MAX_SHARD = 1000
 
 #: Regions that a task compares among themselves before they are sent on.
 LOCAL_REGIONS = 250_000
 
+#: Bytes of text that meet their requests in one step.
+BLOCK_BYTES = 32 << 20
+
 _BASE = 0x9E3779B97F4A7C15
 _M64 = (1 << 64) - 1
 _WORD_CACHE = 250_000
@@ -110,7 +121,8 @@ def regions_of(words: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray,
     return grams[at].view(np.int64), content.view(np.int64), start, windows
 
 
-REGION = "anchor long, content long, id long, place long"
+#: A region's place is its first window's, shifted, and how many windows it has.
+REGION = "anchor long, content long, id long, place long, head_id long, head_place long"
 
 
 def _place(start: np.ndarray, windows: np.ndarray) -> np.ndarray:
@@ -118,11 +130,10 @@ def _place(start: np.ndarray, windows: np.ndarray) -> np.ndarray:
 
 
 def document_regions(source: DataFrame, window: int) -> DataFrame:
-    """Regions of all documents; those known to be copies have no anchor.
+    """Regions of all documents; those that look like an earlier one of their task name it and have no anchor.
 
-    A task compares its own regions first: of equal ones only the earliest
-    goes on to meet the others, so a passage in very many documents sends one
-    row per task.
+    Of the regions of a task that look equal only the earliest goes on to meet
+    the others, so a passage in very many documents sends one row per task.
     """
 
     def settled(parts):
@@ -134,15 +145,21 @@ def document_regions(source: DataFrame, window: int) -> DataFrame:
         # Rows of one id at one place are one region, whatever the number of rows.
         copy = (ids != ids[head]) | (place != place[head])
         keep = new | copy
-        anchor = pa.array(anchor[keep], mask=copy[keep])
-        return pa.RecordBatch.from_arrays(
-            [anchor, *map(pa.array, (content[keep], ids[keep], place[keep]))], names=["anchor", "content", "id", "place"]
-        )
+        first = ~copy[keep]
+        columns = [
+            pa.array(anchor[keep], mask=copy[keep]),
+            pa.array(content[keep], mask=copy[keep]),
+            pa.array(ids[keep]),
+            pa.array(place[keep]),
+            pa.array(ids[head][keep], mask=first),
+            pa.array(place[head][keep], mask=first),
+        ]
+        return pa.RecordBatch.from_arrays(columns, names=["anchor", "content", "id", "place", "head_id", "head_place"])
 
     def run(batches):
         hashes, parts, size = _WordHashes(), [], 0
         for batch in batches:
-            for key, text in zip(batch.column(0).to_pylist(), binary_list(batch, "__text"), strict=True):
+            for key, text in zip(batch.column(0).to_pylist(), binary_list(batch, "text"), strict=True):
                 tokens = text.split()
                 if len(tokens) < window:
                     continue
@@ -160,17 +177,47 @@ def document_regions(source: DataFrame, window: int) -> DataFrame:
 
 
 def judged_regions(regions: DataFrame) -> DataFrame:
-    """(id, place, anchor, shard): copies have no anchor, regions to compare have their anchor and its number of regions."""
-    copies = regions.where("anchor is null")
-    met = regions.where("anchor is not null").repartition("anchor")
-    of_region = Window.partitionBy("anchor", "content").orderBy("id", F.shiftright("place", 8))
-    of_anchor = Window.partitionBy("anchor")
-    ranked = met.withColumns({"nth": F.row_number().over(of_region), "rank": F.rank().over(of_region)})
-    counted = ranked.withColumn("shard", F.sum((F.col("nth") == 1).cast("int")).over(of_anchor))
-    repeated = counted.where((F.col("rank") > 1) | ((F.col("nth") == 1) & (F.col("shard") > 1)))
-    return repeated.select(
-        "id", "place", F.when(F.col("rank") == 1, F.col("anchor")).alias("anchor"), F.col("shard").cast("long").alias("shard")
-    ).unionByName(copies.select("id", "place", "anchor", F.lit(None).cast("long").alias("shard")))
+    """Regions with something to compare.
+
+    Those that look like an earlier one have its ``head_id`` and ``head_place``;
+    the first of each look among different ones have their ``anchor``, and
+    ``hot`` if too many regions have it.
+    """
+    met = regions.where("anchor is not null").select("anchor", "content", "id", "place")
+    # Most anchors have one region only; the others' rows are told by a join whose skew can be split.
+    several = (
+        met.groupBy("anchor")
+        .agg(F.count(F.lit(1)).alias("rows"), F.min("content").alias("low"), F.max("content").alias("high"))
+        .where("rows > 1")
+        .select(F.col("anchor").alias("shared"), (F.col("low") != F.col("high")).alias("differ"), (F.col("rows") > MAX_SHARD).alias("hot"))
+    )
+    rows = met.join(several, F.col("anchor") == F.col("shared")).repartition("anchor", "content")
+    of_region = Window.partitionBy("anchor", "content").orderBy("id", "place")
+    ranked = rows.withColumns(
+        {
+            "nth": F.row_number().over(of_region),
+            "rank": F.rank().over(of_region),
+            "first_id": F.first("id").over(of_region),
+            "first_place": F.first("place").over(of_region),
+        }
+    )
+    copy = F.col("rank") > 1
+    return (
+        ranked.where(copy | ((F.col("nth") == 1) & F.col("differ")))
+        .select(
+            "id",
+            "place",
+            F.when(~copy, F.col("anchor")).alias("anchor"),
+            "hot",
+            F.when(copy, F.col("first_id")).alias("head_id"),
+            F.when(copy, F.col("first_place")).alias("head_place"),
+        )
+        .unionByName(
+            regions.where("anchor is null").select(
+                "id", "place", "anchor", F.lit(False).alias("hot"), "head_id", "head_place"
+            )
+        )
+    )
 
 
 class SuffixAutomaton:
@@ -231,54 +278,130 @@ class SuffixAutomaton:
         return out
 
 
-CONTENT = "anchor long, id long, start long, hot boolean, words binary"
+#: What a request asks a document for: a region's words, or one side's words of a span.
+COMPARE, COPY, HEAD = 0, 1, 2
+
+REQUEST = ("id", "kind", "place", "anchor", "hot", "other_id", "other_place")
+ANSWER = "kind int, anchor long, id long, start long, windows long, words binary, head_id long, head_start long"
+
+
+def block_count(source: DataFrame) -> int:
+    """Into so many blocks texts are dealt: by their bytes, and four for each task at least."""
+    size = source.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    return max(4 * task_count(source), size // BLOCK_BYTES + 1)
 
 
-def _with_texts(source: DataFrame, keyed: DataFrame, run, schema: str) -> DataFrame:
+def _with_texts(source: DataFrame, keyed: DataFrame, blocks: int, run, schema) -> DataFrame:
     """Joins documents and rows of ``keyed`` by blocks of ids and applies ``run`` to each block."""
-    blocks = task_count(source) * 4
-    left = source.withColumn("__block", block_of("__id", blocks))
-    right = keyed.withColumn("__k", block_of("id", blocks))
-    return left.groupBy("__block").cogroup(right.groupBy("__k")).applyInArrow(frees_group_memory(run), schema)
+    left = source.withColumn("block", block_of("doc", blocks))
+    right = keyed.withColumn("block", block_of("id", blocks))
+    return left.groupBy("block").cogroup(right.groupBy("block")).applyInArrow(frees_group_memory(run), schema)
+
+
+def requests_of(judged: DataFrame) -> DataFrame:
+    nothing = F.lit(None).cast("long")
+    compare = judged.where("anchor is not null").select(
+        "id", F.lit(COMPARE).alias("kind"), "place", "anchor", "hot", nothing.alias("other_id"), nothing.alias("other_place")
+    )
+    copies = judged.where("anchor is null")
+    asked = [compare]
+    for kind, mine, other in ((COPY, ("id", "place"), ("head_id", "head_place")), (HEAD, ("head_id", "head_place"), ("id", "place"))):
+        asked.append(
+            copies.select(
+                F.col(mine[0]).alias("id"),
+                F.lit(kind).alias("kind"),
+                F.col(mine[1]).alias("place"),
+                nothing.alias("anchor"),
+                F.lit(False).alias("hot"),
+                F.col(other[0]).alias("other_id"),
+                F.col(other[1]).alias("other_place"),
+            )
+        )
+    return asked[0].unionByName(asked[1]).unionByName(asked[2])
 
 
-def shard_contents(source: DataFrame, shards: DataFrame, window: int) -> DataFrame:
-    """The words of the regions that have to be compared."""
-    limit = MAX_SHARD
+def spans_of(kind, mine, place, other, other_place) -> list[np.ndarray]:
+    """Joins neighbouring regions that look like neighbouring regions of one document.
+
+    Both documents join the same rows, so their spans are the same.
+    """
+    start, other_start, windows = place >> 8, other_place >> 8, place & 255
+    order = np.lexsort((start, other_start - start, other, mine, kind))
+    kind, mine, other = kind[order], mine[order], other[order]
+    start, other_start, windows = start[order], other_start[order], windows[order]
+    same = (kind[1:] == kind[:-1]) & (mine[1:] == mine[:-1]) & (other[1:] == other[:-1])
+    same &= other_start[1:] - start[1:] == other_start[:-1] - start[:-1]
+    # A region may be asked for more than once, for rows that share an id.
+    fresh = np.r_[True, ~(same & (start[1:] == start[:-1]))]
+    kind, mine, other, start, other_start, windows = (x[fresh] for x in (kind, mine, other, start, other_start, windows))
+    same = (kind[1:] == kind[:-1]) & (mine[1:] == mine[:-1]) & (other[1:] == other[:-1])
+    same &= (other_start[1:] - start[1:] == other_start[:-1] - start[:-1]) & (start[1:] == start[:-1] + windows[:-1])
+    first = np.flatnonzero(np.r_[True, ~same])
+    return [kind[first], mine[first], other[first], start[first], other_start[first], np.add.reduceat(windows, first)]
+
+
+def answers(source: DataFrame, requests: DataFrame, blocks: int, window: int) -> DataFrame:
+    """The words of regions that have to be compared, and digests of the words of spans.
+
+    Of regions with a hot anchor each window is a region of its own, with all its words as its anchor.
+    """
 
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
-        wanted: dict[int, list] = {}
-        cols = [right.column(c).to_pylist() for c in ("id", "place", "anchor", "shard")]
-        for key, place, anchor, shard in zip(*cols, strict=True):
-            wanted.setdefault(key, []).append((place, anchor, shard))
+        column = {c: right.column(c).to_numpy() for c in ("id", "kind", "place")}
+        compare = column["kind"] == COMPARE
+        spans = ~compare
+        wanted: dict[int, tuple[list, list]] = {}
+        if compare.any():
+            picked = right.filter(pa.array(compare))
+            for row in zip(*[picked.column(c).to_pylist() for c in ("id", "place", "anchor", "hot")], strict=True):
+                wanted.setdefault(row[0], ([], []))[0].append(row[1:])
+        if spans.any():
+            picked = right.filter(pa.array(spans))
+            parts = spans_of(*[picked.column(c).to_numpy() for c in ("kind", "id", "place", "other_id", "other_place")])
+            for kind, mine, other, start, other_start, windows in zip(*[x.tolist() for x in parts], strict=True):
+                wanted.setdefault(mine, ([], []))[1].append((kind, other, start, other_start, windows))
         rows: list[tuple] = []
-        at = left.column("__id").to_pylist()
-        texts = left.column("__text")
-        done = set()
-        for i, key in enumerate(at):
-            if key not in wanted or key in done:
+        least: dict[bytes, tuple[int, int]] = {}
+        texts, done = left.column("text"), set()
+        for i, key in enumerate(left.column("doc").to_pylist()):
+            if key not in wanted:
+                continue
+            text = (texts[i].as_py() or "").encode()
+            if (mark := (key, hash(text))) in done:
                 continue
-            done.add(key)
-            words = (texts[i].as_py() or "").encode().split()
-            for place, anchor, shard in wanted[key]:
+            done.add(mark)
+            words = text.split()
+            regions, asked = wanted[key]
+            for place, anchor, hot in regions:
                 start, windows = place >> 8, place & 255
-                part = words[start : start + windows + window - 1]
-                rows.append((anchor, key, start, shard > limit, b" ".join(part)))
-        names = ["anchor", "id", "start", "hot", "words"]
-        types = [pa.int64(), pa.int64(), pa.int64(), pa.bool_(), pa.binary()]
-        return pa.table({n: pa.array([r[k] for r in rows], t) for k, (n, t) in enumerate(zip(names, types, strict=True))})
-
-    return _with_texts(source, shards, run, CONTENT)
+                if not hot:
+                    part = words[start : start + windows + window - 1]
+                    rows.append((COMPARE, anchor, key, start, windows, b" ".join(part), None, None))
+                    continue
+                for s in range(start, min(start + windows, len(words) - window + 1)):
+                    part = b" ".join(words[s : s + window])
+                    # Of equal windows the earliest of the block goes on to meet the others'.
+                    if (first := least.get(part)) is None:
+                        least[part] = (key, s)
+                    elif first != (key, s):
+                        least[part] = min(first, (key, s))
+                        rows.append((COPY, None, *max(first, (key, s)), 1, None, None, None))
+            for kind, other, start, other_start, windows in asked:
+                digest = hashlib.sha256(b" ".join(words[start : start + windows + window - 1])).digest()
+                if kind == COPY:
+                    rows.append((COPY, None, key, start, windows, digest, other, other_start))
+                else:
+                    rows.append((HEAD, None, other, other_start, windows, digest, key, start))
+        for part, (key, s) in least.items():
+            rows.append((HEAD, None, key, s, 1, part, None, None))
+        fields = [f.split(" ") for f in ANSWER.split(", ")]
+        kinds = {"int": pa.int32(), "long": pa.int64(), "binary": pa.binary()}
+        return pa.table({n: pa.array([r[k] for r in rows], kinds[t]) for k, (n, t) in enumerate(fields)})
 
+    return _with_texts(source, requests, blocks, run, ANSWER)
 
-MARK = "id long, place long"
 
-
-def _marks(rows: list[tuple[int, int, int]]) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays(
-        [pa.array([r[0] for r in rows], pa.int64()), pa.array([(r[1] << 8) | r[2] for r in rows], pa.int64())],
-        names=["id", "place"],
-    )
+MARK = "id long, start long, windows long"
 
 
 def automaton_marks(contents: DataFrame, window: int) -> DataFrame:
@@ -296,49 +419,38 @@ def automaton_marks(contents: DataFrame, window: int) -> DataFrame:
                     found = machine.matching(part)
                     rows += [(key, s + e - window + 1, 1) for e, m in enumerate(found) if m >= window]
                 machine.add(part)
-            yield _marks(rows)
+            columns = [pa.array([r[k] for r in rows], pa.int64()) for k in range(3)]
+            yield pa.RecordBatch.from_arrays(columns, names=["id", "start", "windows"])
 
-    ordered = contents.where("not hot").select("anchor", "id", "start", "words").repartition("anchor")
+    ordered = contents.select("anchor", "id", "start", "words").repartition("anchor")
     return ordered.sortWithinPartitions("anchor", "id", "start").mapInArrow(frees_memory(run), MARK)
 
 
-def digest_marks(contents: DataFrame, window: int) -> DataFrame:
-    """The same for anchors with very many regions: windows meet by a 128-bit digest, whatever their number."""
+def copied_spans(found: DataFrame) -> DataFrame:
+    """Spans whose words are those of the span that they look like."""
+    keys = ["id", "start", "windows", "head_id", "head_start", "words"]
+    theirs = found.where(f"kind = {HEAD} and head_id is not null").select(keys)
+    return found.where(f"kind = {COPY} and head_id is not null").join(theirs, keys, "left_semi").select("id", "start", "windows")
 
-    def run(batches):
-        for batch in batches:
-            ids, starts, digests = [], [], []
-            for key, s, text in zip(*[c.to_pylist() for c in batch.columns], strict=True):
-                part = text.split(b" ")
-                for i in range(len(part) - window + 1):
-                    ids.append(key)
-                    starts.append(s + i)
-                    digests.append(xxhash.xxh3_128_digest(b" ".join(part[i : i + window])))
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(ids, pa.int64()), pa.array(starts, pa.int64()), pa.array(digests, pa.binary())],
-                names=["id", "start", "digest"],
-            )
 
-    windows = contents.where("hot").select("id", "start", "words").mapInArrow(run, "id long, start long, digest binary")
-    first = (
-        windows.groupBy("digest")
-        .agg(F.min(F.struct("id", "start")).alias("first"), F.count(F.lit(1)).alias("times"))
-        .where("times > 1")
-        .select(F.col("digest").alias("d"), "first")
-    )
-    return windows.join(first, F.col("digest") == F.col("d")).where(F.struct("id", "start") != F.col("first")).select(
-        "id", (F.shiftleft("start", 8) + 1).alias("place")
-    )
+def lengthened_marks(found: DataFrame) -> DataFrame:
+    """Windows of hot anchors that are not the first with their words.
+
+    With the whole window as anchor a shard is one window, and no two of it are left to be streamed.
+    """
+    windows = found.where(f"kind = {HEAD} and head_id is null").select("words", "id", "start")
+    first = windows.groupBy("words").agg(F.min(F.struct("id", "start")).alias("first"), F.count(F.lit(1)).alias("times"))
+    again = windows.join(first.where("times > 1").drop("times"), "words").where(F.struct("id", "start") != F.col("first"))
+    within = found.where(f"kind = {COPY} and head_id is null")
+    return again.select("id", "start", F.lit(1).cast("long").alias("windows")).unionByName(within.select("id", "start", "windows"))
 
 
-def covered_words(places: list[int], n_words: int, window: int) -> np.ndarray:
-    """Which words the marked windows cover."""
-    at = np.array(places, np.int64)
-    begin = np.minimum(at >> 8, n_words)
-    end = np.minimum((at >> 8) + (at & 255) + window - 1, n_words)
+def covered_words(marks: list[tuple[int, int]], n_words: int, window: int) -> np.ndarray:
+    """Which words the marked windows, given as the first and how many, cover."""
+    at = np.array(marks, np.int64)
     change = np.zeros(n_words + 1, np.int64)
-    np.add.at(change, begin, 1)
-    np.add.at(change, end, -1)
+    np.add.at(change, np.minimum(at[:, 0], n_words), 1)
+    np.add.at(change, np.minimum(at.sum(axis=1) + window - 1, n_words), -1)
     return np.cumsum(change)[:-1] > 0
 
 
@@ -373,38 +485,42 @@ def remove_repeats(
     those of the input.  Kept words are joined by one space, or stand as they
     did in the text with ``keep_layout``.
 
-    Ids are integers; null sorts before all.  Null and empty texts have no
-    words, texts shorter than a window lose none.  Rows that share an id are
-    one document: of equal windows at equal places none is earlier, and what is
-    removed from one row is removed at the same places of the others.  An empty
-    table gives an empty result.  Other columns pass through, except that
-    columns named like a result are replaced.
+    Ids are integers (others raise a ValueError); null sorts before all.  Null
+    and empty texts have no words, texts shorter than a window lose none, and
+    texts of any length are judged whole, each within one task.  Rows that
+    share an id are one document: of equal windows at equal places none is
+    earlier, and what is removed from one row is removed at the same places of
+    the others.  An empty table gives an empty result.  Other columns pass
+    through, whatever their names and values, except that columns named like a
+    result are replaced.
     """
     require(df, id_col, text_col)
     if not ANCHOR < window <= 200:
         raise ValueError(f"windows have {ANCHOR + 1} to 200 words")
+    if not isinstance(df.schema[id_col].dataType, T.IntegralType):
+        raise ValueError(f"ids are integers, which {id_col} is not")
     added = ("n_words", "n_removed", "kept_text")
     passed = [c for c in df.columns if c not in added and c != text_col]
-    key = F.coalesce(F.col(f"`{id_col}`").cast("long"), F.lit(_NULL_ID)).alias("__id")
-    source = df.select(key, F.col(f"`{text_col}`").alias("__text"))
-    judged = stage(judged_regions(document_regions(source, window)), "regions")
-    contents = stage(shard_contents(source, judged.where("anchor is not null"), window), "shards")
+    key, body = F.coalesce(F.col(quoted(id_col)).cast("long"), F.lit(_NULL_ID)), F.col(quoted(text_col))
+    source = df.select(key.alias("doc"), body.alias("text"))
+    blocks = block_count(source)
+    judged = stage(judged_regions(stage(document_regions(source, window), "regions")), "judged")
+    found = stage(answers(source, requests_of(judged), blocks, window), "answers")
     marks = (
-        judged.where("anchor is null")
-        .select("id", "place")
-        .unionByName(automaton_marks(contents, window))
-        .unionByName(digest_marks(contents, window))
+        copied_spans(found)
+        .unionByName(automaton_marks(found.where(f"kind = {COMPARE}"), window))
+        .unionByName(lengthened_marks(found))
     )
-    whole = df.select(key, F.col(f"`{text_col}`").alias("__text"), *[F.col(f"`{c}`") for c in passed])
-    schema = whole.select(*[F.col(f"`{c}`") for c in passed]).schema
+    whole = numbered(df, passed, doc=key, text=body)
+    schema = whole.drop("doc", "text").schema
     schema = schema.add("n_words", "long").add("n_removed", "long").add("kept_text", "string")
 
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
-        places: dict[int, list[int]] = {}
-        for key, place in zip(right.column("id").to_pylist(), right.column("place").to_pylist(), strict=True):
-            places.setdefault(key, []).append(place)
+        places: dict[int, list[tuple[int, int]]] = {}
+        for key, *mark in zip(*[right.column(c).to_pylist() for c in ("id", "start", "windows")], strict=True):
+            places.setdefault(key, []).append(mark)
         n_words, n_removed, kept = [], [], []
-        for key, text in zip(left.column("__id").to_pylist(), left.column("__text"), strict=True):
+        for key, text in zip(left.column("doc").to_pylist(), left.column("text"), strict=True):
             text = (text.as_py() or "").encode()
             words = text.split()
             n_words.append(len(words))
@@ -419,7 +535,7 @@ def remove_repeats(
             else:
                 n_removed.append(0)
                 kept.append(text if keep_layout else b" ".join(words))
-        columns = {c: left.column(c) for c in passed}
+        columns = {f"c{i}": left.column(f"c{i}") for i in range(len(passed))}
         columns |= {
             "n_words": pa.array(n_words, pa.int64()),
             "n_removed": pa.array(n_removed, pa.int64()),
@@ -427,7 +543,7 @@ def remove_repeats(
         }
         return pa.table(columns)
 
-    return _with_texts(whole, marks, run, schema)
+    return _with_texts(whole, marks, blocks, run, schema).toDF(*passed, *added)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
