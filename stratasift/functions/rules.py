@@ -12,7 +12,7 @@ REGULATION = ["法规", "合规", "标准", "备案", "许可", "禁用"]
 DEVELOPMENT = ["配方", "研发", "工艺", "制备", "开发"]
 INGREDIENT = ["成分", "INCI", "功效", "浓度"]
 PRODUCT = ["产品", "品牌", "适用", "肤质", "包装"]
-VISUAL = ["图片", "包装", "外观", "照片", "扫描", "标签", "成分表", "配方", "图像", "图像识别", "OCR", "说明书", "瓶身", "外盒"]
+PARAPHRASE = ["请问", "请简要说明", "我想知道", "根据化妆品相关规定", "给我介绍一下", "能否告诉我"]
 
 # Token estimate per type of business, cost of a token, thresholds of admission.
 KV_PREFILL_KB, KV_DECODE_KB = 0.45, 0.54
@@ -139,3 +139,67 @@ def backoff_seconds(attempt: Column, base: float = 0.5, cap: float = 8.0, asked:
     if asked is None:
         return delay
     return F.when(asked > cap, None).otherwise(F.greatest(delay, F.coalesce(asked, F.lit(0.0))))
+
+
+def is_paraphrase(question: Column) -> Column:
+    """Whether a question begins as reworded ones do."""
+    found = F.lit(False)
+    for prefix in PARAPHRASE:
+        found = found | F.startswith(question, F.lit(prefix))
+    return found
+
+
+def primary_category(business: Column, question: Column, n_contexts: Column) -> Column:
+    """The category under which a question counts; null if none fits."""
+    # Categories of types of business.
+    named = {"image": "image_related", "product": "product_knowledge", "regulation": "regulation_precise", "ingredient": "ingredient_query"}
+    category = F
+    for kind, name in named.items():
+        category = category.when(business == kind, name)
+    return category.when(is_paraphrase(question), "semantic_paraphrase").when(n_contexts >= 3, "multi_document")
+
+
+# Statuses that are worth another attempt.
+TRANSIENT_STATUSES = (408, 429, 502, 503, 504)
+
+
+def path_failure(kind: Column, message: Column) -> tuple[Column, Column]:
+    """(outcome, detail) of a failed image path, from the kind of error and never from its words alone."""
+    words = F.lower(F.coalesce(message, F.lit("")))
+    # What becomes of each kind, the first that fits.
+    cases = [
+        (kind.isin("ImportError", "ModuleNotFoundError"), "model_unavailable", "not_installed"),
+        (kind.isin("FileNotFoundError", "OSError"), "model_unavailable", "missing_weights"),
+        (kind == "UnexpectedResponse", "qdrant_failed", "qdrant_error"),
+        (kind == "LinAlgError", "encode_failed", "encoder_error"),
+        ((kind == "RuntimeError") & F.contains(words, F.lit("clip")), "model_unavailable", "loader_error"),
+        (kind == "ValueError", "dimension_mismatch", "query_vs_collection"),
+    ]
+    outcome = detail = F
+    for fits, a, b in cases:
+        outcome, detail = outcome.when(fits, a), detail.when(fits, b)
+    return outcome.otherwise("unknown"), detail.otherwise("unclassified")
+
+
+def transport_failure(status: Column, kind: Column) -> Column:
+    """Class of a failed request: by its status if there is one, else by the kind of error."""
+    return (
+        F.when(status.isin(*TRANSIENT_STATUSES), "http_transient")
+        .when(status.isNotNull(), "http_permanent")
+        .when(kind.isin("ConnectTimeout", "ReadTimeout", "PoolTimeout"), "timeout")
+        .when(kind.isin("ConnectError", "NetworkError", "RemoteProtocolError"), "connection")
+        .when(kind.isin("ValueError", "KeyError", "IndexError", "TypeError"), "malformed_response")
+        .otherwise("unknown")
+    )
+
+
+def retry_after(header: Column) -> Column:
+    """Seconds that a server asks for; null unless they are a finite number that isn't negative."""
+    n = F.trim(header).try_cast("double")
+    return F.when((n >= 0) & (n < float("inf")) & ~F.isnan(n), n)
+
+
+def backoff_delay(attempts: Column, asked: Column, base: float, longest: float) -> Column:
+    """Wait before the next attempt; null if the server asks for longer than the policy waits."""
+    own = F.least(base * F.pow(F.lit(2.0), attempts - 1), F.lit(longest))
+    return F.when(asked > longest, None).otherwise(F.greatest(own, F.coalesce(asked, F.lit(0.0))))

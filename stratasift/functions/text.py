@@ -72,6 +72,49 @@ def char_windows(c: Column, size: int = CHUNK_SIZE, overlap: int = CHUNK_OVERLAP
     )
 
 
+def pack_blocks(blocks: list[str | None], size: int, overlap: int) -> list[dict]:
+    """Chunks of a document's blocks in order: neighbours share one, joined by a line end, while they fit.
+
+    A block that is larger than a chunk is cut into windows of its own.  Each
+    chunk names its blocks by their numbers; empty blocks have none.
+    """
+    chunks: list[dict] = []
+    joined, members = [], []
+
+    def close():
+        if joined:
+            chunks.append({"text": "\n".join(joined), "blocks": list(members)})
+        joined.clear()
+        members.clear()
+
+    for number, block in enumerate(blocks):
+        if not block:
+            continue
+        if len(block) > size:
+            close()
+            for at in range(0, max(1, len(block) - overlap), size - overlap):
+                chunks.append({"text": block[at : at + size], "blocks": [number]})
+            continue
+        if joined and sum(map(len, joined)) + len(joined) + len(block) > size:
+            close()
+        joined.append(block)
+        members.append(number)
+    close()
+    return chunks
+
+
+def packed_blocks(blocks: Column, size: int = CHUNK_SIZE, overlap: int = CHUNK_OVERLAP) -> Column:
+    """:func:`pack_blocks` of an array of blocks, in Arrow batches: a greedy rule has no closed form."""
+    if not 0 <= overlap < size:
+        raise ValueError("the overlap must be smaller than the chunk")
+
+    def run(rows: pd.Series) -> pd.Series:
+        return pd.Series([None if r is None else pack_blocks(list(r), size, overlap) for r in rows], dtype="object")
+
+    run.__annotations__ = {"rows": pd.Series, "return": pd.Series}
+    return F.pandas_udf(run, "array<struct<text:string,blocks:array<int>>>")(blocks)
+
+
 def char_ngrams(c: Column, n: int = 3, limit: int = 500) -> Column:
     """Distinct character n-grams of the first ``limit`` characters."""
     head = F.substring(c, 1, limit)
@@ -157,3 +200,9 @@ def escape_markers(c: Column, markers: list[str]) -> Column:
     for m in markers:
         c = F.replace(c, F.lit(m), F.lit(m[0] + " " + m[1:]))
     return c
+
+
+def only_embedded(c: Column, term: str, letters: str = "\\x{4e00}-\\x{9fff}") -> Column:
+    """Whether a term occurs, but never without such a letter before or after it."""
+    alone = rf"(?<![{letters}])\Q{term}\E(?![{letters}])"
+    return F.contains(c, F.lit(term)) & ~c.rlike(alone)

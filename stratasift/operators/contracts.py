@@ -7,6 +7,10 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
+from stratasift.staging import stage
+
+from .ranking import distributed_rank
+
 # A golden row as the contract has it.
 _NOTE = T.StructType(
     [T.StructField(n, T.StringType()) for n in ("doc_id", "chunk_id", "text")] + [T.StructField("relevance", T.IntegerType())]
@@ -103,12 +107,19 @@ def quota(df: DataFrame, by: str, order: str, n: int) -> DataFrame:
 
 
 def stratified_sample(df: DataFrame, by: str, key: str, n: int, seed: int) -> DataFrame:
-    """About ``n`` rows in proportion to the strata, one of each at least; which ones is up to a hash."""
-    total = df.agg(F.count(F.lit(1)).alias("total"))
-    sizes = df.groupBy(by).agg(F.count(F.lit(1)).alias("size")).crossJoin(F.broadcast(total))
-    wanted = sizes.select(by, F.greatest(F.lit(1), F.floor(n * F.col("size") / F.col("total"))).alias("wanted"))
-    order = Window.partitionBy(by).orderBy(F.md5(F.concat_ws(":", F.lit(str(seed)), F.col(key).cast("string"))), key)
-    return df.withColumn("k", F.row_number().over(order)).join(wanted, by).where(F.col("k") <= F.col("wanted")).drop("k", "wanted")
+    """``n`` rows, or all if they are fewer: in proportion to the strata, one of each at least, topped up from the rest.
+
+    Which ones is up to a hash of their keys.
+    """
+    draw = F.md5(F.concat_ws(":", F.lit(str(seed)), F.col(key).cast("string")))
+    ranked = distributed_rank(df.withColumn("draw", draw), [by], ["draw", key])
+    total = ranked.agg(F.count(F.lit(1)).alias("total"))
+    wanted = F.greatest(F.lit(1), F.floor(n * F.col("group_size") / F.col("total")))
+    judged = stage(ranked.crossJoin(F.broadcast(total)).withColumn("drawn", F.col("rank") <= wanted), "sample")
+    drawn = judged.where("drawn")
+    # What rounding left over goes to the first of the others, whatever their stratum.
+    rest = judged.where(~F.col("drawn")).orderBy("draw", key).limit(max(0, n - drawn.count()))
+    return drawn.unionByName(rest).select(*df.columns)
 
 
 def select_samples(df: DataFrame, key: str, wanted: list, limit: int | None = None) -> DataFrame:
@@ -166,3 +177,77 @@ def line_matches(
 
     labels = F.array_compact(F.array(*[F.when(found(p), F.lit(label)) for label, p in shapes]))
     return lines.select(key, (F.col("i") + 1).cast("long").alias("line"), F.explode(labels).alias("label"))
+
+
+def unresolved(annotations: DataFrame, index: DataFrame, keys: list[str]) -> DataFrame:
+    """Annotations whose identifiers the index doesn't have."""
+    return annotations.join(index.select(*keys).distinct(), keys, "left_anti").select(*annotations.columns)
+
+
+def gold_approval(rows: DataFrame, chunk_ids: str, index: DataFrame) -> DataFrame:
+    """(chunk_id, verdict) of every chunk that golden rows point at, by ``index(chunk_id, approved)``."""
+    asked = rows.select(F.explode(chunk_ids).alias("chunk_id")).where(~blank(F.col("chunk_id"))).distinct()
+    verdict = F.when(F.col("approved").isNull(), "not_indexed").when(F.col("approved"), "approved").otherwise("unapproved_source")
+    return asked.join(index, "chunk_id", "left").select("chunk_id", verdict.alias("verdict"))
+
+
+def attributable(df: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Rows of :data:`GOLDEN_ROW` that may be scored, and the others with their ``reasons``."""
+    judged = df.withColumn("reasons", golden_row_reasons())
+    return judged.where(F.size("reasons") == 0).drop("reasons"), judged.where(F.size("reasons") > 0)
+
+
+#: A legacy dataset with fewer entries is too small.
+LEGACY_LEAST = 300
+
+
+def legacy_errors(df: DataFrame, key: str) -> DataFrame:
+    """(key, error) of a dataset in the legacy form; errors of the whole dataset have a null key.
+
+    An entry that lacks a field has no other error.
+    """
+    fields = ("question", "answer", "contexts", "ground_truth")
+    missing = reasons(*[(F.col(f).isNull(), f"missing_{f}") for f in fields])
+    blanks = F.transform("contexts", lambda c, i: F.when(blank(c), F.concat(F.lit("blank_context_"), i.cast("string"))))
+    others = F.concat(
+        reasons(*[(F.trim(f) == "", f"blank_{f}") for f in ("question", "answer", "ground_truth")], (F.size("contexts") == 0, "no_contexts")),
+        F.array_compact(blanks),
+        reasons(
+            (F.col("business_type").isNotNull() & ~F.col("business_type").isin(*BUSINESS_TYPES), "invalid_business_type"),
+            (F.col("difficulty").isNotNull() & ~F.col("difficulty").isin(*DIFFICULTIES), "invalid_difficulty"),
+        ),
+    )
+    rows = df.select(key, F.explode(F.when(F.size(missing) > 0, missing).otherwise(others)).alias("error"))
+    whole = df.agg(
+        F.count(F.lit(1)).alias("n"),
+        *[F.count_if(F.col("business_type") == b).alias(f"b_{b}") for b in BUSINESS_TYPES],
+        *[F.count_if(F.col("difficulty") == d).alias(f"d_{d}") for d in DIFFICULTIES],
+    )
+    enough = F.col("n") >= LEGACY_LEAST
+    codes = reasons(
+        (~enough, "too_few_entries"),
+        *[(enough & (F.col(f"b_{b}") == 0), f"no_business_type_{b}") for b in BUSINESS_TYPES],
+        *[(enough & (F.col(f"d_{d}") == 0), f"no_difficulty_{d}") for d in DIFFICULTIES],
+    )
+    nobody = F.lit(None).cast(df.schema[key].dataType).alias(key)
+    return rows.unionByName(whole.select(nobody, F.explode(codes).alias("error")))
+
+
+def data_class(df: DataFrame, manifest: DataFrame) -> DataFrame:
+    """Adds ``data_class``, ``claims`` and ``noticed`` by ``manifest(path, class, claims)``; only declared fabricated data is called so."""
+    found = df.join(manifest, "path", "left")
+    noticed = F.coalesce((F.col("class") == "SYNTHETIC") & ~F.col("claims"), F.lit(False))
+    return found.select(*df.columns, F.coalesce("class", F.lit("UNCLASSIFIED")).alias("data_class"), "claims", noticed.alias("noticed"))
+
+
+def repeats_annotation(notes: Column) -> Column:
+    """Whether two annotations of a row name the same document and chunk."""
+    keys = F.transform(notes, lambda a: F.struct(a["doc_id"].alias("d"), a["chunk_id"].alias("c")))
+    return F.size(keys) != F.size(F.array_distinct(keys))
+
+
+def corpora_audit(df: DataFrame, by: list[str], corpus: str) -> DataFrame:
+    """(``by``, total, scorable, corpora): nothing is scorable if rows belong to more than one corpus."""
+    n = F.countDistinct(corpus)
+    total = F.count(F.lit(1))
+    return df.groupBy(*by).agg(total.alias("total"), F.when(n > 1, F.lit(0).cast("long")).otherwise(total).alias("scorable"), n.alias("corpora"))

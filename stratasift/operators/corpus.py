@@ -32,9 +32,24 @@ def snapshot_diff(current: DataFrame, stored: DataFrame, key: str, compared: lis
     )
 
 
-def carry_forward(old: DataFrame, unchanged: DataFrame, key: str, epoch_col: str, epoch: str) -> DataFrame:
-    """Rows of an old epoch whose documents did not change, under the new epoch."""
-    return old.join(unchanged.select(key), key, "left_semi").withColumn(epoch_col, F.lit(epoch))
+class VersionMismatchError(RuntimeError):
+    """Vectors of an old epoch that the new one's model didn't make."""
+
+
+def carry_forward(
+    old: DataFrame, unchanged: DataFrame, key: str, epoch_col: str, epoch: str, version_col: str | None = None, allowed: list[str] | None = None
+) -> DataFrame:
+    """Rows of an old epoch whose documents did not change, under the new epoch.
+
+    With ``allowed``, a row of another version stops the build before anything is written.
+    """
+    kept = old.join(unchanged.select(key), key, "left_semi")
+    if allowed is not None:
+        known = F.coalesce(F.col(version_col).isin(*allowed), F.lit(False))
+        others = [r[0] for r in kept.where(~known).select(version_col).distinct().limit(10).collect()]
+        if others:
+            raise VersionMismatchError(f"vectors of versions {others}; only {allowed} may be carried")
+    return kept.withColumn(epoch_col, F.lit(epoch))
 
 
 def upsert(stored: DataFrame, new: DataFrame, keys: list[str]) -> DataFrame:

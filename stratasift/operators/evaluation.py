@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from .ranking import distributed_rank
+
 DEPTHS = (1, 3, 5, 10)
 
 
@@ -75,17 +77,15 @@ def floor_percentile(sorted_values: Column, p: float) -> Column:
 
 
 def floor_percentiles(df: DataFrame, by: list[str], value: str, points=(0.5, 0.95, 0.99)) -> DataFrame:
-    """Floor-index percentiles by rank, so that no group's values are gathered in one array."""
-    known = df.where(F.col(value).isNotNull())
-    w = Window.partitionBy(*by)
-    ranked = known.select(
-        *by, value, F.row_number().over(w.orderBy(value)).alias("__k"), F.count(F.lit(1)).over(w).alias("__n")
-    )
+    """Floor-index percentiles by rank, so that no group's values are in one array or task."""
+    known = df.where(F.col(value).isNotNull()).select(*by, F.col(value).alias("value"))
+    ranked = distributed_rank(known, by, ["value"])
+
     def at(p):
-        index = F.least(F.floor(F.col("__n") * p), F.col("__n") - 1) + 1
-        return F.round(F.max(F.when(F.col("__k") == index, F.col(value))), 2).alias(f"p{round(p * 100)}")
+        index = F.least(F.floor(F.col("group_size") * p), F.col("group_size") - 1) + 1
+        return F.round(F.max(F.when(F.col("rank") == index, F.col("value"))), 2).alias(f"p{round(p * 100)}")
 
-    return ranked.groupBy(*by).agg(F.max("__n").alias("n"), F.round(F.max(value), 2).alias("max"), *[at(p) for p in points])
+    return ranked.groupBy(*by).agg(F.max("group_size").alias("n"), F.round(F.max("value"), 2).alias("max"), *[at(p) for p in points])
 
 
 def normal_cdf(x: Column) -> Column:

@@ -95,6 +95,14 @@ def top_k(scored: DataFrame, k: int, by: str | list[str] = "query", item: str =
     return scored.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 
 
+def keyset_page(rows: DataFrame, key: str, after: str | None, size: int) -> DataFrame:
+    """The next ``size`` rows in the order of a unique key; the last key of a page begins the next one."""
+    if size < 1:
+        raise ValueError("a page has one row at least")
+    left = rows if after is None else rows.where(F.col(key) > after)
+    return left.orderBy(key).limit(size)
+
+
 def _grams(c: Column, size: Column) -> Column:
     places = F.sequence(F.lit(1), F.greatest(F.length(c) - size + 1, F.lit(1)))
     return F.array_distinct(F.transform(places, lambda i: F.substring(c, i, size)))

@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from collections import OrderedDict
+from collections import OrderedDict, deque
+from collections.abc import Callable
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 
@@ -36,6 +37,18 @@ def sustained(df: DataFrame, by: list[str], ts: str, violated: Column, seconds:
     )
 
 
+# Ends of an image path that are no failure.
+HEALTHY = ("ok", "empty", "unset")
+
+
+def path_metrics(df: DataFrame, outcome: str, detail: str, elapsed: str) -> DataFrame:
+    """(outcome, detail, attempts, degraded, mean_ms): every attempt has one outcome, so the counts add up."""
+    n = F.count(F.lit(1))
+    return df.groupBy(outcome, detail).agg(
+        n.alias("attempts"), F.count_if(~F.col(outcome).isin(*HEALTHY)).alias("degraded"), F.round(F.avg(elapsed), 6).alias("mean_ms")
+    )
+
+
 def cache_replay(df: DataFrame, key: list[str], ts: str, ttl: int) -> DataFrame:
     """Hits and misses of an access log under a time to live that every access starts anew."""
     before = F.lag(ts).over(Window.partitionBy(*key).orderBy(ts, "event_id"))
@@ -43,69 +56,111 @@ def cache_replay(df: DataFrame, key: list[str], ts: str, ttl: int) -> DataFrame:
     return df.withColumn("hit", F.coalesce(age <= ttl * 1_000_000, F.lit(False)))
 
 
-def token_bucket(df: DataFrame, by: list[str], ts: str, rate_per_minute: int, idle: int = 300) -> DataFrame:
-    """Adds ``allowed``: an ordered fold per key, whose capacity is twice the rate; idle keys start full."""
+def ordered_fold(df: DataFrame, by: list[str], order: list[str], start: Callable, step: Callable, out: T.StructField, needs: list[str]) -> DataFrame:
+    """Adds a column by folding each group's rows in order: ``step(state, *needs)`` gives its value, ``start()`` a group's state.
+
+    A sequential rule has no other plan than one group after the other, but
+    rows stream through: a task holds one batch and one state, whatever the
+    size of its groups.
+    """
+    schema = T.StructType([*df.schema, out])
+
+    def run(batches):
+        last = state = None
+        for batch in batches:
+            keys = list(zip(*[batch[c] for c in by], strict=True))
+            values = []
+            for key, row in zip(keys, zip(*[batch[c] for c in needs], strict=True), strict=True):
+                if key != last:
+                    last, state = key, start()
+                values.append(step(state, *row))
+            yield batch.assign(**{out.name: values})
+
+    return df.repartition(*by).sortWithinPartitions(*by, *order).mapInPandas(run, schema)
+
+
+_ALLOWED = T.StructField("allowed", T.BooleanType())
+
+
+def token_bucket(df: DataFrame, by: list[str], ts: str, rate_per_minute: int, idle: int = 300, tie: str = "event_id") -> DataFrame:
+    """Adds ``allowed``: a bucket per key, whose capacity is twice the rate; idle keys start full."""
     capacity, per_second = 2.0 * rate_per_minute, rate_per_minute / 60.0
 
-    def fold(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values([ts, "event_id"])
-        level, last, out = capacity, None, []
-        for t in rows[ts]:
-            if last is not None:
-                gone = (t - last).total_seconds()
-                level = capacity if gone > idle else min(capacity, level + gone * per_second)
-            last = t
-            ok = level >= 1
-            level -= ok
-            out.append(ok)
-        return rows.assign(allowed=out)
+    def step(state, t):
+        if "last" in state:
+            gone = (t - state["last"]).total_seconds()
+            state["level"] = capacity if gone > idle else min(capacity, state["level"] + gone * per_second)
+        state["last"] = t
+        ok = state["level"] >= 1
+        state["level"] -= ok
+        return ok
 
-    schema = df.withColumn("allowed", F.lit(True)).schema
-    return df.groupBy(*by).applyInPandas(fold, schema)
+    return ordered_fold(df, by, [ts, tie], lambda: {"level": capacity}, step, _ALLOWED, [ts])
 
 
-def sliding_limit(df: DataFrame, by: list[str], ts: str, limit: int, seconds: int) -> DataFrame:
+def sliding_limit(df: DataFrame, by: list[str], ts: str, limit: int, seconds: int, tie: str = "event_id") -> DataFrame:
     """Adds ``allowed``: at most ``limit`` accepted attempts in any window of ``seconds``."""
 
-    def fold(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values([ts, "event_id"])
-        accepted: list = []
-        out = []
-        for t in rows[ts]:
-            accepted = [a for a in accepted if (t - a).total_seconds() < seconds]
-            ok = len(accepted) < limit
-            if ok:
-                accepted.append(t)
-            out.append(ok)
-        return rows.assign(allowed=out)
+    def step(accepted, t):
+        while accepted and (t - accepted[0]).total_seconds() >= seconds:
+            accepted.popleft()
+        ok = len(accepted) < limit
+        if ok:
+            accepted.append(t)
+        return ok
 
-    schema = df.withColumn("allowed", F.lit(True)).schema
-    return df.groupBy(*by).applyInPandas(fold, schema)
+    return ordered_fold(df, by, [ts, tie], deque, step, _ALLOWED, [ts])
 
 
-def lru_replay(df: DataFrame, shard: Column, key: str, ts: str, size: int, ttl: int) -> DataFrame:
+def lru_replay(df: DataFrame, shard: Column, key: str, ts: str, size: int, ttl: int, tie: str = "event_id") -> DataFrame:
     """Hits of a least-recently-used cache per shard of keys, with a time to live."""
 
-    def fold(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values([ts, "event_id"])
-        cache: OrderedDict = OrderedDict()
-        out = []
-        for k, t in zip(rows[key], rows[ts], strict=True):
-            stored = cache.get(k)
-            ok = stored is not None and (t - stored).total_seconds() <= ttl
-            if ok:
-                cache.move_to_end(k)
-            else:
-                cache[k] = t
-                cache.move_to_end(k)
-                if len(cache) > size:
-                    cache.popitem(last=False)
-            out.append(ok)
-        return rows.assign(hit=out)
-
-    sharded = df.withColumn("shard", shard)
-    schema = sharded.withColumn("hit", F.lit(True)).schema
-    return sharded.groupBy("shard").applyInPandas(fold, schema)
+    def step(cache, k, t):
+        stored = cache.get(k)
+        ok = stored is not None and (t - stored).total_seconds() <= ttl
+        if not ok:
+            cache[k] = t
+        cache.move_to_end(k)
+        if len(cache) > size:
+            cache.popitem(last=False)
+        return ok
+
+    hit = T.StructField("hit", T.BooleanType())
+    return ordered_fold(df.withColumn("shard", shard), ["shard"], [ts, tie], OrderedDict, step, hit, [key, ts])
+
+
+def two_level_cache(
+    df: DataFrame, partition: list[str], key: str, ts: str, public: str, first: tuple[int, int], second_ttl: int, epoch: str, tie: str = "event_id"
+) -> DataFrame:
+    """Adds ``served``: ``L1``, ``L2`` or ``miss`` for each request of a node's log.
+
+    The first level has ``first`` = (entries, seconds) for public requests only
+    and is emptied when the epoch changes; the second is kept apart by
+    permissions (part of the key) and epoch.  A miss fills both.
+    """
+    entries, first_ttl = first
+
+    def step(state, k, t, is_public, e):
+        near, far = state["near"], state["far"]
+        if state.get("epoch") != e:
+            near.clear()
+            state["epoch"] = e
+        if is_public and k in near:
+            if (t - near[k]).total_seconds() < first_ttl:
+                near.move_to_end(k)
+                return "L1"
+            del near[k]
+        if (stored := far.get((k, e))) is not None and (t - stored).total_seconds() < second_ttl:
+            return "L2"
+        far[(k, e)] = t
+        if is_public:
+            near[k] = t
+            if len(near) > entries:
+                near.popitem(last=False)
+        return "miss"
+
+    served = T.StructField("served", T.StringType())
+    return ordered_fold(df, partition, [ts, tie], lambda: {"near": OrderedDict(), "far": {}}, step, served, [key, ts, public, epoch])
 
 
 def running_pressure(df: DataFrame, order: list, cost: Column, budget: float, rows: int) -> DataFrame:
@@ -114,10 +169,10 @@ def running_pressure(df: DataFrame, order: list, cost: Column, budget: float, ro
     return df.withColumn("pressure", F.round(F.sum(cost).over(w) / budget, 6))
 
 
-def admission_fold(df: DataFrame, by: list[str], ts: str, budget: float, hold: int) -> DataFrame:
-    """Adds ``reason``: an ordered fold per node, in which admitted requests hold budget for ``hold`` seconds.
+def admission_fold(df: DataFrame, by: list[str], ts: str, budget: float, hold: int, tie: str = "event_id") -> DataFrame:
+    """Adds ``reason``: admitted requests of a node hold budget for ``hold`` seconds.
 
-    Rows need ``cost``, ``priority`` and ``event_id``.
+    Rows need ``cost`` and ``priority``.
     """
     from stratasift.functions.rules import PRESSURE as P
 
@@ -136,18 +191,17 @@ def admission_fold(df: DataFrame, by: list[str], ts: str, budget: float, hold: i
             return True, "admitted_with_truncation"
         return True, "admitted_with_tighten" if pressure > P["tighten"] else "admitted"
 
-    def fold(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values([ts, "event_id"])
-        held: list[tuple] = []
-        out = []
-        for t, cost, priority in zip(rows[ts], rows["cost"], rows["priority"], strict=True):
-            held = [h for h in held if (t - h[0]).total_seconds() < hold]
-            used = sum(h[1] for h in held)
-            ok, reason = decide(used / budget, priority, used + cost <= budget)
-            if ok:
-                held.append((t, cost))
-            out.append(reason)
-        return rows.assign(reason=out)
-
-    schema = df.withColumn("reason", F.lit("")).schema
-    return df.groupBy(*by).applyInPandas(fold, schema)
+    def step(state, t, cost, priority):
+        held = state["held"]
+        while held and (t - held[0][0]).total_seconds() >= hold:
+            state["used"] -= held.popleft()[1]
+        if not held:
+            state["used"] = 0.0
+        ok, reason = decide(state["used"] / budget, priority, state["used"] + cost <= budget)
+        if ok:
+            held.append((t, cost))
+            state["used"] += cost
+        return reason
+
+    reason = T.StructField("reason", T.StringType())
+    return ordered_fold(df, by, [ts, tie], lambda: {"held": deque(), "used": 0.0}, step, reason, [ts, "cost", "priority"])

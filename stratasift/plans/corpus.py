@@ -220,29 +220,6 @@ def state_upsert(spark, sf):
     return corpus.upsert(stored, current.withColumn("status", F.lit("active")), ["doc_id"])
 
 
-@register(
-    "incremental_build",
-    f"""{_DIFF_SQL}, {CHUNKS_SQL}
-    SELECT c.doc_id, c.chunk_index, CASE WHEN change = 'UNCHANGED' THEN 'carried' ELSE 'built' END AS origin, 'e9' AS epoch, sha256(chunk) AS content_hash
-    FROM chunks c JOIN diff USING (doc_id) WHERE change <> 'DELETED'""",
-)
-def incremental_build(spark, sf):
-    """Chunks of the new epoch: carried for unchanged documents, built anew for the others."""
-    live = _diff(spark, sf).where("change <> 'DELETED'")
-    return (
-        chunks(_docs(spark, sf))
-        .select("doc_id", "chunk_index", F.sha2("chunk", 256).alias("content_hash"))
-        .join(live, "doc_id")
-        .select(
-            "doc_id",
-            "chunk_index",
-            F.when(F.col("change") == "UNCHANGED", "carried").otherwise("built").alias("origin"),
-            F.lit("e9").alias("epoch"),
-            "content_hash",
-        )
-    )
-
-
 @register(
     "expected_vs_present",
     f"""WITH {STATE_SQL} SELECT doc_id, 'missing' AS problem FROM current_state WHERE doc_id NOT IN (SELECT doc_id FROM stored_state)

@@ -109,8 +109,10 @@ def workpackage_quota(spark, sf):
 @register(
     "stratified_sample",
     """WITH s AS (SELECT event_type, count(*) AS size, sum(count(*)) OVER () AS total FROM events GROUP BY event_type),
-    r AS (SELECT event_id, event_type, row_number() OVER (PARTITION BY event_type ORDER BY md5('7:' || event_id), event_id) AS k FROM events)
-    SELECT r.event_type, r.event_id FROM r JOIN s USING (event_type) WHERE k <= greatest(1, floor(500 * size / total))""",
+    r AS (SELECT event_id, event_type, row_number() OVER (PARTITION BY event_type ORDER BY md5('7:' || event_id), event_id) AS k FROM events),
+    d AS (SELECT r.event_type, r.event_id, k <= greatest(1, floor(500 * size / total)) AS drawn FROM r JOIN s USING (event_type))
+    SELECT event_type, event_id FROM d WHERE drawn UNION ALL SELECT event_type, event_id FROM (SELECT *, row_number() OVER (ORDER BY md5('7:' || event_id), event_id) AS j FROM d WHERE NOT drawn)
+      WHERE j <= 500 - (SELECT count(*) FROM d WHERE drawn)""",
 )
 def stratified_sample(spark, sf):
     return contracts.stratified_sample(table(spark, sf, "events").select("event_type", "event_id"), "event_type", "event_id", 500, 7)

@@ -130,11 +130,14 @@ def _pdf_blocks(data: bytes) -> list[tuple[str, str, bool]]:
     return [(f"page:{i}", t, len(t) < PAGE_TEXT_LEAST) for i, t in enumerate(pages)]
 
 
-def read_blocks(spark: SparkSession, path: str, kind: str) -> DataFrame:
-    """Ordered blocks of DOCX, XLSX or PDF files, in Arrow batches of few files."""
+def read_blocks(spark: SparkSession, path: str, kind: str, files: str | None = None) -> DataFrame:
+    """Ordered blocks of DOCX, XLSX or PDF files, in Arrow batches of few files.
+
+    ``files`` is a pattern of names, unless the suffix says what they are.
+    """
     if kind not in ("docx", "xlsx", "pdf"):
         raise ValueError(f"no blocks for {kind}")
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", f"*.{kind}").load(path)
+    found = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", files or f"*.{kind}").load(path)
 
     def run(batches):
         for pdf in batches:
@@ -149,7 +152,7 @@ def read_blocks(spark: SparkSession, path: str, kind: str) -> DataFrame:
                 rows += [(p, n, *b) for n, b in enumerate(blocks)]
             yield pd.DataFrame(rows, columns=["doc_id", "block_order", "block_id", "block_type", "text", "needs_ocr"])
 
-    return files.select("path", "content").mapInPandas(run, BLOCKS)
+    return found.select("path", "content").mapInPandas(run, BLOCKS)
 
 
 def weighted_ocr_text(core: Column, rest: Column, times: int = 3) -> Column:

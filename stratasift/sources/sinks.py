@@ -66,3 +66,21 @@ def same_rows(a: DataFrame, b: DataFrame) -> DataFrame:
 def export_json_lines(df: DataFrame, path: str, files: int | None = None) -> None:
     """JSON lines; a fixed number of files only for exports known to be small."""
     (df.coalesce(files) if files else df).write.mode("overwrite").json(path)
+
+
+def write_artifact(one: DataFrame, folder: str, parts: tuple[str, ...]) -> None:
+    """One JSON file for each part of a one-row table, with the columns that begin with its name; nulls are written out."""
+    for part in parts:
+        fields = [F.col(c).alias(c.removeprefix(f"{part}_")) for c in one.columns if c.startswith(f"{part}_")]
+        export = one.select(*fields).coalesce(1).write.mode("overwrite").option("ignoreNullFields", "false")
+        export.json(f"{folder}/{part}")
+
+
+def read_artifact(spark: SparkSession, folder: str, parts: tuple[str, ...]) -> DataFrame:
+    """(part, field, value) of an artifact's files; what was not measured is null."""
+    found = None
+    for part in parts:
+        values = F.from_json("value", "map<string,double>")
+        rows = spark.read.text(f"{folder}/{part}").select(F.lit(part).alias("part"), F.explode(values).alias("field", "value"))
+        found = rows if found is None else found.unionByName(rows)
+    return found

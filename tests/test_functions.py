@@ -1,4 +1,5 @@
 import hashlib
+import json
 import uuid
 
 import pytest
@@ -133,3 +134,92 @@ def test_tokens_of_cjk_and_words(spark):
 def test_longest_common_substring(spark):
     (n,) = one(spark, text.longest_common_substring(lit("xxabcdyy"), lit("zabcdz")))
     assert n == 4
+
+
+@pytest.mark.parametrize(
+    "key,secret",
+    [(f"x_{m[:3]}-{m[3:]}Y", True) for m in redaction.SECRET_MARKERS]
+    + [(f"my.{s.upper()}", True) for s in redaction.SECRET_SUFFIXES]
+    + [("is_private", False), ("auth_env_presence", False), ("jwt_count", False), ("signature_ok", False), ("note", False), ("", False)],
+)
+def test_secret_keys(spark, key, secret):
+    (found,) = one(spark, redaction.is_secret_key(lit(key)))
+    assert found is secret
+    assert redaction.redact_value({key: {"a": 1}}) == {key: "[REDACTED]" if secret else {"a": 1}}
+
+
+def test_nested_redaction(spark):
+    deep = {"note": "ok"}
+    for _ in range(14):
+        deep = {"in": deep}
+    value = {"meta": {"api-Key": "k"}, "list": ["Bearer x", "eyJhbGciOi.eyJzdWIiOjE.sig", "plain", 1, None], "EYJHBGCIOI.EYJZDWIIOJE.sig": "kept"}
+    want = {"meta": {"api-Key": "[REDACTED]"}, "list": ["[REDACTED]", "[REDACTED]", "plain", 1, None], "EYJHBGCIOI.EYJZDWIIOJE.sig": "kept"}
+    assert redaction.redact_value(value) == want
+    assert redaction.redact_value("EYJHBGCIOI.EYJZDWIIOJE.sig") == "EYJHBGCIOI.EYJZDWIIOJE.sig"
+    assert "note" not in json.dumps(redaction.redact_value(deep))
+    row = one(spark, redaction.redact_json(lit(json.dumps(value))), redaction.redact_json(lit("{broken")), redaction.redact_json(lit(None).cast("string")))
+    assert json.loads(row[0]) == want and list(row)[1:] == ["[REDACTED]", None]
+
+
+def test_attributes_and_request_ids(spark):
+    m = F.create_map(*map(lit, ("a", "x" * 300, "token", "t", "other", "o")))
+    row = one(
+        spark,
+        redaction.allowed_attributes(m, ["a", "token"]),
+        redaction.request_id(lit("r-1.x"), lit("new")),
+        redaction.request_id(lit("bad id\n"), lit("new")),
+        redaction.request_id(lit("x" * 65), lit("new")),
+    )
+    assert row[0] == {"a": "x" * 256, "token": "[REDACTED]"}
+    assert list(row)[1:] == ["r-1.x", "new", "new"]
+
+
+def test_cache_keys_and_epoch_names(spark):
+    null = F.lit(None).cast("string")
+    row = one(
+        spark,
+        ids.cache_key(q=lit("x"), a=lit(1)),
+        ids.cache_key(a=lit(1), q=lit("x")),
+        ids.cache_key(a=lit(1), q=null),
+        ids.epoch_name(F.lit("2024-03-05 06:07:08").cast("timestamp")),
+    )
+    assert row[0] == row[1] == hashlib.sha256(b'{"a":1,"q":"x"}').hexdigest()
+    assert row[2] == hashlib.sha256(b'{"a":1,"q":null}').hexdigest() and row[3] == "20240305_060708"
+
+
+def test_normal_forms_and_cuts(spark):
+    row = one(spark, text.nfkc_passage(lit(" ﬁ  Ａ\n²")), text.token_cut(lit("a" * 900)), text.token_cut(lit("b" * 150)), text.token_cut(lit("c" * 50)))
+    assert row[0] == "fi A 2" and [len(x) for x in list(row)[1:]] == [600, 128, 50]
+
+
+def test_blocks_are_packed_greedily():
+    blocks = ["a" * 200, "", "b" * 250, None, "c" * 49, "d" * 501, "e"]
+    packed = text.pack_blocks(blocks, 500, 50)
+    assert [c["blocks"] for c in packed] == [[0, 2], [4], [5], [5], [6]]
+    assert [len(c["text"]) for c in packed] == [451, 49, 500, 51, 1]
+    # 451 and one line end and 49 are 501 characters; one less, and they share a chunk.
+    assert [c["blocks"] for c in text.pack_blocks(["a" * 200, "b" * 250, "c" * 48], 500, 50)] == [[0, 1, 2]]
+    assert text.pack_blocks([], 500, 50) == []
+
+
+def test_failures_and_retries(spark):
+    row = one(
+        spark,
+        rules.path_failure(lit("ValueError"), lit("bad shape"))[0],
+        rules.path_failure(lit("RuntimeError"), lit("CLIP died"))[1],
+        rules.path_failure(lit("RuntimeError"), lit("else"))[0],
+        rules.transport_failure(F.lit(503), F.lit(None).cast("string")),
+        rules.transport_failure(F.lit(500), lit("ReadTimeout")),
+        rules.transport_failure(F.lit(None).cast("int"), lit("RemoteProtocolError")),
+        rules.backoff_delay(F.lit(3), F.lit(None).cast("double"), 0.5, 8.0),
+        rules.backoff_delay(F.lit(9), F.lit(1.0), 0.5, 8.0),
+        rules.backoff_delay(F.lit(1), F.lit(9.0), 0.5, 8.0),
+        rules.retry_after(lit("nan")),
+    )
+    assert list(row) == ["dimension_mismatch", "loader_error", "unknown", "http_transient", "http_permanent", "connection", 2.0, 8.0, None, None]
+
+
+@pytest.mark.parametrize("t,found", [("苯甲醇", True), ("甲醇", False), ("苯甲醇, 甲醇", False), ("none", False), ("甲醇甲醇", True)])
+def test_terms_inside_longer_names(spark, t, found):
+    (got,) = one(spark, text.only_embedded(lit(t), "甲醇"))
+    assert got is found

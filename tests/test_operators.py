@@ -1,9 +1,11 @@
+import random
+
 import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from stratasift.operators import contracts, corpus, evaluation, fusion, ops
+from stratasift.operators import contracts, corpus, evaluation, extension, fusion, lexical, lifecycle, ops, ranking
 from stratasift.plans import governance
 from stratasift.sources import readers, sinks
 
@@ -139,3 +141,131 @@ def test_passage_at_the_end_of_a_long_document_is_a_high_risk(spark, tmp_path):
     spark.createDataFrame([(7, passage)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
     (row,) = governance.lcs_risk(spark, str(tmp_path)).collect()
     assert (row["item_id"], row["doc_id"], row["ratio"], row["level"]) == (7, 1, 1.0, "HIGH")
+
+
+def test_ordered_folds_equal_the_rules_written_out(spark):
+    rng = random.Random(3)
+    t0, clock, rows = pd.Timestamp("2024-01-01"), 0, []
+    for i in range(400):
+        clock += rng.choice([0, 1, 5, 20, 400])
+        rows.append((i, rng.randint(0, 2), t0 + pd.Timedelta(seconds=clock), float(rng.randint(1, 60)), f"P{rng.randint(0, 2)}"))
+    df = spark.createDataFrame(pd.DataFrame(rows, columns=["event_id", "k", "ts", "cost", "priority"])).repartition(3)
+    bucket = {r["event_id"]: r["allowed"] for r in ops.token_bucket(df, ["k"], "ts", 4).collect()}
+    window = {r["event_id"]: r["allowed"] for r in ops.sliding_limit(df, ["k"], "ts", 3, 60).collect()}
+    held = {r["event_id"]: r["reason"] for r in ops.admission_fold(df, ["k"], "ts", 100.0, 30).collect()}
+    for key in range(3):
+        mine = [r for r in rows if r[1] == key]
+        level, last, accepted, open_ = 8.0, None, [], []
+        for i, _, t, cost, priority in mine:
+            if last is not None:
+                gone = (t - last).total_seconds()
+                level = 8.0 if gone > 300 else min(8.0, level + gone * 4 / 60)
+            last = t
+            assert bucket[i] == (level >= 1)
+            level -= level >= 1
+            ok = sum((t - a).total_seconds() < 60 for a in accepted) < 3
+            assert window[i] == ok
+            accepted += [t] * ok
+            open_ = [(a, c) for a, c in open_ if (t - a).total_seconds() < 30]
+            used = sum(c for _, c in open_)
+            p, fits = used / 100.0, used + cost <= 100.0
+            if p > 0.95 and priority != "P0":
+                want = "critical_p1_queued" if priority == "P1" else "critical_p2_rejected"
+            elif 0.90 < p <= 0.95 and priority == "P2":
+                want = "soft_stop"
+            elif not fits:
+                want = "critical_p0_budget" if p > 0.95 else "budget_exceeded"
+            elif p > 0.95:
+                want = "critical"
+            elif p > 0.90:
+                want = "downgrade" if priority == "P1" else "admitted"
+            elif p > 0.80:
+                want = "admitted_with_truncation"
+            else:
+                want = "admitted_with_tighten" if p > 0.70 else "admitted"
+            assert held[i] == want
+            if want.startswith(("admitted", "downgrade")) or want == "critical":
+                open_.append((t, cost))
+
+
+def test_two_levels_of_cache(spark):
+    t0 = pd.Timestamp("2024-01-01")
+    # key, second, public, epoch
+    log = [("a", 0, True, 1), ("a", 1, True, 1), ("b", 2, True, 1), ("c", 3, True, 1), ("a", 4, True, 1), ("p", 5, False, 1), ("p", 6, False, 1),
+           ("c", 7, True, 1), ("c", 8, True, 2), ("c", 9, True, 2), ("c", 300, True, 2), ("p", 9000, False, 2)]
+    rows = pd.DataFrame({"event_id": range(len(log)), "n": 0, "key": [x[0] for x in log], "ts": [t0 + pd.Timedelta(seconds=x[1]) for x in log], "public": [x[2] for x in log], "epoch": [x[3] for x in log]})
+    out = ops.two_level_cache(spark.createDataFrame(rows), ["n"], "key", "ts", "public", (2, 100), 3600, "epoch").orderBy("event_id").collect()
+    assert [r["served"] for r in out] == ["miss", "L1", "miss", "miss", "L2", "miss", "L2", "L1", "miss", "L1", "L2", "miss"]
+
+
+def test_states_are_replayed_in_order(spark):
+    log = spark.createDataFrame(
+        [(1, i, a) for i, a in enumerate(["write", "seal", "validate", "write", "validate", "seal", "write", "activate", "activate"])], "e int, i int, action string"
+    )
+    got = [(r["state"], r["accepted"]) for r in lifecycle.replay(log, ["e"], ["i"], "action", lifecycle.EPOCH).orderBy("i").collect()]
+    assert got == [
+        ("staging", True), ("staging", False), ("validated", True), ("staging", True), ("validated", True), ("sealed", True), ("sealed", False), ("active", True), ("active", False),
+    ]
+
+
+def test_vectors_of_another_version_stop_the_build(spark):
+    old = spark.createDataFrame([(1, "e1", "v1"), (2, "e1", "v0"), (3, "e1", None)], "doc int, epoch string, version string")
+    some = spark.createDataFrame([(1,)], "doc int")
+    assert corpus.carry_forward(old, some, "doc", "epoch", "e2", "version", ["v1"]).first()["epoch"] == "e2"
+    for bad in (2, 3):
+        with pytest.raises(corpus.VersionMismatchError):
+            corpus.carry_forward(old, spark.createDataFrame([(bad,)], "doc int"), "doc", "epoch", "e2", "version", ["v1"])
+
+
+def test_rank_in_few_large_groups(spark):
+    rng = random.Random(4)
+    rows = [(rng.choice(["a", "b", None]), rng.randint(0, 30), i) for i in range(3000)]
+    df = spark.createDataFrame(rows, "k string, v int, i int")
+    got = {r["i"]: (r["rank"], r["group_size"]) for r in ranking.distributed_rank(df, ["k"], ["v", "i"]).collect()}
+    for key in ("a", "b", None):
+        mine = sorted((v, i) for k, v, i in rows if k == key)
+        assert all(got[i] == (n, len(mine)) for n, (_, i) in enumerate(mine, 1))
+
+
+def test_passages_are_found_with_and_without_an_inner_word(spark, monkeypatch):
+    rng = random.Random(5)
+    words = ["alpha", "be", "gamma", "d", "epsilon", "x  y", "line\nbreak"]
+    texts = [" ".join(rng.choices(words, k=rng.randint(0, 12))) for _ in range(60)] + [None, ""]
+    passages = [t[a : a + n] for t in texts[:40] for a, n in [(rng.randint(0, len(t)), rng.randint(0, 25))]] + ["alpha", "", None, "no such", " "]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc int, text string")
+    asked = spark.createDataFrame(list(enumerate(passages)), "p int, passage string")
+    want = {(d, p) for d, t in enumerate(texts) for p, s in enumerate(passages) if t is not None and s is not None and s in t}
+    for limit in (500_000, 0):
+        monkeypatch.setattr(lexical, "BROADCAST_TERMS", limit)
+        rows = lexical.containing(docs, asked, "doc", "text", "passage").collect()
+        assert len(rows) == len(want) and {(r["doc"], r["p"]) for r in rows} == want
+
+
+def test_retrievers(spark):
+    rows = [(i, " ".join(f"w{(i * j) % 7}" for j in range(1, 6)), [float(i % 3), 1.0, float(i)]) for i in range(30)]
+    docs = spark.createDataFrame(rows, "doc int, text string, vector array<float>")
+    queries = docs.where("doc in (3, 8)").withColumnRenamed("doc", "query")
+    for name in ("bm25", "dense", "hybrid_rrf"):
+        found = extension.retrieve(name, docs, queries, 10).collect()
+        assert {r["query"] for r in found} == {3, 8} and len(found) <= 20
+        assert sorted(r["rank"] for r in found if r["query"] == 3) == list(range(1, 1 + sum(r["query"] == 3 for r in found)))
+    fused = {r["doc"] for r in extension.retrieve("hybrid_rrf", docs, queries, 10).where("query = 3").collect()}
+    either = {r["doc"] for n in ("bm25", "dense") for r in extension.retrieve(n, docs, queries, 10).where("query = 3").collect()}
+    assert fused <= either
+    with pytest.raises(ValueError):
+        extension.retrieve("bm25", docs, queries, 9)
+    with pytest.raises(ValueError):
+        extension.retrieve("nobody", docs, queries, 10)
+
+
+def test_embedders_scorers_and_schema_differences(spark):
+    df = spark.createDataFrame([("ab", "abc"), (None, "x")], "a string, b string")
+    rows = df.select(
+        extension.embed(F.col("a"), lambda: lambda texts: [[float(len(t))] for t in texts]).alias("v"),
+        extension.score_pairs(F.col("a"), F.col("b"), lambda: lambda pairs: [len(x) / len(y) for x, y in pairs]).alias("s"),
+    ).collect()
+    assert [r["v"] for r in rows] == [[2.0], [0.0]] and rows[0]["s"] == pytest.approx(2 / 3) and rows[1]["s"] == 0
+    left = {"type": "object", "properties": {"a": {"type": "string"}, "b": [1, 2]}}
+    right = {"type": "object", "properties": {"a": {"type": "long"}, "b": [1], "c": {}}}
+    assert extension.schema_diff(left, right) == ["$.properties.c: only on the right", "$.properties.a.type: 'string' and 'long'", "$.properties.b: lengths 2 and 1"]
+    assert extension.schema_diff(left, left) == []
