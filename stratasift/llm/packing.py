@@ -1,16 +1,18 @@
 """Shortest-pack-first packing over the histogram of lengths.
 
 Token counts go to the driver only as a histogram with at most ``capacity``
-entries.  Lengths are placed longest first, each into the pack that is the
-shortest so far, for all documents of that length at once: a pattern is a list
-of lengths with the number of packs that have it.  Patterns then meet the
-pieces by their rank within their length.
+entries.  Lengths are placed longest first, each piece into the pack that is
+the shortest at that moment; packs that are equally full take theirs in one
+step.  A pattern is a list of lengths with the number of packs that have it.
+Patterns then meet the pieces by their rank within their length.
 """
 
 from __future__ import annotations
 
 import heapq
+import json
 import os
+import struct
 import zlib
 from collections import Counter
 
@@ -21,14 +23,14 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
+from .bpe_counts import byte_symbols
 from .common import binary_list, plain_list, read_table, require, stage
 
 CAPACITY = 2048
 END_ID = 1
 
-#: Chunks, and canonical words, whose ids one Python worker keeps; a full cache starts anew
-#: or, for words, keeps those of the last generation at hand.
-CACHE_CHUNKS, CACHE_WORDS = 300_000, 350_000
+#: Chunks whose ids one Python worker keeps in its newer generation; the older one has as many at most.
+CACHE_CHUNKS = 400_000
 
 #: Into so many parts the pieces of one length are dealt for ranking.
 RANK_PARTS = 512
@@ -38,14 +40,41 @@ RANK_PARTS = 512
 _MARK = "\x01"
 
 
+def _lowers_and_splits_letters(spec: dict) -> bool:
+    """Whether a vocabulary file lower-cases text and makes each run of letters one byte-level pre-token."""
+    steps = (spec.get("normalizer") or {}).get("normalizers", [])
+    before = (spec.get("pre_tokenizer") or {}).get("pretokenizers", [])
+    return (
+        [s["type"] for s in steps] == ["NFC", "Replace", "Lowercase"]
+        and [s["type"] for s in before] == ["Split", "ByteLevel"]
+        and r"|[\p{L}]+|" in str(before[0]["pattern"].get("Regex"))
+        and not before[1]["add_prefix_space"]
+        and spec["model"]["type"] == "BPE"
+        and not any(t["content"].isalpha() for t in spec["added_tokens"])
+    )
+
+
 class _Seen(dict):
-    """Ids of chunks; notes the chunks that it was asked for and doesn't have, and gives None for them."""
+    """Ids of chunks, in two generations.
+
+    Notes the chunks that it was asked for and doesn't have, and gives None for them.
+    """
 
     def __init__(self):
         self.asked: list[bytes] = []
+        self.older: dict[bytes, bytes] = {}
+
+    def __missing__(self, chunk: bytes) -> bytes | None:
+        ids = self.older.get(chunk)
+        if ids is None:
+            self.asked.append(chunk)
+        else:
+            self[chunk] = ids
+        return ids
 
-    def __missing__(self, chunk: bytes) -> None:
-        self.asked.append(chunk)
+    def age(self) -> None:
+        self.older = dict(self)
+        self.clear()
 
 
 class ChunkEncoder:
@@ -57,69 +86,98 @@ class ChunkEncoder:
         # One thread per task is what the cluster's scheduler counts on.
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         self.tokenizer = Tokenizer.from_file(path)
+        self.model = self.tokenizer.model
         self.cache = _Seen()
-        self.words: dict[bytes, bytes] = {}
-        self.old_words: dict[bytes, bytes] = {}
         (self.mark,) = self._ids(_MARK)
+        self.symbols = byte_symbols()
+        with open(path, encoding="utf-8") as f:
+            self.splits_letters = _lowers_and_splits_letters(json.load(f))
 
     def _ids(self, text: str) -> list[int]:
         return self.tokenizer.encode(text, add_special_tokens=False).ids
 
+    def plain_ids(self, word: bytes) -> bytes | None:
+        """Ids of a lower-case word of letters, straight from the merges; None for all other chunks.
+
+        Such a word is a pre-token by itself, and the normalizer leaves it alone.
+        """
+        if not self.splits_letters:
+            return None
+        if word.isalpha() and word.islower():
+            shown = word.decode()
+        else:
+            text = word.decode()
+            # Letters below the combining marks are composed already.
+            if not text.isalpha() or max(text) >= "\u0300" or text.lower() != text:
+                return None
+            shown = "".join([self.symbols[b] for b in word])
+        ids = [t.id for t in self.model.tokenize(shown)]
+        return struct.pack(f"<{len(ids)}I", *ids)
+
     def encoded(self, chunks: list[bytes]) -> list[bytes]:
         """Little-endian unsigned 32-bit ids of each chunk, from one call for all."""
         texts = [c.decode() for c in chunks]
         joined = f" {_MARK} ".join("" if _MARK in t else t for t in texts)
         ids = np.array(self._ids(joined), dtype="<u4")
-        parts = np.split(ids, np.flatnonzero(ids == self.mark))
-        found = [parts[0].tobytes()] + [p[1:].tobytes() for p in parts[1:]]
+        marks = np.flatnonzero(ids == self.mark)
+        raw = ids.tobytes()
+        begins = [0, *((marks + 1) * 4).tolist()]
+        found = [raw[i:j] for i, j in zip(begins, [*(marks * 4).tolist(), len(raw)], strict=True)]
         for i, t in enumerate(texts):
             if _MARK in t:
                 found[i] = np.array(self._ids(t), dtype="<u4").tobytes()
         return found
 
-    def chunk_ids(self, chunks: list[bytes]) -> list[bytes]:
-        """Of each chunk, by its lower-cased word and its final punctuation, which are encoded apart."""
-        forms = []
+    def learn(self, chunks: list[bytes]) -> None:
+        """Finds the ids of new chunks, by the lower-cased word and its final punctuation, which are encoded apart."""
+        cache, older = self.cache, self.cache.older
+        wanted: dict[bytes, None] = {}
+        forms: list[tuple[bytes, bytes, bytes]] = []
         for c in chunks:
+            if c.isalpha() and c.islower():  # plain lower-case ASCII, which is most of them
+                wanted[c] = None
+                continue
             if b"<|" in c:  # special tokens are found before letters are lower-cased
-                forms.append((c, b""))
+                wanted[c] = None
                 continue
             low = c.lower()
             body = low.rstrip(b".,;:!?")
             # Only after a letter does punctuation begin a token of its own.
             if len(body) == len(low) or not body or not (body[-1:].isalpha() or body.decode()[-1].lower().isalpha()):
-                forms.append((low, b""))
-            else:
-                forms.append((body, low[len(body) :]))
-        words, old = self.words, self.old_words
-        wanted = dict.fromkeys(x for form in forms for x in form)
-        wanted.pop(b"", None)
+                body = low
+            if body == c:
+                wanted[c] = None
+                continue
+            end = low[len(body) :]
+            forms.append((c, body, end))
+            for x in (body, end):
+                if x and x not in cache:
+                    if (ids := older.get(x)) is None:
+                        wanted[x] = None
+                    else:
+                        cache[x] = ids
         missing = []
         for w in wanted:
-            if w not in words:
-                if (ids := old.get(w)) is None:
-                    missing.append(w)
-                else:
-                    words[w] = ids
+            if (ids := self.plain_ids(w)) is None:
+                missing.append(w)
+            else:
+                cache[w] = ids
         for i in range(0, len(missing), 2048):
             some = missing[i : i + 2048]
-            words.update(zip(some, self.encoded(some), strict=True))
-        found = [words[a] + words[b] if b else words[a] for a, b in forms]
-        if len(words) > CACHE_WORDS:
-            self.words, self.old_words = {}, words
-        return found
+            cache.update(zip(some, self.encoded(some), strict=True))
+        for c, body, end in forms:
+            cache[c] = cache[body] + cache[end] if end else cache[body]
 
     def encode(self, texts: list[bytes]) -> list[bytes]:
         """Little-endian unsigned 32-bit ids of each text."""
         cache = self.cache
+        if len(cache) > CACHE_CHUNKS:
+            cache.age()
         looked_up = [list(map(cache.__getitem__, t.split())) for t in texts]
         if not cache.asked:
             return [b"".join(ids) for ids in looked_up]
         asked, cache.asked = cache.asked, []
-        new = list(dict.fromkeys(asked))
-        if len(cache) > CACHE_CHUNKS:
-            cache.clear()
-        cache.update(zip(new, self.chunk_ids(new), strict=True))
+        self.learn(list(dict.fromkeys(asked)))
         missed = iter(asked)
         for ids in looked_up:
             at = -1
@@ -188,47 +246,59 @@ def tokenized_pieces(
 def pack_histogram(histogram: dict[int, int], capacity: int = CAPACITY) -> list[tuple[int, list[tuple[int, int]]]]:
     """Patterns as (packs, [(length, how many in each pack), ...]).
 
-    Longest lengths first; each goes into the packs that are shortest so far,
-    if it fits there, and else opens new packs.  Only patterns and their
-    counts change, so the work depends on the number of lengths, not of pieces.
+    Longest lengths first; each piece goes into the pack that is the shortest
+    at that moment, if it fits there, and else opens a new one.  Packs that are
+    equally full are one group and take a piece each in one step, so the work
+    depends on the number of lengths, not of pieces.  A length splits one group
+    at most, so there are three patterns for a length at most.
     """
-    # (used, order, packs, contents); the shortest pack is on top.
-    heap: list[tuple[int, int, int, tuple]] = []
-    done: list[tuple[int, tuple]] = []
-    order = 0
+    # By fill: [packs, contents] of each pattern, contents being a chain of lengths from the last back.
+    groups: dict[int, list[list]] = {}
+    fills: list[int] = []
+
+    def put(fill: int, entries: list[list]) -> None:
+        if fill not in groups:
+            groups[fill] = []
+            heapq.heappush(fills, fill)
+        groups[fill] += entries
+
     for length in sorted(histogram, reverse=True):
         left = histogram[length]
         if not 0 < length <= capacity:
             raise ValueError(f"length {length} is not within 1 to {capacity}")
-        later = []
-        while left and heap and heap[0][0] + length <= capacity:
-            used, _, packs, contents = heapq.heappop(heap)
-            fit = (capacity - used) // length
-            # As many of this length into each of these packs as an even deal gives, one at least.
-            each = max(1, min(fit, left // packs))
-            taken = min(packs, left)
-            left -= taken * each
-            order += 1
-            later.append((used + each * length, order, taken, (*contents, (length, each))))
-            if taken < packs:
-                order += 1
-                heapq.heappush(heap, (used, order, packs - taken, contents))
+        while left and fills and fills[0] + length <= capacity:
+            fill = heapq.heappop(fills)
+            entries, filled = groups.pop(fill), []
+            while entries and left:
+                packs, contents = entries.pop()
+                taken = min(packs, left)
+                left -= taken
+                filled.append([taken, (contents, length)])
+                if taken < packs:
+                    entries.append([packs - taken, contents])
+            if entries:
+                put(fill, entries)
+            put(fill + length, filled)
         if left:
-            fit = capacity // length
-            full, rest = divmod(left, fit)
-            for packs, each in ((full, fit), (1 if rest else 0, rest)):
-                if packs:
-                    order += 1
-                    later.append((each * length, order, packs, ((length, each),)))
-        for entry in later:
-            if entry[0] == capacity:
-                done.append((entry[2], entry[3]))
-            else:
-                heapq.heappush(heap, entry)
-    done += [(packs, contents) for _, _, packs, contents in heap]
+            # No pack has room: a new one is the shortest until it is full.
+            full, rest = divmod(left, capacity // length)
+            for packs, each in ((full, capacity // length), (1, rest)):
+                if packs and each:
+                    contents = None
+                    for _ in range(each):
+                        contents = (contents, length)
+                    put(each * length, [[packs, contents]])
     merged: Counter = Counter()
-    for packs, contents in done:
-        merged[contents] += packs
+    for entries in groups.values():
+        for packs, contents in entries:
+            runs: list[list[int]] = []
+            while contents:
+                contents, length = contents
+                if runs and runs[-1][0] == length:
+                    runs[-1][1] += 1
+                else:
+                    runs.append([length, 1])
+            merged[tuple(map(tuple, reversed(runs)))] += packs
     return [(packs, list(contents)) for contents, packs in sorted(merged.items(), reverse=True)]
 
 
