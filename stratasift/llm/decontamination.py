@@ -1,11 +1,12 @@
-"""Benchmark decontamination by a prefix-filtered set join.
-
-An item occurs in a document where one of its windows does.  The words of all
-windows are ordered by how rare they are in the documents; of each window only
-the two rarest words, a necessary prefix of a join for full containment, meet
-the documents' words.  Each gives the place where the item would have to
-begin, and both must give the same.  Windows that would not fit into the
-document are ruled out, and the rest are compared word by word.  DataFrame
+"""Benchmark decontamination by a prefix-filtered set join over shingles.
+
+An item occurs in a document where one of its windows does.  Documents are cut
+into words once, and the places of the shingles that some item has are kept.
+These give the order of rarity; of each window the rarest shingle, which is the
+necessary prefix of a join for full containment, says where in a document the
+item would have to begin.  Beginnings that leave no room for a window are ruled
+out, and at the rest all shingles of the item must be found at their places:
+unbroken runs that are as long as a window are occurrences.  DataFrame
 functions only.
 """
 
@@ -13,22 +14,23 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
-from .common import read_table, require, stage
+from .common import quoted, read_table, require, stage
 
 WINDOW_WORDS = 13
 
+#: Words of a shingle; windows with fewer are one shingle.
+SHINGLE_WORDS = 3
+
 #: A document is contaminated if at least this share of its words is hit.
 MIN_SHARE = 0.05
 
-#: Words of each window that must be found at their places before it is compared.
-PREFIX = 2
-
 #: Follows the words of each text in the scan; no word has its character.
 _END = "\x00"
 
-#: Up to so many rows, benchmark tables are broadcast; beyond, they are shuffled.
-BROADCAST_ROWS = 100_000
+#: Benchmark tables are counted; up to so many rows they are broadcast, beyond they are shuffled.
+BROADCAST_ROWS = 500_000
 
 #: One word before A-Z are lower-cased: neither ASCII control, space nor punctuation.
 _WORD = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
@@ -44,48 +46,129 @@ def lowered(text: Column) -> Column:
     return F.translate(text, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
 
-def _join_key(word: Column) -> Column:
-    # Equal words stay equal; the exact comparison comes at the end.
-    return F.lower(word)
+def _key(words: list[Column]) -> Column:
+    # Equal shingles have equal keys, whatever else has; the words are compared where keys meet.
+    return F.xxhash64(F.lit(len(words)), *[F.lower(w) for w in words])
+
+
+def _gram(words: list[Column]) -> Column:
+    return F.concat_ws(" ", *words)
+
+
+def _following(words: Column, at: Column, width: int) -> list[Column]:
+    return [F.get(words, at + i) for i in range(width)]
 
 
 def item_table(benchmark: DataFrame, item_col: str, text_col: str, window: int) -> DataFrame:
-    """(item, row_key, words, span): the items that have words, and how long a window of each is."""
+    """(item, row_key, words, length, span, width): the items with words, and how long windows and shingles of each are."""
     return (
         benchmark.select(
-            F.coalesce(F.col(f"`{item_col}`").cast("string"), F.lit("")).alias("item"),
-            words_of(lowered(F.col(f"`{text_col}`"))).alias("words"),
+            F.coalesce(F.col(quoted(item_col)).cast("string"), F.lit("")).alias("item"),
+            words_of(lowered(F.col(quoted(text_col)))).alias("words"),
         )
         .distinct()
-        .where(F.size("words") > 0)
-        .withColumn("row_key", F.xxhash64("item", "words"))
-        .withColumn("span", F.least(F.lit(window), F.size("words")))
+        .withColumn("length", F.size("words"))
+        .where("length > 0")
+        .withColumn("row_key", F.struct("item", F.sha2(F.concat_ws(" ", "words"), 256).alias("words")))
+        .withColumn("span", F.least(F.lit(window), "length"))
+        .withColumn("width", F.least(F.lit(SHINGLE_WORDS), "span"))
     )
 
 
-def necessary_prefixes(items: DataFrame, frequency: DataFrame) -> DataFrame:
-    """(word, row_key, at, span, length): for each window its ``PREFIX`` rarest words and their places in the item.
+def shingle_places(items: DataFrame) -> DataFrame:
+    """(row_key, length, span, width, at, gram, key) of each shingle of each item."""
+    placed = items.select(
+        "row_key", "words", "length", "span", "width", F.explode(F.sequence(F.lit(0), F.col("length") - F.col("width"))).alias("at")
+    )
+    by_width = [_following(F.col("words"), F.col("at"), k) for k in range(1, SHINGLE_WORDS + 1)]
+
+    def of_width(f):
+        chosen = F.lit(None)
+        for words in by_width:
+            chosen = F.when(F.col("width") == len(words), f(words)).otherwise(chosen)
+        return chosen
+
+    return placed.select("row_key", "length", "span", "width", "at", of_width(_gram).alias("gram"), of_width(_key).alias("key"))
+
+
+def shingle_hits(named: DataFrame, places: DataFrame, widths: list[int], near) -> DataFrame:
+    """(id, tag, n_words, place, gram) wherever a document has a shingle of an item, and at the end of each document."""
+    known = places.select("width", "key", "gram").distinct()
+    end = F.lit(_END)
+    ends = named.sparkSession.range(1).select(F.lit(0).alias("width"), _key([end]).alias("key"), end.alias("gram"))
+    cut = named.select("id", "tag", F.concat(words_of(F.col("text")), F.array(end)).alias("words"))
+    spread = cut.select("id", "tag", "words", F.posexplode("words").alias("place", "word"))
+    last = F.col("word") == end
+    keys = [F.struct(F.lit(k).alias("width"), _key(_following(F.col("words"), F.col("place"), k)).alias("key")) for k in widths]
+    at_end = F.struct(F.lit(0).alias("width"), _key([F.col("word")]).alias("key"))
+    if len(keys) <= 1:
+        keyed = spread.withColumn("k", F.when(last, at_end).otherwise(keys[0]) if keys else F.when(last, at_end))
+    else:
+        keyed = spread.withColumn("k", F.explode(F.when(last, F.array(at_end)).otherwise(F.array(*keys))))
+    same = F.lit(False)
+    for k in widths:
+        same |= (F.col("width") == k) & (F.col("gram") == _gram([lowered(w) for w in _following(F.col("words"), F.col("place"), k)]))
+    on = (F.col("k.key") == F.col("key")) & (F.col("k.width") == F.col("width"))
+    return (
+        keyed.join(near(known.unionByName(ends)), on)
+        .where((F.col("width") == 0) | same)
+        .select("id", "tag", (F.size("words") - 1).alias("n_words"), "place", "gram")
+    )
 
-    A window with a word that no document has cannot occur and has no row.
+
+def necessary_prefixes(places: DataFrame, frequency: DataFrame) -> DataFrame:
+    """(gram, row_key, at): for each window its rarest shingle and its place in the item.
+
+    A window with a shingle that no document has cannot occur and has no row.
     """
-    placed = items.select(
-        "row_key", "span", F.size("words").alias("length"), F.posexplode("words").alias("at", "word")
-    ).withColumn("word", _join_key(F.col("word")))
-    rated = placed.join(frequency, "word", "left")
-    # A word stands in the windows that begin from span - 1 places before it up to its own.
-    first = F.greatest(F.lit(0), F.col("at") - F.col("span") + 1)
+    rated = places.join(frequency, "gram", "left")
+    # A shingle stands in the windows that begin from this place on up to its own.
+    first = F.greatest(F.lit(0), F.col("at") - F.col("span") + F.col("width"))
     last = F.least(F.col("at"), F.col("length") - F.col("span"))
     rarest = (
         rated.withColumn("window", F.explode(F.sequence(first, last)))
-        .groupBy("row_key", "span", "length", "window")
-        .agg(F.array_sort(F.collect_list(F.struct(F.coalesce("seen", F.lit(0)).alias("seen"), "word", "at"))).alias("by_rarity"))
-        .where(F.col("by_rarity")[0]["seen"] > 0)
+        .groupBy("row_key", "window")
+        .agg(F.min(F.struct(F.coalesce("seen", F.lit(0)).alias("seen"), "gram", "at")).alias("best"))
+        .where("best.seen > 0")
     )
-    return (
-        rarest.select("row_key", "span", "length", F.explode(F.slice("by_rarity", 1, PREFIX)).alias("best"))
-        .select(F.col("best.word").alias("word"), "row_key", F.col("best.at").alias("at"), "span", "length")
+    return rarest.select("best.gram", "row_key", "best.at").distinct()
+
+
+def occurrences(found: DataFrame, places: DataFrame, items: DataFrame, prefixes: DataFrame, near) -> DataFrame:
+    """(id, tag, item, start, windows, span): runs of windows of an item in a document."""
+    shapes = items.select("row_key", "length", "span")
+    candidates = (
+        found.join(near(prefixes), "gram")
+        .withColumn("begin", F.col("place") - F.col("at"))
+        .join(near(shapes), "row_key")
+        # The item may begin before the document or end after it, but a window must fit.
+        .where("n_words >= span and begin + length >= span and begin <= n_words - span")
+        .select("id", "tag", "row_key", "begin")
         .distinct()
     )
+    expected = (
+        candidates.join(near(places.select("row_key", "at", "span", "width", "gram")), "row_key")
+        .withColumn("place", F.col("begin") + F.col("at"))
+        .where("place >= 0")
+    )
+    there = found.select(F.col("id").alias("f_id"), F.col("tag").alias("f_tag"), F.col("place").alias("f_place"), F.col("gram").alias("f_gram"))
+    same = (
+        F.col("id").eqNullSafe(F.col("f_id"))
+        & (F.col("tag") == F.col("f_tag"))
+        & (F.col("place") == F.col("f_place"))
+        & (F.col("gram") == F.col("f_gram"))
+    )
+    diagonal = ["id", "tag", "row_key", "begin", "span", "width"]
+    order = Window.partitionBy("id", "tag", "row_key", "begin").orderBy("at")
+    runs = (
+        expected.join(there, same, "left_semi")
+        .withColumn("run", F.col("at") - F.row_number().over(order))
+        .groupBy(*diagonal, "run")
+        .agg(F.min("place").alias("start"), F.count(F.lit(1)).cast("int").alias("shingles"))
+        .withColumn("windows", F.col("shingles") - (F.col("span") - F.col("width")))
+        .where("windows > 0")
+    )
+    return runs.select("id", "tag", F.col("row_key.item").alias("item"), "start", "windows", "span")
 
 
 def contamination(
@@ -109,89 +192,47 @@ def contamination(
     Null and empty texts have no words; items without words never occur.
     Repeated items count once, items with one id count as one, a null item id
     is the empty string.  Repeated documents keep a row each, and a null
-    document id is an id.  Other columns are not looked at.
+    document id is an id.  Texts and items of any length are compared whole.
+    An empty table of documents gives an empty result, an empty benchmark no
+    hit.  Other columns are not looked at.
     """
     require(docs, id_col, text_col)
     require(benchmark, item_col, item_text_col)
-    items = item_table(benchmark, item_col, item_text_col, window)
-    spark = docs.sparkSession
-    small = benchmark.count() * 64 <= BROADCAST_ROWS
-    near = F.broadcast if small else (lambda df: df)
-    source = docs.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").alias("text"))
+    items = stage(item_table(benchmark, item_col, item_text_col, window), "items")
+    places = stage(shingle_places(items), "places")
+    # Item shingles bound every benchmark table that is joined below.
+    sizes = {r["width"]: r["count"] for r in places.groupBy("width").count().collect()}
+    near = F.broadcast if sum(sizes.values()) <= BROADCAST_ROWS else (lambda df: df)
     # Rows with one id are told apart by their texts.
-    named = source.withColumn("tag", F.xxhash64("text"))
-    spread = named.select(
-        "id", "tag", F.posexplode(F.concat(words_of(F.col("text")), F.array(F.lit(_END)))).alias("place", "raw")
-    ).select("id", "tag", "place", _join_key(F.col("raw")).alias("word"))
-
-    vocabulary = items.select(F.explode("words").alias("w")).select(_join_key(F.col("w")).alias("word")).distinct()
-    frequency = spread.select("word").join(near(vocabulary), "word", "left_semi").groupBy("word").agg(
-        F.count(F.lit(1)).alias("seen")
-    )
-    prefixes = necessary_prefixes(items, frequency)
-    # The end of each text comes along, so that its number of words need not be counted again.
-    ends = spark.range(1).select(
-        F.lit(_END).alias("word"), *[F.lit(None).cast(prefixes.schema[c].dataType).alias(c) for c in prefixes.columns[1:]]
-    )
-    met = stage(spread.join(near(prefixes.unionByName(ends)), "word"), "met")
-    whole = met.where("row_key is null").select("id", "tag", F.col("place").cast("long").alias("n_words"))
-    candidates = (
-        met.where("row_key is not null")
-        # The part of the item from its last window's end on may lie before the document, not all of it.
-        .where(F.col("place") - F.col("at") + F.col("length") >= F.col("span"))
-        .groupBy("id", "tag", "row_key", "span", (F.col("place") - F.col("at")).alias("begin"))
-        .agg(F.countDistinct("at").alias("places"))
-        .where(F.col("places") >= F.least(F.lit(PREFIX), F.col("span")))
-        .drop("span", "places")
-        .join(near(items), "row_key")
+    named = docs.select(F.col(quoted(id_col)).alias("id"), F.col(quoted(text_col)).alias("text")).withColumn("tag", F.xxhash64("text"))
+    hits = stage(shingle_hits(named, places, sorted(sizes), near), "hits")
+    whole = hits.where(F.col("gram") == _END).select("id", "tag", F.col("n_words").cast("long").alias("n_words"))
+    found = hits.where(F.col("gram") != _END)
+    frequency = found.groupBy("gram").agg(F.count(F.lit(1)).alias("seen"))
+    prefixes = necessary_prefixes(places, frequency)
+    runs = (
+        occurrences(found, places, items, prefixes, near)
         .groupBy("id", "tag")
-        .agg(F.collect_list(F.struct("item", "begin", "span", F.col("words").alias("item_words"))).alias("found"))
-        .select(F.col("id").alias("c_id"), F.col("tag").alias("c_tag"), "found")
+        .agg(F.collect_list(F.struct("item", "start", "windows", "span")).alias("runs"))
+        .select(F.col("id").alias("r_id"), F.col("tag").alias("r_tag"), "runs")
     )
-    same_row = F.col("id").eqNullSafe(F.col("c_id")) & (F.col("tag") == F.col("c_tag"))
-    joined = (
-        named.join(candidates, same_row)
-        .select("id", "tag", words_of(lowered(F.col("text"))).alias("words"), "found")
-        # Also keeps the words a column: the comparisons below must not cut the text anew.
-        .dropDuplicates(["id", "tag"])
-    )
-    n = F.size("words")
-
-    def occurrences(c):
-        starts = F.sequence(F.lit(0), F.size(c["item_words"]) - c["span"])
-
-        def same(j):
-            at = c["begin"] + j
-            fits = (at >= 0) & (at + c["span"] <= n)
-            return F.when(
-                fits,
-                F.slice(F.col("words"), F.greatest(at, F.lit(0)) + 1, c["span"])
-                == F.slice(c["item_words"], j + 1, c["span"]),
-            ).otherwise(F.lit(False))
-
-        return F.transform(
-            F.filter(starts, same),
-            lambda j: F.struct(c["item"].alias("item"), (c["begin"] + j).alias("start"), c["span"].alias("span")),
-        )
-
-    found = joined.select(
-        F.col("id").alias("c_id"), F.col("tag").alias("c_tag"), F.flatten(F.transform("found", occurrences)).alias("hits")
-    ).where(F.size("hits") > 0)
-    none = F.array().cast("array<struct<item:string,start:int,span:int>>")
-    hits = whole.join(found, same_row, "left").select("id", "n_words", F.coalesce("hits", none).alias("hits"))
-    covered = F.array_distinct(
-        F.flatten(F.transform("hits", lambda h: F.sequence(h["start"], h["start"] + h["span"] - 1)))
+    none = F.array().cast("array<struct<item:string,start:int,windows:int,span:int>>")
+    same_row = F.col("id").eqNullSafe(F.col("r_id")) & (F.col("tag") == F.col("r_tag"))
+    judged = whole.join(runs, same_row, "left").select("id", "n_words", F.coalesce("runs", none).alias("runs"))
+    last = lambda r: r["start"] + r["windows"] - 1
+    covered = F.array_distinct(F.flatten(F.transform("runs", lambda r: F.sequence(r["start"], last(r) + r["span"] - 1))))
+    starts = F.transform(
+        "runs",
+        lambda r: F.transform(F.sequence(r["start"], last(r)), lambda s: F.struct(s.alias("start"), r["span"].alias("span"))),
     )
-    item_ids = F.array_sort(F.array_distinct(F.transform("hits", lambda h: h["item"])))
-    return hits.select(
+    item_ids = F.array_sort(F.array_distinct(F.transform("runs", lambda r: r["item"])))
+    return judged.select(
         F.col("id").alias(id_col),
         "n_words",
         F.size(covered).cast("long").alias("n_hit"),
         F.size(item_ids).cast("long").alias("n_items"),
         item_ids.alias("item_ids"),
-        F.array_distinct(F.transform("hits", lambda h: F.struct(h["start"].alias("start"), h["span"].alias("span")))).alias(
-            "hit_starts"
-        ),
+        F.array_distinct(F.flatten(starts)).alias("hit_starts"),
     ).withColumn("contaminated", (F.col("n_hit") > 0) & (F.col("n_hit") >= F.lit(min_share) * F.col("n_words")))
 
 
