@@ -2,70 +2,20 @@
 
 from __future__ import annotations
 
-import atexit
 import ctypes
 import functools
 import gc
-import tempfile
-import uuid
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Spark's Java regular expression for one word in the whitespace-delimited sense.
-WORD_RE = r"[^\x20\x09-\x0D]+"
-
-_STAGED: list[str] = []
+from stratasift.staging import new_folder, remove_folder, stage, stage_at
 
+__all__ = ["new_folder", "remove_folder", "stage", "stage_at"]
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share.
-
-    ``spark.checkpoint.dir`` names it.  Only a local session without that
-    setting (tests, a notebook) gets a temporary folder of its own.
-    """
-    path = spark.conf.get("spark.checkpoint.dir", None)
-    if path:
-        return path
-    if not spark.sparkContext.master.startswith("local"):
-        raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
-    path = "file://" + tempfile.mkdtemp(prefix="stratasift-")
-    spark.conf.set("spark.checkpoint.dir", path)
-    return path
-
-
-def new_folder(spark: SparkSession, label: str) -> str:
-    """A fresh folder below :func:`shared_dir`, removed when the process ends."""
-    path = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
-    if not _STAGED:
-        atexit.register(clear_staged, spark)
-    _STAGED.append(path)
-    return path
-
-
-def stage(df: DataFrame, label: str) -> DataFrame:
-    """Writes ``df`` as Parquet to the shared folder and reads it again.
-
-    That cuts the lineage, and lost executors cost no more than the tasks that
-    were running, since the files outlive them.
-    """
-    path = new_folder(df.sparkSession, label)
-    df.write.option("compression", "zstd").parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
-def clear_staged(spark: SparkSession) -> None:
-    """Removes every staged table; results that read them must be complete."""
-    while _STAGED:
-        path = _STAGED.pop()
-        try:
-            jvm = spark.sparkContext._jvm
-            target = jvm.org.apache.hadoop.fs.Path(path)
-            target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
-        except Exception:  # noqa: BLE001 - the session may be gone by now
-            return
-
+#: Spark's Java regular expression for one word in the whitespace-delimited sense.
+WORD_RE = r"[^\x20\x09-\x0D]+"
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import stage
+from .common import remove_folder, stage_at
 
 
 def _state(edges: DataFrame) -> tuple:
@@ -33,17 +33,20 @@ def connected_components(edges: DataFrame) -> DataFrame:
     """(``node``, ``component``) for every node of ``edges`` (two columns of one orderable type).
 
     The component is its smallest node.  Loops and repeated edges do no harm.
-    Each round is a staged table; the driver sees a count and a checksum of it.
+    Each round is a staged table, removed when the next one is there; the
+    driver sees a count and a checksum of it.
     """
     a, b = edges.columns
-    current = stage(
+    current, folder = stage_at(
         edges.select(F.col(a).alias("u"), F.col(b).alias("v")).where("u <> v").distinct(), "edges"
     )
     state = _state(current)
     if not state[0]:
         return current.toDF("node", "component")
     while True:
-        current = stage(_small_star(_large_star(current)), "edges")
+        last = folder
+        current, folder = stage_at(_small_star(_large_star(current)), "edges")
+        remove_folder(edges.sparkSession, last)
         new = _state(current)
         if new == state:
             break

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import binary_list, frees_memory, require, stage
+from .common import binary_list, frees_memory, quoted, remove_folder, require, stage, stage_at
 from .components import connected_components
 from .golay import codeword_indices
 from .simhash import SEGMENTS, golay_keys, groups_of, majority_bits, shingle_hashes
@@ -44,6 +44,14 @@ BLOCK_PAIRS = 1 << 20
 _ODD = (np.arange(1, VIEWS + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)) | np.uint64(1)
 
 
+def _stored(shingles: np.ndarray) -> bytes:
+    return shingles.astype("<u8").tobytes()
+
+
+def _loaded(shingles: bytes) -> np.ndarray:
+    return np.frombuffer(shingles, "<u8")
+
+
 def shingle_set(text: bytes, size: int) -> np.ndarray:
     return np.unique(shingle_hashes(text.lower().split(), size))
 
@@ -148,7 +156,7 @@ def verified(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
             left, right = batch.column(2).to_pylist(), batch.column(3).to_pylist()
             keep = []
             for x, y in zip(left, right, strict=True):
-                a, b = np.frombuffer(x, np.uint32), np.frombuffer(y, np.uint32)
+                a, b = _loaded(x), _loaded(y)
                 # Sizes too different for the similarity need no look at the sets.
                 if min(len(a), len(b)) < similarity * max(len(a), len(b)):
                     keep.append(False)
@@ -168,7 +176,7 @@ def slot_counts(hot: DataFrame) -> np.ndarray:
         counts = np.zeros(SLOTS, np.int64)
         for batch in batches:
             for x in batch.column(0).to_pylist():
-                np.add.at(counts, np.frombuffer(x, np.uint32) % SLOTS, 1)
+                counts += np.bincount((_loaded(x) % np.uint64(SLOTS)).astype(np.int64), minlength=SLOTS)
         slots = np.flatnonzero(counts)
         yield pa.RecordBatch.from_arrays([pa.array(slots), pa.array(counts[slots])], names=["slot", "n"])
 
@@ -192,12 +200,12 @@ def rare_shingles(hot: DataFrame, similarity: float) -> DataFrame:
         for batch in batches:
             tokens, sizes, places, indexed, owners = [], [], [], [], []
             for i, x in enumerate(batch.column(1).to_pylist()):
-                own = np.frombuffer(x, np.uint32)
+                own = _loaded(x)
                 n = len(own)
                 probe = n - int(np.ceil(similarity * n - 1e-6)) + 1
                 index = n - int(np.ceil(2 * similarity / (1 + similarity) * n - 1e-6)) + 1
-                chosen = own[np.lexsort((own, counts[own % SLOTS]))[:probe]]
-                tokens.append(chosen.astype(np.int64))
+                chosen = own[np.lexsort((own, counts[(own % np.uint64(SLOTS)).astype(np.int64)]))[:probe]]
+                tokens.append(chosen.view(np.int64))
                 sizes.append(np.full(len(chosen), n, np.int32))
                 places.append(np.arange(len(chosen), dtype=np.int32))
                 indexed.append(np.arange(len(chosen)) < index)
@@ -271,20 +279,18 @@ def linked_components(pairs: DataFrame, sets: DataFrame, similarity: float) -> D
     members = pairs.where("v is null").select(F.col("u").alias("content")).distinct()
     if members.isEmpty():
         return labels
-    members = stage(members.join(sets, "content"), "members")
+    members, members_at = stage_at(members.join(sets, "content"), "members")
     for first in (True, False):
         named = members.join(labels, F.col("content") == F.col("node"), "left").select(
             "content", "shingles", F.coalesce("component", "content").alias("component")
         )
-        more = verified(stage(rare_pairs(rare_shingles(named, similarity), similarity, first), "pairs"), sets, similarity)
-        labels = connected_components(labels.toDF("u", "v").union(more))
+        more = stage(verified(rare_pairs(rare_shingles(named, similarity), similarity, first), sets, similarity), "links")
+        if not more.isEmpty():
+            labels = connected_components(labels.toDF("u", "v").union(more))
+    remove_folder(members.sparkSession, members_at)
     return labels
 
 
-def content_key(text_col: str):
-    return F.unhex(F.md5(F.coalesce(F.col(f"`{text_col}`"), F.lit("")).cast("binary")))
-
-
 def one_per_group(
     df: DataFrame,
     id_col: str = "doc_id",
@@ -298,42 +304,37 @@ def one_per_group(
     have at least the similarity as sets of word shingles (A-Z lower-cased).
     Of repeated rows one stays.  Null and empty texts are one text.  A null id
     is smaller than all others; ties go by the remaining columns.  Texts with
-    fewer words than a shingle are one shingle.  Columns must be orderable.
-    An empty table stays empty.
+    fewer words than a shingle are one shingle.  Texts of any length are
+    compared whole, one pair of sets at a time.  Columns must be orderable and
+    may have any names; all pass through.  An empty table stays empty.
     """
     require(df, id_col, text_col)
-    keyed = df.withColumn("__content", content_key(text_col))
-    texts = keyed.select(F.col("__content").alias("content"), F.col(f"`{text_col}`").alias("text"))
-    keys = candidate_keys(texts, shingle)
-    pairs = stage(bucket_pairs(keys), "pairs")
-    rest = [c for c in df.columns if c != id_col]
-    row = F.struct(F.col(f"`{id_col}`").alias("f0"), *[F.col(f"`{c}`").alias(f"f{i + 1}") for i, c in enumerate(rest)])
-    unique = keyed.groupBy("__content").agg(F.min(row).alias("row"))
-    wanted = pairs.select(F.col("u").alias("c")).union(pairs.select("v")).where("c is not null").distinct()
-    text_at = f"row.f{rest.index(text_col) + 1}"
+    names = [id_col, *[c for c in df.columns if c != id_col]]
+    content = F.unhex(F.md5(F.coalesce(F.col(quoted(text_col)), F.lit("")).cast("binary")))
+    row = F.struct(*[F.col(quoted(c)).alias(f"f{i}") for i, c in enumerate(names)])
+    keyed = df.select(content.alias("content"), row.alias("row"))
+    text = F.col(f"row.f{names.index(text_col)}").alias("text")
+    pairs, pairs_at = stage_at(bucket_pairs(candidate_keys(keyed.select("content", text), shingle)), "pairs")
+    unique = keyed.groupBy("content").agg(F.min("row").alias("row"))
+    wanted = pairs.select(F.col("u").alias("content")).union(pairs.select("v")).where("content is not null").distinct()
 
     def to_sets(batches):
         for batch in batches:
-            sets = [
-                np.unique((shingle_set(t, shingle) >> np.uint64(32)).astype(np.uint32)).tobytes()
-                for t in binary_list(batch, "text")
-            ]
+            sets = [_stored(shingle_set(t, shingle)) for t in binary_list(batch, "text")]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.binary())], names=["content", "shingles"])
 
-    sets = stage(
-        unique.join(wanted, F.col("__content") == F.col("c"))
-        .select(F.col("__content").alias("content"), F.col(text_at).alias("text"))
-        .mapInArrow(frees_memory(to_sets), "content binary, shingles binary"),
+    sets, sets_at = stage_at(
+        unique.select("content", text).join(wanted, "content", "left_semi").mapInArrow(frees_memory(to_sets), "content binary, shingles binary"),
         "shingles",
     )
+    # The labels are a table of their own.
     labels = linked_components(pairs, sets, similarity)
+    remove_folder(df.sparkSession, pairs_at)
+    remove_folder(df.sparkSession, sets_at)
     # The first of a group by id stays; the others are what an anti-join removes.
-    heads = unique.select("__content", F.col("row.f0").alias("id"))
-    member = labels.join(heads, F.col("node") == F.col("__content")).select("node", "component", "id")
-    first = member.groupBy("component").agg(F.min(F.struct(F.col("id"), F.col("node"))).alias("first"))
-    dropped = (
-        member.join(first, "component").where(F.col("node") != F.col("first.node")).select(F.col("node").alias("__gone"))
-    )
-    kept = unique.join(dropped, F.col("__content") == F.col("__gone"), "left_anti")
-    names = {id_col: "row.f0"} | {c: f"row.f{i + 1}" for i, c in enumerate(rest)}
-    return kept.select(*[F.col(names[c]).alias(c) for c in df.columns])
+    heads = unique.select("content", F.col("row.f0").alias("id"))
+    member = labels.withColumnRenamed("node", "content").join(heads, "content")
+    first = member.groupBy("component").agg(F.min(F.struct("id", "content")).alias("first"))
+    dropped = member.join(first, "component").where(F.col("content") != F.col("first.content")).select("content")
+    kept = unique.join(dropped, "content", "left_anti")
+    return kept.select(*[F.col(f"row.f{names.index(c)}") for c in df.columns]).toDF(*df.columns)
