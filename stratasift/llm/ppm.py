@@ -1,12 +1,12 @@
 """Language-model scores by prediction by partial matching over bytes.
 
-A text is modelled as its words, one space between two of them, and an end
-byte.  The trie of byte contexts is a table of windows: the last ``ORDER``
-bytes and the byte that follows, with its count in the training documents.
-Windows and word counts are gathered per block of documents, summed over all
-blocks, turned into log probabilities (escape method C with symbol exclusion)
-by shards of the trie, and sent back to the blocks that asked for them.  No
-table of the model is ever in one place, so it grows with the corpus.
+A text is modelled as its bytes, as they are, and an end symbol.  The trie of
+byte contexts is a table of windows: the last ``ORDER`` bytes and the byte that
+follows, with its count in the training documents.  Windows and word counts
+are gathered per block of documents, summed over all blocks, turned into log
+probabilities (escape method C with symbol exclusion) by shards of the trie,
+and sent back to the blocks that asked for them.  No table of the model but
+that of byte triples is ever in one place, so it grows with the corpus.
 """
 
 from __future__ import annotations
@@ -20,19 +20,21 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.sql.window import Window
 
-from .common import binary_list, frees_group_memory, frees_memory, read_table, require, stage
+from .common import binary_list, frees_group_memory, frees_memory, quoted, read_table, require, stage
 
-ORDER = 4
-SPACE, END = 0x20, 0x0A
+#: Bytes of context.  A shard of the trie has the last three in common, so it has 2^24 windows at most.
+ORDER = 5
+
+#: The end of a text and what stands before its beginning; no UTF-8 text has this byte.
+END = 0xFF
 ALPHABET = 256
 
 #: Training leaves out documents whose crc32 of the id has this remainder.
 FOLDS, HELD_OUT = 7, 2
 
-#: Bytes of text that make up a block.
-BLOCK_BYTES = 8 << 20
+#: Bytes of text that make up a block, and that are looked at in one step.
+BLOCK_BYTES, STEP_BYTES = 32 << 20, 4 << 20
 
 #: The end of a text among the words; no word has white space.
 END_WORD = b"\n"
@@ -42,24 +44,24 @@ def is_held_out(key) -> bool:
     return zlib.crc32(str(key).encode()) % FOLDS == HELD_OUT
 
 
-def window_codes(texts: list[list[bytes]]) -> tuple[np.ndarray, np.ndarray]:
+def window_codes(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     """Codes of all windows of the texts, and where each text's windows begin.
 
     A code has the byte to be predicted in its lowest eight bits and the bytes
-    before it above; before its beginning a text has end bytes.
+    before it above.
     """
-    pad = bytes([END]) * ORDER
-    parts = [b" ".join(words) for words in texts]
-    flat = np.frombuffer(pad + (b"\n" + pad).join(parts) + b"\n", dtype=np.uint8)
-    sizes = np.array([len(p) + 1 for p in parts], dtype=np.int64)
+    end = bytes([END])
+    pad = end * ORDER
+    flat = np.frombuffer(pad + (end + pad).join(texts) + end, dtype=np.uint8)
+    sizes = np.array([len(t) + 1 for t in texts], dtype=np.int64)
     starts = np.r_[0, np.cumsum(sizes)]
-    # Targets are all bytes but the padding.
-    target = np.arange(starts[-1]) + np.repeat(np.arange(1, len(parts) + 1) * ORDER, sizes)
-    codes = np.zeros(starts[-1], np.int64)
+    codes = np.zeros(len(flat) - ORDER, np.int64)
     for back in range(ORDER, -1, -1):
         codes <<= 8
-        codes |= flat[target - back]
-    return codes, starts
+        codes |= flat[ORDER - back : len(flat) - back]
+    # Targets are all bytes but the padding between the texts.
+    padding = (starts[1:-1, None] + np.arange(len(texts) - 1)[:, None] * ORDER + np.arange(ORDER)).ravel()
+    return np.delete(codes, padding) if len(padding) else codes, starts
 
 
 def sorted_counts(codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -82,137 +84,168 @@ def packed_docs(keys: list, texts: list[bytes]) -> bytes:
 BLOCK_ROWS = T.StructType(
     [
         T.StructField("block", T.LongType()),
-        T.StructField("place", T.IntegerType()),
         T.StructField("code", T.LongType()),
         T.StructField("word", T.BinaryType()),
         T.StructField("seen", T.LongType()),
         T.StructField("docs", T.BinaryType()),
     ]
 )
-
-
-def _block_rows(block: int, keys: list, texts: list[bytes]) -> list[pa.RecordBatch]:
-    """Requests and training counts of one block, and its documents."""
-    tokens = [t.lower().split() for t in texts]
-    held = [is_held_out(k) for k in keys]
-    train, rest = Counter(), set()
-    for words, out in zip(tokens, held, strict=True):
-        if out:
-            rest.update(words)
-        else:
-            train.update(words)
-            train[END_WORD] += 1
-    vocabulary = sorted(rest | train.keys() | {END_WORD})
-    codes, starts = window_codes(tokens)
-    learn = np.repeat(np.array([not h for h in held], bool), np.diff(starts))
-    known, counts = sorted_counts(codes[learn])
-    asked, _ = sorted_counts(codes[~learn])
-    extra = asked[~np.isin(asked, known, assume_unique=True)]
-    known, counts = np.r_[known, extra], np.r_[counts, np.zeros(len(extra), np.int64)]
-
-    def rows(n, **columns):
-        arrow = BATCH_SCHEMA
-        arrays = [
-            pa.array(np.full(n, block, np.int64)) if f.name == "block" else columns.get(f.name, pa.nulls(n, f.type))
-            for f in arrow
-        ]
-        return pa.RecordBatch.from_arrays(arrays, schema=arrow)
-
-    order = np.argsort(known)
-    out = [rows(len(known), code=pa.array(known[order]), seen=pa.array(counts[order]))]
-    for at in range(0, len(vocabulary), 100_000):
-        some = vocabulary[at : at + 100_000]
-        out.append(
-            rows(
-                len(some),
-                place=pa.array(np.arange(at, at + len(some), dtype=np.int32)),
-                word=pa.array(some, pa.binary()),
-                seen=pa.array([train[w] for w in some], pa.int64()),
-            )
-        )
-    for at in range(0, len(keys), 500):
-        out.append(rows(1, docs=pa.array([packed_docs(keys[at : at + 500], texts[at : at + 500])], pa.binary())))
-    return out
-
-
 BATCH_SCHEMA = pa.schema(
-    [
-        ("block", pa.int64()),
-        ("place", pa.int32()),
-        ("code", pa.int64()),
-        ("word", pa.binary()),
-        ("seen", pa.int64()),
-        ("docs", pa.binary()),
-    ]
+    [("block", pa.int64()), ("code", pa.int64()), ("word", pa.binary()), ("seen", pa.int64()), ("docs", pa.binary())]
 )
 
 
+class Block:
+    """Requests and training counts of some documents, gathered in steps."""
+
+    def __init__(self, number: int):
+        self.number = number
+        self.train, self.rest = Counter(), set()
+        self.known: list[tuple] = []
+        self.asked: list[np.ndarray] = []
+        self.docs: list[bytes] = []
+
+    def add(self, keys: list, texts: list[bytes]) -> None:
+        held = [is_held_out(k) for k in keys]
+        for text, out in zip(texts, held, strict=True):
+            words = text.lower().split()
+            if out:
+                self.rest.update(words)
+            else:
+                self.train.update(words)
+                self.train[END_WORD] += 1
+        self.rest.add(END_WORD)
+        codes, starts = window_codes(texts)
+        learn = np.repeat(np.array([not h for h in held], bool), np.diff(starts))
+        self.known.append(sorted_counts(codes[learn]))
+        self.asked.append(sorted_counts(codes[~learn])[0])
+        self.docs.append(packed_docs(keys, texts))
+
+    def _rows(self, n: int, **columns) -> pa.RecordBatch:
+        columns["block"] = pa.array(np.full(n, self.number, np.int64))
+        return pa.RecordBatch.from_arrays([columns.get(f.name, pa.nulls(n, f.type)) for f in BATCH_SCHEMA], schema=BATCH_SCHEMA)
+
+    def rows(self):
+        code, count = (np.concatenate(x) for x in zip(*self.known, strict=True))
+        order = np.argsort(code, kind="stable")
+        code, count = code[order], count[order]
+        first = np.flatnonzero(np.r_[True, code[1:] != code[:-1]]) if len(code) else np.zeros(0, np.int64)
+        known, counts = code[first], np.add.reduceat(count, first) if len(first) else count
+        asked = np.unique(np.concatenate(self.asked))
+        extra = asked[~np.isin(asked, known, assume_unique=True)]
+        known, counts = np.r_[known, extra], np.r_[counts, np.zeros(len(extra), np.int64)]
+        order = np.argsort(known)
+        known, counts = known[order], counts[order]
+        for at in range(0, len(known), 200_000):
+            part = slice(at, at + 200_000)
+            yield self._rows(len(known[part]), code=pa.array(known[part]), seen=pa.array(counts[part]))
+        self.rest.difference_update(self.train)
+        for words, seen in ((list(self.train), list(self.train.values())), (list(self.rest), [0] * len(self.rest))):
+            for at in range(0, len(words), 100_000):
+                some = words[at : at + 100_000]
+                yield self._rows(len(some), word=pa.array(some, pa.binary()), seen=pa.array(seen[at : at + 100_000], pa.int64()))
+        for docs in self.docs:
+            yield self._rows(1, docs=pa.array([docs], pa.binary()))
+
+
 def gathered_blocks(docs: DataFrame) -> DataFrame:
     """Cuts the stream of documents in each task into blocks and gathers what each needs."""
 
     def run(batches):
         partition, number = TaskContext.get().partitionId(), 0
+        block, total = Block(partition << 32), 0
         keys: list = []
         texts: list[bytes] = []
         size = 0
         for batch in batches:
-            for key, text in zip(batch.column(0).to_pylist(), binary_list(batch, "__text"), strict=True):
+            for key, text in zip(batch.column(0).to_pylist(), binary_list(batch, "text"), strict=True):
                 keys.append(key)
                 texts.append(text)
                 size += len(text) + 64
-                if size >= BLOCK_BYTES:
-                    yield from _block_rows((partition << 32) | number, keys, texts)
-                    keys, texts, size, number = [], [], 0, number + 1
+                if size >= STEP_BYTES:
+                    block.add(keys, texts)
+                    total += size
+                    keys, texts, size = [], [], 0
+                    if total >= BLOCK_BYTES:
+                        yield from block.rows()
+                        number += 1
+                        block, total = Block((partition << 32) | number), 0
         if keys:
-            yield from _block_rows((partition << 32) | number, keys, texts)
+            block.add(keys, texts)
+        if block.docs:
+            yield from block.rows()
 
     return docs.mapInArrow(frees_memory(run), BLOCK_ROWS)
 
 
-def log_probabilities(codes: np.ndarray, counts: np.ndarray, low: np.ndarray) -> np.ndarray:
+class Triples:
+    """Counts of byte triples over the whole corpus, from which contexts of two bytes, one and none follow."""
+
+    def __init__(self, code: np.ndarray, seen: np.ndarray):
+        there = seen > 0
+        code, seen = code[there], seen[there]
+        order = np.argsort(code)
+        self.code, self.seen = code[order], seen[order]
+        self.pairs = np.zeros((256, 256), np.int64)
+        np.add.at(self.pairs, ((self.code >> 8) & 0xFF, self.code & 0xFF), self.seen)
+        context = self.code >> 8
+        self.total = [np.bincount(context, self.seen, 1 << 16).astype(np.int64), self.pairs.sum(axis=1), self.pairs.sum()]
+        single = self.pairs.sum(axis=0)
+        self.kinds = [np.bincount(context, minlength=1 << 16), (self.pairs > 0).sum(axis=1), np.int64((single > 0).sum())]
+        # How often the symbols that follow two bytes, or one, stand after one byte, or none.
+        after = self.pairs[(self.code >> 8) & 0xFF, self.code & 0xFF]
+        self.shut = [np.bincount(context, after, 1 << 16).astype(np.int64), ((self.pairs > 0) @ single)]
+        self.single = single
+
+    def own(self, triple: np.ndarray) -> np.ndarray:
+        if not len(self.code):
+            return np.zeros(len(triple), np.int64)
+        at = np.minimum(np.searchsorted(self.code, triple), len(self.code) - 1)
+        return np.where(self.code[at] == triple, self.seen[at], 0)
+
+
+def log_probabilities(codes: np.ndarray, counts: np.ndarray, low: Triples) -> np.ndarray:
     """log10 probability of the last byte of each window after the bytes before it.
 
-    ``codes`` are distinct and sorted; all windows that agree in their last
-    three bytes are among them.  ``counts`` may be zero for windows that were
-    asked for and not seen.  ``low[a, b]`` counts byte b after byte a over the
-    whole corpus, for contexts of one byte and none.
+    ``codes`` are distinct and sorted; all windows that agree in the last three
+    bytes before the last are among them.  ``counts`` may be zero for windows
+    that were asked for and not seen.
     """
     n = len(codes)
     result, waiting = np.zeros(n), np.ones(n, bool)
+    symbol, before, two = codes & 0xFF, (codes >> 8) & 0xFF, (codes >> 8) & 0xFFFF
     # What the next longer context has seen: symbols, and how often those stand after the shorter one.
     shut_symbols = np.zeros(n, np.int64)
-    seen_above: np.ndarray | None = None  # for each window: its symbol was seen in the longer context
-    above_context = above_symbol = None
+    seen_above = above_context = None
     for order in range(ORDER, -1, -1):
-        if order >= 2:
+        if order >= 3:
             node = codes & ((1 << 8 * (order + 1)) - 1)
-            nodes, inverse = np.unique(node, return_inverse=True)
-            node_count = np.bincount(inverse, weights=counts, minlength=len(nodes)).astype(np.int64)
+            nodes, inverse = (codes, slice(None)) if order == ORDER else np.unique(node, return_inverse=True)
+            node_count = counts if order == ORDER else np.bincount(inverse, counts, len(nodes)).astype(np.int64)
             contexts, of_node = np.unique(nodes >> 8, return_inverse=True)
-            total = np.bincount(of_node, weights=node_count, minlength=len(contexts)).astype(np.int64)[of_node][inverse]
-            kinds = np.bincount(of_node, weights=node_count > 0, minlength=len(contexts)).astype(np.int64)[of_node][inverse]
+            total = np.bincount(of_node, node_count, len(contexts)).astype(np.int64)[of_node][inverse]
+            kinds = np.bincount(of_node, node_count > 0, len(contexts)).astype(np.int64)[of_node][inverse]
             own = node_count[inverse]
         else:
-            table = low if order else np.broadcast_to(low.sum(axis=0), low.shape)
-            before, symbol = (codes >> 8) & 0xFF, codes & 0xFF
-            own = table[before, symbol]
-            total = table.sum(axis=1)[before]
-            kinds = (table > 0).sum(axis=1)[before]
-        # How often the symbols that the longer context had stand after this one.
+            at = (two, before, np.zeros(n, np.int64))[2 - order]
+            total, kinds = (np.atleast_1d(x[2 - order])[at] for x in (low.total, low.kinds))
+            own = (low.own(codes & 0xFFFFFF), low.pairs[before, symbol], low.single[symbol])[2 - order]
         if seen_above is None:
             shut_total = np.zeros(n, np.int64)
-        elif not order:
-            # The windows at hand need not have all symbols that followed the byte; the table has.
-            shut_total = ((low > 0) @ low.sum(axis=0))[before]
+        elif order < 2:
+            # The windows at hand need not have all symbols that followed the longer context; the table has.
+            shut_total = low.shut[1 - order][two if order else before]
         else:
-            # One window for each (longer context, symbol seen there).
-            pairs = np.unique(np.stack([above_context, above_symbol, own])[:, seen_above], axis=1) if seen_above.any() else None
+            # Once for each symbol that the longer context has, how often it stands after this one.
             shut_total = np.zeros(n, np.int64)
-            if pairs is not None:
-                ids, where = np.unique(pairs[0], return_inverse=True)
-                sums = np.bincount(where, weights=pairs[2], minlength=len(ids)).astype(np.int64)
-                at = np.minimum(np.searchsorted(ids, above_context), len(ids) - 1)
-                shut_total = np.where(ids[at] == above_context, sums[at], 0)
+            if seen_above.any():
+                picked = np.flatnonzero(seen_above)
+                if order < ORDER - 1:
+                    picked = picked[np.unique(codes[picked] & ((1 << 8 * (order + 2)) - 1), return_index=True)[1]]
+                ids, where = np.unique(above_context[picked], return_inverse=True)
+                sums = np.bincount(where, own[picked], len(ids)).astype(np.int64)
+                place = np.minimum(np.searchsorted(ids, above_context), len(ids) - 1)
+                shut_total = np.where(ids[place] == above_context, sums[place], 0)
         open_total, open_kinds = total - shut_total, kinds - shut_symbols
         usable = waiting & (open_total > 0)
         hit = usable & (own > 0)
@@ -224,21 +257,17 @@ def log_probabilities(codes: np.ndarray, counts: np.ndarray, low: np.ndarray) ->
         shut_symbols = kinds
         seen_above = own > 0
         above_context = (codes >> 8) & ((1 << 8 * order) - 1)
-        above_symbol = codes & 0xFF
     result[waiting] -= np.log10(np.maximum(ALPHABET - shut_symbols[waiting], 1))
     return result
 
 
 def model_table(windows: DataFrame) -> DataFrame:
     """(code, logp) of every distinct window, by shards of the trie."""
-    spark = windows.sparkSession
-    totals = windows.groupBy("code").agg(F.sum("seen").alias("seen"))
-    # Byte pairs: 65,536 at most, whatever the corpus.
-    pairs = windows.groupBy(F.col("code").bitwiseAND(0xFFFF).alias("pair")).agg(F.sum("seen").alias("seen")).collect()
-    low = np.zeros((256, 256), np.int64)
-    for r in pairs:
-        low[r["pair"] >> 8, r["pair"] & 0xFF] = r["seen"]
-    shared = spark.sparkContext.broadcast(low)
+    totals = stage(windows.groupBy("code").agg(F.sum("seen").alias("seen")), "windows")
+    # Byte triples: 2^24 at most, whatever the corpus.
+    table = totals.groupBy(F.col("code").bitwiseAND(0xFFFFFF).alias("code")).agg(F.sum("seen").alias("seen")).toArrow()
+    triples = Triples(*(table.column(c).to_numpy().astype(np.int64) for c in ("code", "seen")))
+    shared = windows.sparkSession.sparkContext.broadcast(triples)
 
     def run(batches):
         codes, counts = [], []
@@ -256,9 +285,9 @@ def model_table(windows: DataFrame) -> DataFrame:
                 [pa.array(code[at : at + 100_000]), pa.array(logp[at : at + 100_000])], names=["code", "logp"]
             )
 
-    shard = F.shiftright("code", 8).bitwiseAND(0xFFFF)
+    shard = F.shiftright("code", 8).bitwiseAND(0xFFFFFF)
     return totals.select("code", "seen", shard.alias("shard")).repartition("shard").select("code", "seen").mapInArrow(
-        run, "code long, logp double"
+        frees_memory(run), "code long, logp double"
     )
 
 
@@ -271,32 +300,27 @@ def score_blocks(docs: DataFrame, answers: DataFrame) -> DataFrame:
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
         import pyarrow.compute as pc
 
-        docs = pa.concat_tables([pa.ipc.open_stream(x).read_all() for x in left.column("docs").to_pylist()])
-        keys = docs.column("key")
-        tokens = [t.lower().split() for t in docs.column("text").to_pylist()]
         window = right.filter(pc.is_valid(right.column("code")))
-        code = window.column("code").combine_chunks()
-        logp = window.column("value").to_numpy()
-        word = right.filter(pc.is_null(right.column("code")))
-        by_place = np.zeros(word.num_rows, np.int64)
-        by_place[word.column("place").to_numpy()] = word.column("value").to_numpy().astype(np.int64)
-        vocabulary = sorted({w for words in tokens for w in words} | {END_WORD})
-        seen = dict(zip(vocabulary, by_place.tolist(), strict=True))
-        scores, n_tokens, n_known, log_known = [], [], [], []
-        get = seen.__getitem__
-        for at in range(0, len(tokens), 256):
-            part = tokens[at : at + 256]
-            codes, starts = window_codes(part)
+        code, logp = window.column("code").combine_chunks(), window.column("value").to_numpy()
+        known = right.filter(pc.is_null(right.column("code")))
+        seen = dict(zip(known.column("word").to_pylist(), known.column("value").to_numpy().astype(np.int64).tolist(), strict=True))
+        get, end = seen.__getitem__, seen[END_WORD]
+        keys, scores, n_tokens, n_known, log_known = [], [], [], [], []
+        for packed in left.column("docs").to_pylist():
+            part = pa.ipc.open_stream(packed).read_all()
+            texts = part.column("text").to_pylist()
+            keys += part.column("key").to_pylist()
+            codes, starts = window_codes(texts)
             found = logp[pc.index_in(pa.array(codes), value_set=code).to_numpy(zero_copy_only=False)]
             scores += np.add.reduceat(found, starts[:-1]).tolist()
-            for words in part:
-                c = np.array([*map(get, words), seen[END_WORD]], np.int64)
+            for text in texts:
+                c = np.array([*map(get, text.lower().split()), end], np.int64)
                 n_tokens.append(len(c))
                 n_known.append(int((c > 0).sum()))
                 log_known.append(float(np.log10(c + 1).sum()))
         return pa.table(
             {
-                "key": keys,
+                "key": pa.array(keys, pa.string()),
                 "n_tokens": pa.array(n_tokens, pa.int64()),
                 "n_known": pa.array(n_known, pa.int64()),
                 "log_known": pa.array(log_known, pa.float64()),
@@ -310,41 +334,32 @@ def score_blocks(docs: DataFrame, answers: DataFrame) -> DataFrame:
 def score_documents(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per document: id, ``held_out``, ``n_tokens``, ``n_known``, ``train_tokens``, ``base_score``, ``score``.
 
-    ``score`` is the model's log10 probability of the text, ``base_score`` that
-    of a unigram model with one added to each count.  Documents whose id's
-    crc32 leaves the remainder :data:`HELD_OUT` are scored and not learned from.
-
-    Null and empty texts are one end token.  Repeated rows stay and count as
-    often as they occur; a null id is the text ``None`` for the fold and null
-    in the result.  Texts of any length are scored whole.  Ids come back in
-    their own type.  An empty table gives an empty result; without any training
-    document, bytes are equally likely.  Other columns are not looked at.
+    ``score`` is the model's log10 probability of the text's bytes and its end;
+    ``base_score`` that of a unigram model of its words, A-Z lower-cased, with
+    one added to each count.  Documents whose id's crc32 leaves the remainder
+    :data:`HELD_OUT` are scored and not learned from.
+
+    Null and empty texts are one end.  Repeated rows stay and count as often as
+    they occur; a null id is the text ``None`` for the fold and null in the
+    result.  Texts of any length are scored whole; one text has to fit in a
+    task, with eight bytes for each of its own.  Ids come back in their own
+    type.  An empty table gives an empty result; without any training document,
+    bytes are equally likely.  Other columns are not looked at.
     """
     require(df, id_col, text_col)
-    source = df.select(F.col(f"`{id_col}`").alias("__id"), F.col(f"`{text_col}`").alias("__text"))
+    source = df.select(F.col(quoted(id_col)).alias("id"), F.col(quoted(text_col)).alias("text"))
     blocks = stage(gathered_blocks(source), "blocks")
     windows = blocks.where("code is not null").select("block", "code", "seen")
-    words = blocks.where("word is not null").select("block", "place", "word", "seen")
-    # Totals of words for every block that has them, and for one row of each word the mark that counts it.
-    same = Window.partitionBy("word")
-    totals = stage(
-        words.select(
-            "block",
-            "place",
-            F.sum("seen").over(same).alias("total"),
-            (F.row_number().over(same.orderBy("block")) == 1).alias("first"),
-        ),
-        "words",
-    )
-    size = totals.where("first and total > 0").agg(
-        F.coalesce(F.sum("total"), F.lit(0)).alias("n"), F.count(F.lit(1)).alias("v")
-    ).first()
+    words = blocks.where("word is not null").select("block", "word", "seen")
+    # Summed before they meet the blocks: a word that all blocks have is one row here.
+    totals = stage(words.groupBy("word").agg(F.sum("seen").alias("total")), "words")
+    size = totals.where("total > 0").agg(F.coalesce(F.sum("total"), F.lit(0)).alias("n"), F.count(F.lit(1)).alias("v")).first()
     model = model_table(windows)
     window_answers = windows.select("block", "code").join(model, "code").select(
-        "block", "code", F.lit(None).cast("int").alias("place"), F.col("logp").alias("value")
+        "block", "code", F.lit(None).cast("binary").alias("word"), F.col("logp").alias("value")
     )
-    word_answers = totals.select(
-        "block", F.lit(None).cast("long").alias("code"), "place", F.col("total").cast("double").alias("value")
+    word_answers = words.select("block", "word").join(totals, "word").select(
+        "block", F.lit(None).cast("long").alias("code"), "word", F.col("total").cast("double").alias("value")
     )
     docs = blocks.where("docs is not null").select(F.col("block").alias("home"), "docs")
     scored = score_blocks(docs, window_answers.union(word_answers))
