@@ -34,6 +34,14 @@ def l2_normalize(a: Column) -> Column:
     return F.transform(a, lambda x: x.cast("double") / norm(a))
 
 
+def masked_mean(rows: Column, mask: Column, dim: int) -> Column:
+    """Mean of those vectors of an array whose mask is true; null without any."""
+    kept = F.filter(F.arrays_zip(rows.alias("v"), mask.alias("m")), lambda x: x["m"])
+    zero = F.array_repeat(F.lit(0.0), dim)
+    total = F.aggregate(kept, zero, lambda s, x: F.zip_with(s, x["v"], lambda a, b: a + b.cast("double")))
+    return F.when(F.size(kept) > 0, F.transform(total, lambda x: x / F.size(kept)))
+
+
 def hashed_bag(tokens: Column, dim: int = 32) -> Column:
     """Counts of tokens by MD5 bucket, scaled to length one: an embedder without a model."""
     buckets = F.transform(tokens, lambda t: F.conv(F.substring(F.md5(t), 1, 8), 16, 10).cast("long") % dim)

@@ -251,3 +251,31 @@ def corpora_audit(df: DataFrame, by: list[str], corpus: str) -> DataFrame:
     n = F.countDistinct(corpus)
     total = F.count(F.lit(1))
     return df.groupBy(*by).agg(total.alias("total"), F.when(n > 1, F.lit(0).cast("long")).otherwise(total).alias("scorable"), n.alias("corpora"))
+
+
+def answer_rates(df: DataFrame, by: str) -> DataFrame:
+    """Per category and over all: rates among answered rows; null where nothing was answered.
+
+    Rows have ``support``, ``answered``, ``high_risk`` and ``leak``.
+    """
+    answered, risky = F.col("answered"), F.col("answered") & F.col("high_risk")
+
+    def rate(hit: Column, among: Column) -> Column:
+        return F.round(F.try_divide(F.count_if(among & hit), F.count_if(among)), 6)
+
+    return df.rollup(by).agg(
+        F.count(F.lit(1)).alias("n"),
+        rate(F.col("support") == "supported", answered).alias("support_strict"),
+        rate(F.col("support") != "unsupported", answered).alias("support_inclusive"),
+        F.count_if("leak").alias("rbac_leaks"),
+        F.count_if(risky).alias("high_risk_n"),
+        rate(F.col("support") == "unsupported", risky).alias("high_risk_unsupported"),
+    )
+
+
+def observation_problems(samples: DataFrame, observed: DataFrame, key: str) -> DataFrame:
+    """(key, problem): observations of no sample, more than one of a sample, and samples without one."""
+    unknown = observed.join(samples, key, "left_anti").select(key, F.lit("unknown").alias("problem"))
+    twice = observed.groupBy(key).count().where("count > 1").select(key, F.lit("duplicate").alias("problem"))
+    missing = samples.join(observed, key, "left_anti").select(key, F.lit("missing").alias("problem"))
+    return unknown.unionByName(twice).unionByName(missing)

@@ -49,6 +49,21 @@ def path_metrics(df: DataFrame, outcome: str, detail: str, elapsed: str) -> Data
     )
 
 
+def flushed_batches(df: DataFrame, ts: str, tie: str, every: str, size: int) -> DataFrame:
+    """(items, batches, mean_delay, utilisation) of micro-batches that close after a time or when they are full."""
+    slot = df.withColumn("slot", F.window(ts, every)["start"])
+    place = F.row_number().over(Window.partitionBy("slot").orderBy(ts, tie)) - 1
+    batches = slot.withColumn("part", F.floor(place / size)).groupBy("slot", "part").agg(
+        F.count(F.lit(1)).alias("items"),
+        ((F.unix_micros(F.max(ts).cast("timestamp")) - F.unix_micros(F.min(ts).cast("timestamp"))) / 1_000_000).alias("delay"),
+    )
+    return batches.groupBy("items").agg(
+        F.count(F.lit(1)).alias("batches"),
+        F.round(F.avg("delay"), 6).alias("mean_delay"),
+        F.round(F.avg(F.col("items") / float(size)), 6).alias("utilisation"),
+    )
+
+
 def cache_replay(df: DataFrame, key: list[str], ts: str, ttl: int) -> DataFrame:
     """Hits and misses of an access log under a time to live that every access starts anew."""
     before = F.lag(ts).over(Window.partitionBy(*key).orderBy(ts, "event_id"))
