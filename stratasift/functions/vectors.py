@@ -50,3 +50,9 @@ def hashed_bag(tokens: Column, dim: int = 32) -> Column:
         lambda i: F.size(F.filter(buckets, lambda b: b == i)).cast("double"),
     )
     return F.transform(counts, lambda x: x / F.sqrt(dot(counts, counts)))
+
+
+def centroid_status(a: Column, dim: int) -> Column:
+    """Aggregate: why a group of vectors has no centroid, or that it has one."""
+    wrong = F.count_if(a.isNotNull() & (F.size(a) != dim))
+    return F.when(F.count(a) == 0, "empty").when(wrong > 0, "dimension_mismatch").otherwise("ok")

@@ -279,3 +279,50 @@ def observation_problems(samples: DataFrame, observed: DataFrame, key: str) -> D
     twice = observed.groupBy(key).count().where("count > 1").select(key, F.lit("duplicate").alias("problem"))
     missing = samples.join(observed, key, "left_anti").select(key, F.lit("missing").alias("problem"))
     return unknown.unionByName(twice).unionByName(missing)
+
+
+def snapshot_counts(rows: DataFrame, documents: DataFrame, keys: list[str], content: str, epoch: str) -> DataFrame:
+    """(check_name, n) of a snapshot's rows against the documents that it should have."""
+    doc = keys[0]
+    one = rows.agg(
+        F.count(F.lit(1)).alias("rows"),
+        F.count_if(F.coalesce(F.col(content), F.lit("")) == "").alias("blank_content"),
+        F.count_if(F.col(epoch).isNull()).alias("missing_epoch"),
+    )
+    distinct = rows.groupBy(*keys).count().agg(F.coalesce(F.sum(F.col("count") - 1), F.lit(0)).alias("duplicate_chunks"))
+    there = rows.select(doc).distinct()
+    found = there.agg(F.count(F.lit(1)).alias("documents"))
+    lacking = documents.select(doc).distinct().join(there, doc, "left_anti").agg(F.count(F.lit(1)).alias("missing_documents"))
+    whole = one.crossJoin(distinct).crossJoin(found).crossJoin(lacking)
+    return whole.unpivot([], whole.columns, "check_name", "n")
+
+
+def hash_agreement(truth: DataFrame, index: DataFrame, ledger: DataFrame, key: str, value: str) -> DataFrame:
+    """(key, verdict): whether the index and the ledger have the hash of a source's bytes."""
+    both = (
+        truth.select(key, F.col(value).alias("t"))
+        .join(index.select(key, F.col(value).alias("i")), key, "left")
+        .join(ledger.select(key, F.col(value).alias("l")), key, "left")
+    )
+    i, l, t = F.col("i"), F.col("l"), F.col("t")  # noqa: E741
+    verdict = (
+        F.when(i.isNull(), "not_indexed")
+        .when(l.isNull(), "not_in_ledger")
+        .when((i != t) & (l != t), "bytes_differ")
+        .when(i != t, "index_differs")
+        .when(l != t, "ledger_differs")
+    )
+    return both.select(key, verdict.otherwise("agree").alias("verdict"))
+
+
+def provenance_reasons() -> Column:
+    """What a chunk's provenance lacks, or says against itself."""
+    status = F.col("approval_status")
+    approved = F.coalesce(status == "APPROVED", F.lit(False))
+    return reasons(
+        (blank(F.col("source_id")), "missing_source_id"),
+        (blank(status), "missing_approval_status"),
+        (approved & blank(F.col("approval_actor")), "approved_without_actor"),
+        (approved & ~F.col("approved_content_hash").eqNullSafe(F.col("content_hash")), "approved_other_content"),
+        ((F.col("trust_class") == "APPROVED_EXTERNAL") & ~approved & ~blank(status), "trusted_without_approval"),
+    )
