@@ -293,7 +293,12 @@ def admission_fold(spark, sf):
     return ops.admission_fold(e, ["node"], "ts", 6000.0, 7200)
 
 
-@register("pluggable_scorer")
+@register(
+    "pluggable_scorer",
+    rf"""WITH {PATHS_SQL}, w AS (SELECT query, doc, list_distinct(list_filter(string_split_regex(b.text, '\s+'), lambda x: x <> '')) AS q, list_distinct(list_filter(string_split_regex(d.text, '\s+'), lambda x: x <> '')) AS t
+      FROM r1 JOIN benchmark b ON b.item_id = r1.query JOIN documents d ON d.doc_id = r1.doc WHERE rank <= 5)
+    SELECT query, doc, round(len(list_intersect(q, t)) / greatest(1, len(q)), 6) AS score FROM w""",
+)
 def pluggable_scorer(spark, sf):
     """A pair scorer that the caller supplies, on the top of each query only."""
 

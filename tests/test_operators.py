@@ -1,3 +1,4 @@
+import math
 import random
 
 import pandas as pd
@@ -269,3 +270,20 @@ def test_embedders_scorers_and_schema_differences(spark):
     right = {"type": "object", "properties": {"a": {"type": "long"}, "b": [1], "c": {}}}
     assert extension.schema_diff(left, right) == ["$.properties.c: only on the right", "$.properties.a.type: 'string' and 'long'", "$.properties.b: lengths 2 and 1"]
     assert extension.schema_diff(left, left) == []
+
+
+def test_concentration_and_agreement_of_paths(spark):
+    rng = random.Random(6)
+    rows = [(p, q, d, r) for p in ("a", "b", "c") for q in range(6) for r, d in enumerate(rng.sample(range(40), rng.choice([1, 2, 6, 10])), 1)]
+    ranked = spark.createDataFrame(rows, "path string, query int, doc int, rank int")
+    cluster = {r["doc"]: r["c"] for r in spark.range(40).select(F.col("id").cast("int").alias("doc")).withColumn("c", F.pmod(F.xxhash64("doc"), F.lit(4))).collect()}
+    entropy = {r["query"]: r["concentration"] for r in fusion.rank_entropy(ranked).collect()}
+    agreement = {r["query"]: r["agreement"] for r in fusion.path_agreement(ranked).collect()}
+    for q in range(6):
+        sets = {p: {d for a, b, d, _ in rows if (a, b) == (p, q)} for p in "abc"}
+        docs = set().union(*sets.values())
+        sizes = [sum(cluster[d] == c for d in docs) / len(docs) for c in range(4)]
+        want = 0.5 if len(docs) < 4 else 1 + sum(p * math.log2(p) for p in sizes if p) / 2
+        assert entropy[q] == pytest.approx(want, abs=1e-6)
+        pairs = [(sets[x], sets[y]) for x, y in ("ab", "ac", "bc")]
+        assert agreement[q] == pytest.approx(sum(len(x & y) / len(x | y) for x, y in pairs) / 3, abs=1e-6)
