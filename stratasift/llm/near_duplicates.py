@@ -36,7 +36,7 @@ VIEWS, SAMPLE = 16, 4
 PAIRWISE_BUCKET = 24
 
 #: Shingles are counted in so many slots, whatever the corpus; any order keeps the join exact, a good one keeps it small.
-SLOTS = 1 << 18
+SLOTS, SLOT_RANGES = 1 << 18, 64
 
 #: Pairs that are looked at in one step within a task.
 BLOCK_PAIRS = 1 << 20
@@ -170,20 +170,36 @@ def verified(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
 
 
 def slot_counts(hot: DataFrame) -> np.ndarray:
-    """How often the shingles of each slot occur in ``hot``."""
+    """How often the shingles of each slot occur in ``hot``.
 
-    def run(batches):
+    A task gives one row for each range of slots, and the ranges' rows are
+    added up as they come, so a row holds 32 KB, whatever the corpus.
+    """
+    width = SLOTS // SLOT_RANGES
+
+    def count(batches):
         counts = np.zeros(SLOTS, np.int64)
         for batch in batches:
             for x in batch.column(0).to_pylist():
-                counts += np.bincount((_loaded(x) % np.uint64(SLOTS)).astype(np.int64), minlength=SLOTS)
-        slots = np.flatnonzero(counts)
-        yield pa.RecordBatch.from_arrays([pa.array(slots), pa.array(counts[slots])], names=["slot", "n"])
+                np.add.at(counts, (_loaded(x) % np.uint64(SLOTS)).astype(np.int64), 1)
+        yield from ranges({r: counts[r * width : (r + 1) * width] for r in range(SLOT_RANGES)})
+
+    def ranges(found):
+        some = [(r, c.tobytes()) for r, c in found.items() if c.any()]
+        yield pa.RecordBatch.from_arrays([pa.array([r for r, _ in some], pa.int32()), pa.array([c for _, c in some], pa.binary())], names=["slots", "n"])
+
+    def add(batches):
+        found: dict[int, np.ndarray] = {}
+        for batch in batches:
+            for r, data in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                found[r] = found.get(r, 0) + np.frombuffer(data, np.int64)
+        yield from ranges(found)
 
-    found = hot.select("shingles").mapInArrow(frees_memory(run), "slot long, n long").groupBy("slot").agg(F.sum("n").alias("n"))
-    table = found.toArrow()
+    counted = hot.select("shingles").mapInArrow(frees_memory(count), "slots int, n binary")
+    table = counted.repartition("slots").mapInArrow(frees_memory(add), "slots int, n binary").toArrow()
     counts = np.zeros(SLOTS, np.int64)
-    counts[table.column("slot").to_numpy()] = table.column("n").to_numpy()
+    for r, data in zip(table.column("slots").to_pylist(), table.column("n").to_pylist(), strict=True):
+        counts[r * width : (r + 1) * width] += np.frombuffer(data, np.int64)
     return counts
 
 
@@ -334,7 +350,8 @@ def one_per_group(
     # The first of a group by id stays; the others are what an anti-join removes.
     heads = unique.select("content", F.col("row.f0").alias("id"))
     member = labels.withColumnRenamed("node", "content").join(heads, "content")
-    first = member.groupBy("component").agg(F.min(F.struct("id", "content")).alias("first"))
-    dropped = member.join(first, "component").where(F.col("content") != F.col("first.content")).select("content")
+    # Texts meet by themselves, not by their component, which may have very many.
+    first = member.groupBy("component").agg(F.min(F.struct("id", "content")).alias("first")).select("first.content")
+    dropped = member.join(first, "content", "left_anti").select("content")
     kept = unique.join(dropped, "content", "left_anti")
     return kept.select(*[F.col(f"row.f{names.index(c)}") for c in df.columns]).toDF(*df.columns)
