@@ -13,6 +13,7 @@ from __future__ import annotations
 
 import zlib
 from collections import Counter
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -34,7 +35,7 @@ ALPHABET = 256
 FOLDS, HELD_OUT = 7, 2
 
 #: Bytes of text that make up a block, and that are looked at in one step.
-BLOCK_BYTES, STEP_BYTES = 32 << 20, 4 << 20
+BLOCK_BYTES, STEP_BYTES = 32 << 20, 2 << 20
 
 #: The end of a text among the words; no word has white space.
 END_WORD = b"\n"
@@ -76,7 +77,8 @@ def packed_docs(keys: list, texts: list[bytes]) -> bytes:
         {"key": pa.array([None if k is None else str(k) for k in keys], pa.string()), "text": pa.array(texts, pa.binary())}
     )
     sink = pa.BufferOutputStream()
-    with pa.ipc.new_stream(sink, table.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as writer:
+    options = pa.ipc.IpcWriteOptions(compression=pa.Codec("zstd", compression_level=4))
+    with pa.ipc.new_stream(sink, table.schema, options=options) as writer:
         writer.write_table(table)
     return sink.getvalue().to_pybytes()
 
@@ -291,6 +293,91 @@ def model_table(windows: DataFrame) -> DataFrame:
     )
 
 
+def _squeezed(x: np.ndarray) -> bytes:
+    """Numbers of eight bytes, compressed by place value."""
+    return pa.compress(x.view(np.uint8).reshape(-1, 8).T.tobytes(), codec="zstd", asbytes=True)
+
+
+def _restored(data: bytes, n: int, kind) -> np.ndarray:
+    raw = np.frombuffer(pa.decompress(data, 8 * n, codec="zstd", asbytes=True), np.uint8)
+    return np.ascontiguousarray(raw.reshape(8, n).T).view(kind).ravel()
+
+
+PACKED = "block long, n long, codes binary, words binary, answers binary"
+
+
+def packed_answers(answers: DataFrame) -> DataFrame:
+    """Rows of (block, code or word, value) as one row for each block that a task has some of."""
+
+    def run(batches):
+        table = pa.Table.from_batches(list(batches)).combine_chunks()
+        if not table.num_rows:
+            return
+        block = table.column(0).to_numpy()
+        key, value = table.column(1), table.column(2).to_numpy()
+        if key.type == pa.int64():
+            key = key.to_numpy()
+            order = np.lexsort((key, block))
+            key = key[order]
+        else:
+            order = np.argsort(block, kind="stable")
+            key = key.take(pa.array(order))
+        block, value = block[order], value[order]
+        starts = np.flatnonzero(np.r_[True, block[1:] != block[:-1]])
+        rows: list[tuple] = []
+        for a, b in zip(starts.tolist(), [*starts[1:].tolist(), len(block)], strict=True):
+            codes = words = None
+            if isinstance(key, np.ndarray):
+                codes = _squeezed(np.diff(key[a:b], prepend=np.int64(0)))
+            else:
+                joined = b" ".join(key.slice(a, b - a).to_pylist())
+                words = pa.compress(joined, codec="zstd", asbytes=True) + len(joined).to_bytes(8, "little")
+            rows.append((int(block[a]), b - a, codes, words, _squeezed(value[a:b])))
+            if len(rows) == 500 or b == len(block):
+                kinds = (pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.binary())
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([r[i] for r in rows], t) for i, t in enumerate(kinds)], names=["block", "n", "codes", "words", "answers"]
+                )
+                rows = []
+
+    def packed(batches):
+        for first in batches:
+            yield from run(chain([first], batches))
+
+    return answers.mapInArrow(frees_memory(packed), PACKED)
+
+
+class CodeIndex:
+    """Places of distinct codes, by hash tables of which each has what found no room in the one before."""
+
+    def __init__(self, codes: np.ndarray):
+        self.codes, self.levels = codes, []
+        left = np.arange(len(codes), dtype=np.int32)
+        while len(left):
+            factor = np.uint64(0x9E3779B97F4A7C15 + 2 * len(self.levels))
+            shift = np.uint64(62 - int(len(left)).bit_length())
+            slots = np.zeros(1 << (64 - int(shift)), np.int32)
+            at = (codes[left].view(np.uint64) * factor) >> shift
+            slots[at] = left
+            self.levels.append((factor, shift, slots))
+            left = left[slots[at] != left]
+
+    def find(self, wanted: np.ndarray) -> np.ndarray:
+        """Where each of the codes is; all must be there."""
+        found, open_ = np.zeros(len(wanted), np.int32), None
+        for factor, shift, slots in self.levels:
+            some = wanted if open_ is None else wanted[open_]
+            at = slots[(some.view(np.uint64) * factor) >> shift]
+            wrong = np.flatnonzero(self.codes[at] != some)
+            if open_ is None:
+                found, open_ = at, wrong
+            else:
+                found[open_], open_ = at, open_[wrong]
+            if not len(open_):
+                break
+        return found
+
+
 SCORES = "n_tokens long, n_known long, log_known double, score double"
 
 
@@ -298,21 +385,25 @@ def score_blocks(docs: DataFrame, answers: DataFrame) -> DataFrame:
     """Looks every window and word of a block's documents up in what came back for the block."""
 
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
-        import pyarrow.compute as pc
-
-        window = right.filter(pc.is_valid(right.column("code")))
-        code, logp = window.column("code").combine_chunks(), window.column("value").to_numpy()
-        known = right.filter(pc.is_null(right.column("code")))
-        seen = dict(zip(known.column("word").to_pylist(), known.column("value").to_numpy().astype(np.int64).tolist(), strict=True))
+        seen: dict[bytes, int] = {}
+        codes, logs = [], []
+        for n, packed, words, answer in zip(*[right.column(c).to_pylist() for c in ("n", "codes", "words", "answers")], strict=True):
+            if words is None:
+                codes.append(np.cumsum(_restored(packed, n, np.int64)))
+                logs.append(_restored(answer, n, np.float64))
+            else:
+                size = int.from_bytes(words[-8:], "little")
+                parts = pa.decompress(words[:-8], size, codec="zstd", asbytes=True).split(b" ")
+                seen.update(zip(parts, _restored(answer, n, np.int64).tolist(), strict=True))
+        index, logp = CodeIndex(np.concatenate(codes)), np.concatenate(logs)
         get, end = seen.__getitem__, seen[END_WORD]
         keys, scores, n_tokens, n_known, log_known = [], [], [], [], []
         for packed in left.column("docs").to_pylist():
             part = pa.ipc.open_stream(packed).read_all()
             texts = part.column("text").to_pylist()
             keys += part.column("key").to_pylist()
-            codes, starts = window_codes(texts)
-            found = logp[pc.index_in(pa.array(codes), value_set=code).to_numpy(zero_copy_only=False)]
-            scores += np.add.reduceat(found, starts[:-1]).tolist()
+            windows, starts = window_codes(texts)
+            scores += np.add.reduceat(logp[index.find(windows)], starts[:-1]).tolist()
             for text in texts:
                 c = np.array([*map(get, text.lower().split()), end], np.int64)
                 n_tokens.append(len(c))
@@ -355,12 +446,8 @@ def score_documents(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     totals = stage(words.groupBy("word").agg(F.sum("seen").alias("total")), "words")
     size = totals.where("total > 0").agg(F.coalesce(F.sum("total"), F.lit(0)).alias("n"), F.count(F.lit(1)).alias("v")).first()
     model = model_table(windows)
-    window_answers = windows.select("block", "code").join(model, "code").select(
-        "block", "code", F.lit(None).cast("binary").alias("word"), F.col("logp").alias("value")
-    )
-    word_answers = words.select("block", "word").join(totals, "word").select(
-        "block", F.lit(None).cast("long").alias("code"), "word", F.col("total").cast("double").alias("value")
-    )
+    window_answers = packed_answers(windows.select("block", "code").join(model, "code").select("block", "code", "logp"))
+    word_answers = packed_answers(words.select("block", "word").join(totals, "word").select("block", "word", "total"))
     docs = blocks.where("docs is not null").select(F.col("block").alias("home"), "docs")
     scored = score_blocks(docs, window_answers.union(word_answers))
     base = float(np.log10(size["n"] + size["v"] + 1))
