@@ -71,6 +71,17 @@ def sorted_counts(codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return ordered[first], np.diff(np.r_[first, len(ordered)])
 
 
+def merged_counts(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+    """One table of distinct sorted codes and their counts from several."""
+    code, count = (np.concatenate(x) for x in zip(*parts, strict=True))
+    order = np.argsort(code, kind="stable")
+    code, count = code[order], count[order]
+    if not len(code):
+        return code, count
+    first = np.flatnonzero(np.r_[True, code[1:] != code[:-1]])
+    return code[first], np.add.reduceat(count, first)
+
+
 def packed_docs(keys: list, texts: list[bytes]) -> bytes:
     """Ids and texts as one compressed Arrow table, which is what travels to where they are scored."""
     table = pa.table(
@@ -119,8 +130,9 @@ class Block:
         self.rest.add(END_WORD)
         codes, starts = window_codes(texts)
         learn = np.repeat(np.array([not h for h in held], bool), np.diff(starts))
-        self.known.append(sorted_counts(codes[learn]))
-        self.asked.append(sorted_counts(codes[~learn])[0])
+        # One table of each kind is kept, not one for every step.
+        self.known = [merged_counts([*self.known, sorted_counts(codes[learn])])]
+        self.asked = [np.union1d(self.asked[0], codes[~learn]) if self.asked else np.unique(codes[~learn])]
         self.docs.append(packed_docs(keys, texts))
 
     def _rows(self, n: int, **columns) -> pa.RecordBatch:
@@ -128,12 +140,7 @@ class Block:
         return pa.RecordBatch.from_arrays([columns.get(f.name, pa.nulls(n, f.type)) for f in BATCH_SCHEMA], schema=BATCH_SCHEMA)
 
     def rows(self):
-        code, count = (np.concatenate(x) for x in zip(*self.known, strict=True))
-        order = np.argsort(code, kind="stable")
-        code, count = code[order], count[order]
-        first = np.flatnonzero(np.r_[True, code[1:] != code[:-1]]) if len(code) else np.zeros(0, np.int64)
-        known, counts = code[first], np.add.reduceat(count, first) if len(first) else count
-        asked = np.unique(np.concatenate(self.asked))
+        (known, counts), (asked,) = self.known[0], self.asked
         extra = asked[~np.isin(asked, known, assume_unique=True)]
         known, counts = np.r_[known, extra], np.r_[counts, np.zeros(len(extra), np.int64)]
         order = np.argsort(known)
