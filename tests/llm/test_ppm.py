@@ -14,17 +14,19 @@ def brute(docs):
     train = [k for k, _ in docs if not ppm.is_held_out(k)]
     counts = defaultdict(Counter)
     unigram = Counter()
-    pad = bytes([ppm.END]) * ppm.ORDER
+    texts = {k: (t or "").encode() for k, t in docs}
+    end = bytes([ppm.END])
+    pad = end * ppm.ORDER
     for k in train:
         unigram.update(words[k] + [b""])
-        s = pad + b" ".join(words[k]) + b"\n"
+        s = pad + texts[k] + end
         for i in range(ppm.ORDER, len(s)):
             for order in range(ppm.ORDER + 1):
                 counts[s[i - order : i]][s[i]] += 1
     n, v = sum(unigram.values()), len(unigram)
     out = {}
     for k, _ in docs:
-        s, score = pad + b" ".join(words[k]) + b"\n", 0.0
+        s, score = pad + texts[k] + end, 0.0
         for i in range(ppm.ORDER, len(s)):
             shut = set()
             for order in range(ppm.ORDER, -1, -1):
@@ -58,13 +60,28 @@ def check(spark, docs, rows=None):
 
 def test_scores_equal_a_dictionary_trie(spark, monkeypatch):
     monkeypatch.setattr(ppm, "BLOCK_BYTES", 3000)
+    monkeypatch.setattr(ppm, "STEP_BYTES", 700)
     rng = random.Random(5)
     vocabulary = ["the", "of", "Éan", "thing", "ing", "a", "ou", "x" * 30, "ciónta,", "And"]
     docs = [(i, rng.choice([" ", "\n", "\t "]).join(rng.choices(vocabulary, k=rng.randint(0, 60)))) for i in range(150)]
     docs += [(1000, None), (1001, ""), (1002, "unseen øøø words " * 40), (1003, "the " * 3000)]
+    docs += [(1004, docs[0][1].upper() + "\r\n"), (1005, "\n"), (1006, "\ufffd\x00\x7f")]
     check(spark, docs)
 
 
+def test_case_and_layout_change_the_score(spark):
+    docs = [(i, "One line. Another line.\nA third") for i in range(20)]
+    other = next(i for i in range(100, 200) if not ppm.is_held_out(i))
+    rows = {r["doc_id"]: r for r in ppm.score_documents(spark.createDataFrame([*docs, (other, "one line.\nanother line. a third")], "doc_id long, text string")).collect()}
+    assert rows[0]["base_score"] == rows[other]["base_score"]
+    assert rows[0]["score"] > rows[other]["score"] + 1
+
+
+def test_a_very_long_text(spark):
+    rng = random.Random(11)
+    check(spark, [(0, " ".join(rng.choices(["abc", "de", "Fgh", "x"], k=100_000))), (1, "abc de"), (2, None)])
+
+
 def test_empty_table_and_no_training_document(spark):
     empty = spark.createDataFrame([], "doc_id long, text string")
     assert ppm.score_documents(empty).count() == 0
@@ -84,17 +101,18 @@ def test_repeated_rows_null_ids_and_extra_columns(spark):
 
 def test_scores_do_not_depend_on_the_shards():
     rng = np.random.default_rng(7)
-    texts = [[bytes(rng.choice(list(b"abcdef"), 5)) for _ in range(40)] for _ in range(5)] + [[b"fz", b"zq"], [b"qa", b"dzb"]]
+    texts = [b" ".join(bytes(rng.choice(list(b"abcdef"), 5).tolist()) for _ in range(40)) for _ in range(5)] + [b"fz zq", b"qa dzb"]
     codes, starts = ppm.window_codes(texts)
     known, counts = ppm.sorted_counts(codes[: starts[6]])
     asked = np.setdiff1d(codes, known)
     code, count = np.r_[known, asked], np.r_[counts, np.zeros(len(asked), np.int64)]
     order = np.argsort(code)
     code, count = code[order], count[order]
-    low = np.zeros((256, 256), np.int64)
-    np.add.at(low, ((code >> 8) & 0xFF, code & 0xFF), count)
+    triple, where = np.unique(code & 0xFFFFFF, return_inverse=True)
+    low = ppm.Triples(triple, np.bincount(where, count).astype(np.int64))
     whole = ppm.log_probabilities(code, count, low)
-    shard = (code >> 8) & 0xFFFF
+    shard = (code >> 8) & 0xFFFFFF
+    assert len(np.unique(shard)) > 100
     for x in np.unique(shard):
         mine = shard == x
         assert ppm.log_probabilities(code[mine], count[mine], low) == pytest.approx(whole[mine], abs=1e-12)

@@ -1,6 +1,7 @@
 """Quality rules, token counts, packing, decontamination and substring removal against brute force and on odd input."""
 
 import hashlib
+import heapq
 import random
 import zlib
 from collections import Counter
@@ -28,6 +29,26 @@ def odd(spark):
     return spark.createDataFrame(rows, DOCS)
 
 
+def with_clashes(df):
+    """``df`` with columns named like those that operators use inside, and one with a dot."""
+    for c in ("__text", "text_", "id", "__id", "c0", "t", "__block", "place", "n.m", "key", "words"):
+        df = df.withColumn(c, F.lit("clash"))
+    return df
+
+
+@pytest.mark.parametrize(
+    "operator",
+    [quality.apply_quality_rules, lambda df: bpe_counts.count_tokens(df, BYTE_BPE), substrings.remove_repeats],
+    ids=["quality", "token_counts", "substrings"],
+)
+def test_other_columns_pass_through_whatever_their_names(spark, operator):
+    plain = {(r["doc_id"], r["n_words"] if "n_words" in r else r["n_tokens"]) for r in operator(odd(spark)).collect()}
+    rows = operator(with_clashes(odd(spark))).collect()
+    assert len(rows) == 7 and all(r["n.m"] == r["__text"] == r["c0"] == r["id"] == "clash" for r in rows)
+    assert {(r["doc_id"], r["n_words"] if "n_words" in r else r["n_tokens"]) for r in rows} == plain
+    assert operator(with_clashes(odd(spark)).limit(0)).count() == 0
+
+
 def repeated_by_brute_force(words, size=8):
     windows = Counter(tuple(words[i : i + size]) for i in range(len(words) - size + 1))
     mark = set()
@@ -135,6 +156,56 @@ def test_histogram_packing_is_tight():
         packing.pack_histogram({4000: 1})
 
 
+def packed_piece_by_piece(histogram, capacity):
+    """Fills of the packs if each piece goes, longest first, into the shortest pack or a new one."""
+    fills = []
+    for length in sorted(histogram, reverse=True):
+        for _ in range(histogram[length]):
+            if fills and fills[0] + length <= capacity:
+                heapq.heapreplace(fills, fills[0] + length)
+            else:
+                heapq.heappush(fills, length)
+    return sorted(fills)
+
+
+def test_histogram_packing_equals_piece_by_piece():
+    rng = random.Random(9)
+    cases = [({6: 2, 2: 3}, 10), ({1: 50}, 7), ({7: 3}, 7), ({5: 4, 3: 4, 1: 9}, 8)]
+    for _ in range(300):
+        capacity = rng.randint(1, 60)
+        cases.append(({n: rng.randint(1, 30) for n in rng.sample(range(1, capacity + 1), rng.randint(1, min(12, capacity)))}, capacity))
+    cases.append((Counter(min(2048, int(rng.paretovariate(1.1) * 40)) for _ in range(30_000)), 2048))
+    for histogram, capacity in cases:
+        patterns = packing.pack_histogram(histogram, capacity)
+        fills = sorted(f for packs, contents in patterns for f in [sum(n * k for n, k in contents)] * packs)
+        assert fills == packed_piece_by_piece(histogram, capacity)
+        assert len(patterns) <= 3 * len(histogram)
+        placed = Counter()
+        for packs, contents in patterns:
+            for n, k in contents:
+                placed[n] += packs * k
+        assert placed == histogram
+    assert sum(p for p, _ in packing.pack_histogram({6: 2, 2: 3}, 10)) == 2
+
+
+def test_ids_of_odd_words_equal_the_library(spark):
+    from tokenizers import Tokenizer
+
+    library = Tokenizer.from_file(WORD_BPE)
+    encoder = packing.ChunkEncoder(WORD_BPE)
+    assert encoder.splits_letters
+    rng = random.Random(10)
+    alphabet = list("abzÀéñßŒœŁ'`.,;:!?-|<>#19") + ["İ", "ı", "ŉ", "ǆ", "ǅ", "e\u0301", "\u0301", "ſ", "ﬁ", "中", "Ω", "ª", "²", "don't", "'s", "<|endoftext|>", "\x01", "\u200b", "\xa0"]
+    texts = [" ".join("".join(rng.choices(alphabet, k=rng.randint(1, 6))) for _ in range(rng.randint(0, 12))) for _ in range(4000)]
+    got = []
+    for at in range(0, len(texts), 100):
+        got += encoder.encode([t.encode() for t in texts[at : at + 100]])
+        if at == 2000:
+            encoder.cache.age()
+    for text, ids in zip(texts, got, strict=True):
+        assert list(memoryview(ids).cast("I")) == library.encode(text, add_special_tokens=False).ids, text
+
+
 def contaminated_by_brute_force(docs, items):
     import re
 
@@ -156,7 +227,9 @@ def contaminated_by_brute_force(docs, items):
     return out
 
 
-def test_decontamination_equals_brute_force(spark):
+@pytest.mark.parametrize("rows", [500_000, 0])
+def test_decontamination_equals_brute_force(spark, monkeypatch, rows):
+    monkeypatch.setattr(decontamination, "BROADCAST_ROWS", rows)
     rng = random.Random(6)
     vocabulary = [f"w{i}" for i in range(40)] + ["Été", "the", "THE"]
     items = [(i, " ".join(rng.choices(vocabulary, k=n))) for i, n in enumerate((30, 13, 14, 5, 1, 0, 20, 20))]
@@ -168,7 +241,7 @@ def test_decontamination_equals_brute_force(spark):
         a = rng.randint(0, max(0, len(words) - 13))
         parts += [", ".join(words[a : a + rng.randint(12, 40)]).upper().replace("É", "É"), " ".join(rng.choices(vocabulary, k=20))]
         docs.append((i, " - ".join(parts)))
-    docs += [(100, None), (101, ""), (102, "w1")]
+    docs += [(100, None), (101, ""), (102, "w1"), (103, items[6][1] + " " + items[6][1]), (104, ("w3 " * 20_000) + items[7][1])]
     want = contaminated_by_brute_force(docs, [("" if i is None else i, t) for i, t in items])
     df = spark.createDataFrame(docs, DOCS).withColumn("found", F.lit("clash"))
     rows = decontamination.contamination(df, spark.createDataFrame(items, "item_id long, text string")).collect()
@@ -204,8 +277,9 @@ def repeats_by_brute_force(docs, window):
     return out
 
 
-@pytest.mark.parametrize("window,shard", [(20, 1000), (20, 1), (12, 1000), (50, 3)])
-def test_removed_words_equal_brute_force(spark, monkeypatch, window, shard):
+@pytest.mark.parametrize("window,shard,fan", [(20, 1000, 1000), (20, 1, 2), (12, 1000, 1), (50, 3, 3)])
+def test_removed_words_equal_brute_force(spark, monkeypatch, window, shard, fan):
+    monkeypatch.setattr(substrings, "FAN", fan)
     monkeypatch.setattr(substrings, "MAX_SHARD", shard)
     monkeypatch.setattr(substrings, "LOCAL_REGIONS", 50)
     rng = random.Random(window)
@@ -238,6 +312,16 @@ def test_removal_on_odd_input(spark):
     assert substrings.remove_repeats(odd(spark).limit(0)).count() == 0
     with pytest.raises(ValueError):
         substrings.remove_repeats(odd(spark), window=4)
+    with pytest.raises(ValueError, match="integers"):
+        substrings.remove_repeats(odd(spark).withColumn("doc_id", F.lit("a")))
+
+
+def test_texts_that_share_an_id(spark):
+    one, two = (" ".join(f"{x}{i}" for i in range(40)) for x in "ab")
+    df = spark.createDataFrame([(1, one), (2, one + " end"), (2, two), (3, two)], DOCS)
+    rows = sorted((r["doc_id"], r["n_removed"]) for r in substrings.remove_repeats(df).collect())
+    # What one row of document 2 loses, the other loses at the same places.
+    assert rows == [(1, 0), (2, 40), (2, 40), (3, 40)]
 
 
 def test_suffix_automaton_matching():
