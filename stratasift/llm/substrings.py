@@ -33,8 +33,10 @@ from .common import (
     numbered,
     quoted,
     read_table,
+    remove_folder,
     require,
     stage,
+    stage_at,
     task_count,
 )
 from .simhash import groups_of
@@ -48,6 +50,9 @@ MAX_SHARD = 1000
 #: Regions that a task compares among themselves before they are sent on.
 LOCAL_REGIONS = 250_000
 
+#: Copies that name one document as the earlier one; further ones name the first of their own thousand.
+FAN = 1000
+
 #: Bytes of text that meet their requests in one step.
 BLOCK_BYTES = 32 << 20
 
@@ -197,10 +202,13 @@ def judged_regions(regions: DataFrame) -> DataFrame:
         {
             "nth": F.row_number().over(of_region),
             "rank": F.rank().over(of_region),
-            "first_id": F.first("id").over(of_region),
-            "first_place": F.first("place").over(of_region),
+            "first": F.first(F.struct("id", "place")).over(of_region),
         }
-    )
+    ).withColumn("part", F.floor((F.col("nth") - 1) / FAN))
+    # Any earlier region with the same words will do, so that no document is asked by all copies of it.
+    of_part = Window.partitionBy("anchor", "content", "part").orderBy("id", "place")
+    named = F.when((F.col("nth") - 1) % FAN == 0, F.col("first")).otherwise(F.first(F.struct("id", "place")).over(of_part))
+    ranked = ranked.withColumn("head", named)
     copy = F.col("rank") > 1
     return (
         ranked.where(copy | ((F.col("nth") == 1) & F.col("differ")))
@@ -209,8 +217,8 @@ def judged_regions(regions: DataFrame) -> DataFrame:
             "place",
             F.when(~copy, F.col("anchor")).alias("anchor"),
             "hot",
-            F.when(copy, F.col("first_id")).alias("head_id"),
-            F.when(copy, F.col("first_place")).alias("head_place"),
+            F.when(copy, F.col("head.id")).alias("head_id"),
+            F.when(copy, F.col("head.place")).alias("head_place"),
         )
         .unionByName(
             regions.where("anchor is null").select(
@@ -504,8 +512,12 @@ def remove_repeats(
     key, body = F.coalesce(F.col(quoted(id_col)).cast("long"), F.lit(_NULL_ID)), F.col(quoted(text_col))
     source = df.select(key.alias("doc"), body.alias("text"))
     blocks = block_count(source)
-    judged = stage(judged_regions(stage(document_regions(source, window), "regions")), "judged")
+    # Each table goes as soon as the next one is there.
+    regions, regions_at = stage_at(document_regions(source, window), "regions")
+    judged, judged_at = stage_at(judged_regions(regions), "judged")
+    remove_folder(df.sparkSession, regions_at)
     found = stage(answers(source, requests_of(judged), blocks, window), "answers")
+    remove_folder(df.sparkSession, judged_at)
     marks = (
         copied_spans(found)
         .unionByName(automaton_marks(found.where(f"kind = {COMPARE}"), window))
