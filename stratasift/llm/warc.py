@@ -1,31 +1,43 @@
 """WARC archives: writing, reading and a merged capture index.
 
 Archives are written and read with Spark's own file readers and writers, so
-any store that Spark reaches will do.  Each archive gives one locally sorted
-run of captures; runs are dealt by key range and merged in each range by a
-loser tree, which yields capture histories in one global order of URL key,
-timestamp and page.
+any store that Spark reaches will do.  Each record is a gzip member of its own
+and can be read by its offset alone; archives are closed by their size.  Each
+gives one locally sorted run of captures, and all runs are staged as files.
+Key ranges, cut by samples and bounded in rows, then take their part of every
+run, and a loser tree merges these without sorting again: capture histories in
+one global order of URL key, timestamp and page.
 """
 
 from __future__ import annotations
 
 import base64
 import hashlib
+import uuid
 import zlib
 from collections.abc import Iterator
+from itertools import chain
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import binary_list, new_folder, plain_list, read_table, require, stage
+from .common import binary_list, frees_memory, new_folder, plain_list, read_table, require, stage, task_count
 
 #: Date of captures whose table has none.
 DEFAULT_DATE = "2024-01-01T00:00:00Z"
 
-#: Records in one archive at most, so that an archive fits in a task's memory.
-RECORDS_PER_ARCHIVE = 4000
+#: Compressed bytes at which an archive is closed; one record more is the most that a task holds.
+ARCHIVE_BYTES = 32 << 20
+
+#: Captures in one key range of the merge, more or less.
+RANGE_ROWS = 200_000
+
+#: A gzip member without content.  It ends each archive, and its last byte is what Spark's
+#: text writer adds to each row, so that an archive is one row.
+_LAST_MEMBER = zlib.compress(b"", wbits=31)
+_ROW_END = _LAST_MEMBER[-1:]
 
 INDEX = (
     "run string, url_key string, warc_date string, page_id long, payload_bytes long, payload_digest string, "
@@ -74,47 +86,61 @@ def with_record_types(digested: DataFrame, digests: DataFrame, min_bytes: int) -
     )
 
 
-def _record_id(page):
-    digest = F.md5(F.concat(F.lit("page:"), F.coalesce(page.cast("string"), F.lit("null"))))
-    parts = [F.substring(digest, a, n) for a, n in ((1, 8), (9, 4), (13, 4), (17, 4), (21, 12))]
-    return F.concat(F.lit("<urn:uuid:"), F.concat_ws("-", *parts), F.lit(">"))
-
-
-def _record(date_col: str):
-    """One record as text, without the two line ends after its block."""
-    line = "\r\n"
-    revisit = F.col("record_type") == "revisit"
-    url = F.regexp_replace(F.regexp_replace(F.coalesce("url", F.lit("")), "\r", "%0D"), "\n", "%0A")
-    return F.concat(
-        F.lit(f"WARC/1.1{line}WARC-Type: "),
-        F.col("record_type"),
-        F.lit(f"{line}WARC-Record-ID: "),
-        _record_id(F.col("page_id")),
-        F.lit(f"{line}WARC-Date: "),
-        F.coalesce(F.col(date_col), F.lit(DEFAULT_DATE)),
-        F.lit(f"{line}WARC-Target-URI: "),
-        url,
-        F.lit(f"{line}WARC-Payload-Digest: sha1:"),
-        F.col("payload_digest"),
-        F.when(
-            revisit,
-            F.concat(
-                F.lit(f"{line}WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"),
-                F.lit(f"{line}WARC-Refers-To: "),
-                _record_id(F.col("refers_to")),
-                F.lit(f"{line}X-Refers-To-Page: "),
-                F.col("refers_to").cast("string"),
-            ),
-        ).otherwise(""),
-        F.lit(f"{line}X-Page: "),
-        F.coalesce(F.col("page_id").cast("string"), F.lit("")),
-        F.lit(f"{line}X-Payload-Length: "),
-        F.col("payload_bytes").cast("string"),
-        F.lit(f"{line}Content-Type: text/html; charset=utf-8{line}Content-Length: "),
-        F.when(revisit, "0").otherwise(F.col("payload_bytes").cast("string")),
-        F.lit(line * 2),
-        F.when(revisit, "").otherwise(F.coalesce("html", F.lit(""))),
-    )
+def _record_id(page: int | None) -> str:
+    digest = hashlib.md5(f"page:{'null' if page is None else page}".encode()).hexdigest()
+    return f"<urn:uuid:{uuid.UUID(digest)}>"
+
+
+def record(page, url, date, payload: bytes, size: int, digest: str, kind: str, refers_to) -> bytes:
+    """One WARC record."""
+    lines = [
+        "WARC/1.1",
+        f"WARC-Type: {kind}",
+        f"WARC-Record-ID: {_record_id(page)}",
+        f"WARC-Date: {date or DEFAULT_DATE}",
+        f"WARC-Target-URI: {(url or '').replace('\r', '%0D').replace('\n', '%0A')}",
+        f"WARC-Payload-Digest: sha1:{digest}",
+    ]
+    if kind == "revisit":
+        payload = b""
+        lines += [
+            "WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest",
+            f"WARC-Refers-To: {_record_id(refers_to)}",
+            f"X-Refers-To-Page: {refers_to}",
+        ]
+    lines += [
+        f"X-Page: {'' if page is None else page}",
+        f"X-Payload-Length: {size}",
+        "Content-Type: text/html; charset=utf-8",
+        f"Content-Length: {len(payload)}",
+    ]
+    return "\r\n".join(lines).encode() + b"\r\n\r\n" + payload + b"\r\n\r\n"
+
+
+def packed_archives(records: DataFrame) -> DataFrame:
+    """(value): the bytes of one archive each, without the last."""
+    names = ("page_id", "url", "date", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+    def archive(members: list[bytes]) -> pa.RecordBatch:
+        data = b"".join([*members, _LAST_MEMBER])
+        return pa.RecordBatch.from_arrays([pa.array([data[:-1]], pa.large_binary()).cast(pa.binary())], names=["value"])
+
+    def run(batches):
+        members, size = [], 0
+        for batch in batches:
+            columns = [plain_list(batch, c) for c in names]
+            for (page, url, date, n, digest, kind, refers), payload in zip(
+                zip(*columns, strict=True), binary_list(batch, "html"), strict=True
+            ):
+                members.append(zlib.compress(record(page, url, date, payload, n, digest, kind, refers), wbits=31))
+                size += len(members[-1])
+                if size >= ARCHIVE_BYTES:
+                    yield archive(members)
+                    members, size = [], 0
+        if members:
+            yield archive(members)
+
+    return records.select(*names, "html").mapInArrow(frees_memory(run), "value binary")
 
 
 def write_archives(
@@ -134,36 +160,46 @@ def write_archives(
     # The digests are a narrow table of their own, so that payloads are shuffled once.
     digested = payload_digests(source)
     digests = stage(digested.select("page_id", "payload_digest", "payload_bytes"), "digests")
-    records = with_record_types(digested, digests, min_bytes).select(_record("date").alias("value"))
-    (
-        records.write.option("lineSep", "\r\n\r\n")
-        .option("compression", "gzip")
-        .option("maxRecordsPerFile", RECORDS_PER_ARCHIVE)
-        .text(folder)
-    )
+    archives = packed_archives(with_record_types(digested, digests, min_bytes))
+    # The text writer writes the bytes of a string as they are, and ends each row with the separator.
+    text = archives.select(F.col("value").cast("string").alias("value"))
+    text.write.option("lineSep", _ROW_END.decode()).option("maxRecordsPerFile", 1).text(folder)
+
+
+def parse_record(raw: bytes) -> tuple[dict[str, str], bytes]:
+    """Headers and block of an uncompressed record."""
+    head_end = raw.find(b"\r\n\r\n")
+    lines = raw[: max(head_end, 0)].decode("utf-8").split("\r\n")
+    if not lines[0].startswith("WARC/"):
+        raise ValueError("no record begins here")
+    headers = dict(x.split(": ", 1) if ": " in x else (x.rstrip(":"), "") for x in lines[1:])
+    start = head_end + 4
+    end = start + int(headers["Content-Length"])
+    if raw[end:] != b"\r\n\r\n":
+        raise ValueError("the record has a wrong length")
+    return headers, raw[start:end]
 
 
 def parse_archive(data: bytes) -> Iterator[tuple[dict[str, str], bytes, int, int]]:
-    """(headers, block, offset, length) of each record of an uncompressed archive."""
-    at = 0
-    while at < len(data):
-        head_end = data.index(b"\r\n\r\n", at)
-        lines = data[at:head_end].decode("utf-8").split("\r\n")
-        if not lines[0].startswith("WARC/"):
-            raise ValueError(f"no record begins at byte {at}")
-        headers = dict(x.split(": ", 1) if ": " in x else (x.rstrip(":"), "") for x in lines[1:])
-        start = head_end + 4
-        end = start + int(headers["Content-Length"])
-        if data[end : end + 4] != b"\r\n\r\n":
-            raise ValueError(f"the record at byte {at} has a wrong length")
-        yield headers, data[start:end], at, end + 4 - at
-        at = end + 4
+    """(headers, block, offset, length) of each record of an archive; the bytes there are its gzip member."""
+    view, at = memoryview(data), 0
+    while at < len(view):
+        member, parts, end = zlib.decompressobj(wbits=31), [], at
+        while not member.eof:
+            if end >= len(view):
+                raise ValueError(f"the archive breaks off in the record at byte {at}")
+            parts.append(member.decompress(view[end : end + 65536]))
+            end = min(end + 65536, len(view))
+        end -= len(member.unused_data)
+        if raw := b"".join(parts):
+            yield *parse_record(raw), at, end - at
+        at = end
 
 
 def read_records(spark: SparkSession, folder: str, with_payload: bool = False) -> DataFrame:
     """All records of the archives in ``folder``, each archive sorted into one run; digests are checked."""
     files = (
-        spark.read.format("binaryFile").option("pathGlobFilter", "*.gz").load(folder).select("path", "content")
+        spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(folder).select("path", "content")
     )
     fields = [f.strip().split(" ") for f in INDEX.split(",")] + [["payload", "binary"]] * with_payload
     kinds = {"string": pa.string(), "long": pa.int64(), "binary": pa.binary()}
@@ -172,7 +208,7 @@ def read_records(spark: SparkSession, folder: str, with_payload: bool = False) -
         for batch in batches:
             for path, content in zip(plain_list(batch, "path"), batch.column(1), strict=True):
                 rows = []
-                for headers, block, at, size in parse_archive(zlib.decompress(content.as_py(), 31)):
+                for headers, block, at, size in parse_archive(content.as_py()):
                     digest = headers["WARC-Payload-Digest"].removeprefix("sha1:")
                     if headers["WARC-Type"] == "response":
                         if base64.b32encode(hashlib.sha1(block).digest()).decode() != digest:
@@ -210,17 +246,24 @@ def sort_key(row: tuple) -> tuple:
 
 
 class LoserTree:
-    """Merges sorted runs; each step replays one path from leaf to root."""
+    """Merges sorted iterators; each step replays one path from leaf to root."""
 
-    def __init__(self, runs: list[list[tuple]], key=sort_key):
-        self.runs, self.key, self.k = runs, key, len(runs)
-        self.at = [0] * self.k
-        self.heads = [(0, key(r[0])) if r else (1, ()) for r in runs]
+    def __init__(self, runs: list[Iterator], key=sort_key):
+        self.runs, self.key, self.k = [iter(r) for r in runs], key, len(runs)
+        self.items: list = [None] * self.k
+        self.heads: list[tuple] = [(1, ())] * self.k
         # tree[0] is the winner, the others hold the loser of their match.
         self.tree = [-1] * max(1, self.k)
         for leaf in range(self.k - 1, -1, -1):
+            self._pull(leaf)
             self._replay(leaf)
 
+    def _pull(self, leaf: int) -> None:
+        for item in self.runs[leaf]:
+            self.items[leaf], self.heads[leaf] = item, (0, self.key(item))
+            return
+        self.items[leaf], self.heads[leaf] = None, (1, ())
+
     def _replay(self, leaf: int) -> None:
         node = (leaf + self.k) // 2
         winner = leaf
@@ -235,43 +278,44 @@ class LoserTree:
             node //= 2
         self.tree[0] = winner
 
-    def __iter__(self) -> Iterator[tuple]:
+    def __iter__(self) -> Iterator:
         while self.k and not self.heads[w := self.tree[0]][0]:
-            run, i = self.runs[w], self.at[w]
-            yield run[i]
-            self.at[w] = i = i + 1
-            self.heads[w] = (0, self.key(run[i])) if i < len(run) else (1, ())
+            yield self.items[w]
+            self._pull(w)
             self._replay(w)
 
 
+def natural_runs(keys: list[tuple]) -> list[tuple[int, int]]:
+    """(first, end) of the stretches of one run that are in order; a run that arrives in pieces is several."""
+    cuts = [0] + [i for i in range(1, len(keys)) if keys[i][4] != keys[i - 1][4] or keys[i] < keys[i - 1]]
+    return list(zip(cuts, [*cuts[1:], len(keys)], strict=True)) if keys else []
+
+
 def merge_runs(runs: DataFrame) -> DataFrame:
     """All captures of sorted runs in one global order; partitions follow each other.
 
     Ranges are cut on the whole sort key, so a URL with very many captures
-    spans as many of them as it needs.
+    spans as many of them as it needs, and their number follows from the rows,
+    so that a task holds a bounded part of the runs, in Arrow's own format.
     """
-    ranged = runs.repartitionByRange("url_key", "warc_date", "page_id", "run", "record_offset")
+    order = ["url_key", "warc_date", "page_id", "run", "record_offset"]
+    ranges = max(task_count(runs), runs.count() // RANGE_ROWS + 1)
+    ranged = runs.repartitionByRange(ranges, *order)
 
     def merge(batches):
-        parts: dict[str, list[tuple]] = {}
-        names = schema = None
-        for batch in batches:
-            names, schema = batch.schema.names, batch.schema
-            for row in zip(*[c.to_pylist() for c in batch.columns], strict=True):
-                parts.setdefault(row[0], []).append(row)
-        for run in parts.values():
-            # A run may arrive in several blocks; sorting what is sorted costs one pass.
-            run.sort(key=sort_key)
-        rows: list[tuple] = []
-        for row in LoserTree(list(parts.values())):
-            rows.append(row)
-            if len(rows) == 8192:
-                yield pa.RecordBatch.from_pylist([dict(zip(names, r, strict=True)) for r in rows], schema)
-                rows = []
-        if rows:
-            yield pa.RecordBatch.from_pylist([dict(zip(names, r, strict=True)) for r in rows], schema)
+        table = pa.Table.from_batches(list(batches)).combine_chunks()
+        columns = [table.column(c).to_pylist() for c in ("run", "url_key", "warc_date", "page_id", "record_offset")]
+        keys = [
+            (url, date, page is not None, page or 0, run, at) for run, url, date, page, at in zip(*columns, strict=True)
+        ]
+        tree = LoserTree([iter(range(a, b)) for a, b in natural_runs(keys)], key=keys.__getitem__)
+        yield from table.take(pa.array(tree, pa.int64())).to_batches(max_chunksize=8192)
+
+    def run(batches):
+        for first in batches:
+            yield from merge(chain([first], batches))
 
-    return ranged.mapInArrow(merge, runs.schema)
+    return ranged.mapInArrow(frees_memory(run), runs.schema)
 
 
 def capture_index(spark: SparkSession, folder: str) -> DataFrame:
