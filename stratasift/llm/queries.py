@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe_counts, chat, decontamination, packing, ppm, quality, simhash, substrings, url_rules, warc
+from . import bpe_counts, chat, decontamination, kmeans, merkle, packing, ppm, quality, simhash, substrings, suffix_dedup, url_rules, warc
 
 QUERIES = {
     "op1_ppm": ppm.query,
@@ -15,6 +15,9 @@ QUERIES = {
     "op8_url_filters": url_rules.query,
     "op9_decontamination": decontamination.query,
     "op10_quality_rules": quality.query,
+    "op11_elkan": kmeans.query,
+    "op12_deep_shallow": suffix_dedup.query,
+    "op13_merkle": merkle.query,
 }
 
 SQL = {
@@ -24,4 +27,7 @@ SQL = {
     "op8_url_filters": url_rules.ORACLE_SQL,
     "op9_decontamination": decontamination.ORACLE_SQL,
     "op10_quality_rules": quality.ORACLE_SQL,
+    "op11_elkan": kmeans.ORACLE_SQL,
+    "op12_deep_shallow": suffix_dedup.ORACLE_SQL,
+    "op13_merkle": merkle.ORACLE_SQL,
 }
