@@ -233,18 +233,18 @@ ORACLE_SQL = f"""
 WITH RECURSIVE d AS (
   SELECT doc_id, lang, {_sql_leaf("n_chars")} AS leaf,
     CASE WHEN {_SQL_CRC} % 7 = 0 THEN {_sql_leaf("(n_chars + 1)")} ELSE {_sql_leaf("n_chars")} END AS seen,
-    row_number() OVER (PARTITION BY lang ORDER BY doc_id NULLS FIRST) - 1 AS at FROM documents),
+    row_number() OVER (PARTITION BY lang ORDER BY doc_id NULLS FIRST) - 1 AS pos FROM documents),
 lv AS (
-  SELECT lang, 0 AS l, list(leaf ORDER BY at) AS nodes FROM d GROUP BY lang
+  SELECT lang, 0 AS l, list(leaf ORDER BY pos) AS nodes FROM d GROUP BY lang
   UNION ALL SELECT lang, l + 1, {_SQL_UP} FROM lv WHERE len(nodes) > 1),
-tops AS (SELECT lang, nodes[1] AS subroot, row_number() OVER (ORDER BY lang NULLS FIRST) - 1 AS at FROM lv WHERE len(nodes) = 1),
+tops AS (SELECT lang, nodes[1] AS subroot, row_number() OVER (ORDER BY lang NULLS FIRST) - 1 AS pos FROM lv WHERE len(nodes) = 1),
 tl AS (
-  SELECT 0 AS l, list(subroot ORDER BY at) AS nodes FROM tops
+  SELECT 0 AS l, list(subroot ORDER BY pos) AS nodes FROM tops
   UNION ALL SELECT l + 1, {_SQL_UP} FROM tl WHERE len(nodes) > 1),
 steps AS (
-  SELECT doc_id, l AS k, at >> l AS m, nodes FROM d JOIN lv ON d.lang IS NOT DISTINCT FROM lv.lang WHERE len(nodes) > 1
+  SELECT doc_id, l AS k, d.pos >> l AS m, nodes FROM d JOIN lv ON d.lang IS NOT DISTINCT FROM lv.lang WHERE len(nodes) > 1
   UNION ALL
-  SELECT doc_id, 1000 + l, tops.at >> l, nodes FROM d JOIN tops ON d.lang IS NOT DISTINCT FROM tops.lang, tl WHERE len(nodes) > 1),
+  SELECT doc_id, 1000 + l, tops.pos >> l, nodes FROM d JOIN tops ON d.lang IS NOT DISTINCT FROM tops.lang, tl WHERE len(nodes) > 1),
 paths AS (
   SELECT doc_id, string_agg(nodes[xor(m, 1) + 1], '' ORDER BY k) AS proof,
     list(CASE WHEN nodes[xor(m, 1) + 1] IS NULL THEN 'A' WHEN m & 1 = 1 THEN 'L' || nodes[xor(m, 1) + 1]

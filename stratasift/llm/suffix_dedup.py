@@ -486,7 +486,8 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
 ORACLE_SQL = """
 WITH d AS MATERIALIZED (SELECT doc_id, hex(encode(coalesce(text, ''))) AS x FROM documents),
 n AS (SELECT doc_id, x, len(x) // 2 AS bytes FROM d),
-win AS (SELECT doc_id, s, md5(array_slice(x, 2 * s + 1, 2 * s + 200)) AS h FROM n, unnest(range(0, bytes - 99)) u(s)),
+parts AS (SELECT doc_id, b, array_slice(x, 2 * b + 1, 2 * b + 1198) AS y FROM n, unnest(range(0, bytes, 500)) u(b)),
+win AS (SELECT doc_id, b + i AS s, md5(array_slice(y, 2 * i + 1, 2 * i + 200)) AS h FROM parts, unnest(range(0, least(500, len(y) // 2 - 99))) u(i)),
 later AS (
   SELECT doc_id, s FROM (SELECT doc_id, s, row_number() OVER (PARTITION BY h ORDER BY doc_id, s) AS k FROM win) WHERE k > 1),
 steps AS (SELECT doc_id, s, coalesce(s - lag(s) OVER (PARTITION BY doc_id ORDER BY s) > 100, true) AS new FROM later),
