@@ -12,6 +12,8 @@ functions only.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -91,9 +93,34 @@ def shingle_places(items: DataFrame) -> DataFrame:
     return placed.select("row_key", "length", "span", "width", "at", of_width(_gram).alias("gram"), of_width(_key).alias("key"))
 
 
-def shingle_hits(named: DataFrame, places: DataFrame, widths: list[int], near) -> DataFrame:
+def shuffled_hits(named: DataFrame, known: DataFrame, widths: list[int]) -> DataFrame:
+    """:func:`shingle_hits` for item shingles that are too many to broadcast.
+
+    A word is shuffled with those of its own shingle only, never with its
+    document, and the ends of documents are added without a join, so that no
+    key has a row of every document.
+    """
+    cut = named.select("id", "tag", words_of(F.col("text")).alias("words"))
+    ends = cut.select("id", "tag", F.size("words").alias("n_words"), F.size("words").alias("place"), F.lit(_END).alias("gram"))
+    if not widths:
+        return ends
+    most = max(widths)
+    pieces = F.transform("words", lambda w, i: F.struct(i.alias("place"), F.slice("words", i + 1, F.lit(most)).alias("piece")))
+    spread = cut.select("id", "tag", F.size("words").alias("n_words"), F.inline(pieces))
+    parts = []
+    for k in widths:
+        piece = [F.get("piece", F.lit(i)) for i in range(k)]
+        mine = spread.where(F.size("piece") >= k).select("id", "tag", "n_words", "place", _gram(piece).alias("raw"), _key(piece).alias("own"))
+        theirs = known.where(F.col("width") == k).select("key", "gram")
+        parts.append(mine.join(theirs, F.col("own") == F.col("key")).where(lowered(F.col("raw")) == F.col("gram")).select("id", "tag", "n_words", "place", "gram"))
+    return reduce(DataFrame.unionByName, parts, ends)
+
+
+def shingle_hits(named: DataFrame, places: DataFrame, widths: list[int], near, small: bool = True) -> DataFrame:
     """(id, tag, n_words, place, gram) wherever a document has a shingle of an item, and at the end of each document."""
     known = places.select("width", "key", "gram").distinct()
+    if not small:
+        return shuffled_hits(named, known, widths)
     end = F.lit(_END)
     ends = named.sparkSession.range(1).select(F.lit(0).alias("width"), _key([end]).alias("key"), end.alias("gram"))
     cut = named.select("id", "tag", F.concat(words_of(F.col("text")), F.array(end)).alias("words"))
@@ -202,10 +229,11 @@ def contamination(
     places = stage(shingle_places(items), "places")
     # Item shingles bound every benchmark table that is joined below.
     sizes = {r["width"]: r["count"] for r in places.groupBy("width").count().collect()}
-    near = F.broadcast if sum(sizes.values()) <= BROADCAST_ROWS else (lambda df: df)
+    small = sum(sizes.values()) <= BROADCAST_ROWS
+    near = F.broadcast if small else (lambda df: df)
     # Rows with one id are told apart by their texts.
     named = docs.select(F.col(quoted(id_col)).alias("id"), F.col(quoted(text_col)).alias("text")).withColumn("tag", F.xxhash64("text"))
-    hits = stage(shingle_hits(named, places, sorted(sizes), near), "hits")
+    hits = stage(shingle_hits(named, places, sorted(sizes), near, small), "hits")
     whole = hits.where(F.col("gram") == _END).select("id", "tag", F.col("n_words").cast("long").alias("n_words"))
     found = hits.where(F.col("gram") != _END)
     frequency = found.groupBy("gram").agg(F.count(F.lit(1)).alias("seen"))

@@ -39,7 +39,10 @@ PAIRWISE_BUCKET = 24
 SLOTS, SLOT_RANGES = 1 << 18, 64
 
 #: Pairs that are looked at in one step within a task.
-BLOCK_PAIRS = 1 << 20
+BLOCK_PAIRS = 1 << 18
+
+#: Bits of a set's parities: two sets differ in as many elements at least as their parities do in bits.
+PARITY_BITS = 1024
 
 _ODD = (np.arange(1, VIEWS + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)) | np.uint64(1)
 
@@ -120,26 +123,41 @@ def bucket_pairs(keyed: DataFrame) -> DataFrame:
     """
 
     def run(batches):
-        for key, content in groups_of(batches):
-            starts = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
-            ends = np.r_[starts[1:], len(key)]
-            us, vs = [], []
-            for a, b in zip(starts.tolist(), ends.tolist(), strict=True):
-                if b - a < 2:
+        # Of a large bucket only its first members and the last one are held.
+        key, few, last, large = None, [], None, False
+        us, vs = [], []
+
+        def all_pairs():
+            for i, x in enumerate(few):
+                us.extend([x] * (len(few) - i - 1))
+                vs.extend(few[i + 1 :])
+
+        for batch in batches:
+            for k, member in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                if k != key:
+                    if not large:
+                        all_pairs()
+                    key, few, last, large = k, [member], member, False
                     continue
-                members = list(dict.fromkeys(content[a:b].tolist()))
-                if len(members) <= PAIRWISE_BUCKET:
-                    for i, x in enumerate(members):
-                        us += [x] * (len(members) - i - 1)
-                        vs += members[i + 1 :]
-                else:
-                    us += [members[0]] * (len(members) - 1)
-                    vs += members[1:]
-                    us += members[1:-1]
-                    vs += members[2:]
-                    us += members
-                    vs += [None] * len(members)
-            yield pa.RecordBatch.from_arrays([pa.array(us, pa.binary()), pa.array(vs, pa.binary())], names=["u", "v"])
+                if member == last:
+                    continue
+                if not large and len(few) < PAIRWISE_BUCKET:
+                    few.append(member)
+                elif not large:
+                    large = True
+                    us.extend([few[0]] * (len(few) - 1) + few[1:-1] + few)
+                    vs.extend(few[1:] + few[2:] + [None] * len(few))
+                if large:
+                    us.extend([few[0], last, member])
+                    vs.extend([member, member, None])
+                last = member
+            if len(us) >= 100_000:
+                yield pa.RecordBatch.from_arrays([pa.array(us, pa.binary()), pa.array(vs, pa.binary())], names=["u", "v"])
+                us.clear()
+                vs.clear()
+        if not large:
+            all_pairs()
+        yield pa.RecordBatch.from_arrays([pa.array(us, pa.binary()), pa.array(vs, pa.binary())], names=["u", "v"])
 
     ordered = keyed.repartition("key").sortWithinPartitions("key", "content")
     return ordered.mapInArrow(frees_memory(run), "u binary, v binary").distinct()
@@ -203,6 +221,12 @@ def slot_counts(hot: DataFrame) -> np.ndarray:
     return counts
 
 
+def parities(shingles: np.ndarray) -> bytes:
+    """For each of ``PARITY_BITS`` places whether an odd number of shingles falls there."""
+    places = ((shingles * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(54)).astype(np.int64)
+    return np.packbits((np.bincount(places, minlength=PARITY_BITS) & 1).astype(np.uint8)).tobytes()
+
+
 def rare_shingles(hot: DataFrame, similarity: float) -> DataFrame:
     """The rarest shingles of each text, as many as a pair with the similarity needs to share one.
 
@@ -214,7 +238,7 @@ def rare_shingles(hot: DataFrame, similarity: float) -> DataFrame:
     def run(batches):
         counts = shared.value
         for batch in batches:
-            tokens, sizes, places, indexed, owners = [], [], [], [], []
+            tokens, sizes, places, indexed, owners, bits = [], [], [], [], [], []
             for i, x in enumerate(batch.column(1).to_pylist()):
                 own = _loaded(x)
                 n = len(own)
@@ -226,6 +250,7 @@ def rare_shingles(hot: DataFrame, similarity: float) -> DataFrame:
                 places.append(np.arange(len(chosen), dtype=np.int32))
                 indexed.append(np.arange(len(chosen)) < index)
                 owners.append(np.full(len(chosen), i))
+                bits.append(parities(own))
             if not tokens:
                 continue
             at = pa.array(np.concatenate(owners))
@@ -234,25 +259,29 @@ def rare_shingles(hot: DataFrame, similarity: float) -> DataFrame:
                     *(pa.array(np.concatenate(x)) for x in (tokens, sizes, places, indexed)),
                     batch.column(0).take(at),
                     batch.column(2).take(at),
+                    pa.array(bits, pa.binary()).take(at),
                 ],
-                names=["token", "size", "place", "indexed", "content", "component"],
+                names=["token", "size", "place", "indexed", "content", "component", "bits"],
             )
             for lo in range(0, rows.num_rows, 100_000):
                 yield rows.slice(lo, 100_000)
 
     return hot.select("content", "shingles", "component").mapInArrow(
-        frees_memory(run), "token long, size int, place int, indexed boolean, content binary, component binary"
+        frees_memory(run), "token long, size int, place int, indexed boolean, content binary, component binary, bits binary"
     )
 
 
 def rare_pairs(rows: DataFrame, similarity: float, first: bool) -> DataFrame:
     """Pairs (u < v) of different components that share a rare shingle and can have the similarity.
 
-    With ``first``, one pair for each text and shingle, which is enough to connect most copies.
+    With ``first``, one pair for each text and shingle, which is enough to
+    connect most copies.  Sets whose parities differ in more bits than the
+    similarity allows for elements are no pair, so families of texts below it
+    send few on.
     """
 
     def run(batches):
-        for token, size, place, indexed, content, component in groups_of(batches):
+        for token, size, place, indexed, content, component, bits in groups_of(batches):
             starts = np.flatnonzero(np.r_[True, token[1:] != token[:-1]])
             ends = np.r_[starts[1:], len(token)]
             several = ends - starts > 1
@@ -261,6 +290,7 @@ def rare_pairs(rows: DataFrame, similarity: float, first: bool) -> DataFrame:
                 cuts = np.flatnonzero(component[a + 1 : b] != component[a : b - 1]) + a + 1
                 if not len(cuts):
                     continue
+                odd = np.frombuffer(b"".join(bits[a:b]), "<u8").reshape(b - a, -1)
                 for s, e in zip([a, *cuts.tolist()], [*cuts.tolist(), b], strict=True):
                     mine = s + np.flatnonzero(indexed[s:e])
                     other = np.r_[a:s, e:b]
@@ -272,11 +302,17 @@ def rare_pairs(rows: DataFrame, similarity: float, first: bool) -> DataFrame:
                         most = np.minimum(n - place[x], m - place[other][None, :])
                         fits = (m >= n) & (n >= similarity * m - 1e-6)
                         fits &= most >= similarity / (1 + similarity) * (n + m) - 1e-6
+                        i, j = np.nonzero(fits)
+                        left, right = x[i, 0], other[j]
+                        near = np.ones(len(i), bool)
+                        for at in range(0, len(i), 1 << 14):
+                            u, v = left[at : at + (1 << 14)], right[at : at + (1 << 14)]
+                            apart = np.bitwise_count(odd[u - a] ^ odd[v - a]).sum(axis=1)
+                            near[at : at + (1 << 14)] = apart <= (1 - similarity) / (1 + similarity) * (size[u] + size[v]) + 1e-6
+                        i, j = i[near], j[near]
                         if first:
-                            i = np.flatnonzero(fits.any(axis=1))
-                            j = fits[i].argmax(axis=1)
-                        else:
-                            i, j = np.nonzero(fits)
+                            i, at = np.unique(i, return_index=True)
+                            j = j[at]
                         for p, q in zip(content[x[i, 0]].tolist(), content[other[j]].tolist(), strict=True):
                             us.append(min(p, q))
                             vs.append(max(p, q))

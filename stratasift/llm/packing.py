@@ -24,7 +24,7 @@ from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from .bpe_counts import byte_symbols
-from .common import binary_list, plain_list, read_table, require, stage
+from .common import binary_list, plain_list, quoted, read_table, require, stage
 
 CAPACITY = 2048
 END_ID = 1
@@ -397,12 +397,15 @@ def pack_documents(
     than a sequence are cut into full sequences and a rest.  Repeated rows are
     packed as often as they occur; a null id is an id.  An empty table gives an
     empty result.  Columns other than the id and the text are not looked at.
+    An id column that is named like a result is returned as ``id``.
     """
     require(df, id_col, text_col)
+    named = df.select(F.col(quoted(id_col)).alias("__id"), F.col(quoted(text_col)).alias("__body"))
     pieces = stage(
-        tokenized_pieces(df, tokenizer_path, id_col, text_col, end_id, capacity, with_ids), "pieces"
+        tokenized_pieces(named, tokenizer_path, "__id", "__body", end_id, capacity, with_ids), "pieces"
     )
-    return pack(pieces, id_col, capacity).drop("source_row")
+    packed = pack(pieces, "__id", capacity).drop("source_row")
+    return packed.withColumnRenamed("__id", "id" if id_col in packed.columns else id_col)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -19,7 +19,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import binary_list, read_table, require, stage
+from .common import binary_list, quoted, read_table, require, stage
 from .components import connected_components
 from .golay import codeword_indices
 
@@ -57,7 +57,7 @@ def majority_bits(hashes: np.ndarray) -> int:
 
 def fingerprints(df: DataFrame, id_col: str, text_col: str, shingle: int) -> DataFrame:
     """The id and ``fp`` (the 64 bits as a signed long) of each row."""
-    source = df.select(F.col(f"`{id_col}`").alias("__id"), F.col(f"`{text_col}`").alias("__text"))
+    source = df.select(F.col(quoted(id_col)).alias("__id"), F.col(quoted(text_col)).alias("__text"))
     schema = source.select("__id").schema.add("fp", "long")
 
     def run(batches):
@@ -194,8 +194,11 @@ def simhash_components(
     Rows whose fingerprints are linked, directly or through others, share the
     smallest id among them.  Null and empty texts have fingerprint zero and are
     linked like any other; texts with fewer words than a shingle are one
-    shingle.  Repeated rows stay; a null id never names a component unless all
-    ids in it are null.  An empty table gives an empty result.
+    shingle, and texts of any length are taken whole.  Repeated rows stay; a
+    null id never names a component unless all ids in it are null.  A bit that
+    exactly half of the hashes have is not set.  An empty table gives an empty
+    result.  Other columns are not looked at, whatever their names; an id
+    column that is named like a result is returned as ``id``.
     """
     require(df, id_col, text_col)
     prints = stage(fingerprints(df, id_col, text_col, shingle), "fingerprints")
@@ -207,7 +210,7 @@ def simhash_components(
     least = classes.groupBy("label").agg(F.min("least").alias("component_id"))
     named = classes.join(least, "label").select("fp", "component_id")
     return prints.join(named, "fp").select(
-        F.col("__id").alias(id_col),
+        F.col("__id").alias("id" if id_col in ("fingerprint", "component_id") else id_col),
         F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"),
         "component_id",
     )

@@ -230,6 +230,33 @@ def contaminated_by_brute_force(docs, items):
 @pytest.mark.parametrize("rows", [500_000, 0])
 def test_decontamination_equals_brute_force(spark, monkeypatch, rows):
     monkeypatch.setattr(decontamination, "BROADCAST_ROWS", rows)
+    threshold = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "10MB" if rows else "-1")
+    try:
+        decontaminated_as_expected(spark)
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
+
+
+def test_no_document_is_shuffled_with_its_words(spark):
+    docs = spark.createDataFrame([(1, "a b c d e f")], DOCS).select(F.col("doc_id").alias("id"), "text", F.lit(1).alias("tag"))
+    items = decontamination.item_table(spark.createDataFrame([(1, "b c d e"), (2, "f")], "item_id long, text string"), "item_id", "text", 13)
+    places = decontamination.shingle_places(items)
+    places = spark.createDataFrame(places.collect(), places.schema)
+    hits = decontamination.shingle_hits(docs, places, [1, 3], lambda df: df, small=False)
+    threshold = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        plan = spark._jvm.PythonSQLUtils.explainString(hits._jdf.queryExecution(), "formatted")
+        found = sorted((r["place"], r["gram"]) for r in hits.collect())
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
+    shuffled = [part.split("Input")[1].splitlines()[0] for part in plan.split("\n\n") if ") Exchange" in part and "Input" in part]
+    assert "SortMergeJoin" in plan and shuffled and not any("words#" in columns or "piece#" in columns for columns in shuffled)
+    assert found == [(1, "b c d"), (2, "c d e"), (5, "f"), (6, "\x00")]
+
+
+def decontaminated_as_expected(spark):
     rng = random.Random(6)
     vocabulary = [f"w{i}" for i in range(40)] + ["Été", "the", "THE"]
     items = [(i, " ".join(rng.choices(vocabulary, k=n))) for i, n in enumerate((30, 13, 14, 5, 1, 0, 20, 20))]
