@@ -84,12 +84,16 @@ def answer_verdict(similarity: Column, contradiction: Column, is_regulation: Col
     return passed, warning
 
 
+#: Names of the level whose content needs a review.
+UNTRUSTED = ("UNTRUSTED", "UNTRUSTED_EXTERNAL")
+
+
 def trust_class(trust: Column, approval: Column) -> Column:
     """Null for a pair that the contract does not allow."""
     return (
         F.when((trust == "MANAGED_INTERNAL") & (approval == "NOT_REQUIRED"), "MANAGED_INTERNAL")
-        .when((trust == "UNTRUSTED_EXTERNAL") & (approval == "APPROVED"), "APPROVED_EXTERNAL")
-        .when((trust == "UNTRUSTED_EXTERNAL") & approval.isin("PENDING_REVIEW", "REJECTED"), "UNTRUSTED")
+        .when(trust.isin(*UNTRUSTED) & (approval == "APPROVED"), "APPROVED_EXTERNAL")
+        .when(trust.isin(*UNTRUSTED) & approval.isin("PENDING_REVIEW", "REJECTED"), "UNTRUSTED")
     )
 
 

@@ -184,6 +184,15 @@ def unresolved(annotations: DataFrame, index: DataFrame, keys: list[str]) -> Dat
     return annotations.join(index.select(*keys).distinct(), keys, "left_anti").select(*annotations.columns)
 
 
+def unresolved_chunks(annotations: DataFrame, index: DataFrame, keys: list[str], place: str = "chunk_index", count: str = "n") -> DataFrame:
+    """Annotations whose place is not below the number of chunks that the index has for their keys."""
+    known = index.select(*[F.col(k).alias(f"of_{k}") for k in keys], F.col(count).alias("of_count"))
+    there = F.col(place) < F.col("of_count")
+    for k in keys:
+        there &= F.col(k) == F.col(f"of_{k}")
+    return annotations.join(known, there, "left_anti")
+
+
 def gold_approval(rows: DataFrame, chunk_ids: str, index: DataFrame) -> DataFrame:
     """(chunk_id, verdict) of every chunk that golden rows point at, by ``index(chunk_id, approved)``."""
     asked = rows.select(F.explode(chunk_ids).alias("chunk_id")).where(~blank(F.col("chunk_id"))).distinct()

@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
+from .ranking import distributed_rank
+
 
 def last_n(df: DataFrame, by: list[str], order: list, n: int) -> DataFrame:
     """The last ``n`` rows of each group, with their place from the end."""
@@ -178,10 +180,25 @@ def two_level_cache(
     return ordered_fold(df, partition, [ts, tie], lambda: {"near": OrderedDict(), "far": {}}, step, served, [key, ts, public, epoch])
 
 
+#: Requests of a node that one task takes at once.
+PRESSURE_BLOCK = 65_536
+
+
 def running_pressure(df: DataFrame, order: list, cost: Column, budget: float, rows: int) -> DataFrame:
-    """Share of the budget that the last ``rows`` requests of a node hold together."""
-    w = Window.partitionBy("node").orderBy(*order).rowsBetween(-(rows - 1), 0)
-    return df.withColumn("pressure", F.round(F.sum(cost).over(w) / budget, 6))
+    """Share of the budget that the last ``rows`` requests of a node hold together.
+
+    Nodes are few, so their requests are ranked without a node in one task and
+    cut into blocks; the last requests of a block are given to the next one as
+    well, which needs them for its first.
+    """
+    ranked = distributed_rank(df.withColumn("cost_", cost), ["node"], order, "place_")
+    block = F.floor((F.col("place_") - 1) / PRESSURE_BLOCK)
+    late = (F.col("place_") - 1) % PRESSURE_BLOCK >= PRESSURE_BLOCK - (rows - 1)
+    copies = F.when(late, F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0)))
+    spread = ranked.withColumn("lent_", F.explode(copies)).withColumn("block_", block + F.col("lent_"))
+    w = Window.partitionBy("node", "block_").orderBy("place_").rowsBetween(-(rows - 1), 0)
+    summed = spread.withColumn("pressure", F.round(F.sum("cost_").over(w) / budget, 6))
+    return summed.where("lent_ = 0").select(*df.columns, "pressure")
 
 
 def admission_fold(df: DataFrame, by: list[str], ts: str, budget: float, hold: int, tie: str = "event_id") -> DataFrame:

@@ -22,14 +22,13 @@ _CHUNK_COUNT = "CASE WHEN length(text) = 0 THEN 0 ELSE greatest(1, CAST(ceil((le
 )
 def identifier_existence(spark, sf):
     """Annotations whose document, chunk and epoch are not in the index."""
-    d = with_masks(table(spark, sf, "documents"))
-    n = text.window_count(F.length("text"))
-    index = d.where((n > 0) & F.col("epoch").isNotNull()).select("doc_id", "epoch", F.explode(F.sequence(F.lit(0), n - 1)).alias("chunk_index"))
+    # Chunks are numbered without gaps, so their number says which there are.
+    index = with_masks(table(spark, sf, "documents")).where("epoch is not null").select("doc_id", "epoch", text.window_count(F.length("text")).alias("n"))
     e = F.col("doc_id")
     annotations = table(spark, sf, "labels").select(
         "doc_id", (e % 5).cast("int").alias("chunk_index"), F.when(e % 2 == 0, "e1").otherwise("e2").alias("epoch")
     )
-    return contracts.unresolved(annotations, index, ["doc_id", "chunk_index", "epoch"])
+    return contracts.unresolved_chunks(annotations, index, ["doc_id", "epoch"])
 
 
 @register(

@@ -10,7 +10,7 @@ import pandas as pd
 from pyspark.sql import functions as F
 
 from stratasift.operators import extension
-from stratasift.sources import readers, sinks
+from stratasift.sources import images, readers, sinks
 from stratasift.staging import new_folder
 from stratasift.streaming import events
 
@@ -56,13 +56,12 @@ def source_discovery(spark, sf):
 
 @register(
     "txt_reader",
-    r"""SELECT sha256(regexp_replace(t, '^\s+|\s+$', '', 'g')) AS content_hash, strlen(t) + 1 > 300 AS too_long, count(*) AS n FROM (SELECT text AS t FROM benchmark) WHERE strlen(t) + 1 <= 300 GROUP BY ALL
-    UNION ALL SELECT NULL, true, count(*) FROM benchmark WHERE strlen(text) + 1 > 300 HAVING count(*) > 0""",
+    r"""SELECT sha256(regexp_replace(text, '^\s+|\s+$', '', 'g')) AS content_hash, false AS too_long, count(*) AS n FROM benchmark GROUP BY ALL""",
 )
 def txt_reader(spark, sf):
     folder = new_folder(spark, "texts")
     _one_file_each(table(spark, sf, "benchmark").select("text"), folder)
-    return readers.read_txt(spark, folder, limit=300).groupBy("content_hash", "too_long").agg(F.count(F.lit(1)).alias("n"))
+    return readers.read_txt(spark, folder).groupBy("content_hash", "too_long").agg(F.count(F.lit(1)).alias("n"))
 
 
 _W = "http://schemas.openxmlformats.org/wordprocessingml/2006/main"
@@ -184,3 +183,40 @@ def image_descriptions(spark, sf):
     found = extension.describe_images(rows, "content", load)
     size = F.octet_length("content") - F.octet_length(F.col("page_id").cast("string")) - 1
     return found.select("page_id", (size % 97).cast("double").alias("x"), readers.weighted_ocr_text(F.col("core"), F.col("rest")).alias("ocr"))
+
+
+def _png(width, height, words) -> bytes:
+    """The beginning of an image and a comment; the text writer adds the last byte."""
+    header = b"\x89PNG\r\n\x1a\n" + (13).to_bytes(4, "big") + b"IHDR" + int(width).to_bytes(4, "big") + int(height).to_bytes(4, "big")
+    return header + bytes([8, 2, 0, 0, 0, 0, 0, 0, 0]) + str(words).encode()
+
+
+@register(
+    "image_ocr_text",
+    """WITH p AS (SELECT page_id, 100 + page_id % 50 AS w, 200 + page_id % 70 AS h FROM pages)
+    SELECT w AS width, h AS height, CASE WHEN h % 3 = 0 THEN 'side t' || w || ' t' || w || ' t' || w || ' faint low' ELSE 'side t' || w || ' faint low' END AS main_text, count(*) AS n
+    FROM p GROUP BY ALL""",
+)
+def image_ocr_text(spark, sf):
+    """Images read back with their sizes, blocks with boxes from a stand-in model, and what is large and central three times over."""
+    folder = new_folder(spark, "images")
+    rows = table(spark, sf, "pages").select((100 + F.col("page_id") % 50).alias("w"), (200 + F.col("page_id") % 70).alias("h"), F.col("page_id").alias("i"))
+    _one_file_each(_packages(rows, ["w", "h", "i"], _png), folder, "\0")
+
+    def load():
+        def model(content, width, height):
+            tall = 30.0 if height % 3 == 0 else 10.0
+            middle = (0.4 * width, 0.5 * height, 0.6 * width)
+            return [
+                ("side", 0.99, 0.0, 0.5 * height, 10.0, 0.5 * height + 30),
+                (f"t{width}", 0.9, *middle, 0.5 * height + tall),
+                ("faint", 0.5, *middle, 0.5 * height + 30),
+                ("", 0.9, *middle, 0.5 * height + 30),
+                ("low", 0.9, 0.4 * width, 0.9 * height, 0.6 * width, 0.9 * height + 30),
+            ]
+
+        return model
+
+    found = images.ocr_blocks(images.read_images(spark, folder, "*.txt"), load)
+    words = images.weighted_text(F.col("blocks"), F.col("width"), F.col("height"))
+    return found.groupBy("width", "height", words.alias("main_text")).agg(F.count(F.lit(1)).alias("n"))

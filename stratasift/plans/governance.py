@@ -432,13 +432,17 @@ dw AS (SELECT DISTINCT doc_id, unnest(list_transform(regexp_extract_all(text, '[
 
 
 def _shared_words(spark, sf):
-    """(item_id, doc_id, overlap): distinct words that a passage and a document share; only the passages' words leave the scan."""
+    """(item_id, doc_id, overlap): distinct words that a passage and a document share.
+
+    Only the passages' words leave the scan, partitioned by document, so that
+    overlaps are counted where they arise and never shuffled.
+    """
     q = table(spark, sf, "benchmark").select("item_id", F.explode(text.cjk_and_word_tokens(F.col("text"))).alias("t"))
     d = table(spark, sf, "documents").select("doc_id", F.explode(text.cjk_and_word_tokens(F.col("text"))).alias("t"))
     asked = q.select("t").distinct()
     close = F.broadcast if asked.count() <= lexical.BROADCAST_TERMS else (lambda df: df)
-    near = d.join(close(asked), "t", "left_semi")
-    return q, near.join(q, "t").groupBy("item_id", "doc_id").agg(F.count(F.lit(1)).alias("overlap"))
+    near = d.join(close(asked), "t", "left_semi").repartition("doc_id")
+    return q, near.join(close(q), "t").groupBy("item_id", "doc_id").agg(F.count(F.lit(1)).alias("overlap"))
 
 
 @register(
@@ -473,18 +477,31 @@ def token_coverage_risk(spark, sf):
     )
 
 
-@register("lcs_risk", f"WITH {GOLD_SQL} SELECT item_id, doc_id, 1.0::DOUBLE AS ratio, 'HIGH' AS level FROM gold")
-def lcs_risk(spark, sf):
-    """Longest run that a passage shares with the documents that have it, which is all of it; an Arrow function on these pairs only."""
-    from .fixtures import gold_pairs
+_LEADS_SQL = f"""{_WORDS_SQL}, gold AS (SELECT b.item_id, d.doc_id FROM benchmark b JOIN documents d ON contains(d.text, b.text)),
+o AS (SELECT item_id, doc_id, count(*) AS overlap FROM qw JOIN dw USING (t) GROUP BY ALL HAVING count(*) >= 2),
+r AS (SELECT o.*, row_number() OVER (PARTITION BY item_id ORDER BY overlap DESC, doc_id) AS k FROM o WHERE NOT EXISTS (SELECT 1 FROM gold g WHERE g.item_id = o.item_id AND g.doc_id = o.doc_id))"""
+
 
-    pairs = gold_pairs(spark, sf).select("item_id", "doc_id")
+@register(
+    "lcs_risk",
+    f"""WITH RECURSIVE {_LEADS_SQL}, s AS (
+      SELECT item_id, doc_id, b.text AS q, d.text AS body, CAST(0 AS BIGINT) AS lo, CAST(least(length(b.text), length(d.text)) AS BIGINT) AS hi
+      FROM r JOIN benchmark b USING (item_id) JOIN documents d USING (doc_id) WHERE k <= 3
+      UNION ALL SELECT item_id, doc_id, q, body, CASE WHEN found THEN mid ELSE lo END, CASE WHEN found THEN hi ELSE mid - 1 END FROM (
+        SELECT *, len(list_filter(range(1, length(q) - mid + 2), lambda i: contains(body, substr(q, i, mid)))) > 0 AS found
+        FROM (SELECT *, (lo + hi + 1) // 2 AS mid FROM s WHERE lo < hi)))
+    SELECT item_id, doc_id, round(lo / length(q), 3) AS ratio, CASE WHEN lo / length(q) >= 0.5 THEN 'HIGH' WHEN lo / length(q) >= 0.3 THEN 'MEDIUM' ELSE 'LOW' END AS level FROM s WHERE lo >= hi""",
+)
+def lcs_risk(spark, sf):
+    """Longest run that a passage shares with the three documents closest to it that do not contain it."""
+    leads = related_passages(spark, sf).select("item_id", "doc_id")
     docs = table(spark, sf, "documents").select("doc_id", F.col("text").alias("body"))
     items = table(spark, sf, "benchmark").select("item_id", F.col("text").alias("passage"))
-    joined = pairs.join(docs, "doc_id").join(items, "item_id")
+    joined = leads.join(docs, "doc_id").join(items, "item_id")
     run = text.longest_common_substring(F.col("passage"), F.col("body"))
-    share = joined.select("item_id", "doc_id", F.round(run / F.length("passage"), 3).alias("ratio"))
-    return share.withColumn("level", F.when(F.col("ratio") >= 0.5, "HIGH").when(F.col("ratio") >= 0.3, "MEDIUM").otherwise("LOW"))
+    share = joined.select("item_id", "doc_id", (run / F.length("passage")).alias("share"))
+    level = F.when(F.col("share") >= 0.5, "HIGH").when(F.col("share") >= 0.3, "MEDIUM").otherwise("LOW")
+    return share.select("item_id", "doc_id", F.round("share", 3).alias("ratio"), level.alias("level"))
 
 
 @register(

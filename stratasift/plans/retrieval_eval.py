@@ -250,16 +250,33 @@ def centroid(spark, sf):
 
 @register(
     "vector_validation",
-    """SELECT label, count(*) AS n, count_if(len(embedding) = 64) AS n_dim, CAST(0 AS BIGINT) AS n_invalid FROM embeddings GROUP BY label""",
+    """WITH v AS (SELECT label, CASE WHEN vec_id % 11 = 0 THEN embedding[1:63] WHEN vec_id % 13 = 0 THEN list_append(embedding[1:63], NULL) WHEN vec_id % 17 = 0 THEN list_append(embedding[1:63], CAST('nan' AS FLOAT))
+      WHEN vec_id % 19 = 0 THEN list_append(embedding[1:63], CAST('inf' AS FLOAT)) WHEN vec_id % 23 = 0 THEN NULL ELSE embedding END AS e FROM embeddings)
+    SELECT label, count(*) AS n, count_if(len(e) = 64) AS n_dim, count_if(e IS NULL OR len(e) <> 64 OR len(list_filter(e, lambda x: x IS NOT NULL AND isfinite(x))) < 64) AS n_invalid FROM v GROUP BY label""",
 )
 def vector_validation(spark, sf):
+    """Vectors of the wrong length, without a value, not finite or missing, planted among good ones."""
+    v, cut = F.col("vec_id"), F.slice("embedding", 1, 63)
+
+    def ending(value):
+        return F.concat(cut, F.array(F.lit(value).cast("float")))
+
+    planted = (
+        F.when(v % 11 == 0, cut)
+        .when(v % 13 == 0, ending(None))
+        .when(v % 17 == 0, ending(float("nan")))
+        .when(v % 19 == 0, ending(float("inf")))
+        .when(v % 23 == 0, None)
+        .otherwise(F.col("embedding"))
+    )
     return (
         table(spark, sf, "embeddings")
+        .select("label", planted.alias("e"))
         .groupBy("label")
         .agg(
             F.count(F.lit(1)).alias("n"),
-            F.count_if(F.size("embedding") == 64).alias("n_dim"),
-            F.count_if(~vectors.valid_vector(F.col("embedding"), 64)).alias("n_invalid"),
+            F.count_if(F.coalesce(F.size("e") == 64, F.lit(False))).alias("n_dim"),
+            F.count_if(~vectors.valid_vector(F.col("e"), 64)).alias("n_invalid"),
         )
     )
 
