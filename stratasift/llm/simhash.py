@@ -94,19 +94,25 @@ def _keyed(distinct: DataFrame) -> DataFrame:
 
 def groups_of(batches: Iterator[pa.RecordBatch]) -> Iterator[list[np.ndarray]]:
     """Column arrays of a sorted stream, cut only where the first column changes."""
-    rest: list[np.ndarray] | None = None
+    # Parts that end with one key, joined when it is over.
+    rest: list[list[np.ndarray]] = []
+
+    def joined(parts):
+        return [np.concatenate(x) for x in zip(*parts, strict=True)] if len(parts) > 1 else parts[0]
+
     for batch in batches:
         now = [c.to_numpy(zero_copy_only=False) for c in batch.columns]
-        if rest is not None:
-            now = [np.concatenate(x) for x in zip(rest, now, strict=True)]
         if not len(now[0]):
             continue
+        if rest and rest[-1][0][-1] == now[0][-1]:
+            rest.append(now)
+            continue
         cut = np.searchsorted(now[0], now[0][-1], side="left")
-        if cut:
-            yield [c[:cut] for c in now]
-        rest = [c[cut:] for c in now]
-    if rest is not None and len(rest[0]):
-        yield rest
+        if rest or cut:
+            yield joined([*rest, [c[:cut] for c in now]])
+        rest = [[c[cut:] for c in now]]
+    if rest:
+        yield joined(rest)
 
 
 def _forest(a: np.ndarray, b: np.ndarray) -> tuple[list, list]:

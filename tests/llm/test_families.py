@@ -65,3 +65,23 @@ def test_buckets_of_all_sizes(spark, n):
     else:
         assert mine >= {(0, i) for i in range(1, n)} and mine >= {(i - 1, i) for i in range(2, n)}
         assert len(mine) < 2 * n and len(marked) == n
+
+
+def test_groups_are_joined_whatever_the_batches():
+    import pyarrow as pa
+
+    from stratasift.llm.simhash import groups_of
+
+    rng = random.Random(3)
+    for _ in range(200):
+        keys = sorted(rng.choices(range(6), k=rng.randrange(0, 40)))
+        cuts = sorted(rng.choices(range(len(keys) + 1), k=5))
+        parts = [keys[a:b] for a, b in zip([0, *cuts], [*cuts, len(keys)], strict=True)]
+        batches = [pa.RecordBatch.from_arrays([pa.array(p, pa.int64()), pa.array(p, pa.int64())], names=["k", "v"]) for p in parts]
+        seen = set()
+        out = []
+        for k, v in groups_of(iter(batches)):
+            assert len(k) and k.tolist() == v.tolist() and not seen & set(k.tolist())
+            seen |= set(k.tolist())
+            out += k.tolist()
+        assert out == keys
