@@ -16,10 +16,9 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from stratasift.functions import text
-from stratasift.staging import path_exists, stage
+from stratasift.staging import path_exists, remove_folder, stage
 
 from .lexical import B, BROADCAST_TERMS, K1, idf, query_terms, top_k
 
@@ -49,8 +48,8 @@ class LexicalIndex:
     Null texts have no terms; null ids and ids that occur twice in one commit
     raise a ValueError, and so does a table with another schema
     (:class:`MappingError`).  A commit that fails half-way leaves the index as
-    it was: what it has written is not in the manifest, and the next commit of
-    that number overwrites it.
+    it was: what it has written is not in the manifest, and the next commit
+    removes it first.
     """
 
     def __init__(self, spark: SparkSession, root: str, analyzer=text.tokens):
@@ -123,6 +122,13 @@ class LexicalIndex:
         row = self.spark.createDataFrame([(commit, cells, buckets, n, tokens, mapping)], _MANIFEST)
         row.coalesce(1).write.mode("append").parquet(f"{self.root}/manifest")
 
+    def _begin(self, manifest: list) -> int:
+        """The number of the next commit; what one of that number has left when it failed is removed."""
+        commit = manifest[-1]["commit"] + 1 if manifest else 0
+        for part in ("forward", "postings", "terms", "replaced", "archived"):
+            remove_folder(self.spark, self._folder(part, commit))
+        return commit
+
     def _checked(self, docs: DataFrame) -> int:
         one = docs.agg(F.count(F.lit(1)).alias("n"), F.count("doc").alias("ids")).first()
         if one["ids"] != one["n"]:
@@ -136,7 +142,7 @@ class LexicalIndex:
         if self.manifest():
             raise ValueError("the index is built already; replace documents instead")
         mapping, n = self._mapping(docs), self._checked(docs)
-        self._write(docs, 0, max(1, n // CELL_DOCS), min(BUCKETS, 1 + n // BUCKET_DOCS), mapping, None)
+        self._write(docs, self._begin([]), max(1, n // CELL_DOCS), min(BUCKETS, 1 + n // BUCKET_DOCS), mapping, None)
 
     def _current(self, manifest: list) -> DataFrame:
         """(doc, dl, words, commit): the newest version of every document."""
@@ -152,7 +158,7 @@ class LexicalIndex:
         if mapping != manifest[0]["mapping"]:
             raise MappingError(f"{mapping} is not {manifest[0]['mapping']}")
         self._checked(docs)
-        commit = manifest[-1]["commit"] + 1
+        commit = self._begin(manifest)
         lost = stage(self._current(manifest).join(docs.select("doc"), "doc", "left_semi"), "lost")
         lost.select("doc", F.col("commit").alias("version")).write.mode("overwrite").parquet(self._folder("replaced", commit))
         self._write(docs, commit, manifest[0]["cells"], manifest[0]["buckets"], mapping, lost)
@@ -160,7 +166,7 @@ class LexicalIndex:
     def archive(self, ids: DataFrame) -> None:
         """Hides the present versions of the documents in ``ids(doc)``; unknown ids do nothing."""
         manifest = self._built()
-        commit = manifest[-1]["commit"] + 1
+        commit = self._begin(manifest)
         there = self._current(manifest).join(ids.select("doc").distinct(), "doc", "left_semi")
         there.select("doc", F.col("commit").alias("version")).write.mode("overwrite").parquet(self._folder("archived", commit))
         self._commit(commit, manifest[0]["cells"], manifest[0]["buckets"], 0, 0, manifest[0]["mapping"])
@@ -177,10 +183,12 @@ class LexicalIndex:
         rows = self._read("postings", f"{ddl}, bucket int", [r["commit"] for r in manifest])
         return (rows if buckets is None else rows.where(F.col("bucket").isin(buckets))).select("commit", "term", "cell", *columns)
 
-    def term_table(self, terms: DataFrame | None = None) -> DataFrame:
-        """(term, df, idf) of all terms, or of those in ``terms(term)``."""
+    def term_table(self, terms: DataFrame | None = None, buckets: list[int] | None = None) -> DataFrame:
+        """(term, df, idf) of all terms, or of those in ``terms(term)`` and ``buckets``."""
         manifest = self._built()
         rows = self._read("terms", "term string, df long, bucket int", [r["commit"] for r in manifest])
+        if buckets is not None:
+            rows = rows.where(F.col("bucket").isin(buckets))
         if terms is not None:
             rows = rows.join(terms, "term", "left_semi")
         n = sum(r["n"] for r in manifest)
@@ -213,7 +221,7 @@ class LexicalIndex:
         # There are 64 numbers at most.
         number = F.pmod(F.xxhash64("term"), F.lit(manifest[0]["buckets"])).cast("int")
         buckets = [r[0] for r in asked.select(number).distinct().collect()] if few else None
-        weights = stage(asked.join(self.term_table(asked.select("term").distinct()), "term").select("query", "term", "idf"), "weights")
+        weights = stage(asked.join(self.term_table(asked.select("term").distinct(), buckets), "term").select("query", "term", "idf"), "weights")
 
         def gain(tf, dl):
             return F.col("idf") * tf * (K1 + 1) / (tf + K1 * (1 - B + B * dl / average))
@@ -247,8 +255,3 @@ class LexicalIndex:
         read = first.withColumn("first", F.lit(True)).unionByName(rest.select("query", "commit", "cell").withColumn("first", F.lit(False)))
         report = bounds.join(read, ["query", "commit", "cell"], "left").select("query", "commit", "cell", "bound", F.coalesce("first", F.lit(False)).alias("first"), F.col("first").isNotNull().alias("read"))
         return top_k(both, k).select("query", "doc", "score", "rank"), report
-
-
-def schema_of(doc_type: str) -> T.StructType:
-    """What documents of an index have at least."""
-    return T.StructType.fromDDL(f"doc {doc_type}, text string")

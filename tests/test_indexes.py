@@ -10,7 +10,7 @@ from stratasift.operators.lexical_index import LexicalIndex, MappingError
 from stratasift.operators.vector_index import VectorIndex, recall
 from stratasift.staging import new_folder
 
-SF = "/root/testdata/sf0.01"
+SF = "/root/testdata/sf0.001"
 
 
 @pytest.fixture(scope="module")
@@ -105,6 +105,9 @@ def test_a_commit_without_manifest_is_not_seen(spark, monkeypatch):
         with pytest.raises(RuntimeError):
             index.replace(spark.createDataFrame([(1, "plum")], "doc long, text string"))
     assert [r["doc"] for r in index.search(ask, "query", "text", 5).collect()] == [1]
+    # Another kind of commit with the same number does not take over what the lost one has left.
+    index.archive(spark.createDataFrame([(2,)], "doc long"))
+    assert [r["doc"] for r in index.search(ask, "query", "text", 5).collect()] == [1]
     index.replace(spark.createDataFrame([(1, "plum")], "doc long, text string"))
     assert index.search(ask, "query", "text", 5).count() == 0
 
