@@ -14,6 +14,21 @@ INGREDIENT = ["成分", "INCI", "功效", "浓度"]
 PRODUCT = ["产品", "品牌", "适用", "肤质", "包装"]
 PARAPHRASE = ["请问", "请简要说明", "我想知道", "根据化妆品相关规定", "给我介绍一下", "能否告诉我"]
 
+# The complete lists of words by domain; visual ones say that a question is about what a picture shows.
+DOMAIN_WORDS = {
+    "regulation": ["法规", "合规", "标准", "备案", "许可", "标准号", "GB", "禁用"],
+    "development": ["配方", "研发", "工艺", "制备", "合成", "开发"],
+    "ingredient": ["成分", "INCI", "功效", "浓度", "含量", "添加量"],
+    "product": ["产品", "品牌", "适用", "肤质", "包装"],
+    "visual": [
+        "图片", "包装", "外观", "照片", "扫描", "标签", "成分表", "配方", "图像", "图像识别", "OCR", "说明书", "瓶身", "外盒", "瓶盖", "瓶贴",
+        "生产日期", "保质期", "批号", "条形码", "产品图", "实物图", "对比图", "展示图", "扫描件", "背标", "正标", "净含量", "成分", "功效",
+        "使用说明", "警告", "储存", "生产商", "委托方", "地址", "化妆品生产许可证", "执行标准", "备案号", "注册证", "防伪", "二维码", "售价",
+    ],
+}
+INTENT_OF = {"regulation": "compliance", "development": "formulation", "ingredient": "ingredient", "product": "product"}
+
+
 # Token estimate per type of business, cost of a token, thresholds of admission.
 KV_PREFILL_KB, KV_DECODE_KB = 0.45, 0.54
 PRESSURE = {"critical": 0.95, "soft_stop": 0.90, "truncate": 0.80, "tighten": 0.70}
@@ -34,6 +49,16 @@ def intent(query: Column, groups=None) -> tuple[Column, Column]:
     return business.otherwise("general"), kind.otherwise("general")
 
 
+def domain_intent(query: Column) -> tuple[Column, Column]:
+    """:func:`intent` by the complete lists."""
+    return intent(query, [(DOMAIN_WORDS[b], b, kind) for b, kind in INTENT_OF.items()])
+
+
+def visual_hits(query: Column) -> Column:
+    """How many of the visual words a question has."""
+    return keyword_hits(query, DOMAIN_WORDS["visual"])
+
+
 def is_complex(query: Column, keywords: list[str], least: int = 2) -> Column:
     return keyword_hits(query, keywords) >= least
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 import importlib
 
 #: Modules that register queries.
-MODULES = ("corpus", "retrieval_eval", "gates_ops", "governance", "relational", "streams", "composed", "datasets", "building", "runtime", "files", "expressions", "audits", "indexes", "publishing", "extraction", "cycles", "answering", "approval", "evidence")
+MODULES = ("corpus", "retrieval_eval", "gates_ops", "governance", "relational", "streams", "composed", "datasets", "building", "runtime", "files", "expressions", "audits", "indexes", "publishing", "extraction", "cycles", "answering", "approval", "evidence", "routing")
 
 
 def _load():
