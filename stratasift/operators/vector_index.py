@@ -33,6 +33,9 @@ SAMPLE_ROWS = 100_000
 #: Cells are as many as the root of the number of vectors, up to this.
 MAX_CELLS = 4096
 
+#: Pairs of a query and a cell that are broadcast at once, without vectors: 32 MB.
+PROBED_PAIRS = 2_000_000
+
 #: Vectors that ask the finished index for their exact neighbours, and the share of these that their cells must hold.
 CALIBRATION_QUERIES, NEIGHBOURS, TARGET_RECALL = 200, 10, 0.95
 
@@ -139,21 +142,25 @@ class VectorIndex:
     def search(self, queries: DataFrame, k: int, probes: int | None = None, score=vectors.cosine, owner: str | None = None, where: Column | None = None) -> DataFrame:
         """(query, doc, score, rank) of the k best among the vectors in each query's cells.
 
-        ``queries(query, vector)`` are a stated set; blocks of at most 20,000
-        are broadcast.  A query never finds itself.  With ``owner`` the best
+        ``queries(query, vector)`` are a stated set; they are broadcast in
+        blocks of at most 20,000, and of fewer if each probes many cells.  A
+        query never finds itself.  With ``owner`` the best
         vector of each owner counts; ``where`` filters before the top is taken.
         """
         centroids = self.centroids()
         asked = usable(queries, self.dim).select("query", "vector")
-        blocks = max(1, -(-asked.count() // BROADCAST_QUERIES))
+        depth = min(len(centroids), probes or self.probes())
+        n = asked.count()
+        blocks = max(1, -(-n // BROADCAST_QUERIES), -(-n * depth // PROBED_PAIRS))
         corpus = self.rows() if where is None else self.rows().where(where)
         rows = corpus.select("cell", "doc", F.col(owner or "doc").alias("owner"), F.col("vector").alias("v"))
         parts = []
         for b in range(blocks):
             some = asked if blocks == 1 else asked.where(F.pmod(F.xxhash64("query"), F.lit(blocks)) == b)
-            probed = with_cells(some, centroids, min(len(centroids), probes or self.probes())).drop("place") if len(centroids) else some.withColumn("cell", F.lit(0))
-            near = F.broadcast(probed.select(F.col("cell").alias("probe"), "query", F.col("vector").alias("q")))
-            pairs = rows.join(near, (F.col("cell") == F.col("probe")) & (F.col("query") != F.col("doc")))
+            probed = with_cells(some, centroids, depth) if len(centroids) else some.withColumn("cell", F.lit(0))
+            near = F.broadcast(probed.select(F.col("cell").alias("probe"), F.col("query").alias("asker")))
+            with_vector = F.broadcast(some.select("query", F.col("vector").alias("q")))
+            pairs = rows.join(near, (F.col("cell") == F.col("probe")) & (F.col("asker") != F.col("doc"))).join(with_vector, F.col("asker") == F.col("query"))
             scored = pairs.select("query", F.col("owner").alias("doc"), F.round(score(F.col("q"), F.col("v")), 6).alias("score"))
             if owner:
                 scored = scored.groupBy("query", "doc").agg(F.max("score").alias("score"))

@@ -242,17 +242,17 @@ def hashed_embedding(spark, sf):
 @register(
     "synthetic_corpus",
     """SELECT i AS doc_no, 'REG-' || lpad(CAST(i AS VARCHAR), 5, '0') AS doc_id, ['regulation', 'ingredient', 'formula'][CAST(('0x' || md5(CAST(i AS VARCHAR))[1:6])::BIGINT % 3 + 1 AS BIGINT)] AS doc_type,
-      ('0x' || md5('m' || i)[1:4])::BIGINT % 16 AS role_mask FROM range(0, 500) t(i)""",
+      ('0x' || md5('m' || i)[1:4])::BIGINT % 16 AS role_mask FROM (SELECT doc_id AS i FROM documents)""",
 )
 def synthetic_corpus(spark, sf):
-    """Rows whose columns follow from their number alone."""
+    """A row for each document, whose columns follow from its number alone."""
     n = F.col("id").cast("string")
     kind = F.element_at(
         F.array(*map(F.lit, ("regulation", "ingredient", "formula"))),
         (F.conv(F.substring(F.md5(n), 1, 6), 16, 10).cast("long") % 3 + 1).cast("int"),
     )
     mask = F.conv(F.substring(F.md5(F.concat(F.lit("m"), n)), 1, 4), 16, 10).cast("long") % 16
-    return spark.range(500).select(
+    return table(spark, sf, "documents").select(F.col("doc_id").alias("id")).select(
         F.col("id").alias("doc_no"), F.concat(F.lit("REG-"), F.lpad(n, 5, "0")).alias("doc_id"), kind.alias("doc_type"), mask.alias("role_mask")
     )
 

@@ -220,3 +220,23 @@ def image_ocr_text(spark, sf):
     found = images.ocr_blocks(images.read_images(spark, folder, "*.txt"), load)
     words = images.weighted_text(F.col("blocks"), F.col("width"), F.col("height"))
     return found.groupBy("width", "height", words.alias("main_text")).agg(F.count(F.lit(1)).alias("n"))
+
+
+@register(
+    "annotation_files",
+    """SELECT 'written' AS file, count(*) AS n, CAST(sum(quality) AS BIGINT) AS good FROM labels UNION ALL SELECT 'empty', 0, NULL UNION ALL SELECT 'missing', NULL, NULL""",
+)
+def annotation_files(spark, sf):
+    """Annotations of a file, of an empty one, and of one that isn't there."""
+    folder, ddl = new_folder(spark, "annotations"), "doc_id long, quality int"
+    rows = table(spark, sf, "labels").select("doc_id", F.col("quality").cast("int").alias("quality"))
+    sinks.export_json_lines(rows, f"{folder}/written")
+    sinks.export_json_lines(rows.limit(0), f"{folder}/empty")
+    parts = []
+    for name in ("written", "empty", "missing"):
+        try:
+            found = readers.read_annotations(spark, f"{folder}/{name}", ddl).agg(F.count(F.lit(1)).alias("n"), F.sum("quality").alias("good"))
+        except FileNotFoundError:
+            found = rows.limit(0).agg(F.sum("doc_id").alias("n"), F.sum("quality").alias("good"))
+        parts.append(found.select(F.lit(name).alias("file"), "n", "good"))
+    return parts[0].unionByName(parts[1]).unionByName(parts[2])

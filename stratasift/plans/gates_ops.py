@@ -490,10 +490,13 @@ def login_limiter(spark, sf):
 
 @register(
     "alert_rules_merged",
-    """WITH d(name, threshold) AS (VALUES ('error', 10), ('view', 20), ('click', 30)), c(name, threshold) AS (VALUES ('view', 5), ('signup', 7))
+    """WITH d AS (SELECT event_type AS name, count(*) AS threshold FROM events GROUP BY event_type),
+    c AS (SELECT event_type AS name, 2 * count(*) AS threshold FROM events WHERE event_type IN ('view', 'click') GROUP BY event_type UNION ALL SELECT lang, count(*) FROM documents GROUP BY lang)
     SELECT coalesce(c.name, d.name) AS name, coalesce(c.threshold, d.threshold) AS threshold FROM d FULL JOIN c ON d.name = c.name""",
 )
 def alert_rules_merged(spark, sf):
-    d = spark.createDataFrame([("error", 10), ("view", 20), ("click", 30)], "name string, threshold int")
-    c = spark.createDataFrame([("view", 5), ("signup", 7)], "name string, custom int")
-    return d.join(c, "name", "full_outer").select("name", F.coalesce("custom", "threshold").alias("threshold"))
+    """Thresholds of all event types, with those of some in their place and rules for languages beside them."""
+    by_type = table(spark, sf, "events").groupBy(F.col("event_type").alias("name")).agg(F.count(F.lit(1)).alias("threshold"))
+    by_language = table(spark, sf, "documents").groupBy(F.col("lang").alias("name")).agg(F.count(F.lit(1)).alias("custom"))
+    custom = by_type.where(F.col("name").isin("view", "click")).select("name", (2 * F.col("threshold")).alias("custom")).unionByName(by_language)
+    return by_type.join(custom, "name", "full_outer").select("name", F.coalesce("custom", "threshold").alias("threshold"))

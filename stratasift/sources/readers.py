@@ -11,6 +11,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from stratasift.staging import path_exists
+
 from stratasift.functions import access
 
 #: Suffixes that have a parser.
@@ -177,3 +179,10 @@ def catalogue_rows(df: DataFrame, name: str, wanted: list[str], fields: dict[str
     """Selected rows as ``label：value`` lines; what is missing says so."""
     parts = [F.concat(F.lit(f"{label}："), F.coalesce(F.col(c).cast("string"), F.lit(missing))) for c, label in fields.items()]
     return df.where(F.col(name).isin(*wanted)).select(name, F.concat_ws("\n", *parts).alias("text"))
+
+
+def read_annotations(spark: SparkSession, path: str, schema: T.StructType | str) -> DataFrame:
+    """Annotations as JSON lines: an empty file has none, a missing one is an error."""
+    if not path_exists(spark, path):
+        raise FileNotFoundError(path)
+    return read_json_lines(spark, path, schema)

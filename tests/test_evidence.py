@@ -117,3 +117,32 @@ def test_what_counts_several_times(spark):
     blocks = [("core", 0.7, 40.0, 40.0, 60.0, 61.0), ("edge", 0.9, 0.0, 40.0, 40.0, 61.0), ("small", 0.9, 40.0, 40.0, 60.0, 60.0), ("unsure", 0.69, 40.0, 40.0, 60.0, 80.0), ("", 0.9, 40.0, 40.0, 60.0, 80.0), (None, 0.9, 40.0, 40.0, 60.0, 80.0)]
     df = spark.createDataFrame([(blocks, 100, 100), ([], 100, 100), (None, 100, 100)], f"blocks array<{images.BLOCK}>, w int, h int")
     assert [r[0] for r in df.select(images.weighted_text(F.col("blocks"), F.col("w"), F.col("h"))).collect()] == ["core core core edge small unsure", "", None]
+
+
+def test_pressure_over_block_borders(spark, monkeypatch):
+    from stratasift.operators import ops
+
+    monkeypatch.setattr(ops, "PRESSURE_BLOCK", 7)
+    rows = [(n, i, float(i % 5 + n)) for n in range(3) for i in range(40)]
+    df = spark.createDataFrame(rows, "node int, t int, c double")
+    got = {(r["node"], r["t"]): r["pressure"] for r in ops.running_pressure(df, ["t"], F.col("c"), 10.0, 4).collect()}
+    want = {(n, i): round(sum(c for m, j, c in rows if m == n and i - 3 <= j <= i) / 10.0, 6) for n, i, _ in rows}
+    assert got == want
+
+
+def test_annotations_of_a_missing_file(spark, tmp_path):
+    from stratasift.sources import readers
+
+    with pytest.raises(FileNotFoundError):
+        readers.read_annotations(spark, f"file://{tmp_path}/none", "a long")
+    (tmp_path / "empty").write_text("")
+    assert readers.read_annotations(spark, f"file://{tmp_path}/empty", "a long").count() == 0
+
+
+def test_chunks_beyond_a_document(spark):
+    from stratasift.operators import contracts
+
+    index = spark.createDataFrame([(1, "e", 3), (2, "e", 0)], "doc int, epoch string, n int")
+    notes = spark.createDataFrame([(1, "e", 2), (1, "e", 3), (1, "f", 0), (2, "e", 0), (3, "e", 0)], "doc int, epoch string, chunk_index int")
+    left = contracts.unresolved_chunks(notes, index, ["doc", "epoch"]).collect()
+    assert sorted(map(tuple, left)) == [(1, "e", 3), (1, "f", 0), (2, "e", 0), (3, "e", 0)]
