@@ -486,15 +486,17 @@ r AS (SELECT o.*, row_number() OVER (PARTITION BY item_id ORDER BY overlap DESC,
     "lcs_risk",
     f"""WITH RECURSIVE {_LEADS_SQL}, s AS (
       SELECT item_id, doc_id, b.text AS q, d.text AS body, CAST(0 AS BIGINT) AS lo, CAST(least(length(b.text), length(d.text)) AS BIGINT) AS hi
-      FROM r JOIN benchmark b USING (item_id) JOIN documents d USING (doc_id) WHERE k <= 3
+      FROM (SELECT item_id, doc_id FROM r WHERE k <= 3 UNION ALL SELECT item_id, doc_id FROM gold) JOIN benchmark b USING (item_id) JOIN documents d USING (doc_id)
       UNION ALL SELECT item_id, doc_id, q, body, CASE WHEN found THEN mid ELSE lo END, CASE WHEN found THEN hi ELSE mid - 1 END FROM (
         SELECT *, len(list_filter(range(1, length(q) - mid + 2), lambda i: contains(body, substr(q, i, mid)))) > 0 AS found
         FROM (SELECT *, (lo + hi + 1) // 2 AS mid FROM s WHERE lo < hi)))
     SELECT item_id, doc_id, round(lo / length(q), 3) AS ratio, CASE WHEN lo / length(q) >= 0.5 THEN 'HIGH' WHEN lo / length(q) >= 0.3 THEN 'MEDIUM' ELSE 'LOW' END AS level FROM s WHERE lo >= hi""",
 )
 def lcs_risk(spark, sf):
-    """Longest run that a passage shares with the three documents closest to it that do not contain it."""
-    leads = related_passages(spark, sf).select("item_id", "doc_id")
+    """Longest run that a passage shares with the documents that contain it and with the three closest others."""
+    from .fixtures import gold_pairs
+
+    leads = related_passages(spark, sf).select("item_id", "doc_id").unionByName(gold_pairs(spark, sf).select("item_id", "doc_id"))
     docs = table(spark, sf, "documents").select("doc_id", F.col("text").alias("body"))
     items = table(spark, sf, "benchmark").select("item_id", F.col("text").alias("passage"))
     joined = leads.join(docs, "doc_id").join(items, "item_id")
