@@ -151,3 +151,40 @@ def test_vector_index_takes_odd_vectors(spark):
     empty = VectorIndex(spark, new_folder(spark, "test-vectors"), 4)
     empty.build(e.where("doc = 101"))
     assert empty.search(asked, 3).count() == 0
+
+
+def test_blocks_find_what_expressions_find(spark, monkeypatch):
+    """Blocks smaller than the tables, ties, owners, copies and vectors without a score."""
+    from pyspark.sql.window import Window
+
+    from stratasift.functions import rules, vectors
+
+    monkeypatch.setattr(dense, "QUERY_BLOCK", 7)
+    monkeypatch.setattr(dense, "CORPUS_BLOCK", 11)
+    rng = random.Random(4)
+    rows = [(i, [float(rng.randint(-3, 3)) for _ in range(3)], i % 4) for i in range(90)]
+    rows += [(200, None, 0), (201, [1.0], 1), (202, [1.0, None, 2.0], 2), (203, [0.0] * 3, 3), (204, [float("nan")] * 3, 1), (205, rows[8][1], 5)]
+    e = spark.createDataFrame(rows, "doc long, vector array<float>, owner long").repartition(3)
+    asked = e.where("doc % 4 = 0 or doc >= 200").select(F.col("doc").alias("query"), F.col("vector").alias("q"))
+    q, v = F.col("q"), F.col("vector")
+    forms = {
+        dense.Measure(): vectors.cosine(q, v),
+        dense.Measure(damping=1e-8): vectors.cosine_damped(q, v),
+        dense.Measure(platt=(-1.0, 0.0)): rules.platt(F.round(vectors.cosine(q, v), 6), -1.0, 0.0),
+    }
+    for measure, score in forms.items():
+        pairs = e.join(asked, F.col("doc") != F.col("query")).select("query", "doc", "owner", F.round(score, 6).alias("score"))
+        for owner, k in ((None, 9), ("owner", 2)):
+            if owner:
+                pairs = pairs.groupBy("query", F.col("owner").alias("doc")).agg(F.max("score").alias("score"))
+            w = Window.partitionBy("query").orderBy(F.desc("score"), "doc")
+            wanted = pairs.select("query", "doc", "score", F.row_number().over(w).alias("rank")).where(F.col("rank") <= k)
+            found = dense.similarity_top_k(e, asked.withColumnRenamed("q", "vector"), k, measure, owner)
+            assert sorted(map(repr, found.select("query", "doc", "score", "rank").collect())) == sorted(map(repr, wanted.collect()))
+
+
+def test_searches_score_no_pair_by_expressions(spark):
+    """A pair for each row of a join is what made large searches too slow."""
+    e = spark.read.parquet(f"{SF}/embeddings.parquet").select(F.col("vec_id").alias("doc"), F.col("embedding").alias("vector"))
+    plan = dense.similarity_top_k(e, e.where("doc % 20 = 0").withColumnRenamed("doc", "query"), 10)._jdf.queryExecution().toString()
+    assert "zip_with" not in plan and "MapInArrow" in plan
