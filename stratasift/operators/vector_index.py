@@ -16,20 +16,22 @@ from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.ml.clustering import KMeans
-from pyspark.ml.functions import array_to_vector
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from stratasift.functions import vectors
+from stratasift.staging import stage
 
-from .dense import BROADCAST_QUERIES, similarity_top_k
+from .dense import BROADCAST_QUERIES, COSINE, TASK_ROWS, Measure, scored_blocks, similarity_top_k
 from .lexical import top_k
 
 #: Vectors that the centroids are fitted on, at most.
 SAMPLE_ROWS = 100_000
 
+#: Passes over the sample.
+ROUNDS = 10
+
 #: Cells are as many as the root of the number of vectors, up to this.
 MAX_CELLS = 4096
 
@@ -55,12 +57,35 @@ def usable(corpus: DataFrame, dim: int) -> DataFrame:
     return corpus.where(F.coalesce(directed, F.lit(False)))
 
 
-def fit_centroids(corpus: DataFrame, cells: int, dim: int, seed: int = 7) -> np.ndarray:
-    """Centroids of unit vectors, fitted on the bounded sample."""
-    sample = corpus.orderBy(F.xxhash64("doc"), "doc").limit(SAMPLE_ROWS)
-    rows = sample.select(array_to_vector(vectors.l2_normalize(F.transform("vector", lambda x: x.cast("double")))).alias("features"))
-    model = KMeans(k=cells, maxIter=10, seed=seed, distanceMeasure="euclidean").fit(rows)
-    return np.array([c for c in model.clusterCenters()], np.float64).reshape(-1, dim)
+def fit_centroids(corpus: DataFrame, cells: int, dim: int) -> np.ndarray:
+    """Centroids of unit vectors, fitted on the bounded sample.
+
+    They start as the first vectors of the sample and move to the means of
+    what is nearest to them; a pass over the sample returns one row of sums for
+    each task.  A centroid that nothing is nearest to stays.
+    """
+    session = corpus.sparkSession
+    order = (F.xxhash64("doc"), "doc")
+    dealt = corpus.orderBy(*order).limit(SAMPLE_ROWS).select("doc", "vector").repartition(session.sparkContext.defaultParallelism)
+    sample = stage(dealt, "sample")
+    first = sample.orderBy(*order).limit(cells).collect()
+    centroids = _units(np.array([r["vector"] for r in first], np.float64).reshape(-1, dim))
+    for _ in range(ROUNDS):
+
+        def run(batches: Iterator[pa.RecordBatch], fixed: np.ndarray = centroids) -> Iterator[pa.RecordBatch]:
+            sums, counts = np.zeros(fixed.shape), np.zeros(len(fixed), np.int64)
+            for batch in batches:
+                rows = _matrix(batch.column(0), dim)
+                nearest = _nearest(fixed, rows, 1)[:, 0]
+                np.add.at(sums, nearest, rows)
+                counts += np.bincount(nearest, minlength=len(fixed))
+            yield pa.RecordBatch.from_pydict({"sums": pa.array([sums.tobytes()]), "counts": pa.array([counts.tobytes()])})
+
+        found = sample.select("vector").mapInArrow(run, "sums binary, counts binary").collect()
+        sums = sum(np.frombuffer(r["sums"], np.float64).reshape(-1, dim) for r in found)
+        counts = sum(np.frombuffer(r["counts"], np.int64) for r in found)
+        centroids = np.where(counts[:, None] > 0, sums / np.maximum(counts, 1)[:, None], centroids)
+    return centroids
 
 
 def _nearest(centroids: np.ndarray, rows: np.ndarray, n: int) -> np.ndarray:
@@ -90,6 +115,22 @@ def with_cells(rows: DataFrame, centroids: np.ndarray, probes: int = 1) -> DataF
     return rows.mapInArrow(run, T.StructType([*rows.schema, *[T.StructField(c, T.IntegerType()) for c in ("cell", "place")]]))
 
 
+def with_probes(queries: DataFrame, centroids: np.ndarray, depth: int) -> DataFrame:
+    """Adds ``cells``, the numbers of each query's nearest cells."""
+    width = centroids.shape[1]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if not len(batch):
+                continue
+            near = _nearest(centroids, _matrix(batch.column(batch.schema.get_field_index("vector")), width), depth)
+            offsets = pa.array(np.arange(0, near.size + 1, near.shape[1]), pa.int32())
+            cells = pa.ListArray.from_arrays(offsets, pa.array(near.ravel(), pa.int32()))
+            yield pa.RecordBatch.from_arrays([*batch.columns, cells], names=[*batch.schema.names, "cells"])
+
+    return queries.mapInArrow(run, T.StructType([*queries.schema, T.StructField("cells", T.ArrayType(T.IntegerType()))]))
+
+
 class VectorIndex:
     """An index below one folder of ``corpus(doc, vector, ...)``; other columns are stored beside.
 
@@ -139,31 +180,33 @@ class VectorIndex:
         """How many cells a query probes unless it says otherwise, as calibrated when the index was built."""
         return self.spark.read.parquet(f"{self.root}/settings").first()["probes"]
 
-    def search(self, queries: DataFrame, k: int, probes: int | None = None, score=vectors.cosine, owner: str | None = None, where: Column | None = None) -> DataFrame:
+    def search(self, queries: DataFrame, k: int, probes: int | None = None, measure: Measure = COSINE, owner: str | None = None, where: Column | None = None) -> DataFrame:
         """(query, doc, score, rank) of the k best among the vectors in each query's cells.
 
         ``queries(query, vector)`` are a stated set; they are broadcast in
-        blocks of at most 20,000, and of fewer if each probes many cells.  A
-        query never finds itself.  With ``owner`` the best
+        blocks of at most 20,000, and of fewer if each probes many cells.  The
+        vectors of a cell are scored in blocks against the queries that probe
+        it.  A query never finds itself.  With ``owner`` the best
         vector of each owner counts; ``where`` filters before the top is taken.
         """
         centroids = self.centroids()
         asked = usable(queries, self.dim).select("query", "vector")
         depth = min(len(centroids), probes or self.probes())
         n = asked.count()
-        blocks = max(1, -(-n // BROADCAST_QUERIES), -(-n * depth // PROBED_PAIRS))
+        blocks = max(1, -(-n // BROADCAST_QUERIES), 0 if depth >= len(centroids) else -(-n * depth // PROBED_PAIRS))
         corpus = self.rows() if where is None else self.rows().where(where)
         rows = corpus.select("cell", "doc", F.col(owner or "doc").alias("owner"), F.col("vector").alias("v"))
+        tasks = max(1, min(self.spark.sparkContext.defaultParallelism, -(-rows.count() // TASK_ROWS)))
+        # A block has vectors of few cells, and a cell with very many is in many blocks.
+        dealt = rows.repartitionByRange(tasks, "cell", F.xxhash64("doc")).sortWithinPartitions("cell")
+        every = depth >= len(centroids)
         parts = []
         for b in range(blocks):
             some = asked if blocks == 1 else asked.where(F.pmod(F.xxhash64("query"), F.lit(blocks)) == b)
-            probed = with_cells(some, centroids, depth) if len(centroids) else some.withColumn("cell", F.lit(0))
-            near = F.broadcast(probed.select(F.col("cell").alias("probe"), F.col("query").alias("asker")))
-            with_vector = F.broadcast(some.select("query", F.col("vector").alias("q")))
-            pairs = rows.join(near, (F.col("cell") == F.col("probe")) & (F.col("asker") != F.col("doc"))).join(with_vector, F.col("asker") == F.col("query"))
-            scored = pairs.select("query", F.col("owner").alias("doc"), F.round(score(F.col("q"), F.col("v")), 6).alias("score"))
-            if owner:
-                scored = scored.groupBy("query", "doc").agg(F.max("score").alias("score"))
+            if every:
+                scored = scored_blocks(dealt.drop("cell"), some.withColumnRenamed("vector", "v"), k, measure, owner is not None)
+            else:
+                scored = scored_blocks(dealt, with_probes(some, centroids, depth).withColumnRenamed("vector", "v"), k, measure, owner is not None)
             parts.append(top_k(scored, k))
         return reduce(DataFrame.unionByName, parts)
 
