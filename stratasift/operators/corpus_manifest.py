@@ -20,10 +20,10 @@ _NODES = "level int, prefix string, n long, digest string"
 _LEAVES = "key string, address string, leaf string, facets map<string,string>"
 
 
-def depth_for(n: int) -> int:
-    """Levels below the root, so that bottom nodes stay small at any number of rows."""
+def depth_for(n: int, most: int | None = None) -> int:
+    """Levels below the root, so that bottom nodes stay small at any number of rows; ``most`` bounds them."""
     depth = 0
-    while n > NODE_LEAVES * 16**depth:
+    while n > NODE_LEAVES * 16**depth and depth != most:
         depth += 1
     return depth
 
@@ -63,14 +63,14 @@ class CorpusManifest:
     def __init__(self, spark: SparkSession, root: str):
         self.spark, self.root = spark, root.rstrip("/")
 
-    def write(self, rows: DataFrame, depth: int | None = None) -> None:
+    def write(self, rows: DataFrame, depth: int | None = None, most: int | None = None) -> None:
         """``rows`` are those of :func:`leaves`; a null key or one that occurs twice raises a ValueError."""
         rows.sort("address").write.mode("overwrite").parquet(f"{self.root}/leaves")
         stored = self.leaves()
         one = stored.agg(F.count(F.lit(1)).alias("n"), F.count("key").alias("keys")).first()
         if one["n"] != one["keys"] or stored.groupBy("key").count().where("count > 1").limit(1).count():
             raise ValueError("every row needs a key of its own")
-        node_table(stored, depth_for(one["n"]) if depth is None else depth).write.mode("overwrite").partitionBy("level").parquet(f"{self.root}/nodes")
+        node_table(stored, depth_for(one["n"], most) if depth is None else depth).write.mode("overwrite").partitionBy("level").parquet(f"{self.root}/nodes")
 
     def leaves(self) -> DataFrame:
         return self.spark.read.schema(_LEAVES).parquet(f"{self.root}/leaves")
