@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import re
 from dataclasses import dataclass
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -85,26 +87,36 @@ def articles(df: DataFrame, key: str, text: Column, grammar: LineGrammar) -> Dat
 # JSON inside prose
 
 
-def balanced_objects(text: Column) -> Column:
-    """For each opening brace of a text the shortest balanced object that begins there, braces in strings not counted."""
-    token = r'"(?:[^"\\]|\\.)*"|[{}]|[^"{}]+|"'
-    pieces = F.split(text, r"(?=\{)")
-    # What precedes the first brace is prose, whatever quotes it has.
-    starts = F.filter(F.sequence(F.lit(1), F.size(pieces)), lambda i: F.element_at(pieces, i).startswith("{"))
+#: Strings, braces, what is neither, and quotes that nothing closes.
+_TOKEN = re.compile('"(?:[^"\\\\]|\\\\[^\n\r\u0085\u2028\u2029])*"|[{}]|[^"{}]+|"')
+
+
+def _balanced(text: str) -> list[str]:
+    out = []
+    at = text.find("{")
+    while at >= 0:
+        depth = 0
+        for token in _TOKEN.finditer(text, at):
+            depth += {"{": 1, "}": -1}.get(token[0], 0)
+            if depth == 0:
+                out.append(text[at : token.end()])
+                break
+        at = text.find("{", at + 1)
+    return out
 
-    def balanced(i):
-        rest = F.array_join(F.slice(pieces, i, F.size(pieces)), "")
-        tokens = F.regexp_extract_all(rest, F.lit(token), F.lit(0))
-        zero = F.struct(F.lit(0).alias("depth"), F.lit("").alias("out"), F.lit(False).alias("done"))
 
-        def step(state, piece):
-            depth = state["depth"] + F.when(piece == "{", 1).when(piece == "}", -1).otherwise(0)
-            going = F.struct(depth.alias("depth"), F.concat(state["out"], piece).alias("out"), (depth == 0).alias("done"))
-            return F.when(state["done"], state).otherwise(going)
+def balanced_objects(text: Column) -> Column:
+    """For each opening brace of a text the shortest balanced object that begins there, braces in strings not counted.
+
+    A scan in Arrow batches; what precedes the first brace is prose, whatever
+    quotes it has.
+    """
 
-        return F.aggregate(tokens, zero, step, lambda s: F.when(s["done"], s["out"]))
+    @F.pandas_udf("array<string>")
+    def scanned(texts: pd.Series) -> pd.Series:
+        return pd.Series([None if t is None else _balanced(t) for t in texts], dtype="object")
 
-    return F.filter(F.transform(starts, balanced), lambda x: x.isNotNull())
+    return scanned(text)
 
 
 def first_object(text: Column) -> Column:
@@ -124,22 +136,26 @@ def parsed_rewrite(answer: Column, query: Column) -> Column:
     Missing and null fields get their defaults, and an intent that contradicts
     the business type is replaced.
     """
-    found = F.from_json(first_object(answer), _REWRITE)
-    business = F.coalesce(found["business_type"], F.lit("general"))
-    intent = F.coalesce(found["intent"], F.lit("general"))
-    repaired = F.when((business == "regulation") & intent.isin(*WRONG_UNDER_REGULATION), REPAIRED_INTENT).otherwise(intent)
-    return F.when(
-        found.isNotNull(),
-        F.struct(
-            F.coalesce(found["rewritten_query"], query).alias("rewritten_query"),
-            business.alias("business_type"),
-            repaired.alias("intent"),
-            F.coalesce(found["requires_context"], F.lit(True)).alias("requires_context"),
-            F.coalesce(found["standardized_entities"], F.array().cast("array<string>")).alias("standardized_entities"),
-            F.coalesce(found["confidence"], F.lit(0.5)).alias("confidence"),
-            F.coalesce(found["fallback"], F.lit(False)).alias("fallback"),
-        ),
-    )
+
+    def repaired(found: Column) -> Column:
+        business = F.coalesce(found["business_type"], F.lit("general"))
+        intent = F.coalesce(found["intent"], F.lit("general"))
+        contradicts = (business == "regulation") & intent.isin(*WRONG_UNDER_REGULATION)
+        return F.when(
+            found.isNotNull(),
+            F.struct(
+                F.coalesce(found["rewritten_query"], query).alias("rewritten_query"),
+                business.alias("business_type"),
+                F.when(contradicts, REPAIRED_INTENT).otherwise(intent).alias("intent"),
+                F.coalesce(found["requires_context"], F.lit(True)).alias("requires_context"),
+                F.coalesce(found["standardized_entities"], F.array().cast("array<string>")).alias("standardized_entities"),
+                F.coalesce(found["confidence"], F.lit(0.5)).alias("confidence"),
+                F.coalesce(found["fallback"], F.lit(False)).alias("fallback"),
+            ),
+        )
+
+    # The answer is read once, not for each field.
+    return F.get(F.transform(F.array(F.from_json(first_object(answer), _REWRITE)), repaired), F.lit(0))
 
 
 # Differences between JSON documents

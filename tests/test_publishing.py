@@ -169,6 +169,23 @@ def test_first_object_of_an_answer(spark):
     assert got == [*cases.values(), None]
 
 
+def test_an_answer_is_read_once(spark):
+    """Of 50,000 characters with many braces, by a scan; the plan has one reading of the JSON text for all fields."""
+    df = spark.createDataFrame([(1, "{ " * 40 + "x " * 25_000 + '{"intent": "late"}'), (2, None), (3, "{}")], "i long, t string")
+    parsed = df.select("i", extraction.parsed_rewrite(F.col("t"), F.lit("q")).alias("p")).select("i", "p.*")
+    plan = parsed._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("from_json") <= 1 and "regexp_extract_all" not in plan
+    got = {r["i"]: (r["rewritten_query"], r["intent"], r["confidence"]) for r in parsed.collect()}
+    assert got == {1: ("q", "late", 0.5), 2: (None, None, None), 3: ("q", "general", 0.5)}
+
+
+def test_a_manifest_has_no_more_levels_than_asked():
+    from stratasift.operators.corpus_manifest import NODE_LEAVES, depth_for
+
+    assert depth_for(NODE_LEAVES * 16**3 + 1) == 4
+    assert [depth_for(n, 3) for n in (0, 64, 65, 1024, 16384, 16385, NODE_LEAVES * 16**3 + 1, 10**9)] == [0, 0, 1, 1, 2, 3, 3, 3]
+
+
 def test_json_differences(spark):
     cases = [
         ('{"a": 1}', '{"a": 1}', []),
