@@ -102,7 +102,7 @@ def answer_questions(
         questions.join(counts, "query", "left").join(gathered, "query", "left").join(agreement, "query", "left").join(consistency(top), "query", "left")
     )
     agreed = F.coalesce("agreement", F.lit(0.0))
-    evidence = F.round(0.4 * F.col("top1") + 0.3 * F.col("mean3") + 0.2 * agreed + 0.1 * F.coalesce("consistency", F.lit(1.0)), 6)
+    evidence = rules.evidence_score(0.4 * F.col("top1") + 0.3 * F.col("mean3") + 0.2 * agreed + 0.1 * F.coalesce("consistency", F.lit(1.0)))
     gated = joined.withColumn("evidence", F.coalesce(evidence, F.lit(0.0)))
     gated = gated.withColumn("decision", rules.evidence_decision(F.col("evidence"), agreed, F.col("conservative")))
     open_gate = (F.col("decision") != "reject") & F.col("best").isNotNull()
