@@ -31,7 +31,7 @@ def retriever(name: str):
 
 @retriever("bm25")
 def bm25(docs: DataFrame, queries: DataFrame, k: int) -> DataFrame:
-    return lexical.top_k(lexical.bm25_scores(docs, queries, "doc", "query"), k)
+    return lexical.top_k(lexical.bm25_top_k(docs, queries, k, "doc", "query"), k)
 
 
 @retriever("dense")

@@ -9,7 +9,7 @@ from stratasift.operators import answering
 
 from .catalog import register
 from .fixtures import MASKED_SQL, table, with_masks
-from .retrieval_eval import PATHS_SQL, _scored_paths, _top_paths
+from .retrieval_eval import PATHS_SQL, _top_paths
 
 _VISIBLE_SQL = "role_mask IS NOT NULL AND dept_mask IS NOT NULL AND (role_mask = 0 OR role_mask & 2 <> 0) AND (dept_mask = 0 OR dept_mask & 6 <> 0)"
 
@@ -69,7 +69,7 @@ def answer_plan(spark, sf):
     questions = table(spark, sf, "benchmark").select(
         i.alias("query"), "text", (i % 2 == 0).alias("is_regulation"), (i % 3 != 0).alias("is_complex"), (i % 5 == 0).alias("conservative")
     )
-    top = _top_paths(_scored_paths(spark, sf), 50).select("path", "query", "doc", "rank")
+    top = _top_paths(spark, sf, 50).select("path", "query", "doc", "rank")
     recalled = top.where("path = 'bm25_es' or rank <= 10")
     fallback = top.where("path = 'rewrite_variants'").select("query", "doc", "rank")
     docs = table(spark, sf, "documents")

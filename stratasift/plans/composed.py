@@ -10,7 +10,7 @@ from stratasift.operators import extension, fusion, lexical, ops
 
 from .catalog import register
 from .fixtures import GOLD_SQL, MASKED_SQL, gold_pairs, table, with_masks
-from .retrieval_eval import PATHS_SQL, _paths, _scored, ranked_sql
+from .retrieval_eval import PATHS_SQL, _paths, _top, ranked_sql
 
 
 @register(
@@ -45,7 +45,7 @@ def variant_generation(spark, sf):
     f"WITH {PATHS_SQL} SELECT query, string_agg(CAST(doc AS VARCHAR), ',' ORDER BY rank) AS locked FROM r1 WHERE rank <= 3 GROUP BY query",
 )
 def evidence_lock(spark, sf):
-    top = lexical.top_k(_scored(spark, sf), 3)
+    top = _top(spark, sf, 3)
     ordered = F.transform(F.array_sort(F.collect_list(F.struct("rank", "doc"))), lambda s: s["doc"].cast("string"))
     return top.groupBy("query").agg(F.array_join(ordered, ",").alias("locked"))
 
@@ -143,7 +143,7 @@ def selector_resolution(spark, sf):
 )
 def recompute_compare(spark, sf):
     gold = gold_pairs(spark, sf).select(F.col("item_id").alias("query"), F.col("doc_id").alias("doc"))
-    per = gold.join(lexical.top_k(_scored(spark, sf), 10), ["query", "doc"], "left").groupBy("query").agg(
+    per = gold.join(_top(spark, sf, 10), ["query", "doc"], "left").groupBy("query").agg(
         (F.count("rank") / F.count(F.lit(1))).alias("recall")
     )
     mean = F.avg("recall")
@@ -312,7 +312,7 @@ def pluggable_scorer(spark, sf):
 
         return model
 
-    top = lexical.top_k(_scored(spark, sf), 5)
+    top = _top(spark, sf, 5)
     docs = table(spark, sf, "documents").select(F.col("doc_id").alias("doc"), F.col("text").alias("body"))
     asked = table(spark, sf, "benchmark").select(F.col("item_id").alias("query"), F.col("text").alias("passage"))
     pairs = top.join(docs, "doc").join(asked, "query")

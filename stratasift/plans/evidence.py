@@ -148,7 +148,7 @@ def variant_recall(spark, sf):
     variants = F.slice(F.filter(parts, lambda x: (x != "") & (x != F.col("text"))), 1, 3)
     asked = table(spark, sf, "benchmark").select("item_id", F.posexplode(variants).alias("nth", "text"))
     asked = asked.select(F.struct("item_id", "nth").alias("asked"), "text")
-    found = lexical.top_k(lexical.bm25_scores(table(spark, sf, "documents"), asked, "doc_id", "asked"), 30 // 3)
+    found = lexical.top_k(lexical.bm25_top_k(table(spark, sf, "documents"), asked, 30 // 3, "doc_id", "asked"), 30 // 3)
     return found.groupBy(F.col("query.item_id").alias("query"), "doc").agg(F.max("score").alias("score"), F.count(F.lit(1)).alias("n_variants"))
 
 

@@ -12,7 +12,7 @@ from stratasift.staging import new_folder
 
 from .catalog import register
 from .fixtures import table
-from .retrieval_eval import BM25, ranked_sql, _scored
+from .retrieval_eval import BM25, _top, ranked_sql
 
 _KINDS = ["ImportError", "FileNotFoundError", "OSError", "ValueError", "UnexpectedResponse", "LinAlgError", "RuntimeError", "KeyError"]
 _KIND_SQL = f"[{', '.join(repr(k) for k in _KINDS)}][CAST(event_id % 8 + 1 AS BIGINT)]"
@@ -144,7 +144,7 @@ def performance_artifact(spark, sf):
 )
 def ensemble_rerank(spark, sf):
     """The mean of two scorers, calibrated; where one fails, a query keeps the order in which it came."""
-    top = lexical.top_k(_scored(spark, sf), 20).select("query", "doc", "rank")
+    top = _top(spark, sf, 20).select("query", "doc", "rank")
     docs = table(spark, sf, "documents").select(F.col("doc_id").alias("doc"), F.length("text").alias("size"))
     asked = table(spark, sf, "benchmark").select(F.col("item_id").alias("query"), F.length("text").alias("words"))
     pairs = top.join(docs, "doc").join(asked, "query")

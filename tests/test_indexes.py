@@ -188,3 +188,29 @@ def test_searches_score_no_pair_by_expressions(spark):
     e = spark.read.parquet(f"{SF}/embeddings.parquet").select(F.col("vec_id").alias("doc"), F.col("embedding").alias("vector"))
     plan = dense.similarity_top_k(e, e.where("doc % 20 = 0").withColumnRenamed("doc", "query"), 10)._jdf.queryExecution().toString()
     assert "zip_with" not in plan and "MapInArrow" in plan
+
+
+def test_blocks_of_terms_find_what_pairs_find(spark, corpus, monkeypatch):
+    """Blocks, chunks and matrices smaller than the tables, documents that may not be found, and ids that occur twice."""
+    from stratasift.operators import term_blocks
+
+    docs, items = corpus
+    docs = docs.unionByName(spark.createDataFrame([(-1, ""), (-2, None), (-3, "!")], "doc long, text string")).repartition(3)
+    monkeypatch.setattr(term_blocks, "BLOCK_DOCS", 7)
+    monkeypatch.setattr(term_blocks, "CHUNK_QUERIES", 9)
+    monkeypatch.setattr(term_blocks, "MATRIX", 2000)
+    pairs = lexical.bm25_scores(docs, items, "doc", "item_id")
+    found = lexical.bm25_top_k(docs, items, 5, "doc", "item_id")
+    assert "MapInArrow" in found._jdf.queryExecution().toString()
+    assert as_rows(lexical.top_k(found, 5)) == as_rows(lexical.top_k(pairs, 5))
+    some = lexical.bm25_top_k(docs, items, 5, "doc", "item_id", visible=F.col("doc") % 3 == 0)
+    assert as_rows(lexical.top_k(some, 5)) == as_rows(lexical.top_k(pairs.where("doc % 3 = 0"), 5))
+    twice = docs.unionByName(docs.where("doc = 4").withColumn("text", F.concat("text", F.lit(" more"))))
+    assert as_rows(lexical.top_k(lexical.bm25_top_k(twice, items, 5, "doc", "item_id"), 5)) == as_rows(lexical.top_k(lexical.bm25_scores(twice, items, "doc", "item_id"), 5))
+
+
+def test_evidence_is_rounded_by_its_decimals(spark):
+    from stratasift.functions import rules
+
+    row = spark.range(1).select(rules.evidence_score(F.lit(0.7558954999999999)).alias("a"), rules.evidence_score(F.lit(0.7558954)).alias("b")).first()
+    assert (row["a"], row["b"]) == (0.755896, 0.755895)
