@@ -1,10 +1,10 @@
 """A lexical index on disk: postings bucketed by term, with block maxima, versioned by commits.
 
-Documents fall into cells by a hash; the postings of a term in a cell are one
-row, with the largest term frequency and the smallest length among them.  From
-these a search bounds what any document of a cell can score, scores the most
-promising cells of each query first, and reads the postings of other cells
-only where their bound reaches the k-th best score so far.
+Documents fall into cells by a hash, and cells into parts; the postings of a
+term in a part are one row, cell after cell, with the largest term frequency and
+the smallest length in each cell.  From these a search bounds what any document
+of a cell can score, scores the most promising cells of each query first, and
+other cells only where their bound reaches the k-th best score so far.
 
 Every change is a commit: a folder of its own that counts once its manifest is
 written.  A replaced document gets new postings, its old version is hidden, and
@@ -14,12 +14,16 @@ statistics alone, as its text is still part of the collection.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from stratasift.functions import text
 from stratasift.staging import path_exists, remove_folder, stage
 
+from . import term_cells
 from .lexical import B, BROADCAST_TERMS, K1, idf, query_terms, top_k
 
 #: Term buckets at most: a search reads only the folders of its terms' buckets.
@@ -31,11 +35,18 @@ BUCKET_DOCS = 4096
 #: Documents in a cell on average, the unit of pruning.
 CELL_DOCS = 256
 
+#: Documents in a part on average: cells that are inverted, bounded and scored in one task.
+PART_DOCS = 8192
+
 #: Cells of each query that are scored before the others are judged by their bounds.
 FIRST_CELLS = 8
 
-_MANIFEST = "commit int, cells long, buckets int, n long, tokens long, mapping string"
-_POSTINGS = "term string, cell long, max_tf int, min_dl int, entries array<struct<doc:{doc},tf:int,dl:int>>"
+_MANIFEST = "commit int, cells long, parts long, buckets int, n long, tokens long, mapping string"
+_POSTINGS = "term string, part long, cells array<long>, max_tf array<int>, min_dl array<int>, ends array<int>, n_words long, docs array<{doc}>, tfs array<int>, dls array<int>"
+
+
+def _cell(cells: Column) -> Column:
+    return F.pmod(F.xxhash64("doc"), cells)
 
 
 class MappingError(ValueError):
@@ -82,44 +93,38 @@ class LexicalIndex:
     def _doc_type(self, mapping: str) -> str:
         return dict(x.split(":", 1) for x in mapping.split(","))["doc"]
 
-    def _write(self, docs: DataFrame, commit: int, cells: int, buckets: int, mapping: str, lost: DataFrame | None) -> None:
-        """One commit: new versions of ``docs``; ``lost`` has (doc, dl, terms) of the versions that they replace."""
-        forward = docs.select("doc", self.analyzer(F.coalesce("text", F.lit(""))).alias("words"))
-        forward.select("doc", F.size("words").alias("dl"), "words").write.mode("overwrite").parquet(self._folder("forward", commit))
+    def _write(self, docs: DataFrame, commit: int, buckets: int, mapping: str, n: int, lost: DataFrame | None) -> None:
+        """One commit: new versions of the ``n`` rows of ``docs``; ``lost`` has (doc, dl, words) of the versions that they replace, with distinct words."""
+        docs.select("doc", "text").write.mode("overwrite").parquet(self._folder("forward", commit))
         rows = self.spark.read.parquet(self._folder("forward", commit))
-        posted = (
-            rows.select("doc", "dl", F.explode("words").alias("term"))
-            .groupBy("doc", "dl", "term")
-            .agg(F.count(F.lit(1)).cast("int").alias("tf"))
-            .withColumn("cell", F.pmod(F.xxhash64("doc"), F.lit(cells)))
-        )
-        blocks = posted.groupBy("term", "cell").agg(
-            F.max("tf").alias("max_tf"), F.min("dl").alias("min_dl"), F.array_sort(F.collect_list(F.struct("doc", "tf", "dl"))).alias("entries")
-        )
+        cells = max(1, n // CELL_DOCS)
+        parts = -(-cells * CELL_DOCS // PART_DOCS)
+        # Texts are shuffled, not their words or postings: a part's cells are inverted in one task, which writes its rows of every bucket.
+        placed = rows.withColumn("cell", _cell(F.lit(cells))).withColumn("part", F.pmod("cell", F.lit(parts))).repartitionById(parts, F.col("part").cast("int"))
+        words = self._words(placed)
+        schema = _POSTINGS.format(doc=self._doc_type(mapping))
         bucket = F.pmod(F.xxhash64("term"), F.lit(buckets))
-        # A bucket's terms may have very many cells: what is sorted is dealt by both.
-        dealt = blocks.withColumn("bucket", bucket).repartitionByRange("bucket", "term", "cell").sortWithinPartitions("bucket", "term", "cell")
-        dealt.write.mode("overwrite").partitionBy("bucket").parquet(self._folder("postings", commit))
-        added = posted.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
+        blocks = words.select("doc", "part", "cell", F.size("words").alias("dl"), "words").mapInArrow(term_cells.inverted, schema).withColumn("bucket", bucket)
+        blocks.sortWithinPartitions("bucket", "term").write.mode("overwrite").partitionBy("bucket").parquet(self._folder("postings", commit))
+        posted = self._read("postings", f"{schema}, bucket int", [commit])
+        added = posted.select("term", F.element_at("ends", -1).cast("long").alias("df"))
         if lost is not None:
-            gone = lost.select(F.explode(F.array_distinct("words")).alias("term")).groupBy("term").agg((-F.count(F.lit(1))).alias("df"))
-            added = added.unionByName(gone).groupBy("term").agg(F.sum("df").alias("df"))
-        added.withColumn("bucket", bucket).repartitionByRange("bucket", "term").sortWithinPartitions("bucket", "term").write.mode("overwrite").partitionBy(
-            "bucket"
-        ).parquet(self._folder("terms", commit))
-        size = self._size(rows)
+            added = added.unionByName(lost.select(F.explode("words").alias("term"), F.lit(-1).cast("long").alias("df")))
+        added = added.groupBy("term").agg(F.sum("df").alias("df")).withColumn("bucket", bucket)
+        # A bucket has more terms in a larger collection, so it is dealt to more tasks.
+        dealt = added.repartition("bucket", F.pmod(F.hash("term"), F.lit(1 + n // (BUCKETS * BUCKET_DOCS))))
+        dealt.sortWithinPartitions("bucket", "term").write.mode("overwrite").partitionBy("bucket").parquet(self._folder("terms", commit))
+        size = (n, posted.agg(F.coalesce(F.sum("n_words"), F.lit(0))).first()[0])
         if lost is not None:
-            old = self._size(lost)
+            old = lost.agg(F.count(F.lit(1)), F.coalesce(F.sum("dl"), F.lit(0))).first()
             size = (size[0] - old[0], size[1] - old[1])
-        self._commit(commit, cells, buckets, *size, mapping)
+        self._commit(commit, cells, parts, buckets, *size, mapping)
 
-    @staticmethod
-    def _size(rows: DataFrame) -> tuple[int, int]:
-        one = rows.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum("dl"), F.lit(0)).alias("tokens")).first()
-        return one["n"], one["tokens"]
+    def _words(self, rows: DataFrame) -> DataFrame:
+        return rows.withColumn("words", self.analyzer(F.coalesce("text", F.lit("")))).drop("text")
 
-    def _commit(self, commit: int, cells: int, buckets: int, n: int, tokens: int, mapping: str) -> None:
-        row = self.spark.createDataFrame([(commit, cells, buckets, n, tokens, mapping)], _MANIFEST)
+    def _commit(self, commit: int, cells: int, parts: int, buckets: int, n: int, tokens: int, mapping: str) -> None:
+        row = self.spark.createDataFrame([(commit, cells, parts, buckets, n, tokens, mapping)], _MANIFEST)
         row.coalesce(1).write.mode("append").parquet(f"{self.root}/manifest")
 
     def _begin(self, manifest: list) -> int:
@@ -142,12 +147,12 @@ class LexicalIndex:
         if self.manifest():
             raise ValueError("the index is built already; replace documents instead")
         mapping, n = self._mapping(docs), self._checked(docs)
-        self._write(docs, self._begin([]), max(1, n // CELL_DOCS), min(BUCKETS, 1 + n // BUCKET_DOCS), mapping, None)
+        self._write(docs, self._begin([]), min(BUCKETS, 1 + n // BUCKET_DOCS), mapping, n, None)
 
     def _current(self, manifest: list) -> DataFrame:
-        """(doc, dl, words, commit): the newest version of every document."""
+        """(doc, text, commit): the newest version of every document."""
         mapping = manifest[0]["mapping"]
-        rows = self._read("forward", f"doc {self._doc_type(mapping)}, dl int, words array<string>", [r["commit"] for r in manifest])
+        rows = self._read("forward", f"doc {self._doc_type(mapping)}, text string", [r["commit"] for r in manifest])
         replaced = self._read("replaced", f"doc {self._doc_type(mapping)}, version int", [r["commit"] for r in manifest]).select("doc", F.col("version").alias("commit"))
         return rows.join(replaced, ["doc", "commit"], "left_anti")
 
@@ -157,11 +162,12 @@ class LexicalIndex:
         mapping = self._mapping(docs)
         if mapping != manifest[0]["mapping"]:
             raise MappingError(f"{mapping} is not {manifest[0]['mapping']}")
-        self._checked(docs)
+        n = self._checked(docs)
         commit = self._begin(manifest)
-        lost = stage(self._current(manifest).join(docs.select("doc"), "doc", "left_semi"), "lost")
+        old = self._words(self._current(manifest).join(docs.select("doc"), "doc", "left_semi"))
+        lost = stage(old.select("doc", "commit", F.size("words").alias("dl"), F.array_distinct("words").alias("words")), "lost")
         lost.select("doc", F.col("commit").alias("version")).write.mode("overwrite").parquet(self._folder("replaced", commit))
-        self._write(docs, commit, manifest[0]["cells"], manifest[0]["buckets"], mapping, lost)
+        self._write(docs, commit, manifest[0]["buckets"], mapping, n, lost)
 
     def archive(self, ids: DataFrame) -> None:
         """Hides the present versions of the documents in ``ids(doc)``; unknown ids do nothing."""
@@ -169,7 +175,7 @@ class LexicalIndex:
         commit = self._begin(manifest)
         there = self._current(manifest).join(ids.select("doc").distinct(), "doc", "left_semi")
         there.select("doc", F.col("commit").alias("version")).write.mode("overwrite").parquet(self._folder("archived", commit))
-        self._commit(commit, manifest[0]["cells"], manifest[0]["buckets"], 0, 0, manifest[0]["mapping"])
+        self._commit(commit, 0, 0, manifest[0]["buckets"], 0, 0, manifest[0]["mapping"])
 
     def _built(self) -> list:
         if not (manifest := self.manifest()):
@@ -181,7 +187,7 @@ class LexicalIndex:
     def _postings(self, manifest: list, buckets: list[int] | None, columns: list[str]) -> DataFrame:
         ddl = _POSTINGS.format(doc=self._doc_type(manifest[0]["mapping"]))
         rows = self._read("postings", f"{ddl}, bucket int", [r["commit"] for r in manifest])
-        return (rows if buckets is None else rows.where(F.col("bucket").isin(buckets))).select("commit", "term", "cell", *columns)
+        return (rows if buckets is None else rows.where(F.col("bucket").isin(buckets))).select("commit", "term", "part", "cells", *columns)
 
     def term_table(self, terms: DataFrame | None = None, buckets: list[int] | None = None) -> DataFrame:
         """(term, df, idf) of all terms, or of those in ``terms(term)`` and ``buckets``."""
@@ -212,46 +218,71 @@ class LexicalIndex:
     def explained_search(self, queries, query_col: str, text_col: str, k: int, visible=None, first_cells: int = FIRST_CELLS) -> tuple[DataFrame, DataFrame]:
         """The result of :meth:`search`, and (query, cell, bound, first, read) of every cell that shares a term."""
         manifest = self._built()
+        terms = query_terms(queries, query_col, text_col, self.analyzer).count()
+        if (sets := -(-terms // BROADCAST_TERMS)) <= 1:
+            return self._explained(manifest, queries, query_col, text_col, k, visible, first_cells)
+        # More terms than a task can hold go in several searches.
+        dealt = F.pmod(F.xxhash64(query_col), F.lit(sets))
+        some = [self._explained(manifest, queries.where(dealt == i), query_col, text_col, k, visible, first_cells) for i in range(sets)]
+        return tuple(reduce(DataFrame.unionByName, parts) for parts in zip(*some, strict=True))
+
+    def _explained(self, manifest, queries, query_col: str, text_col: str, k: int, visible, first_cells: int) -> tuple[DataFrame, DataFrame]:
         commits = [r["commit"] for r in manifest]
         n, tokens = sum(r["n"] for r in manifest), sum(r["tokens"] for r in manifest)
-        average = F.lit(tokens / n if n else 1.0)
-        asked = query_terms(queries, query_col, text_col, self.analyzer)
-        few = asked.count() <= BROADCAST_TERMS
-        near = F.broadcast if few else (lambda df: df)
+        average = tokens / n if tokens else 1.0
+        asked = stage(query_terms(queries, query_col, text_col, self.analyzer), "asked")
         # There are 64 numbers at most.
         number = F.pmod(F.xxhash64("term"), F.lit(manifest[0]["buckets"])).cast("int")
-        buckets = [r[0] for r in asked.select(number).distinct().collect()] if few else None
-        weights = stage(asked.join(self.term_table(asked.select("term").distinct(), buckets), "term").select("query", "term", "idf"), "weights")
+        buckets = [r[0] for r in asked.select(number).distinct().collect()]
+        known = self.term_table(asked.select("term").distinct(), buckets)
+        # BROADCAST_TERMS at most, as are the weights.
+        vocabulary = stage(known.select("term", "idf", (F.row_number().over(Window.orderBy("term")) - 1).alias("no")), "vocabulary")
+        weights = term_cells.Weights(asked.join(F.broadcast(vocabulary), "term").select("query", "no", "idf").toArrow())
+        shared = self.spark.sparkContext.broadcast(weights)
+        query_type, doc_type = asked.schema["query"].dataType.simpleString(), self._doc_type(manifest[0]["mapping"])
+        order = ["commit", "part"]
+
+        def met(columns: list[str]) -> DataFrame:
+            return self._postings(manifest, buckets, columns).join(F.broadcast(vocabulary), "term").select(*order, "no", "cells", *columns)
+
+        heads = met(["max_tf", "min_dl"]).repartition(*order).sortWithinPartitions(*order)
+        bounds = stage(
+            heads.mapInArrow(lambda batches: term_cells.bounds(batches, shared.value, average, K1, B), f"query {query_type}, commit int, part long, cell long, bound double"),
+            "bounds",
+        )
+        places = self.spark.createDataFrame([(r["commit"], r["cells"], r["parts"]) for r in manifest if r["cells"]], "commit int, n_cells long, n_parts long")
 
-        def gain(tf, dl):
-            return F.col("idf") * tf * (K1 + 1) / (tf + K1 * (1 - B + B * dl / average))
+        def documents(some: DataFrame, mark: int) -> DataFrame:
+            """Rows of a kind for documents, (doc, commit), in the parts where they are."""
+            at = some.join(F.broadcast(places), "commit").withColumn("part", F.pmod(_cell(F.col("n_cells")), F.col("n_parts")))
+            return at.select(*order, F.lit(mark).alias("no"), F.array("doc").alias("docs"))
 
-        heads = self._postings(manifest, buckets, ["max_tf", "min_dl"]).join(near(weights), "term")
-        bounds = stage(heads.groupBy("query", "commit", "cell").agg(F.sum(gain(F.col("max_tf"), F.col("min_dl"))).alias("bound")), "bounds")
-        hidden = None
-        doc_type = self._doc_type(manifest[0]["mapping"])
+        marks, only_visible = [], visible is not None
         for part in ("replaced", "archived"):
             some = self._read(part, f"doc {doc_type}, version int", commits).select("doc", F.col("version").alias("commit"))
-            hidden = some if hidden is None else hidden.unionByName(some)
+            marks.append(documents(some, term_cells.HIDDEN))
+        if only_visible:
+            marks.append(documents(visible.select("doc").crossJoin(F.broadcast(places.select("commit"))), term_cells.VISIBLE))
 
         def scored(cells: DataFrame) -> DataFrame:
-            met = self._postings(manifest, buckets, ["entries"]).join(near(weights), "term").join(cells.select("query", "commit", "cell"), ["query", "commit", "cell"])
-            entries = met.select("query", "commit", "idf", F.inline("entries")).withColumn("part", gain(F.col("tf"), F.col("dl")))
-            found = entries.groupBy("query", "commit", "doc").agg(F.round(F.sum("part"), 6).alias("score"))
-            found = found.join(hidden, ["doc", "commit"], "left_anti")
-            if visible is not None:
-                found = found.join(visible.select("doc"), "doc", "left_semi")
-            return found.select("query", "doc", "score")
-
-        best = top_k(bounds.withColumn("place", F.struct("commit", "cell")), first_cells, item="place", score="bound")
-        first = stage(best.select("query", "commit", "cell"), "first-cells")
+            here = cells.groupBy(*order, "cell").agg(F.collect_list("query").alias("asked"))
+            here = stage(here.select(*order, F.lit(term_cells.ASKED).alias("no"), F.array("cell").alias("cells"), "asked"), "asked-cells")
+            rows = met(["ends", "docs", "tfs", "dls"])
+            for more in (*marks, here):
+                rows = rows.unionByName(more, allowMissingColumns=True)
+            rows = rows.repartition(*order).sortWithinPartitions(*order)
+            return rows.mapInArrow(
+                lambda batches: term_cells.best(batches, shared.value, average, k, K1, B, only_visible), f"query {query_type}, doc {doc_type}, score double"
+            )
+
+        cell = ["query", "commit", "cell"]
+        first = stage(top_k(bounds.withColumn("place", F.struct("commit", "cell")), first_cells, item="place", score="bound").select(*cell, "part"), "first-cells")
         early = stage(top_k(scored(first), k), "early")
         reached = early.where(F.col("rank") == k).select("query", F.col("score").alias("reached"))
         # Scores are rounded to six digits, and bounds are sums in another order.
-        rest = bounds.join(first, ["query", "commit", "cell"], "left_anti").join(reached, "query", "left")
+        rest = bounds.join(first, cell, "left_anti").join(reached, "query", "left")
         rest = rest.where(F.col("reached").isNull() | (F.col("bound") >= F.col("reached") - 1e-5))
-        late = scored(rest)
-        both = early.drop("rank").unionByName(late)
-        read = first.withColumn("first", F.lit(True)).unionByName(rest.select("query", "commit", "cell").withColumn("first", F.lit(False)))
-        report = bounds.join(read, ["query", "commit", "cell"], "left").select("query", "commit", "cell", "bound", F.coalesce("first", F.lit(False)).alias("first"), F.col("first").isNotNull().alias("read"))
+        both = early.drop("rank").unionByName(scored(rest))
+        read = first.select(*cell, F.lit(True).alias("first")).unionByName(rest.select(*cell, F.lit(False).alias("first")))
+        report = bounds.join(read, cell, "left").select("query", "commit", "cell", "bound", F.coalesce("first", F.lit(False)).alias("first"), F.col("first").isNotNull().alias("read"))
         return top_k(both, k).select("query", "doc", "score", "rank"), report
