@@ -3,10 +3,10 @@
 from __future__ import annotations
 
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from stratasift.functions import redaction, text
 from stratasift.operators import contracts, corpus, lexical
+from stratasift.staging import stage
 
 from .catalog import register
 from .fixtures import GOLD_SQL, MASKED_SQL, table, with_masks
@@ -431,18 +431,9 @@ _WORDS_SQL = """qw AS (SELECT DISTINCT item_id, unnest(list_transform(regexp_ext
 dw AS (SELECT DISTINCT doc_id, unnest(list_transform(regexp_extract_all(text, '[A-Za-z0-9]+'), lambda x: lower(x))) AS t FROM documents)"""
 
 
-def _shared_words(spark, sf):
-    """(item_id, doc_id, overlap): distinct words that a passage and a document share.
-
-    Only the passages' words leave the scan, partitioned by document, so that
-    overlaps are counted where they arise and never shuffled.
-    """
-    q = table(spark, sf, "benchmark").select("item_id", F.explode(text.cjk_and_word_tokens(F.col("text"))).alias("t"))
-    d = table(spark, sf, "documents").select("doc_id", F.explode(text.cjk_and_word_tokens(F.col("text"))).alias("t"))
-    asked = q.select("t").distinct()
-    close = F.broadcast if asked.count() <= lexical.BROADCAST_TERMS else (lambda df: df)
-    near = d.join(close(asked), "t", "left_semi").repartition("doc_id")
-    return q, near.join(close(q), "t").groupBy("item_id", "doc_id").agg(F.count(F.lit(1)).alias("overlap"))
+def _closest(spark, sf, k, barred=None):
+    """(query, doc, overlap): the documents that share the most distinct words with each passage."""
+    return lexical.overlap_top_k(table(spark, sf, "documents"), table(spark, sf, "benchmark"), k, "doc_id", "item_id", barred=barred)
 
 
 @register(
@@ -455,10 +446,13 @@ def _shared_words(spark, sf):
 def related_passages(spark, sf):
     from .fixtures import gold_pairs
 
-    _, shared = _shared_words(spark, sf)
-    leads = shared.where("overlap >= 2").join(gold_pairs(spark, sf), ["item_id", "doc_id"], "left_anti")
-    w = Window.partitionBy("item_id").orderBy(F.desc("overlap"), "doc_id")
-    return leads.withColumn("k", F.row_number().over(w)).where("k <= 3").drop("k")
+    return _related(spark, sf, stage(gold_pairs(spark, sf).select("item_id", "doc_id"), "gold"))
+
+
+def _related(spark, sf, gold):
+    found = _closest(spark, sf, 3, gold.select(F.col("item_id").alias("query"), F.col("doc_id").alias("doc")))
+    leads = lexical.top_k(found.where("overlap >= 2"), 3, score="overlap")
+    return leads.select(F.col("query").alias("item_id"), F.col("doc").alias("doc_id"), "overlap")
 
 
 @register(
@@ -468,9 +462,9 @@ def related_passages(spark, sf):
     SELECT item_id, coverage, CASE WHEN coverage >= 0.9 THEN 'HIGH' WHEN coverage >= 0.75 THEN 'MEDIUM' ELSE 'LOW' END AS level FROM m""",
 )
 def token_coverage_risk(spark, sf):
-    q, shared = _shared_words(spark, sf)
+    q = table(spark, sf, "benchmark").select("item_id", F.explode(text.cjk_and_word_tokens(F.col("text"))).alias("t"))
     n = q.groupBy("item_id").agg(F.count(F.lit(1)).alias("n"))
-    best = shared.groupBy("item_id").agg(F.max("overlap").alias("k"))
+    best = _closest(spark, sf, 1).groupBy(F.col("query").alias("item_id")).agg(F.max("overlap").alias("k"))
     c = F.round(F.coalesce("k", F.lit(0)) / F.col("n"), 6)
     return n.join(best, "item_id", "left").select(
         "item_id", c.alias("coverage"), F.when(c >= 0.9, "HIGH").when(c >= 0.75, "MEDIUM").otherwise("LOW").alias("level")
@@ -496,7 +490,8 @@ def lcs_risk(spark, sf):
     """Longest run that a passage shares with the documents that contain it and with the three closest others."""
     from .fixtures import gold_pairs
 
-    leads = related_passages(spark, sf).select("item_id", "doc_id").unionByName(gold_pairs(spark, sf).select("item_id", "doc_id"))
+    gold = stage(gold_pairs(spark, sf).select("item_id", "doc_id"), "gold")
+    leads = stage(_related(spark, sf, gold).select("item_id", "doc_id").unionByName(gold), "leads")
     docs = table(spark, sf, "documents").select("doc_id", F.col("text").alias("body"))
     items = table(spark, sf, "benchmark").select("item_id", F.col("text").alias("passage"))
     joined = leads.join(docs, "doc_id").join(items, "item_id")
