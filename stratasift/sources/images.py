@@ -41,11 +41,16 @@ def image_shape(content: Column) -> Column:
     )
 
 
-def read_images(spark: SparkSession, path: str, glob: str = "*.{png,gif,bmp}") -> DataFrame:
-    """(path, content, format, width, height, image_id) of the images below a folder; what isn't one is left out."""
+def read_images(spark: SparkSession, path: str, glob: str = "*.{png,gif,bmp}", together: int = 1) -> DataFrame:
+    """(path, content, format, width, height, image_id) of the images below a folder; what isn't one is left out.
+
+    Spark counts 4 MB for opening a file, so a task gets 32 images at most, however small they are. For small ones a task takes
+    ``together`` such parts.
+    """
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", glob).load(path)
     rows = files.select("path", "content", image_shape(F.col("content")).alias("shape")).where("shape is not null")
-    return rows.select("path", "content", "shape.*", F.sha2("content", 256).alias("image_id"))
+    rows = rows.select("path", "content", "shape.*", F.sha2("content", 256).alias("image_id"))
+    return rows.coalesce(-(-rows.rdd.getNumPartitions() // together) or 1) if together > 1 else rows
 
 
 def ocr_blocks(images: DataFrame, load: Callable[[], Callable[[bytes, int, int], list[tuple]]]) -> DataFrame:
