@@ -1,10 +1,12 @@
 """Values as files, and what reads them back."""
 
+import hashlib
 from pathlib import Path
 
+import duckdb
 import pytest
 
-from stratasift.plans import all_queries, files
+from stratasift.plans import all_queries, all_sql, files
 from stratasift.sources import images, sinks
 
 
@@ -63,3 +65,17 @@ def test_images_start_no_process_each(spark, tmp_path, monkeypatch):
     assert sum(r["n"] for r in got) == 2500 and len(got) == 350
     assert len(contents(tmp_path / "images")) == 2500
     assert not list((tmp_path / "images").rglob("*.crc"))
+
+
+def test_long_texts_are_read_in_full(spark, tmp_path):
+    """Texts on both sides of the limit are hashed to their last byte; the limit only marks their files."""
+    texts = ["short", " short ", "a" * 131_071, "a" * 131_072, "ä" * 65_536, "ä" * 65_535, "b" * 400_000 + "1", "b" * 400_000 + "2", ""]
+    spark.createDataFrame(list(enumerate(texts)), "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    got = [(r["content_hash"], r["too_long"], r["n"]) for r in all_queries()["txt_reader"](spark, f"file://{tmp_path}").collect()]
+    want = {(hashlib.sha256(t.strip().encode()).hexdigest(), len(t.encode()) + 1 > 131_072, 2 if t.strip() == "short" else 1) for t in texts}
+    assert len(got) == len(want) and set(got) == want
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW benchmark AS SELECT * FROM read_parquet('{tmp_path}/benchmark.parquet/*.parquet')")
+    cursor = con.execute(all_sql()["txt_reader"])
+    assert [d[0] for d in cursor.description] == ["content_hash", "too_long", "n"]
+    assert sorted(cursor.fetchall()) == sorted(got)
